@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, shard
+from . import decontaminate, linededup, phrases, shard, simhash
 
 QUERIES = {
+    "op3_substring_dedup": phrases.op3,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_sharding": shard.op7,
     "op8_line_dedup": linededup.op8,
+    "op10_simhash_near_dedup": simhash.op10,
 }
 
 ORACLE_SQL = {
+    "op3_substring_dedup": phrases.OP3_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
-    "op7_sharding": None,
     "op8_line_dedup": linededup.OP8_SQL,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
