@@ -48,7 +48,8 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key: str = "doc_i
 
 
 def crc_mod(key: Column, n: int) -> Column:
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+    """crc32 of a key as text, modulo n; a null key counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def buffers(texts) -> tuple[np.ndarray, np.ndarray]:

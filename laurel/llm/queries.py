@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, phrases, shard, simhash
+from . import decontaminate, linededup, phrases, shard, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op3_substring_dedup": phrases.op3,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_sharding": shard.op7,
