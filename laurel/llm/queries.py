@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, phrases, shard, simhash, toxicity
+from . import chat, decontaminate, linededup, phrases, shard, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_chat_formatting": chat.op2,
     "op3_substring_dedup": phrases.op3,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_sharding": shard.op7,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_chat_formatting": chat.OP2_SQL,
     "op3_substring_dedup": phrases.OP3_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op8_line_dedup": linededup.OP8_SQL,
