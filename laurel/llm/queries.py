@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, phrases, shard, simhash, toxicity
+from . import chat, decontaminate, linededup, maxent, neighbours, phrases, shard, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_chat_formatting": chat.op2,
     "op3_substring_dedup": phrases.op3,
+    "op5_nearest_neighbours": neighbours.op5,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_sharding": shard.op7,
     "op8_line_dedup": linededup.op8,
+    "op9_lm_scoring": maxent.op9,
     "op10_simhash_near_dedup": simhash.op10,
 }
 
