@@ -8,7 +8,7 @@ embedding, with the words it came from.
 
 Labels are taken from a sample of at most `SAMPLE` rows of each class (the smallest hashes of doc_id), which bounds the
 driver's work; texts of the sample are reduced to bucket counts on the executors. A fifth of the sample sets the
-softmax's scale and bias, weighted by the class shares of all labelled rows. As the model is linear after averaging,
+softmax's scale and bias, weighted by the square roots of the class shares of all labelled rows. As the model is linear after averaging,
 scoring needs one number for each bucket; every byte of every text counts.
 
 Defined results: null and empty texts have no features and get the prior's score; rows labelled null are not learned
@@ -30,7 +30,7 @@ from .common import buffers, chunks, crc_mod, stash
 
 BITS, NGRAMS, DIM, PAD = 18, (4, 5), 4, 50
 #: Rows of classes 0 and 1 learned from at most.
-SAMPLE = (4000, 2500)
+SAMPLE = (3000, 2000)
 MIN_DOCS, STEPS, RATE, DAMP = 5, 60, 30.0, 1e4
 _RNG = np.random.default_rng(977)
 _OFFSETS = _RNG.integers(0, 1 << 63, (max(NGRAMS), 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,8 +126,10 @@ def _calibrated(z: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[float,
 
 def fit(docs_of: np.ndarray, buckets: np.ndarray, shares: np.ndarray, labels: np.ndarray, prior: np.ndarray, seed: int = 5) -> Model:
     """Trains on (document, bucket, share) triples sorted by document; labels by document; prior: the classes' shares."""
-    used, local = np.unique(buckets, return_inverse=True)
-    local = local.astype(np.int32)
+    used = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS))
+    number = np.zeros(1 << BITS, np.int32)
+    number[used] = np.arange(len(used))
+    local = number[buckets]
     scale = (np.bincount(local, weights=shares) / len(labels)) ** -0.25
     shares = shares * scale[local].astype(np.float32)
     order = np.argsort(local, kind="stable")
@@ -207,14 +209,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: tuple[int,
     count = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))
     if len(count) < 2:
-        odds = math.log((share + 1e-6) / (1 - share + 1e-6))
-        return Model(np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.array([0.0, odds], np.float32))
+        return _prior_only(share)
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
     chosen = spark.createDataFrame([(r["doc_id"], r["y"]) for x in picked for r in x.collect()], "doc_id bigint, y int")
     # at most sum(sample) rows; of a repeated doc_id one text is learned from
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("r = 1")
-    texts = stash(texts.select("y", "text").orderBy("doc_id").coalesce(8))
+    texts = stash(texts.select("doc_id", "text", "y").repartition(8))
     seen = sum(np.frombuffer(r["n"], np.int32) for r in texts.mapInArrow(_seen, "n binary").collect())
     often = seen >= (MIN_DOCS if sum(count.values()) >= 200 else 1)
 
@@ -224,16 +225,35 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: tuple[int,
             kept = [often[b] for b in where]
             where = [b[k].astype(np.int32).tobytes() for b, k in zip(where, kept, strict=True)]
             shares = [s[k].tobytes() for s, k in zip(shares, kept, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(where, pa.binary()), pa.array(shares, pa.binary())], ["y", "buckets", "shares"])
-
-    got = texts.mapInArrow(bags, "y int, buckets binary, shares binary").toArrow()
-    y = np.array(got.column("y").to_pylist(), np.int64)
-    sizes = [len(x) // 4 for x in got.column("buckets").to_pylist()]
-    b, s = (np.frombuffer(b"".join(got.column(c).to_pylist()), kind) for c, kind in (("buckets", np.int32), ("shares", np.float32)))
-    del got
-    if not len(b):
-        return Model(np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.array([0.0, math.log(share / (1 - share))], np.float32))
-    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), b, s, y, np.array([1 - share, share]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(where, pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "y", "buckets", "shares"])
+
+    prior = np.sqrt([1 - share, share])
+    prior /= prior.sum()  # between balanced classes (fewest missed) and their shares (fewest errors)
+
+    def fitted(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        rows.sort(key=lambda r: r[0])
+        y = [r[1] for r in rows]
+        where = [np.frombuffer(r[2], np.int32) for r in rows]
+        shares = [np.frombuffer(r[3], np.float32) for r in rows]
+        del rows
+        docs_of = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in where])
+        where, shares = np.concatenate(where), np.concatenate(shares)
+        m = fit(docs_of, where, shares, np.array(y, np.int64), prior) if len(where) else _prior_only(share)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.emb, m.out, m.bias)], ["emb", "out", "bias"])
+
+    # one task trains on the whole bounded sample, on an executor, and returns the model
+    bagged = texts.mapInArrow(bags, "doc_id bigint, y int, buckets binary, shares binary").repartition(1)
+    got = bagged.mapInArrow(fitted, "emb binary, out binary, bias binary").first()
+    return Model(*(np.frombuffer(got[c], np.float32).reshape(shape) for c, shape in (("emb", (1 << BITS, DIM)), ("out", (DIM, 2)), ("bias", (2,)))))
+
+
+def _prior_only(share: float) -> Model:
+    """A model that gives every text the same score."""
+    odds = math.log((share + 1e-6) / (1 - share + 1e-6))
+    return Model(np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.array([0.0, odds], np.float32))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
