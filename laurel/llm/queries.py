@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, maxent, neighbours, phrases, shard, simhash, toxicity
+from . import chat, decontaminate, linededup, maxent, neighbours, phrases, pieces, shard, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_chat_formatting": chat.op2,
     "op3_substring_dedup": phrases.op3,
+    "op4_sentencepiece": pieces.op4,
     "op5_nearest_neighbours": neighbours.op5,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_sharding": shard.op7,
