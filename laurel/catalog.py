@@ -1,6 +1,6 @@
 """All queries of the library proper, by name, and the SQL they are checked against."""
 
-from __future__ import annotations
+from .plans import ranking  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
