@@ -1,6 +1,6 @@
 """All queries of the library proper, by name, and the SQL they are checked against."""
 
-from .plans import ranking  # noqa: F401
+from .plans import ranking, stores  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -95,7 +95,7 @@ USAGE_SQL = """WITH usage AS (SELECT event_id AS record_id, user_id AS client_id
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference triplets: id, source, status, confidence, quality, created_at."""
     o = table(spark, sf_dir, "orders")
-    confidence = F.least(F.round(F.col("o_totalprice") / 500000, 6), F.lit(1.0))
+    confidence = F.least(F.floor(F.col("o_totalprice") * 2) / 1000000, F.lit(1.0))
     return o.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderpriority").alias("source"),
@@ -108,7 +108,7 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIPLETS_SQL = """WITH triplets AS (SELECT id, source, status, confidence, CASE WHEN confidence > 0.7 THEN 'gold' WHEN confidence > 0.4 THEN 'silver' ELSE 'bronze' END AS quality, created_at
   FROM (SELECT o_orderkey AS id, o_orderpriority AS source, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'archived' ELSE 'deleted' END AS status,
-  least(round(o_totalprice / 500000, 6), 1.0) AS confidence, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders))"""
+  least(floor(o_totalprice * 2) / 1000000, 1e0) AS confidence, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders))"""
 
 
 def version_members(spark: SparkSession, sf_dir: str) -> DataFrame:
