@@ -24,8 +24,6 @@ ignored by `encode`.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks, mix
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, SEED = 2, 20
-_MANY = 1 << 20
-#: Stretches with at most so many segmentations are listed when they are met often; others are walked.
-_LISTED, _OFTEN, _CACHE = 96, 8, 30_000
+#: Longer stretches are walked one by one.
+_SHORT = 32
 
 
 def vocabulary(model_file: str = MODEL) -> list[tuple[str, int]]:
@@ -49,167 +48,98 @@ def vocabulary(model_file: str = MODEL) -> list[tuple[str, int]]:
     return [(sp.id_to_piece(i), kind(i)) for i in range(sp.vocab_size())]
 
 
-#: Matches are remembered by this many characters, where more of them cannot matter.
-_SEEN, _REMEMBERED = 5, 200_000
-
-
-class Matches:
-    """The pieces that match at a position of a string: (ids, characters, weight), from a trie of the vocabulary."""
-
-    def __init__(self, trie: dict, bytes_of: list[int], least: float):
-        self.trie, self.bytes_of, self.least, self.known = trie, bytes_of, least, {}
-
-    def at(self, s: str, i: int) -> list[tuple]:
-        found, j, n, node = [], i, len(s), self.trie.get(s[i])
-        if node is None or "" not in node:
-            raw = s[i].encode()
-            found.append((tuple([self.bytes_of[b] for b in raw]), 1, self.least ** len(raw)))
-        while node is not None:
-            j += 1
-            own = node.get("")
-            if own is not None:
-                found.append((own[0], j - i, own[1]))
-            if j == n:
-                break
-            node = node.get(s[j])
-        if node is None and j - i < _SEEN or j == n and j - i <= _SEEN - 1:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            self.known[s[i : i + _SEEN]] = found
-        return found
+def spelled(vocab: list[tuple[str, int]]) -> list[bytes]:
+    """The bytes that each piece stands for."""
+    return [bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind == 2 else p.replace("▁", " ").encode() for p, kind in vocab]
 
 
-class Stretch:
-    """The lattice of one stretch. For each position: its arcs (ids, next position, mass of the paths through the arc) and their sum."""
+class Lattice:
+    """The lattice of one stretch, for what is done stretch by stretch. For each position its arcs (value, size, mass of the paths through the arc, relative to the position). A path is the tuple of its arcs' sizes."""
 
-    __slots__ = ("arcs", "mass")
-
-    def __init__(self, s: str, matches: "Matches"):
+    def __init__(self, s: str, vocab: "Pieces"):
         n = len(s)
-        self.arcs = arcs = [None] * n
-        self.mass = mass = [1.0] * (n + 1)
-        known = matches.known
-        if n > 32:
-            self._long(s, matches)
-            return
+        self.arcs: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
+        logs = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            here = known.get(s[i : i + _SEEN]) or matches.at(s, i)
-            if len(here) == 1:
-                ids, size, w = here[0]
-                total = w * mass[i + size]
-                arcs[i] = [(ids, i + size, total)]
-            else:
-                arcs[i] = own = [(ids, i + size, w * mass[i + size]) for ids, size, w in here]
-                total = 0.0
-                for x in own:
-                    total += x[2]
-            mass[i] = total
-
-    def _long(self, s: str, matches: "Matches") -> None:
-        """Masses of long stretches could underflow: they are kept relative to the next position, with logarithms beside."""
-        logs = [0.0] * (len(s) + 1)
-        for i in range(len(s) - 1, -1, -1):
-            self.arcs[i] = [(ids, i + size, w * math.exp(logs[i + size] - logs[i + 1])) for ids, size, w in matches.at(s, i)]
-            self.mass[i] = sum([x[2] for x in self.arcs[i]])
-            logs[i] = logs[i + 1] + math.log(self.mass[i])
-
-    def paths(self) -> int:
-        """The number of segmentations, or something over _MANY."""
-        n = [1] * (len(self.arcs) + 1)
-        for i in range(len(self.arcs) - 1, -1, -1):
-            n[i] = min(_MANY + 1, sum([n[a[1]] for a in self.arcs[i]]))
-        return n[0]
-
-    def walk(self, u: float) -> tuple[list[int], float]:
-        """The path at u of the distribution, and its log-probability."""
-        ids, i, p, log_p, n, all_arcs, mass = [], 0, 1.0, 0.0, len(self.arcs), self.arcs, self.mass
-        seed, step = int(u * (1 << 53)) if n > 20 else None, 0
-        while i < n:
-            arcs = all_arcs[i]
-            a = arcs[0]
-            if len(arcs) > 1:
-                if seed is not None:  # one number would not have enough digits for a long way
-                    step += 1
-                    u = _uniform(seed, step)
-                x = u * mass[i]
-                for a in arcs:
-                    if x < a[2]:
-                        break
-                    x -= a[2]
-                else:
-                    x = 0.0
-                u = x / a[2]
-                p *= a[2] / mass[i]
-                if p < 1e-200:
-                    log_p += math.log(p)
-                    p = 1.0
-            ids += a[0]
-            i = a[1]
-        return ids, log_p + math.log(p)
-
-    def listed(self) -> tuple[list[tuple[int, ...]], list[float]]:
-        """All paths, in the order in which walk(u) meets them, and their probabilities."""
-        out, probs, stack = [], [], [((), 0, 1.0)]
-        while stack:
-            ids, i, p = stack.pop()
-            if i == len(self.arcs):
-                out.append(ids)
-                probs.append(p)
-            else:
-                stack += [(ids + a[0], a[1], p * a[2] / self.mass[i]) for a in reversed(self.arcs[i])]
-        return out, probs
-
-    def other(self, taken: list[list[int]], rng: np.random.Generator) -> tuple[list[int], float]:
-        """A path drawn from all but those taken."""
-        rest = [[list(ids), math.exp(self.log_prob(ids))] for ids in taken]  # and the probability of what is left of it
-        out, i, log_p = [], 0, 0.0
+            found, node, j = [], vocab.trie.get(s[i]), i
+            if node is None or "" not in node:
+                found.append((vocab.fallback(ord(s[i])), 1, math.log(vocab.least) + logs[i + 1]))
+            while node is not None:
+                j += 1
+                if "" in node:
+                    found.append((node[""], j - i, math.log(vocab.weight[node[""]]) + logs[j]))
+                node = node.get(s[j]) if j < n else None
+            top = max([x[2] for x in found])
+            logs[i] = top + math.log(sum([math.exp(x[2] - top) for x in found]))
+            self.arcs[i] = [(v, size, math.exp(w - logs[i])) for v, size, w in found]
+
+    def several(self) -> bool:
+        return any(len(a) > 1 for a in self.arcs)
+
+    def walk(self, uniform) -> tuple[list[int], list[int], float]:
+        """Positions, values and log-probability of a path; uniform(position) gives the numbers that choose it."""
+        at, values, i, log_p = [], [], 0, 0.0
         while i < len(self.arcs):
-            arcs, masses = self.arcs[i], []
-            for ids, _, w in arcs:
-                masses.append(max(0.0, w / self.mass[i] - sum(q for t, q in rest if t[: len(ids)] == list(ids))))
+            arcs = self.arcs[i]
+            u, k = (uniform(i) if len(arcs) > 1 else 0.0), 0
+            while k < len(arcs) - 1 and u >= arcs[k][2]:
+                u -= arcs[k][2]
+                k += 1
+            v, size, p = arcs[k]
+            at.append(i)
+            values.append(v)
+            log_p += math.log(p)
+            i += size
+        return at, values, log_p
+
+    def probability(self, path) -> float:
+        i, p = 0, 1.0
+        for size in path:
+            p *= next(a[2] for a in self.arcs[i] if a[1] == size)
+            i += size
+        return p
+
+    def other(self, taken: list[tuple], uniform) -> tuple[list[int], list[int], float]:
+        """Like walk, but a path drawn from all but those taken."""
+        rest = [(tuple(t), self.probability(t)) for t in taken]  # with the probability of what is left of each
+        at, values, i, log_p = [], [], 0, 0.0
+        while i < len(self.arcs):
+            arcs = self.arcs[i]
+            masses = [max(0.0, p - sum([q for t, q in rest if t[0] == size])) for _, size, p in arcs]
             total = sum(masses)
             if total <= 0:
-                masses, total = [a[2] / self.mass[i] for a in arcs], 1.0
-            u, k = rng.random() * total, 0
+                masses, total = [a[2] for a in arcs], 1.0
+            u, k = uniform(i) * total, 0
             while k < len(arcs) - 1 and u >= masses[k]:
                 u -= masses[k]
                 k += 1
-            ids, j, w = arcs[k]
-            p = w / self.mass[i]
-            rest = [[t[len(ids) :], q / p] for t, q in rest if t[: len(ids)] == list(ids)]
-            out += ids
+            v, size, p = arcs[k]
+            rest = [(t[1:], q / p) for t, q in rest if t[0] == size and len(t) > 1]
+            at.append(i)
+            values.append(v)
             log_p += math.log(p)
-            i = j
-        return out, log_p
-
-    def log_prob(self, ids) -> float:
-        i, at, log_p, ids = 0, 0, 0.0, tuple(ids)
-        while i < len(self.arcs):
-            a = next(x for x in self.arcs[i] if x[0] == ids[at : at + len(x[0])])
-            log_p += math.log(a[2] / self.mass[i])
-            at += len(a[0])
-            i = a[1]
-        return log_p
+            i += size
+        return at, values, log_p
 
 
-def _uniform(seed: int, step: int) -> float:
-    z = (seed + step * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    z = ((z ^ z >> 27) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    return ((z ^ z >> 31) >> 11) / (1 << 53)
+_EMPTY = np.uint64((1 << 64) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS = 19
 
 
-class Sampler:
-    """Encodes texts with one vocabulary."""
+class Pieces:
+    """A vocabulary: weights, a trie (as nested dicts, and as a hash table of (state, character) for arrays), and the cut into stretches."""
 
     def __init__(self, vocab: list[tuple[str, int]]):
-        weights = {i: -math.log(r + 2.7) for r, i in enumerate(i for i, (_, kind) in enumerate(vocab) if kind == 0)}
-        norm = math.log(sum(map(math.exp, weights.values())))
-        self.least = math.exp(min(weights.values()) - norm)
-        self.trie: dict = {}
+        ranked = [i for i, (_, kind) in enumerate(vocab) if kind == 0]
+        raw = {i: 1 / (r + 2.7) for r, i in enumerate(ranked)}
+        norm = sum(raw.values())
+        self.weight = {i: w / norm for i, w in raw.items()}
+        self.least = min(self.weight.values())
         self.bytes_of = [0] * 256
+        self.trie: dict = {}
         inner: set[str] = set()
-        whole = True
+        self.apart = True  # whether no piece goes on to a blank after something else
         for i, (piece, kind) in enumerate(vocab):
             if kind == 1:
                 self.bytes_of[int(piece[3:5], 16)] = i
@@ -218,200 +148,279 @@ class Sampler:
                 node = self.trie
                 for c in key:
                     node = node.setdefault(c, {})
-                node[""] = ((i,), math.exp(weights[i] - norm))
+                node[""] = i
                 if len(key) > 1:
                     inner.update(key)
-                whole &= " " not in key.lstrip(" ")
-        self.raw = [bytes([int(p[3:5], 16)]) if kind == 1 else b"" if kind == 2 else p.replace("▁", " ").encode() for p, kind in vocab]
-        # stretches: blanks with the letters after them; blanks alone; characters that stand in no longer piece
-        letters = "".join(map(re.escape, sorted(inner - {" "})))
-        self.cut = re.compile(f" *[{letters}]+| +|[^ {letters}]", re.S) if whole and letters else re.compile(".+", re.S)
-        self.matches = Matches(self.trie, self.bytes_of, self.least)
-        self.cache: dict[str, Stretch] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        """Forgets the listed stretches."""
-        self.number: dict[str, int] = {}
-        self.met: dict[str, int] = {}
-        self.paths: list = []
-        self.probs: list[float] = []
-        self.edge: list[float] = []
-        self.first: list[int] = [0]
-        self.frozen = -1
-        self.freeze()
-
-    def stretch(self, s: str) -> Stretch:
-        x = self.cache.get(s)
-        if x is None:
-            x = Stretch(s, self.matches)
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            if len(s) < 64 and self.met.get(s, 0) > 1:
-                self.cache[s] = x
-        return x
-
-    def stretches(self, text: str | None) -> list[str]:
-        return self.cut.findall(" " + text) if text else []
-
-    def note(self, texts: list[list[str]]) -> None:
-        """Counts stretches; those met often are listed."""
-        met, number, now = self.met, self.number, Counter()
-        for parts in texts:
-            now.update(parts)
-        for s, n in now.items():
-            if s not in number:
-                had = met.get(s, 0)
-                met[s] = n = had + n
-                if n >= _OFTEN > had and len(s) < 24:
-                    x = self.stretch(s)
-                    if x.paths() <= _LISTED:
-                        ids, p = x.listed()
-                        k = len(self.first) - 1
-                        number[s] = k
-                        run = np.minimum(np.cumsum(p), 1.0)
-                        run[-1] = 1.0
-                        self.edge += (k + run).tolist()
-                        self.paths += ids
-                        self.probs += p
-                        self.first.append(len(self.paths))
-
-    def freeze(self) -> None:
-        if self.frozen != len(self.paths):
-            self.frozen = len(self.paths)
-            self.edges = np.array(self.edge)
-            self.sizes = np.array([len(x) for x in self.paths], np.int64)
-            self.starts = np.append(0, np.cumsum(self.sizes)).astype(np.int64)
-            self.flat = np.array([i for x in self.paths for i in x], np.int32)
-            self.logs = np.log(np.maximum(np.array(self.probs), 1e-300))
-
-    def _draw(self, parts: list[str], known: np.ndarray, own: dict, from_: int, rng) -> tuple[np.ndarray, dict, np.ndarray]:
-        """Choices for the stretches from from_ on: listed option by stretch (-1: walked), walked ids, log-probabilities."""
-        n = len(parts)
-        u = rng.random(n)
-        option, log_p, walked = np.full(n, -1), np.zeros(n), {}
-        at = np.flatnonzero(known[from_:] >= 0) + from_
-        if len(at):
-            option[at] = np.searchsorted(self.edges, known[at] + u[at], "right")
-            option[at] = np.minimum(option[at], np.searchsorted(self.edges, known[at] + 1.0, "left"))
-            log_p[at] = self.logs[option[at]]
-        for t in (np.flatnonzero(known[from_:] < 0) + from_).tolist():
-            x = own.get(t)
-            if x is None:
-                own[t] = x = self.stretch(parts[t])
-            walked[t], log_p[t] = x.walk(float(u[t]))
-        return option, walked, log_p
-
-    def _ids(self, path) -> np.ndarray:
-        option, walked, _ = path
-        at = option >= 0
-        size = np.zeros(len(option), np.int64)
-        size[at] = self.sizes[option[at]]
-        for t, ids in walked.items():
-            size[t] = len(ids)
-        end = np.cumsum(size)
-        out = np.empty(int(end[-1]) if len(end) else 0, np.int32)
-        o = option[at]
-        if len(o):
-            k = self.sizes[o]
-            spread = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-            out[np.repeat(end[at] - k, k) + spread] = self.flat[np.repeat(self.starts[o], k) + spread]
-        for t, ids in walked.items():
-            out[end[t] - len(ids) : end[t]] = ids
+                self.apart &= " " not in key.lstrip(" ")
+        self.raw = spelled(vocab)
+        self.kinds = np.full(0x110000, 2, np.int8)  # of characters: 0 blank, 1 stands in a longer piece, 2 alone
+        self.kinds[[ord(c) for c in inner]] = 1
+        self.kinds[32] = 0
+        keys, nexts, self.term = [], [], [-1]
+        queue = [(self.trie, 0)]
+        for node, state in queue:
+            for c, child in node.items():
+                if c:
+                    keys.append(state << 21 | ord(c))
+                    nexts.append(len(self.term))
+                    self.term.append(child.get("", -1))
+                    queue.append((child, len(self.term) - 1))
+        self.term = np.array(self.term, np.int32)
+        self.value = np.array([self.weight.get(int(i), 0.0) for i in self.term])
+        self.bytes_at = np.array(self.bytes_of, np.int64)
+        self.keys, self.nexts = np.full(1 << _SLOT_BITS, _EMPTY), np.zeros(1 << _SLOT_BITS, np.int32)
+        keys, nexts = np.array(keys, np.uint64), np.array(nexts, np.int32)
+        slot = (keys * _ODD) >> np.uint64(64 - _SLOT_BITS)
+        while len(keys):
+            free = self.keys[slot] == _EMPTY
+            _, first = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.keys[slot[put]], self.nexts[slot[put]] = keys[put], nexts[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, nexts, slot = keys[left], nexts[left], (slot[left] + np.uint64(1)) & np.uint64((1 << _SLOT_BITS) - 1)
+
+    def fallback(self, cp: int) -> int:
+        """The value of a character that is no piece: a byte piece, or a mark for several."""
+        return self.bytes_of[cp] if cp < 128 else -2 - cp
+
+    def step(self, states: np.ndarray, cps: np.ndarray) -> np.ndarray:
+        """Next states, or -1."""
+        key = (states.astype(np.uint64) << np.uint64(21)) | cps.astype(np.uint64)
+        slot = (key * _ODD) >> np.uint64(64 - _SLOT_BITS)
+        have = self.keys[slot]
+        out = np.where(have == key, self.nexts[slot], -1)
+        again = np.flatnonzero((have != key) & (have != _EMPTY))
+        while len(again):
+            slot[again] = (slot[again] + np.uint64(1)) & np.uint64((1 << _SLOT_BITS) - 1)
+            have = self.keys[slot[again]]
+            hit = have == key[again]
+            out[again[hit]] = self.nexts[slot[again[hit]]]
+            again = again[~hit & (have != _EMPTY)]
         return out
 
-    def top_k(self, parts: list[str], k: int, key: int, seed: int = SEED):
-        """Up to k distinct segmentations: (ids, log-probability, perturbed value, inclusion probability), best first."""
-        rng = np.random.default_rng([seed, key & 0xFFFFFFFFFFFFFFFF])
-        n = len(parts)
-        known = np.array([self.number.get(s, -1) for s in parts], np.int64)
-        out, fronts, own = [], [], {}
-        value = -math.log(rng.exponential())
-        if not n:
-            return [(np.zeros(0, np.int32), 0.0, value, 1.0)]
-        path, from_, parent = self._draw(parts, known, own, 0, rng), 0, None
-        while True:
-            option, walked, log_p = path
-            total = float(log_p.sum())
-            out.append((self._ids(path), total, value))
-            before = np.cumsum(log_p) - log_p
+    def ids(self, values: np.ndarray) -> np.ndarray:
+        """Piece ids of values, with marks spelled in bytes."""
+        if not len(values) or values.min() >= 0:
+            return values.astype(np.int32)
+        out: list[int] = []
+        for v in values.tolist():
+            out += [v] if v >= 0 else [self.bytes_of[b] for b in chr(-2 - v).encode()]
+        return np.array(out, np.int32)
+
+
+class Chunk:
+    """Texts joined to one array of characters, with all their short stretches' lattices as arrays.
+
+    Numbers that choose come from a hash of (key of the text, sample, place in the text), so they do not depend on what else is in the chunk.
+    """
+
+    def __init__(self, texts: list[str | None], keys: np.ndarray, pieces: Pieces, seed: int):
+        self.pieces = pieces
+        joined = "".join([" " + t if t else "" for t in texts])
+        self.cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        self.joined, n = joined, len(self.cp)
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        self.doc_at = np.append(0, np.cumsum(size))
+        self.key = mix(keys.astype(np.uint64) * _ODD + np.uint64(seed))
+        self.doc = np.repeat(np.arange(len(texts)), size)
+        kind = pieces.kinds[self.cp]
+        first = np.zeros(n, bool)
+        first[self.doc_at[:-1][size > 0]] = True
+        if pieces.apart and n:
+            first[1:] |= (kind[1:] == 2) | (kind[:-1] == 2) | ((kind[1:] == 0) & (kind[:-1] != 0))
+        self.start = np.flatnonzero(first)
+        self.end = np.append(self.start[1:], n)
+        self.of = np.cumsum(first) - 1
+        self.stretch_at = np.searchsorted(self.start, self.doc_at)
+        self.long = self.end - self.start > _SHORT
+        self._arcs(n)
+
+    def uniform(self, at: np.ndarray, sample: int, use: int) -> np.ndarray:
+        """Numbers in (0, 1) for places of the chunk."""
+        d = self.doc[at]
+        return self._hashed(self.key[d], at - self.doc_at[d], sample, use)
+
+    def _hashed(self, key: np.ndarray, place: np.ndarray, sample: int, use: int) -> np.ndarray:
+        h = mix(key + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((sample * 0x2545F4914F6CDD1D + use * 0x61C8864680B583EB) & 0xFFFFFFFFFFFFFFFF))
+        return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+    def _arcs(self, n: int) -> None:
+        p, send = self.pieces, self.end[self.of] if n else np.zeros(0, np.int64)
+        at = np.flatnonzero(~self.long[self.of]) if n else np.zeros(0, np.int64)
+        states = p.step(np.zeros(len(at), np.int64), self.cp[at])
+        begin, reach, value, weight, rank = [], [], [], [], []
+        n_arcs = np.zeros(n, np.int32)  # of each position so far
+
+        def found(at: np.ndarray, size: int, values: np.ndarray, weights: np.ndarray) -> None:
+            for x, y in ((begin, at), (reach, at + size), (value, values), (weight, weights), (rank, n_arcs[at])):
+                x.append(y)
+            n_arcs[at] += 1
+
+        plain = at[(states < 0) | (p.term[states] < 0)]
+        c = self.cp[plain].astype(np.int64)
+        found(plain, 1, np.where(c < 128, p.bytes_at[np.minimum(c, 255)], -2 - c), np.full(len(plain), p.least))
+        d = 1
+        while len(at):
+            ok = states >= 0
+            at, states = at[ok], states[ok]
+            done = p.term[states] >= 0
+            ended = states[done]
+            found(at[done], d, p.term[ended].astype(np.int64), p.value[ended])
+            more = at + d < send[at]
+            at, states = at[more], states[more]
+            states = p.step(states, self.cp[at + d])
+            d += 1
+        self.off = np.append(0, np.cumsum(n_arcs, dtype=np.int64))
+        begin, rank = np.concatenate(begin), np.concatenate(rank)
+        order = np.empty(len(begin), np.int64)
+        order[self.off[begin] + rank] = np.arange(len(begin))
+        self.reach, self.value, weight = (np.concatenate(x)[order] for x in (reach, value, weight))
+        begin = begin[order]
+        # masses, from the ends of stretches backwards
+        left = (send[begin] - begin).astype(np.int16)
+        by_left = np.argsort(left, kind="stable")
+        cut = np.append(np.searchsorted(left[by_left], np.arange(1, _SHORT + 1)), len(left))
+        mass, arc_mass = np.ones(n + 1), np.empty(len(begin))
+        ends = self.reach == send[begin]
+        for r in range(_SHORT):
+            a = by_left[cut[r] : cut[r + 1]]
+            if len(a):
+                m = weight[a] * np.where(ends[a], 1.0, mass[self.reach[a]])
+                arc_mass[a] = m
+                b = begin[a]
+                new = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+                mass[b[new]] = np.add.reduceat(m, new)
+        self.p = arc_mass / mass[begin]
+        # running sums inside each position, arc by arc, so that they do not depend on the rest of the chunk
+        self.run, rank = self.p.copy(), rank[order]
+        a = np.flatnonzero(rank == 1)
+        while len(a):
+            self.run[a] += self.run[a - 1]
+            a = a[a + 1 < len(rank)] + 1
+            a = a[rank[a] > 1]
+
+    def lattice(self, t: int) -> Lattice:
+        return Lattice(self.joined[self.start[t] : self.end[t]], self.pieces)
+
+    def draw(self, which: np.ndarray, sample: int, pick: np.ndarray, logs: np.ndarray) -> None:
+        """Draws paths for stretches: values to pick by position, log-probabilities to logs by stretch."""
+        for t in which[self.long[which]].tolist():
+            a = int(self.start[t])
+            at, values, logs[t] = self.lattice(t).walk(lambda i, a=a: float(self.uniform(np.array([a + i]), sample, 0)[0]))
+            pick[a + np.array(at)] = values
+        which = which[~self.long[which]]
+        cur, logs[which] = self.start[which], 0.0
+        while len(cur):
+            a, last = self.off[cur], self.off[cur + 1] - 1
+            go = np.flatnonzero(a < last)
+            if len(go):
+                u = self.uniform(cur[go], sample, 0)
+                while len(go):
+                    keep = u >= self.run[a[go]]
+                    go, u = go[keep], u[keep]
+                    a[go] += 1
+                    keep = a[go] < last[go]
+                    go, u = go[keep], u[keep]
+            pick[cur] = self.value[a]
+            logs[which] += np.log(self.p[a])
+            cur = self.reach[a]
+            keep = cur < self.end[which]
+            cur, which = cur[keep], which[keep]
+
+    def path(self, pick: np.ndarray, t: int) -> tuple:
+        """Sizes of the arcs chosen in stretch t."""
+        at = np.flatnonzero(pick[self.start[t] : self.end[t]] != -1)
+        return tuple(np.diff(np.append(at, self.end[t] - self.start[t])).tolist())
+
+    def top_k(self, k: int):
+        """For each text, up to k (ids, log-probability, perturbed value, inclusion probability), best first."""
+        n_docs, n_str = len(self.key), len(self.start)
+        spans = list(zip(self.stretch_at[:-1].tolist(), self.stretch_at[1:].tolist(), strict=True))
+        doc_of = np.repeat(np.arange(n_docs), np.diff(self.stretch_at))
+        value = -np.log(-np.log(self._hashed(self.key, np.zeros(n_docs, np.int64), 0, 1)))
+        out: list[list] = [[] for _ in range(n_docs)]
+        fronts: list[dict] = []
+        live, from_ = np.ones(n_docs, bool), np.zeros(n_docs, np.int64)  # from_: the first stretch that a text's new path draws afresh
+        from_[:] = self.stretch_at[:-1]
+        pick, logs = np.full(len(self.cp), -1, np.int64), np.zeros(n_str)
+        self.draw(np.arange(n_str), 1, pick, logs)
+        taken: dict[tuple[int, int], list] = {}
+        for r in range(1, k + 1):
+            before = np.zeros(n_str)
+            for d in np.flatnonzero(live).tolist():
+                lo, hi = spans[d]
+                before[lo:hi] = np.cumsum(logs[lo:hi]) - logs[lo:hi]
             with np.errstate(divide="ignore"):
-                mass = before + np.log(np.maximum(-np.expm1(log_p), 0))
-            mass[np.abs(log_p) < 1e-13] = -np.inf
-            mass[:from_] = -np.inf
-            top = _truncated(mass, value, rng)
-            fronts.append({"path": path, "top": top, "before": before, "taken": {}})
-            if parent is not None:
-                self._close(*parent, value, path, rng)
-            best = max(range(len(fronts)), key=lambda f: fronts[f]["top"].max())
-            t = int(np.argmax(fronts[best]["top"]))
-            value = float(fronts[best]["top"][t])
-            if len(out) == k or value == -math.inf:
+                mass = before + np.log(np.maximum(-np.expm1(logs), 0))
+                mass[(np.abs(logs) < 1e-13) | (np.arange(n_str) < from_[doc_of]) | ~live[doc_of]] = -np.inf
+                noise = np.log(-np.log(self.uniform(self.start, r, 2)))
+                top = -np.logaddexp(-value[doc_of], noise - mass)
+            fronts.append({"pick": pick, "logs": logs, "before": before, "top": top})
+            for d in np.flatnonzero(live).tolist():
+                a, b = self.doc_at[d], self.doc_at[d + 1]
+                chosen = pick[a:b]
+                lo, hi = spans[d]
+                out[d].append((self.pieces.ids(chosen[chosen != -1]), float(logs[lo:hi].sum()), float(value[d])))
+            # the frontier node of the largest value, for each text
+            best = np.full((len(fronts), n_docs), -np.inf)
+            some = np.flatnonzero(np.diff(self.stretch_at) > 0)
+            for f, x in enumerate(fronts):
+                if len(some):
+                    best[f, some] = np.maximum.reduceat(x["top"], self.stretch_at[some])
+            of = best.argmax(0)
+            value = np.where(live, best.max(0), -np.inf)
+            live = live & (value > -np.inf)
+            if r == k or not live.any():
                 break
-            f = fronts[best]
-            option, walked, log_p = f["path"]
-            taken = [self._one(f["path"], t), *f["taken"].get(t, [])]
-            ids, one = self.stretch(parts[t]).other(taken, rng)
-            new_option, new_walked, new_log = self._draw(parts, known, own, t + 1, rng)
-            new_option[:t], new_log[:t] = option[:t], log_p[:t]
-            new_walked = {**{i: x for i, x in walked.items() if i < t}, t: ids, **new_walked}
-            new_option[t], new_log[t] = -1, one
-            path, from_, parent = (new_option, new_walked, new_log), t + 1, (f, t, ids, parts[t])
-        return [(ids, lp, v, 1.0 if value == -math.inf else -math.expm1(-math.exp(min(700.0, lp - value)))) for ids, lp, v in out]
-
-    def _one(self, path, t: int) -> list[int]:
-        option, walked, _ = path
-        return walked[t] if option[t] < 0 else list(self.paths[option[t]])
-
-    def _close(self, f: dict, t: int, ids: list[int], s: str, value: float, path, rng) -> None:
-        """The frontier node t of f without the path just taken from it."""
-        taken = f["taken"].setdefault(t, [])
-        taken.append(ids)
-        x = self.stretch(s)
-        gone = sum(math.exp(x.log_prob(i)) for i in [self._one(f["path"], t), *taken])
-        f["top"][t] = -math.inf
-        if x.paths() > len(taken) + 1 and 1 - gone > 1e-12:
-            f["top"][t] = _truncated(np.array([f["before"][t] + math.log(1 - gone)]), value, rng)[0]
-
-
-def _truncated(mass: np.ndarray, value: float, rng) -> np.ndarray:
-    """Gumbel variables of log-masses, given that they are below value."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(-value, np.log(rng.exponential(size=len(mass))) - mass)
+            pick, logs, from_ = np.full(len(self.cp), -1, np.int64), np.zeros(n_str), np.full(n_docs, n_str)
+            fresh = []
+            for d in np.flatnonzero(live).tolist():
+                f, (lo, hi) = int(of[d]), spans[d]
+                x = fronts[f]
+                t = lo + int(np.argmax(x["top"][lo:hi]))
+                a, b = int(self.doc_at[d]), int(self.start[t])
+                pick[a:b], logs[lo:t] = x["pick"][a:b], x["logs"][lo:t]
+                gone = taken.setdefault((f, t), [self.path(x["pick"], t)])
+                lattice = self.lattice(t)
+                at, values, logs[t] = lattice.other(gone, lambda i, b=b: float(self.uniform(np.array([b + i]), r + 1, 3)[0]))
+                pick[b + np.array(at)] = values
+                gone.append(self.path(pick, t))
+                rest = 1 - sum(lattice.probability(p) for p in gone)
+                x["top"][t] = -np.inf
+                if rest > 1e-12:
+                    noise = math.log(-math.log(float(self.uniform(np.array([b]), r + 1, 4)[0])))
+                    x["top"][t] = -np.logaddexp(-value[d], noise - x["before"][t] - math.log(rest))
+                from_[d] = t + 1
+                if t + 1 < hi:
+                    fresh.append(np.arange(t + 1, hi))
+            if fresh:
+                self.draw(np.concatenate(fresh), r + 1, pick, logs)
+        for d in range(n_docs):
+            v = value[d]
+            out[d] = [(ids, lp, g, 1.0 if v == -np.inf else -math.expm1(-math.exp(min(700.0, lp - v)))) for ids, lp, g in out[d]]
+        return out
 
 
 _ENCODED = "doc_id bigint, rank int, pieces array<int>, log_prob double, perturbed double, inclusion double"
-_CHARS = 1 << 22
+_CHARS = 1 << 18
 
 
 def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_file: str = MODEL) -> DataFrame:
     """Up to k sampled segmentations of each text, seeded by doc_id."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file))  # the vocabulary file's size bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(Pieces(vocabulary(model_file)))  # the vocabulary file's size bounds it
 
     def run(batches):
-        sampler = Sampler(shared.value)
+        pieces = shared.value
         for batch in batches:
-            ids, n, i = batch.column(0), batch.num_rows, 0
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            while i < n:
-                j, load = i, 0
-                while j < n and (j == i or load + sizes[j] <= _CHARS):
-                    load += sizes[j]
-                    j += 1
-                keys = ids.slice(i, j - i).to_pylist()
-                parts = [sampler.stretches(x) for x in batch.column(1).slice(i, j - i).to_pylist()]
-                if len(sampler.met) > 400_000 or len(sampler.paths) > 2_000_000:
-                    sampler.reset()
-                sampler.note(parts)
-                sampler.freeze()
-                rows = []
-                for key, p in zip(keys, parts, strict=True):
-                    rows += [(key, r, *x) for r, x in enumerate(sampler.top_k(p, k, key or 0, seed), 1)]
-                pieces = [r[2] for r in rows]
-                off = np.append(0, np.cumsum([len(x) for x in pieces])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(pieces) if pieces else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists, *(pa.array([float(r[c]) for r in rows]) for c in (3, 4, 5))], ["doc_id", "rank", "pieces", "log_prob", "perturbed", "inclusion"])
-                i = j
+            size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()))
+            for i, j in chunks(size, _CHARS):
+                keys = batch.column(0).slice(i, j - i)
+                c = Chunk(batch.column(1).slice(i, j - i).to_pylist(), pc.fill_null(keys, 0).to_numpy().astype(np.int64).view(np.uint64), pieces, seed)
+                rows = [(key, r, *x) for key, found in zip(keys.to_pylist(), c.top_k(k), strict=True) for r, x in enumerate(found, 1)]
+                off = np.append(0, np.cumsum([len(r[2]) for r in rows])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([r[2] for r in rows])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists, *(pa.array([float(r[x]) for r in rows]) for x in (3, 4, 5))], ["doc_id", "rank", "pieces", "log_prob", "perturbed", "inclusion"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _ENCODED)
 
@@ -419,11 +428,11 @@ def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_file: str = MODE
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     """encoded with a column `decoded`: the text of its pieces."""
     encoded = encoded.drop("decoded")
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(model_file))
+    shared = encoded.sparkSession.sparkContext.broadcast(spelled(vocabulary(model_file)))
     at = encoded.columns.index("pieces")
 
     def run(batches):
-        raw = Sampler(shared.value).raw
+        raw = shared.value
         for batch in batches:
             out = []
             for x in batch.column(at):
