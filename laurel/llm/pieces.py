@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix
+from .common import chunks, mix, prefix, spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, SEED = 2, 20
@@ -234,6 +234,7 @@ class Chunk:
         self.of = np.cumsum(first) - 1
         self.stretch_at = np.searchsorted(self.start, self.doc_at)
         self.long = self.end - self.start > _SHORT
+        self._equals(n)
         self._arcs(n)
 
     def uniform(self, at: np.ndarray, sample: int, use: int) -> np.ndarray:
@@ -245,9 +246,24 @@ class Chunk:
         h = mix(key + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((sample * 0x2545F4914F6CDD1D + use * 0x61C8864680B583EB) & 0xFFFFFFFFFFFFFFFF))
         return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
+    def _equals(self, n: int) -> None:
+        """Equal stretches share the lattice of the first of them, which stands `shift` characters away."""
+        t = np.arange(len(self.start))
+        pre = prefix(mix(self.cp.astype(np.uint64) + np.uint64(1)))
+        _, first, which = np.unique(spans(pre, self.start, self.end), return_index=True, return_inverse=True)
+        model = first[which] if len(t) else t
+        model[self.end - self.start != (self.end - self.start)[model]] = -1
+        model = np.where(model < 0, t, model)
+        shift = self.start[model] - self.start
+        wrong = self.cp != self.cp[np.arange(n) + shift[self.of]] if n else np.zeros(0, bool)
+        if wrong.any():  # equal hashes of unequal stretches
+            model[self.of[wrong]] = self.of[wrong]
+            shift = self.start[model] - self.start
+        self.shift, self.own = shift, model == t
+
     def _arcs(self, n: int) -> None:
         p, send = self.pieces, self.end[self.of] if n else np.zeros(0, np.int64)
-        at = np.flatnonzero(~self.long[self.of]) if n else np.zeros(0, np.int64)
+        at = np.flatnonzero((self.own & ~self.long)[self.of]) if n else np.zeros(0, np.int64)
         states = p.step(np.zeros(len(at), np.int64), self.cp[at])
         begin, reach, value, weight, rank = [], [], [], [], []
         n_arcs = np.zeros(n, np.int32)  # of each position so far
@@ -312,7 +328,8 @@ class Chunk:
         which = which[~self.long[which]]
         cur, logs[which] = self.start[which], 0.0
         while len(cur):
-            a, last = self.off[cur], self.off[cur + 1] - 1
+            shift = self.shift[which]
+            a, last = self.off[cur + shift], self.off[cur + shift + 1] - 1
             go = np.flatnonzero(a < last)
             if len(go):
                 u = self.uniform(cur[go], sample, 0)
@@ -324,7 +341,7 @@ class Chunk:
                     go, u = go[keep], u[keep]
             pick[cur] = self.value[a]
             logs[which] += np.log(self.p[a])
-            cur = self.reach[a]
+            cur = self.reach[a] - shift
             keep = cur < self.end[which]
             cur, which = cur[keep], which[keep]
 
@@ -336,7 +353,7 @@ class Chunk:
     def top_k(self, k: int):
         """For each text, up to k (ids, log-probability, perturbed value, inclusion probability), best first."""
         n_docs, n_str = len(self.key), len(self.start)
-        spans = list(zip(self.stretch_at[:-1].tolist(), self.stretch_at[1:].tolist(), strict=True))
+        parts = list(zip(self.stretch_at[:-1].tolist(), self.stretch_at[1:].tolist(), strict=True))
         doc_of = np.repeat(np.arange(n_docs), np.diff(self.stretch_at))
         value = -np.log(-np.log(self._hashed(self.key, np.zeros(n_docs, np.int64), 0, 1)))
         out: list[list] = [[] for _ in range(n_docs)]
@@ -349,7 +366,7 @@ class Chunk:
         for r in range(1, k + 1):
             before = np.zeros(n_str)
             for d in np.flatnonzero(live).tolist():
-                lo, hi = spans[d]
+                lo, hi = parts[d]
                 before[lo:hi] = np.cumsum(logs[lo:hi]) - logs[lo:hi]
             with np.errstate(divide="ignore"):
                 mass = before + np.log(np.maximum(-np.expm1(logs), 0))
@@ -360,7 +377,7 @@ class Chunk:
             for d in np.flatnonzero(live).tolist():
                 a, b = self.doc_at[d], self.doc_at[d + 1]
                 chosen = pick[a:b]
-                lo, hi = spans[d]
+                lo, hi = parts[d]
                 out[d].append((self.pieces.ids(chosen[chosen != -1]), float(logs[lo:hi].sum()), float(value[d])))
             # the frontier node of the largest value, for each text
             best = np.full((len(fronts), n_docs), -np.inf)
@@ -376,7 +393,7 @@ class Chunk:
             pick, logs, from_ = np.full(len(self.cp), -1, np.int64), np.zeros(n_str), np.full(n_docs, n_str)
             fresh = []
             for d in np.flatnonzero(live).tolist():
-                f, (lo, hi) = int(of[d]), spans[d]
+                f, (lo, hi) = int(of[d]), parts[d]
                 x = fronts[f]
                 t = lo + int(np.argmax(x["top"][lo:hi]))
                 a, b = int(self.doc_at[d]), int(self.start[t])
@@ -403,7 +420,7 @@ class Chunk:
 
 
 _ENCODED = "doc_id bigint, rank int, pieces array<int>, log_prob double, perturbed double, inclusion double"
-_CHARS = 1 << 18
+_CHARS = 1 << 19
 
 
 def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_file: str = MODEL) -> DataFrame:
