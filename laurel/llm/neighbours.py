@@ -14,7 +14,8 @@ the smallest ids, as no others can be an answer; nothing that could be one is dr
 
 Defined results: null, empty and zero vectors and those with null or non-finite components take no part, nor do vectors
 of another length than the commonest one; of several queries with one id the smallest vector is taken; rows with a
-query's id are no candidates for it; fewer candidates than k give them all; ties go to the smaller id; an empty table gives no
+query's id are no candidates for it; rows repeated with one id and vector are one candidate, and rows of one id with
+different vectors are one each; fewer candidates than k give them all; ties go to the smaller id; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -100,6 +101,8 @@ class Part:
         order = np.lexsort((ids, np.unique(vectors, axis=0, return_inverse=True)[1].ravel()))
         ids, vectors = ids[order], vectors[order]
         new = np.append(True, (vectors[1:] != vectors[:-1]).any(1))
+        once = new | np.append(True, ids[1:] != ids[:-1])  # a repeated row stands next to itself, always in one part
+        ids, vectors, new = ids[once], vectors[once], new[once]
         place = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
         self.ids, self.vectors, self.k = ids[place <= k], vectors[place <= k], k
         self.tree = KdTree(self.vectors @ matrix)
@@ -239,7 +242,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     again = again.mapInArrow(open_cells, "query_id bigint, embedding array<double>, bound double, cells array<int>")
     later = asked_in(again.select("query_id", "embedding", "bound", F.explode("cells").alias("cell")))
-    found = first.select("query_id", "vec_id", "score").unionByName(later).distinct()
+    found = first.select("query_id", "vec_id", "score").unionByName(later)  # of disjoint cells
     return best(found).select("query_id", "rank", "vec_id", "score")
 
 

@@ -263,6 +263,15 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.search(none, none).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    kind = "vec_id bigint, embedding array<float>"
+    rows = [(0, [1.0, 0.0])] * 15 + [(7, [1.0, 0.5])] * 15 + [(i, [1.0, 0.0]) for i in (20, 21)] + [(i, [1.0, float(i)]) for i in range(30, 36)]
+    rows += [(8, [1.0, 2.0]), (8, [1.0, -2.0])]  # one id, two vectors, equally far
+    df = spark.createDataFrame(rows, kind).repartition(4)
+    got = rows_of(neighbours.search(df, df.filter("vec_id = 0")), "query_id", "rank", "vec_id")
+    assert sorted(got) == [(0, r, i) for r, i in enumerate([20, 21, 7, 8, 8, 30, 31, 32, 33, 34], 1)]
+
+
 # ---- 6 -----------------------------------------------------------------------------------------------------------------
 
 
