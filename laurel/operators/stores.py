@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +19,20 @@ def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes df below spark.checkpoint.dir (a temporary folder where it is unset) and reads it back; deleted when the JVM ends."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="laurel-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/laurel-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def matching(triplets: DataFrame, quality: str | None = None, sources: list[str] | None = None, min_confidence: float | None = None, status: str = "active") -> DataFrame:
     """Triplets that meet all given conditions; empty strings and lists do not restrict."""
     out = triplets.filter(F.col("status") == status)
@@ -148,12 +165,17 @@ def telemetry_statistics(events: DataFrame) -> DataFrame:
 
 
 def span_depths(spans: DataFrame) -> DataFrame:
-    """(span_id, depth) of a forest given by parent_span_id, roots at 0."""
-    spans.createOrReplaceTempView("laurel_spans")
-    return spans.sparkSession.sql(
-        "WITH RECURSIVE t(span_id, depth) AS (SELECT span_id, 0 FROM laurel_spans WHERE parent_span_id IS NULL "
-        "UNION ALL SELECT s.span_id, t.depth + 1 FROM laurel_spans s JOIN t ON s.parent_span_id = t.span_id) SELECT span_id, CAST(depth AS BIGINT) AS depth FROM t"
-    )
+    """(span_id, depth) of a forest given by parent_span_id, roots at 0; spans without a path to a root are left out.
+
+    Pointer doubling over written tables: after t rounds a row (span_id, up, depth) has gone 2**t steps up, or to its root,
+    where up is null. No path is longer than the number of spans, so what has gone further goes round a cycle."""
+    paths = written(spans.select("span_id", F.col("parent_span_id").alias("up"), F.when(F.col("parent_span_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth")))
+    n, steps = paths.count(), 1
+    while steps <= n and not paths.filter("up IS NOT NULL").isEmpty():
+        open_, above = paths.filter("up IS NOT NULL"), paths.select(F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        paths = written(paths.filter("up IS NULL").unionByName(open_.join(above, "up").select("span_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))))
+        steps *= 2
+    return paths.filter("up IS NULL").select("span_id", "depth")
 
 
 def failure_runs(events: DataFrame) -> DataFrame:

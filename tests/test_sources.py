@@ -111,3 +111,10 @@ def test_split_is_exact(spark):
 def test_retention(spark):
     e = spark.createDataFrame([(dt.datetime(2024, 3, 31),), (dt.datetime(2024, 4, 2),)], "ts timestamp_ntz")
     assert S.retained(e, now(), 30).count() == 1
+
+
+def test_depths_of_long_chains_and_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(301)] + [(400, None), (401, 400), (402, 400), (500, 501), (501, 500), (502, 500), (600, 999), (601, 600)]
+    got = S.span_depths(spark.createDataFrame(rows, "span_id bigint, parent_span_id bigint")).collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(301)] + [(400, 0), (401, 1), (402, 1)]
+    assert S.span_depths(spark.createDataFrame([], "span_id bigint, parent_span_id bigint")).count() == 0
