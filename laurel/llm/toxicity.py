@@ -4,7 +4,8 @@ A text's features are its words and the n-grams (4 and 5 UTF-8 bytes) of its wor
 ASCII, hashed to 2**18 buckets by tabulation. A text is the mean of its features' embeddings, with `PAD` zero vectors
 added so that very short texts lean to the prior; a softmax over two classes reads it. Embeddings and softmax are trained
 together by damped AdaGrad on whole texts. A misspelling that was never seen still shares n-grams, and so much of its
-embedding, with the words it came from.
+embedding, with the words it came from. A feature that stands in n texts of the sample counts n / (n + `MIN_DOCS`), at every
+size of the sample, so rare ones weigh little and none is dropped.
 
 Labels are taken from a sample of at most `SAMPLE` rows of each class (the smallest hashes of doc_id), which bounds the
 driver's work; texts of the sample are reduced to bucket counts on the executors. A fifth of the sample sets the
@@ -125,17 +126,17 @@ def _calibrated(z: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[float,
 
 
 def fit(docs_of: np.ndarray, buckets: np.ndarray, shares: np.ndarray, labels: np.ndarray, prior: np.ndarray, seed: int = 5) -> Model:
-    """Trains on (document, bucket, share) triples sorted by document; labels by document; prior: the classes' shares."""
+    """Trains on (document, bucket, share) triples sorted by document (shares are overwritten); labels by document; prior: the classes' shares."""
     used = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS))
     number = np.zeros(1 << BITS, np.int32)
     number[used] = np.arange(len(used))
     local = number[buckets]
     scale = (np.bincount(local, weights=shares) / len(labels)) ** -0.25
-    shares = shares * scale[local].astype(np.float32)
+    shares *= scale.astype(np.float32)[local]
     order = np.argsort(local, kind="stable")
     d_sorted, s_sorted = docs_of[order], shares[order]
-    at_bucket = np.flatnonzero(np.append(True, np.diff(local[order]) != 0))
     del order
+    at_bucket = np.append(0, np.cumsum(np.bincount(local))[:-1])
     some, at_doc = np.unique(docs_of, return_index=True)
     rng = np.random.default_rng(seed)
     tune = rng.random(len(labels)) < 0.2
@@ -217,14 +218,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: tuple[int,
     texts = texts.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("r = 1")
     texts = stash(texts.select("doc_id", "text", "y").repartition(8))
     seen = sum(np.frombuffer(r["n"], np.int32) for r in texts.mapInArrow(_seen, "n binary").collect())
-    often = seen >= (MIN_DOCS if sum(count.values()) >= 200 else 1)
+    trust = (seen / (seen + MIN_DOCS)).astype(np.float32)
 
     def bags(batches):
         for batch in batches:
             where, shares = _bags(batch.column(1))
-            kept = [often[b] for b in where]
-            where = [b[k].astype(np.int32).tobytes() for b, k in zip(where, kept, strict=True)]
-            shares = [s[k].tobytes() for s, k in zip(shares, kept, strict=True)]
+            shares = [(s * trust[b]).tobytes() for b, s in zip(where, shares, strict=True)]
+            where = [b.astype(np.int32).tobytes() for b in where]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(where, pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "y", "buckets", "shares"])
 
     prior = np.sqrt([1 - share, share])
@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: tuple[int,
         docs_of = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in where])
         where, shares = np.concatenate(where), np.concatenate(shares)
         m = fit(docs_of, where, shares, np.array(y, np.int64), prior) if len(where) else _prior_only(share)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.emb, m.out, m.bias)], ["emb", "out", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.emb * trust[:, None], m.out, m.bias)], ["emb", "out", "bias"])
 
     # one task trains on the whole bounded sample, on an executor, and returns the model
     bagged = texts.mapInArrow(bags, "doc_id bigint, y int, buckets binary, shares binary").repartition(1)

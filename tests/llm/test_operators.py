@@ -60,6 +60,20 @@ def test_toxicity_learns_stems_and_scores_held_out(spark):
     assert (again.emb == model.emb).all() and (again.bias == model.bias).all()
 
 
+def test_toxicity_does_not_jump_with_the_number_of_labels(spark):
+    rng = random.Random(6)
+    rare = ["".join(rng.sample("bcdfghjklmnpqrstvwxz", 8)) for _ in range(10)]  # each in four texts
+    common = ["".join(rng.choice("aeiou") for _ in range(6)) for _ in range(30)]
+    texts = [" ".join([*rng.sample(common, 8), *([rare[i // 4]] * 4 if i < 40 else [])]) for i in range(200)]
+    docs = H.docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(200)], "doc_id bigint, toxic int")
+    gaps = []
+    for n in (199, 200):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels.filter(F.col("doc_id") < n))).collect()}
+        gaps.append(sum(got[i] for i in range(40)) / 40 - sum(got[i] for i in range(40, 200)) / 160)
+    assert abs(gaps[1] - gaps[0]) < 0.1 and min(gaps) > 0.2
+
+
 def test_toxicity_of_odd_rows(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = toxicity.score(docs, toxicity.train(docs, none)).collect()
