@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -18,11 +17,14 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir); deleted when the JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the one that driver and executors share; deleted when the JVM ends.
+
+    That is spark.checkpoint.dir; where it is unset, the context's checkpoint folder, set to one in the warehouse if it is unset too.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="laurel-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/laurel-{uuid.uuid4().hex}"
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -42,9 +44,9 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
-    """(doc_id, text, b): documents dealt to blocks of about block_bytes by a hash of the id and the text."""
+    """(doc_id, text, b): documents dealt to blocks of about block_bytes by a hash of the id and the text; rows equal in both meet in one block."""
     n = max(1, math.ceil(text_bytes(docs) / block_bytes))
-    return docs.select(F.col(key).alias("doc_id"), "text", F.pmod(F.xxhash64(key, F.octet_length("text")), F.lit(n)).cast("int").alias("b"))
+    return docs.select(F.col(key).alias("doc_id"), "text", F.pmod(F.xxhash64(key, "text"), F.lit(n)).cast("int").alias("b"))
 
 
 def crc_mod(key: Column, n: int) -> Column:
@@ -55,7 +57,7 @@ def crc_mod(key: Column, n: int) -> Column:
 def buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and len+1 offsets of an Arrow string column without copying; null as empty."""
     if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks != 1 else texts.chunk(0)
+        texts = texts.chunk(0) if texts.num_chunks == 1 else pa.concat_arrays(texts.chunks or [pa.array([], texts.type)])
     if texts.null_count:
         texts = texts.fill_null("")
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)

@@ -4,22 +4,25 @@ A window is 35 consecutive words of one document. Every word that is covered by
 anywhere else goes. Words are [^\\x20\\x09-\\x0D]+, unchanged.
 
 1. Confirm recurring passages. Each window is given an anchor, its 8-gram of smallest hash, chosen by the window's words
-   alone; equal windows thus have equal anchors. Blocks of documents report each of their anchors once, with a count and
-   the smallest and largest hash of the passages it serves (the runs of windows that share the occurrence). An anchor
-   that occurs once clears its windows. An anchor whose passages are all equal confirms them. Only windows of the other
-   anchors are counted one by one, again once for each block.
-2. Compile automata. In each block, runs of confirmed windows become phrases; equal phrases count once. They
-   are compiled into Aho-Corasick automata over word numbers, in shards of at most `NODES` trie nodes.
-3. Stream all documents of the block through the shards to locate every occurrence, and drop the words covered.
-
-A block's automata hold just those phrases that its documents can match, so no automaton grows with the corpus and no
-document meets automata that cannot match it. Documents are shuffled once (the exchange is used by all three steps);
-anchors and windows of a hot passage are one row for each block, whatever its number of copies.
+   alone; equal windows thus have equal anchors. A passage is the run of windows that share the occurrence of an anchor. Blocks of documents
+   report each of their anchors once: its count, its passage and the passages next to it, where these are always the same. An
+   anchor that occurs once clears its windows. An anchor that always has one passage confirms it. Only windows of the other
+   anchors are counted one by one, with their neighbours, again once for each block.
+2. Spell phrases. A confirmed passage or window is spelled by one block only, the first that holds it. Neighbours that always stand
+   together are spelled as one phrase, so copies of a whole document are one phrase. Phrases are rows of the whole corpus, each there once.
+3. Compile sharded automata and stream. A phrase goes to the blocks that reported its first anchor (or window). Each block compiles
+   what it got into Aho-Corasick automata over word numbers, in shards of at most `NODES` trie nodes, streams all its documents
+   through them, and drops the words that matches cover. The automata alone locate occurrences.
+
+So no automaton grows with the corpus, and no document meets automata that cannot match it. Documents are shuffled once (the exchange is
+used by all steps). What one anchor or phrase costs is one row for each block that holds it, whatever its number of copies: a
+passage in every document of 100 TB is 12 million rows of 48 bytes where its count is summed.
 
 Windows, anchors and passages are compared by 64-bit hashes of their words' 64-bit hashes.
 
 Defined results: null or empty text has no words; texts under 35 words stay; repeated rows are documents of their own; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored. A very long text is one document of one block, which holds some 100 bytes
+for each of its words.
 """
 
 from __future__ import annotations
@@ -45,8 +48,8 @@ class Windows:
         self.words, self.at = word_hashes(data, off)
         self.size, n = size, len(self.words)
         self.pre = prefix(self.words)
-        self.starts = self.run = np.zeros(0, np.int64)
-        self.anchor = self.passage = np.zeros(0, np.uint64)
+        self.starts = self.run = self.first = self.last = np.zeros(0, np.int64)
+        self.anchor = self.passage = self.beside = np.zeros(0, np.uint64)
         if n < size:
             return
         begin = np.arange(n - gram + 1)
@@ -72,11 +75,24 @@ class Windows:
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(place)) - 1
         self.anchor = g[place[a]]
+        self.first, self.last = self.starts[a], self.starts[b]
         self.passage = mix(spans(self.pre, self.starts[a], self.starts[b] + size) ^ mix((place[a] - self.starts[a]).astype(np.uint64) + np.uint64(1)))
 
-    def hashes(self, chosen: np.ndarray) -> np.ndarray:
-        s = self.starts[chosen]
-        return spans(self.pre, s, s + self.size)
+        self.beside = _beside(self.passage, self.first[1:] == self.last[:-1] + 1)
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, hashes and hashes of the neighbours of the windows of the runs for which `runs` is true."""
+        h = spans(self.pre, self.starts, self.starts + self.size)
+        chosen = runs[self.run]
+        return self.starts[chosen], h[chosen], _beside(h, np.diff(self.starts) == 1)[chosen]
+
+
+def _beside(h: np.ndarray, together: np.ndarray) -> np.ndarray:
+    """Hashes of what stands before and after each of a row of hashes; together: whether one and the next are neighbours."""
+    before, after = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    before[1:] = np.where(together, h[:-1], 0)
+    after[:-1] = np.where(together, h[1:], 0)
+    return mix(mix(before + np.uint64(1)) + after)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -97,19 +113,28 @@ def _block(table: pa.Table) -> int:
     return table.column("b")[0].as_py()
 
 
-def _anchors(size: int):
-    schema = pa.schema([("b", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_REPORT = pa.schema([("b", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("p", pa.int64()), ("c", pa.int64())])
+
+
+def _report(b: int, h: np.ndarray, passage: np.ndarray, beside: np.ndarray) -> pa.Table:
+    """A row for each distinct h: its count, and what it is and stands beside, null where that varies."""
+    if not len(h):
+        return _REPORT.empty_table()
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
 
+    def one(x: np.ndarray) -> pa.Array:
+        x = x[order]
+        return pa.array(x[at].view(np.int64), mask=np.minimum.reduceat(x, at) != np.maximum.reduceat(x, at))
+
+    return pa.table([pa.array(np.full(len(at), b, np.int32)), _signed(h[at]), pa.array(np.diff(np.append(at, len(h)))), one(passage), one(beside)], schema=_REPORT)
+
+
+def _anchors(size: int):
     def run(table: pa.Table) -> pa.Table:
-        found = [(w.anchor, w.passage) for *_, w in _windows(table, size)]
-        h, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
-        if not len(h):
-            return schema.empty_table()
-        order = np.argsort(h, kind="stable")
-        h, p = h[order], p[order].view(np.int64)
-        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        n = np.diff(np.append(at, len(h)))
-        return pa.table([pa.array(np.full(len(at), _block(table), np.int32)), _signed(h[at]), pa.array(n), pa.array(np.minimum.reduceat(p, at)), pa.array(np.maximum.reduceat(p, at))], schema=schema)
+        found = [(w.anchor, w.passage, w.beside) for *_, w in _windows(table, size)]
+        return _report(_block(table), *(np.concatenate(x) for x in zip(*found, strict=True))) if found else _REPORT.empty_table()
 
     return run
 
@@ -124,33 +149,53 @@ def _lookup(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def _mixed(size: int):
-    schema = pa.schema([("b", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
-
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         if not docs.num_rows or not marks.num_rows:
-            return schema.empty_table()
+            return _REPORT.empty_table()
         anchors = np.sort(_unsigned(marks.column("h")))
-        found = []
-        for *_, w in _windows(docs, size):
-            if len(w.run):
-                found.append(w.hashes(_lookup(w.anchor, anchors)[w.run]))
-        h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        return pa.table([pa.array(np.full(len(h), _block(docs), np.int32)), _signed(h), pa.array(n.astype(np.int64))], schema=schema)
+        found = [w.windows(_lookup(w.anchor, anchors)) for *_, w in _windows(docs, size) if len(w.run)]
+        h, beside = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:]) if found else (np.zeros(0, np.uint64),) * 2
+        return _report(_block(docs), h, h, beside)
 
     return run
 
 
-def _phrase_spans(w: Windows, anchors: np.ndarray, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of confirmed windows as spans of words."""
-    if not len(w.run):
-        return (np.zeros(0, np.int64),) * 2
-    good = _lookup(w.anchor, anchors)[w.run]
-    if len(singles):
-        rest = np.flatnonzero(~good)
-        good[rest[_lookup(w.hashes(rest), singles)]] = True
-    s = w.starts[good]
-    cut = np.flatnonzero(np.diff(s) != 1)
-    return s[np.append(0, cut + 1)] if len(s) else s, (s[np.append(cut, len(s) - 1)] + w.size) if len(s) else s
+def _spelled(size: int):
+    schema = pa.schema([("single", pa.bool_()), ("h", pa.int64()), ("phrase", pa.binary())])
+
+    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        """The phrases of a block from what it has to spell: passages by anchor and single windows; chained ones stand always beside the same."""
+        if not docs.num_rows or not marks.num_rows:
+            return schema.empty_table()
+        h, single, chained = _unsigned(marks.column("h")), *(marks.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("single", "chained"))
+        known = [[np.sort(h[(single == s) & (chained | c)]) for c in (True, False)] for s in (False, True)]  # all and chained ones
+        rows, done = [], set()
+        for i, j, data, off, w in _windows(docs, size):
+            if not len(w.run):
+                continue
+            own = _lookup(w.anchor, known[0][0])
+            first, key, _ = w.windows(~own)
+            there = _lookup(key, known[1][0])
+            first, key = np.append(w.first[own], first[there]), np.append(w.anchor[own], key[there])
+            last, kind = np.append(w.last[own], first[own.sum() :]), np.arange(len(first)) >= own.sum()
+            order = np.argsort(first, kind="stable")
+            first, last, key, kind = first[order], last[order], key[order], kind[order]
+            chain = np.where(kind, _lookup(key, known[1][1]), _lookup(key, known[0][1]))
+            begin = np.ones(len(first), bool)
+            begin[1:] = ~(chain[1:] & chain[:-1] & (kind[1:] == kind[:-1]) & (first[1:] == last[:-1] + 1))
+            a = np.flatnonzero(begin)
+            b = np.append(a[1:], len(first)) - 1
+            doc, words = -1, []
+            for k, s, lo, hi, d in zip(key[a].tolist(), kind[a].tolist(), first[a].tolist(), (last[b] + size).tolist(), (np.searchsorted(w.at, first[a], "right") - 1).tolist(), strict=True):
+                if (s, k) in done:
+                    continue
+                done.add((s, k))
+                if d != doc:
+                    doc, words = d, data[off[i + d] : off[i + d + 1]].tobytes().split()
+                rows.append((s, k, b" ".join(words[lo - int(w.at[d]) : hi - int(w.at[d])])))
+        return pa.table([pa.array([r[0] for r in rows], pa.bool_()), _signed(np.array([r[1] for r in rows], np.uint64)), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
+
+    return run
 
 
 def automata(phrases, nodes: int = NODES):
@@ -173,41 +218,37 @@ def automata(phrases, nodes: int = NODES):
 def _located(size: int, nodes: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
-    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        single = marks.column("single").to_numpy(zero_copy_only=False).astype(bool)
-        h = _unsigned(marks.column("h"))
-        anchors, singles = np.sort(h[~single]), np.sort(h[single])
-        parts, seen, phrases, numbers = [], set(), [], {}
-        for i, j, data, off, w in _windows(docs, size):
-            s, e = _phrase_spans(w, anchors, singles)
-            for a, b, key in zip(s.tolist(), e.tolist(), spans(w.pre, s, e).tolist(), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    phrases.append(tuple([numbers.setdefault(x, len(numbers) + 1) for x in w.words[a:b].tolist()]))
-            parts.append((i, j, w.words, w.at))
-        known = np.array(sorted(numbers), np.uint64)
-        number = np.array([numbers[x] for x in known.tolist()], np.int64)
-        streams, covers = [], []
-        for _, _, words, at in parts:
+        words, at = word_hashes(*buffers(phrases.column("phrase")))
+        known, number = np.unique(words, return_inverse=True)
+        number = (number + 1).tolist()
+        phrases = [tuple(number[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        data, off = buffers(docs.column("text"))
+        parts, streams, covers = [], [], []
+        for i, j in chunks(off, 2 << 20):
+            words, at = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
             ids = np.zeros(len(words), np.int64)
             if len(known):
                 there = _lookup(words, known)
-                ids[there] = number[np.searchsorted(known, words[there])]
-            streams.append((ids, at))
+                ids[there] = np.searchsorted(known, words[there]) + 1
+            parts.append((i, j, at))
+            streams.append(ids)
             covers.append(np.zeros(len(words) + 1, np.int64))
         for machine in automata(phrases, nodes):
-            for (ids, at), cover in zip(streams, covers, strict=True):
+            for (_, _, at), ids, cover in zip(parts, streams, covers, strict=True):
+                ends, lengths = [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    if b - a < size:
-                        continue
-                    for end, length in machine.iter(tuple(ids[a:b].tolist())):
-                        cover[a + end + 1 - length] += 1
-                        cover[a + end + 1] -= 1
+                    if b - a >= size:
+                        for end, length in machine.iter(tuple(ids[a:b].tolist())):
+                            ends.append(a + end + 1)
+                            lengths.append(length)
+                ends = np.array(ends, np.int64)
+                np.add.at(cover, ends - np.array(lengths, np.int64), 1)
+                np.add.at(cover, ends, -1)
         kept, n_words, n_removed = [], [], []
-        data, off = buffers(docs.column("text"))
-        for (i, j, _, at), cover in zip(parts, covers, strict=True):
+        for (i, j, at), cover in zip(parts, covers, strict=True):
             gone = np.cumsum(cover[:-1]) > 0
             lost = np.concatenate([[0], np.cumsum(gone)])
             for k in range(i, j):
@@ -227,13 +268,21 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, block_bytes: int = 8 <<
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of each document."""
     blocks = in_blocks(docs, block_bytes)
     by_block = blocks.groupBy("b")
-    w = W.partitionBy("h")
-    seen = by_block.applyInArrow(_anchors(size), "b int, h bigint, n bigint, lo bigint, hi bigint")
-    seen = seen.withColumn("all", F.sum("n").over(w)).withColumn("same", F.min("lo").over(w) == F.max("hi").over(w)).filter("all > 1")
-    mixed = by_block.cogroup(seen.filter("NOT same").select("b", "h").groupBy("b")).applyInArrow(_mixed(size), "b int, h bigint, n bigint")
-    mixed = mixed.withColumn("all", F.sum("n").over(w)).filter("all > 1")
-    marks = seen.filter("same").select("b", "h", F.lit(False).alias("single")).unionByName(mixed.select("b", "h", F.lit(True).alias("single")))
-    return by_block.cogroup(marks.groupBy("b")).applyInArrow(_located(size, nodes), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    report, w = "b int, h bigint, n bigint, p bigint, c bigint", W.partitionBy("h")
+    one = lambda c: (F.count(c).over(w) == F.count(F.lit(1)).over(w)) & (F.min(c).over(w) == F.max(c).over(w))
+
+    def judged(found: DataFrame) -> DataFrame:
+        """What occurs more than once, in each block: whether it is always the same (and chained), and whether this block spells it."""
+        found = found.withColumn("all", F.sum("n").over(w)).withColumn("same", one("p")).withColumn("chained", one("c")).withColumn("home", F.min("b").over(w) == F.col("b"))
+        return found.filter("all > 1").select("b", "h", "same", "chained", "home")
+
+    seen = judged(by_block.applyInArrow(_anchors(size), report))
+    mixed = judged(by_block.cogroup(seen.filter("NOT same").select("b", "h").groupBy("b")).applyInArrow(_mixed(size), report))
+    marks = {False: seen.filter("same"), True: mixed}
+    to_spell = [m.filter("home").select("b", "h", F.lit(s).alias("single"), "chained") for s, m in marks.items()]
+    phrases = by_block.cogroup(to_spell[0].unionByName(to_spell[1]).groupBy("b")).applyInArrow(_spelled(size), "single boolean, h bigint, phrase binary")
+    routed = [m.select("b", "h").join(phrases.filter(F.col("single") == s), "h").select("b", "phrase") for s, m in marks.items()]
+    return by_block.cogroup(routed[0].unionByName(routed[1]).groupBy("b")).applyInArrow(_located(size, nodes), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
