@@ -5,11 +5,15 @@ pattern length, a table gives for every block of two words how far the search ma
 pattern allow the full jump); where the jump is 0, the block selects a bucket of patterns, split by a hash of their first
 words, and the words themselves are compared. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased.
 
-Defined results: null or empty text has no words and no hits; item ids may repeat; null item texts give no window;
-an empty benchmark leaves every document clean; extra columns are ignored by `hits` and kept by `keep_clean`.
-
-Benchmarks are broadcast in blocks of at most `block_windows` windows; a larger benchmark takes several passes, whose
-hits are merged row by row, so nothing is dropped and no broadcast grows beyond the bound. No pass shuffles.
+Defined results: null or empty text has no words and no hits; item ids may repeat; null item texts give no window; a null item id
+is searched like any other, counts as one item and is left out of the digest; an empty benchmark leaves every document clean; columns
+named like those that `hits` adds are replaced, other extra columns are kept. Very long texts are searched whole; a task holds the words
+of one text at a time.
+
+The benchmark is cut into pieces of at most `PIECE` words (overlapping by a window less one, so each window stands in one), and pieces are
+broadcast in blocks of about `block_windows` windows. A larger benchmark takes several passes, whose hits are merged row by row: a pass is
+written before the next block is fetched, so neither the driver nor an executor holds more than one block. Nothing is dropped, and no pass
+shuffles.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stash
+
 WINDOW = 13
 #: Bytes that end a word become a space, A-Z become a-z; others stay.
 TO_WORDS = bytes(32 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -74,11 +80,19 @@ class WuManber:
             i += 1
 
 
-def searchers(items, size: int = WINDOW) -> list[WuManber]:
-    by_length: dict[int, dict] = {}
-    for p, ids in windows_of(items, size).items():
-        by_length.setdefault(len(p), {})[p] = ids
-    return [WuManber(x) for _, x in sorted(by_length.items(), reverse=True)]
+class Items:
+    """A block of (item id, text) pieces; tables are made once for each Python worker."""
+
+    def __init__(self, items: list, size: int):
+        self.items, self.size, self.tables = items, size, None
+
+    def searchers(self) -> list[WuManber]:
+        if self.tables is None:
+            by_length: dict[int, dict] = {}
+            for p, ids in windows_of(self.items, self.size).items():
+                by_length.setdefault(len(p), {})[p] = ids
+            self.tables = [WuManber(x) for _, x in sorted(by_length.items(), reverse=True)]
+        return self.tables
 
 
 def scan(w: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
@@ -105,31 +119,46 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Words of one piece of an item.
+PIECE = 4096
+
+
+def pieces_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(item_id, text, n): the items in pieces that hold n windows; each window of an item is in exactly one."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                w = words_of(text.as_py())
+                n = max(1, len(w) - size + 1) if w else 0
+                out += [(item, b" ".join(w[i : min(i + PIECE, n) + size - 1]).decode(), min(PIECE, n - i)) for i in range(0, n, PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["item_id", "text", "n"])
+
+    return items.select("item_id", "text").mapInArrow(run, "item_id bigint, text string, n bigint")
+
+
 def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_windows: int = 200_000) -> DataFrame:
     """docs with n_words, hit_spans (merged, in words) and hit_items (ids of items with occurring windows)."""
-    spark = docs.sparkSession
-    blocks, load = [[]], 0
-    for item, text in items.select("item_id", "text").toLocalIterator():
-        n = max(1, len(words_of(text)) - size + 1)
-        if blocks[-1] and load + n > block_windows:
-            blocks.append([])
-            load = 0
-        blocks[-1].append((item, text))
+    out, block, load = None, [], 0
+    for item, text, n in pieces_of(items, size).toLocalIterator(prefetchPartitions=False):
+        if block and load + n > block_windows:
+            out = stash(_pass(docs if out is None else out, Items(block, size), out is None))
+            block, load = [], 0
+        block.append((item, text))
         load += n
-    out = docs
-    for first, b in ((not i, spark.sparkContext.broadcast(b)) for i, b in enumerate(blocks)):
-        out = _pass(out, b, size, first)
-    return out
+    return _pass(docs if out is None else out, Items(block, size), out is None)
 
 
-def _pass(docs: DataFrame, items, size: int, first: bool) -> DataFrame:
+def _pass(docs: DataFrame, block: Items, first: bool) -> DataFrame:
     """One search for a block of items; later passes add to the columns of earlier ones."""
+    items = docs.sparkSession.sparkContext.broadcast(block)
     new = ["n_words", "hit_spans", "hit_items"]
     docs = docs.drop(*new) if first else docs
     at = docs.columns.index("text")
 
     def run(batches):
-        tables = searchers(items.value, size)
+        tables = items.value.searchers()
         for batch in batches:
             old = [None] * batch.num_rows if first else list(zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist(), strict=True))
             n, spans, met = [], [], []
@@ -140,7 +169,7 @@ def _pass(docs: DataFrame, items, size: int, first: bool) -> DataFrame:
                     s, i = merged(s + [(x["s"], x["e"]) for x in had[0]]), i | {*had[1]}
                 n.append(len(w))
                 spans.append([{"s": a, "e": b} for a, b in s])
-                met.append(sorted(i))
+                met.append(sorted(i, key=lambda x: (x is None, x)))
             keep = [k for k in batch.schema.names if k not in new]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(met, pa.list_(pa.int64()))], keep + new)
 
