@@ -11,9 +11,13 @@ As owners come from earlier batches or are the smallest in their own, the result
 
 A key is known by two 64-bit hashes with different seeds, so a false match needs a collision of 128 bits.
 
+Lines that go are told to their rows by number: a row (doc_id and hash of the text) gets one set of numbers, and the lines left are those
+of all numbers except the set, which hash sets find in time linear in the lines.
+
 Defined results: null or empty text is one empty line; lines that are equal inside the owning document all stay; rows
-with the same doc_id count as one document; null doc_ids count as the smallest id of all; an empty table gives no rows;
-clashing extra columns are kept by `dedup`.
+with the same doc_id count as one document; null doc_ids count as one document with the smallest id of all; an empty table gives no rows;
+extra columns of any name are kept by `dedup`, but for n_lines and n_dropped, which it sets. A very long text is one row whose lines are
+held at once, some 60 bytes for each line besides the text.
 """
 
 from __future__ import annotations
@@ -39,18 +43,15 @@ def key_of(line: Column) -> Column:
 
 
 def marks(text: Column) -> Column:
-    """For each line, the pair of hashes of its key, or null for a key that is too short to count."""
-    return F.transform(F.transform(lines_of(text), key_of), lambda k: F.when(F.char_length(k) >= MIN_CHARS, pair(k)))
+    """(i, h, g) for each line whose key is long enough to count: its number from 0 and the pair of hashes of its key."""
+    numbered = F.transform(F.transform(lines_of(text), key_of), lambda k, i: F.when(F.char_length(k) >= MIN_CHARS, F.struct(i.alias("i"), F.xxhash64(k).alias("h"), F.xxhash64(F.lit(7), k).alias("g"))))
+    return F.filter(numbered, lambda m: m.isNotNull())
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def pair(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(7), key).alias("g"))
-
-
 class Runs:
     """The levelled store: runs of (h, g, owner), sorted by key and disjoint in it."""
 
@@ -107,24 +108,24 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """docs with `text` reduced to the lines that stay, and n_lines and n_dropped."""
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    own = F.coalesce(F.col("doc_id"), F.lit(_FIRST))
-    cuts = docs.agg(F.percentile_approx(own, [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
+    # the row as one struct, so that its columns' names meet no others
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id"), F.lit(_FIRST)).alias("k"), F.xxhash64("text").alias("t"))
+    cuts = rows.agg(F.percentile_approx("k", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     batch = sum((F.when(F.col("k") > c, 1).otherwise(0) for c in sorted({*cuts})), F.lit(0))
-    found = docs.select(own.alias("k"), F.explode(F.array_distinct(F.filter(marks(F.col("text")), lambda m: m.isNotNull()))).alias("m"))
-    lines = stash(found.select("k", "m.h", "m.g", batch.alias("batch")))
+    found = rows.select("k", "t", F.explode(marks(F.col("row.text"))).alias("m"))
+    lines = stash(found.select("k", "t", "m.i", "m.h", "m.g", batch.alias("batch")))
     runs = Runs(spark)
     for i in range(len({*cuts}) + 1):
         runs.add(lines.filter(F.col("batch") == i).groupBy("h", "g").agg(F.min("k").alias("owner")))
     lost = lines.join(runs.owners(), ["h", "g"]).filter(F.col("k") != F.col("owner"))
-    lost = lost.groupBy("k").agg(F.collect_set(F.struct("h", "g")).alias("_lost"))
-    out = docs.withColumn("_k", own).join(lost.withColumnRenamed("k", "_k"), "_k", "left")
-    kept = F.filter("_lines", lambda x: ~F.array_contains("_lost", pair(key_of(x))))
-    out = out.withColumn("_lines", lines_of(F.col("text")))
-    out = out.withColumn("_kept", F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(kept))
-    return out.select(
-        *(F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+    lost = lost.groupBy("k", "t").agg(F.collect_set("i").alias("lost"))
+    out = rows.join(lost, ["k", "t"], "left").withColumn("lines", lines_of(F.col("row.text")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
+    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.get("lines", i)))
+    return out.withColumn("kept", kept).select(
+        *(F.array_join("kept", "\n").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
     )
 
 
