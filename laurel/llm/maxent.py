@@ -1,14 +1,21 @@
 """LM scoring with a hashed maximum-entropy model.
 
-P(word | context) = P(class | context) * P(word | class). The class factor is a softmax over 32 classes of words (the top
-bits of a word's hash) whose features are the previous word, the previous two words and the word before the
-previous (a skip), hashed to 2**14 rows of weights, and a bias. Inside a class, the softmax has bias features only, whose
-maximum-likelihood values are known in closed form: the words' counts, with one added for each word and for the unknown.
-Each text ends with an end token; its first contexts hold a start mark.
+P(word | context) = P(class | context) * P(word | class, context), with 32 classes of words (the top bits of a word's hash).
+Both factors are softmaxes with the same context features: the previous word, the previous two words and the word before the
+previous (a skip), hashed.
 
-Training covers every word of every training text once, in `ROUNDS` slices. In a round, tasks take minibatch gradient steps
-(AdaGrad) from the shared weights over their share of the slice, and their changes are averaged, weighted by tokens,
-in two steps of small groups. Weights have a fixed size (2 MB); only they and 32 class totals reach the driver.
+    P(class k | x)    ~ mass(k) * exp(sum over features f of a[f, k])
+    P(word w | k, x)  ~ (count(w) + 1) * exp(sum over features f of b[f & k, u(w)])
+
+u(w) is one of 32 hash buckets of the words of a class (the next bits of the hash): a weight belongs to a context feature, a class and a
+bucket of its words. The word softmax is exact: its normaliser is a sum over the 32 buckets, each with the mass (counts, and one added for each
+word and for the unknown) of its words. The biases are the logarithms of masses and counts, which grow with the corpus and
+have no bound; a and b are tables of `rows` by 32 weights, with one row for each `TOKENS_A_ROW` training tokens, a power of two up to
+2**16 (16 MB in all): the model's size, as it is broadcast. Each text ends with an end token; its first contexts hold a start mark.
+
+Training covers every word of every training text once, in `ROUNDS` slices. In a round, learners (one for each `LEARNER_BYTES` of text)
+take minibatch gradient steps (AdaGrad) from the shared weights over their share of the slice, and their changes are averaged, weighted by
+tokens, in two steps of small groups. Only the weights and the 1024 masses reach the driver.
 
 Counts of words: documents are dealt to blocks of about 8 MB; a block reports each of its words once with its count, sums
 over blocks are taken by word, and each block gets back the counts of its own words. So no vocabulary is
@@ -17,11 +24,13 @@ broadcast, and a word that stands everywhere is one row for each block.
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased and are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are one end token; without training texts every count is 0; repeated rows count
-each; an empty table gives no rows; extra columns are ignored.
+each; an empty table gives no rows; extra columns are ignored. Very long texts are scored whole, with some 100 bytes for each of their
+words; the softmaxes take `BATCH` tokens at a time.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -30,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, crc_mod, in_blocks, mix, stash, word_hashes
+from .common import buffers, chunks, crc_mod, in_blocks, mix, stash, text_bytes, word_hashes
 
-CLASS_BITS, ROW_BITS = 5, 14
-CLASSES, ROWS = 1 << CLASS_BITS, 1 << ROW_BITS
-ROUNDS, BATCH, RATE = 2, 1 << 14, 0.1
+CLASS_BITS, BUCKET_BITS, MAX_ROW_BITS = 5, 5, 16
+CLASSES, BUCKETS = 1 << CLASS_BITS, 1 << BUCKET_BITS
+TOKENS_A_ROW = 64
+ROUNDS, BATCH, RATE, LEARNER_BYTES = 2, 1 << 14, 0.1, 64 << 20
 _END, _START = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0xA5A5F00DCAFE1234)
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -45,44 +55,89 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, at[1:], _END), at + np.arange(len(at))
 
 
-def classes_of(t: np.ndarray) -> np.ndarray:
-    return (t >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+def classes_of(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of words and their buckets in them."""
+    leaf = (t >> np.uint64(64 - CLASS_BITS - BUCKET_BITS)).astype(np.int64)
+    return leaf >> BUCKET_BITS, leaf & (BUCKETS - 1)
 
 
 def contexts(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of weights (3 x tokens) that each token's context selects; row 0 is the bias's."""
+    """Hashes (3 x tokens) of each token's context features."""
     one = np.append(_START, t[:-1])
     one[at[:-1]] = _START
     two = np.append(_START, one[:-1])
     two[at[:-1]] = _START
-    pick = lambda h: 1 + (mix(h) % np.uint64(ROWS - 1)).astype(np.int64)
-    return np.stack([pick(one * _SALTS[0]), pick(mix(one * _SALTS[1]) + two * _SALTS[0]), pick(two * _SALTS[2])])
-
-
-def log_classes(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log-probabilities (tokens x classes)."""
-    z = w[rows[0]]
-    z += w[rows[1]]
-    z += w[rows[2]]
-    z += w[0]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def descend(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-    """One AdaGrad step over a minibatch, in place."""
-    n = len(target)
-    g = np.exp(log_classes(w, rows))
-    g[np.arange(n), target] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    used = np.append(0, flat[cut])
-    grad = np.vstack([g.sum(0, keepdims=True), np.add.reduceat(g[order % n], cut, axis=0)])
-    squares[used] += np.mean(grad * grad, axis=1)
-    w[used] -= RATE * grad / np.sqrt(squares[used] + 1e-8)[:, None]
+    return np.stack([mix(one * _SALTS[0]), mix(mix(one * _SALTS[1]) + two * _SALTS[0]), mix(two * _SALTS[2])])
+
+
+def row_bits(n_tokens: int) -> int:
+    return min(MAX_ROW_BITS, max(8, int(n_tokens // TOKENS_A_ROW).bit_length() - 1))
+
+
+class Model:
+    """Weights and AdaGrad's sums of squares of the two softmaxes, and the logarithms of masses by class and bucket."""
+
+    def __init__(self, bits: int, masses: np.ndarray):
+        self.bits = bits
+        self.bias = [np.log(masses.sum(1)).astype(np.float32), np.log(masses).astype(np.float32)]
+        self.weights = [np.zeros((1 << bits, n), np.float32) for n in (CLASSES, BUCKETS)]
+        self.squares = [np.full(1 << bits, 1e-2, np.float32) for _ in range(2)]
+
+    def rows(self, x: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+        """Rows of both tables of weights that context features select, for tokens of classes k."""
+        low = np.uint64(64 - self.bits)
+        of_class = (k.astype(np.uint64) + np.uint64(1)) * _SALTS[1]
+        return [(x >> low).astype(np.uint16), (mix(x + of_class) >> low).astype(np.uint16)]
+
+    def softmax(self, of: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Probabilities (tokens x classes or buckets)."""
+        w = self.weights[of]
+        z = w.take(rows[0], 0)
+        for r in rows[1:]:
+            z += w.take(r, 0)
+        z += bias
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z
+
+    def _batches(self, t: np.ndarray, x: np.ndarray):
+        """(place, which softmax, rows, target, probabilities) of minibatches."""
+        for i in range(0, len(t), BATCH):
+            k, u = classes_of(t[i : i + BATCH])
+            rows = self.rows(x[:, i : i + BATCH], k)
+            for of, target, bias in ((0, k, self.bias[0]), (1, u, self.bias[1][k])):
+                yield i, of, rows[of], target, self.softmax(of, rows[of], bias)
+
+    def learn(self, t: np.ndarray, x: np.ndarray) -> None:
+        """One AdaGrad step of both softmaxes for each minibatch, in place."""
+        for _, of, rows, target, g in self._batches(t, x):
+            n = len(target)
+            g[np.arange(n), target] -= 1
+            flat = rows.ravel()
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            used = flat[cut]
+            grad = np.add.reduceat(np.ascontiguousarray(g.T).take(order % n, 1), cut, axis=1).T
+            self.squares[of][used] += np.mean(grad * grad, axis=1)
+            self.weights[of][used] -= RATE * grad / np.sqrt(self.squares[of][used] + 1e-8)[:, None]
+
+    def log10(self, t: np.ndarray, x: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 P(token | context) for tokens with these training counts."""
+        k, u = classes_of(t)
+        out = np.log10(count + 1.0) - self.bias[1][k, u].astype(np.float64) / math.log(10)  # share of the bucket
+        for i, _, _, target, p in self._batches(t, x):
+            out[i : i + len(target)] += np.log10(p[np.arange(len(target)), target])
+        return out
+
+    def state(self) -> np.ndarray:
+        """All that is learned, as one row for each row of the tables."""
+        return np.hstack([*self.weights, *(s[:, None] for s in self.squares)])
+
+    def add(self, change: np.ndarray) -> None:
+        for v, c in zip((*self.weights, *self.squares), np.split(change, [CLASSES, CLASSES + BUCKETS, CLASSES + BUCKETS + 1], axis=1), strict=True):
+            v += c.reshape(v.shape)
 
 
 def _texts(column):
@@ -91,44 +146,42 @@ def _texts(column):
         yield i, j, *tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
 
 
-_PARTS = 16
+_PARTS = 32
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Class weights (ROWS x CLASSES) learned from all texts."""
+def train(docs: DataFrame, masses: np.ndarray, n_tokens: int, rounds: int = ROUNDS) -> Model:
+    """A model learned from all texts; masses by class and bucket."""
     spark = docs.sparkSession
-    w, squares = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS, 1e-2, np.float32)
+    model = Model(row_bits(n_tokens), masses)
     sliced = docs.select("text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(rounds)).alias("slice"))
+    learners = max(1, math.ceil(text_bytes(docs) / LEARNER_BYTES))
     for r in range(rounds):
-        now = spark.sparkContext.broadcast((w, squares))
+        now = spark.sparkContext.broadcast(model)  # of bounded size
 
         def learn(batches, now=now):
-            w0, s0 = now.value
-            w, s, n = w0.copy(), s0.copy(), 0
+            own = copy.deepcopy(now.value)
+            before, n = own.state(), 0
             for batch in batches:
                 for _, _, t, at in _texts(batch.column(0)):
-                    rows, target = contexts(t, at), classes_of(t)
-                    for k in range(0, len(t), BATCH):
-                        descend(w, s, rows[:, k : k + BATCH], target[k : k + BATCH])
+                    own.learn(t, contexts(t, at))
                     n += len(t)
             if n:
-                both = np.hstack([w - w0, (s - s0)[:, None]]).reshape(_PARTS, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([n] * _PARTS, pa.int64()), pa.array([x.tobytes() for x in both], pa.binary())], ["part", "n", "change"])
+                change = (own.state() - before).astype(np.float16).reshape(_PARTS, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([n] * _PARTS, pa.int64()), pa.array([x.tobytes() for x in change], pa.binary())], ["part", "n", "change"])
 
         def averaged(table: pa.Table) -> pa.Table:
             n = np.array(table.column("n").to_pylist(), np.float64)
-            total = sum(k * np.frombuffer(x.as_py(), np.float32) for k, x in zip(n / n.sum(), table.column("change"), strict=True))
-            return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "change": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            total = sum(k * np.frombuffer(x.as_py(), np.float16).astype(np.float32) for k, x in zip(n / n.sum(), table.column("change"), strict=True))
+            return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "change": pa.array([total.astype(np.float16).tobytes()], pa.binary())})
 
         kind = "part int, n bigint, change binary"
-        got = sliced.filter(F.col("slice") == r).select("text").mapInArrow(learn, kind)
+        got = sliced.filter(F.col("slice") == r).select("text").coalesce(learners).mapInArrow(learn, kind)
         salted = got.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("part", "salt").applyInArrow(averaged, kind)
-        final = salted.groupBy("part").applyInArrow(averaged, kind).collect()  # 16 rows of 132 KB
+        final = salted.groupBy("part").applyInArrow(averaged, kind).collect()  # 32 rows of 264 KB at most
         if final:
-            change = np.stack([np.frombuffer(x["change"], np.float32) for x in sorted(final, key=lambda x: x["part"])]).reshape(ROWS, CLASSES + 1)
-            w, squares = w + change[:, :-1], squares + change[:, -1]
+            model.add(np.concatenate([np.frombuffer(x["change"], np.float16) for x in sorted(final, key=lambda x: x["part"])]).astype(np.float32).reshape(1 << model.bits, -1))
         now.destroy()
-    return w
+    return model
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -153,17 +206,18 @@ def score(docs: DataFrame, held) -> DataFrame:
     by_word = W.partitionBy("h")
     vocab = seen.withColumn("c", F.sum("n").over(by_word)).withColumn("lead", F.row_number().over(by_word.orderBy("b")) == 1)
     vocab = stash(vocab.filter("c > 0").select("b", "h", "c", "lead"))
-    totals = np.zeros((CLASSES, 2), np.int64)
-    for r in vocab.filter("lead").groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    totals = np.zeros((CLASSES * BUCKETS, 2), np.int64)
+    for r in vocab.filter("lead").groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS - BUCKET_BITS).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         totals[r["k"]] = r["n"], r["v"]
-    model = spark.sparkContext.broadcast((train(docs.filter(~held)), totals))
+    n_all, v_all = (int(x) for x in totals.sum(0))
+    masses = (totals.sum(1) + 1.0).reshape(CLASSES, BUCKETS)
+    shared = spark.sparkContext.broadcast(train(docs.filter(~held), masses, n_all))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((k, pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        w, totals = model.value
-        n_all, v_all = (int(x) for x in totals.sum(0))
+        model = shared.value
         h = words.column("h").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(h)
         h, c = h[order], words.column("c").to_numpy()[order]
@@ -174,12 +228,7 @@ def score(docs: DataFrame, held) -> DataFrame:
                 place = np.minimum(np.searchsorted(h, t), len(h) - 1)
                 count = np.where(h[place] == t, c[place], 0)
             base = np.log10((count + 1) / (n_all + v_all + 1))
-            k = classes_of(t)
-            own = np.log10((count + 1) / (totals[k, 0] + totals[k, 1] + 1))
-            rows = contexts(t, at)
-            for x in range(0, len(t), BATCH):
-                p = log_classes(w, rows[:, x : x + BATCH])
-                own[x : x + BATCH] += p[np.arange(len(p)), k[x : x + BATCH]] / math.log(10)
+            own = model.log10(t, contexts(t, at), count)
             out[0].append(np.diff(at))
             out[1].append(np.add.reduceat((count > 0).astype(np.int64), at[:-1]))
             out[2].append(np.add.reduceat(base, at[:-1]))
