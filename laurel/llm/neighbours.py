@@ -6,11 +6,13 @@ in the order of projected distance from kd-trees and verifies them on the origin
 that is left is so large against the distance of its k-th best that a nearer vector would stand there with a chance below
 1 - CONFIDENCE.
 
-The upper levels of the tree (at most `CELLS` cells) are fitted to a sample of 4096 vectors; every row is indexed: rows are dealt to
-cells, cells to parts of about `PART_ROWS` rows, and each part gets its own lower tree. A query first searches its own
-cell, and then, with the k-th distance as bound, just those cells that the stopping test does not rule out.
-Queries of a cell are split as well, so a hot cell or query set is spread over tasks. Of equal vectors a part keeps the k + 1 with
-the smallest ids, as no others can be an answer; nothing that could be one is dropped.
+The upper levels of the tree are fitted to a sample of `SAMPLE_A_CELL` projected vectors a cell; every row is indexed: rows are dealt to
+cells, cells to parts of about `PART_ROWS` rows, and each part gets its own lower tree. There is a cell for each `CELL_ROWS` rows up to 256;
+beyond, cells and their rows both grow with the square root of the rows (10**9 rows: 5600 cells, whose boxes and sample are some 5 MB). A query
+first searches its own cell, and then, with the k-th distance as bound, just those cells that the stopping test does not rule out.
+Queries of a cell are split by their own count, and rows are repeated once for each split of their own cell, so a hot cell or query set is
+spread over tasks. Of equal vectors a part keeps the k + 1 with the smallest ids, as no others can be an answer; nothing that could be one is
+dropped.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components take no part, nor do vectors
 of another length than the commonest one; of several queries with one id the smallest vector is taken; rows with a
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-M, CONFIDENCE_Z, SAMPLE_ROWS, CELLS, CELL_ROWS, PART_ROWS, LEAF = 12, 2.33, 4096, 256, 8192, 16384, 128
+M, CONFIDENCE_Z, SAMPLE_A_CELL, CELL_ROWS, PART_ROWS, LEAF = 12, 2.33, 16, 8192, 16384, 128
 
 
 def chi_square_quantile(m: int, z: float) -> float:
@@ -146,34 +148,56 @@ def _matrix_of(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _cells(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Boxes of n cells that cover all space, by median splits of the sample."""
-    m = points.shape[1] if points.ndim == 2 else M
-    boxes = [(np.full(m, -np.inf), np.full(m, np.inf), np.arange(len(points)))]
-    while len(boxes) < n:
-        at = max(range(len(boxes)), key=lambda i: len(boxes[i][2]))
-        lo, hi, rows = boxes.pop(at)
-        own = points[rows]
-        axis = int(np.argmax(own.max(0) - own.min(0))) if len(rows) else 0
-        cut = float(np.median(own[:, axis])) if len(rows) else 0.0
-        left = own[:, axis] <= cut if len(rows) else np.zeros(0, bool)
-        if len(rows) < 2 or left.all():
-            boxes.append((lo, hi, rows[:0]))
-            if all(len(b[2]) < 2 for b in boxes):
-                break
-            continue
-        low, high = hi.copy(), lo.copy()
-        low[axis] = high[axis] = cut
-        boxes += [(lo, low, rows[left]), (high, hi, rows[~left])]
-    return np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
-
-
-def _cell_of(lo: np.ndarray, hi: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """The cell (lo, hi] of each point."""
-    out = np.zeros(len(points), np.int32)
-    for c in range(len(lo)):
-        out[((points > lo[c]) & (points <= hi[c])).all(1)] = c
-    return out
+def cells_for(rows: int) -> int:
+    n = rows / CELL_ROWS
+    return max(1, math.ceil(n if n <= 256 else 256 * math.sqrt(n / 256)))
+
+
+class Cells:
+    """Cells that cover all space: median splits of a sample along its widest side, the fullest cell first; with their boxes."""
+
+    def __init__(self, points: np.ndarray, n: int):
+        m = points.shape[1]
+        self.axis, self.cut, self.children = [0], [0.0], [[-1, -1]]  # by node; children of a leaf: -1 and its cell
+        boxes = {0: (np.full(m, -np.inf), np.full(m, np.inf))}
+        heap = [(-len(points), 0, points)] if len(points) else []
+        while heap and len(boxes) < n:
+            _, node, own = heapq.heappop(heap)
+            axis = int(np.argmax(own.max(0) - own.min(0)))
+            cut = float(np.median(own[:, axis]))
+            left = own[:, axis] <= cut
+            if left.all():  # a median that is the greatest value parts nothing
+                cut = float(np.nextafter(own[:, axis].max(), -np.inf))
+                left = own[:, axis] <= cut
+            if not left.any():
+                continue
+            lo, hi = boxes.pop(node)
+            low, high = hi.copy(), lo.copy()
+            low[axis] = high[axis] = cut
+            self.axis[node], self.cut[node] = axis, cut
+            for side, part, box in ((0, own[left], (lo, low)), (1, own[~left], (high, hi))):
+                child = len(self.axis)
+                self.children[node][side] = child
+                self.axis.append(0)
+                self.cut.append(0.0)
+                self.children.append([-1, -1])
+                boxes[child] = box
+                heapq.heappush(heap, (-len(part), child, part))
+        leaves = sorted(boxes)
+        for cell, node in enumerate(leaves):
+            self.children[node][1] = cell
+        self.axis, self.cut, self.children = np.array(self.axis), np.array(self.cut), np.array(self.children)
+        self.lo, self.hi = (np.array([boxes[x][side] for x in leaves]) for side in (0, 1))
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell (lo, hi] of each point."""
+        node = np.zeros(len(points), np.int64)
+        go = np.flatnonzero(self.children[node, 0] >= 0)
+        while len(go):
+            at = node[go]
+            node[go] = self.children[at, (points[go, self.axis[at]] > self.cut[at]).astype(np.int64)]
+            go = go[self.children[node[go], 0] >= 0]
+        return self.children[node, 1].astype(np.int32)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -184,24 +208,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     kinds = "query_id bigint, vec_id bigint, score double"
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").collect()])
-    matrix = projection(sample.shape[1])
-    lo, hi = _cells(sample @ matrix, min(CELLS, math.ceil(n / CELL_ROWS)))
-    shared = spark.sparkContext.broadcast((matrix, lo, hi))  # at most CELLS boxes
+    matrix = projection(rows.select(F.size("embedding")).first()[0])
+    n_cells = cells_for(n)
+    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(256, SAMPLE_A_CELL * n_cells)).select("embedding")
+
+    def flat(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(_matrix_of(b.column(0)) @ matrix), pa.list_(pa.float64()))], ["p"])
+
+    sample = np.array([r[0] for r in sampled.mapInArrow(flat, "p array<double>").collect()])
+    cells = Cells(sample, n_cells)
+    shared = spark.sparkContext.broadcast((matrix, cells))  # of a size that grows with the square root of the rows
 
     def placed(batches):
-        matrix, lo, hi = shared.value
+        matrix, cells = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_cell_of(lo, hi, _matrix_of(b.column("embedding")) @ matrix))], [*b.schema.names, "cell"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.of(_matrix_of(b.column("embedding")) @ matrix))], [*b.schema.names, "cell"])
 
     rows = stash(rows.mapInArrow(placed, "vec_id bigint, embedding array<double>, cell int"))
-    parts = {r["cell"]: math.ceil(r["n"] / PART_ROWS) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of_cell = F.create_map(*(F.lit(x) for cp in parts.items() for x in cp))[F.col("cell")]
+
+    def shares(df: DataFrame) -> list[tuple]:
+        """(cell, in how many its rows are shared out): a row for each cell at most."""
+        return [tuple(r) for r in df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int")).collect()]
+
+    def with_shares(df: DataFrame, found: list[tuple], name: str) -> DataFrame:
+        return df.join(F.broadcast(spark.createDataFrame(found, f"cell int, {name} int")), "cell")
+
+    parts = shares(rows)
+    part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int")
+    data = with_shares(rows, parts, "parts").withColumn("part", part).drop("parts")
     asked = queries.select("vec_id").distinct().join(rows, "vec_id").groupBy("vec_id").agg(F.min(F.struct("embedding", "cell")).alias("x"))
     asked = stash(asked.select(F.col("vec_id").alias("query_id"), "x.*"))
-    splits = max(1, math.ceil(asked.count() / PART_ROWS))
-    split = F.pmod(F.xxhash64("query_id"), F.lit(splits)).cast("int")
-    data = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), of_cell).cast("int")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
 
     def visit(own: pa.Table, asking: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -216,10 +253,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else schema.empty_table()
 
     def asked_in(q: DataFrame) -> DataFrame:
-        """The k best found of queries in the cells they name."""
-        q = q.filter(of_cell.isNotNull()).withColumn("split", split).withColumn("part", F.explode(F.sequence(F.lit(0), of_cell - 1)))
-        keys = ["cell", "part", "split"]
-        return data.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(visit, kinds)
+        """The k best found of queries in the cells they name, in each part."""
+        splits = shares(q)
+        keys, upto = ["cell", "part", "split"], lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        own = with_shares(data, splits, "splits").withColumn("split", upto("splits"))
+        q = with_shares(q, splits, "splits").withColumn("split", F.pmod(F.xxhash64("query_id"), F.col("splits")).cast("int"))
+        q = with_shares(q, parts, "parts").withColumn("part", upto("parts"))
+        return own.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(visit, kinds)
 
     def best(found: DataFrame) -> DataFrame:
         w = W.partitionBy("query_id").orderBy("score", "vec_id")  # k rows of each part at most
@@ -230,17 +270,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     again = asked.withColumnRenamed("cell", "home").join(bounds, "query_id", "left")
 
     def open_cells(batches):
-        matrix, lo, hi = shared.value
+        matrix, cells = shared.value
+        lo, hi = cells.lo, cells.hi
         for b in batches:
             p = _matrix_of(b.column("embedding")) @ matrix
-            cells = []
+            open_ = []
             for i, (home, bound) in enumerate(zip(b.column("home").to_pylist(), b.column("bound").to_pylist(), strict=True)):
                 gaps = _gap(lo, hi, p[i])
                 keep = np.flatnonzero(gaps <= (math.inf if bound is None else LIMIT * bound * bound + 1e-9 * (1 + float(np.abs(p[i]).max()) ** 2)))
-                cells.append(keep[keep != home].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("query_id", "embedding", "bound")), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "embedding", "bound", "cells"])
+                open_.append(keep[keep != home].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("query_id", "embedding", "bound")), pa.array(open_, pa.list_(pa.int32()))], ["query_id", "embedding", "bound", "cells"])
 
-    again = again.mapInArrow(open_cells, "query_id bigint, embedding array<double>, bound double, cells array<int>")
+    again = stash(again.mapInArrow(open_cells, "query_id bigint, embedding array<double>, bound double, cells array<int>"))
     later = asked_in(again.select("query_id", "embedding", "bound", F.explode("cells").alias("cell")))
     found = first.select("query_id", "vec_id", "score").unionByName(later)  # of disjoint cells
     return best(found).select("query_id", "rank", "vec_id", "score")
