@@ -93,7 +93,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd base, modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -108,13 +109,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 def prefix(values: np.ndarray) -> np.ndarray:
     """Running sums of values times powers of an odd base, modulo 2**64; spans() reads the hash of any span from them."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(_ODD, len(values)), out=out[1:])
+    np.cumsum(values * powers(_ODD, len(values)), out=out[1:])
     return out
 
 
 def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [start, end), equal for equal contents wherever they stand."""
-    return mix((pre[end] - pre[start]) * _powers(_INV, len(pre))[start])
+    return mix((pre[end] - pre[start]) * powers(_INV, len(pre))[start])
 
 
 def _table(lower: bool) -> np.ndarray:

@@ -7,12 +7,13 @@ together by damped AdaGrad on whole texts. A misspelling that was never seen sti
 embedding, with the words it came from. A feature that stands in n texts of the sample counts n / (n + `MIN_DOCS`), at every
 size of the sample, so rare ones weigh little and none is dropped.
 
-Labels are taken from a sample of at most `SAMPLE` rows of each class (the smallest hashes of doc_id), which bounds the
-driver's work; texts of the sample are reduced to bucket counts on the executors. A fifth of the sample sets the
-softmax's scale and bias, weighted by the square roots of the class shares of all labelled rows. As the model is linear after averaging,
-scoring needs one number for each bucket; every byte of every text counts.
+Labels are taken from a sample of at most `SAMPLE` rows of each class (the smallest hashes of doc_id), and of a sampled text at most
+`BAG` distinct features (the smallest hashes, with their shares scaled up to the whole), so the one task that trains holds 330 MB of features at
+most, whatever the texts. Texts of the sample are reduced to bucket counts on the executors. A fifth of the sample, and one row for each class
+at its mean score, set the softmax's scale and bias, weighted by the square roots of the class shares of all labelled rows; the rule is the same
+for any number of labels. As the model is linear after averaging, scoring needs one number for each bucket; every byte of every text counts.
 
-Defined results: null and empty texts have no features and get the prior's score; rows labelled null are not learned
+Defined results: very long texts are scored whole, with some 60 bytes for each byte of the longest; null and empty texts have no features and get the prior's score; rows labelled null are not learned
 from; of several labels of a document the largest counts; without both classes every score is the observed share;
 repeated rows are scored alike; extra columns are kept by `keep_clean` and ignored elsewhere.
 """
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, crc_mod, stash
+from .common import buffers, chunks, crc_mod, mix, powers, stash
 
 BITS, NGRAMS, DIM, PAD = 18, (4, 5), 4, 50
 #: Rows of classes 0 and 1 learned from at most.
 SAMPLE = (3000, 2000)
+#: Distinct features of a sampled text that are learned from at most.
+BAG = 1 << 13
 MIN_DOCS, STEPS, RATE, DAMP = 5, 60, 30.0, 1e4
 _RNG = np.random.default_rng(977)
 _OFFSETS = _RNG.integers(0, 1 << 63, (max(NGRAMS), 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,26 +63,15 @@ def features(data: np.ndarray, off: np.ndarray):
             at = np.flatnonzero(at)
             kinds.append((at, _bucket(h[at], k + 1)))
     # whole words: sums of position-weighted values between borders
-    run = np.cumsum(_OFFSETS[0][buf] * inner * _weights(len(buf)))
+    run = np.cumsum(_OFFSETS[0][buf] * inner * powers(_BASE, len(buf)))
     first = np.flatnonzero(inner[1:] & ~inner[:-1]) + 1
     last = np.flatnonzero(inner[:-1] & ~inner[1:])
-    kinds.append((first, _bucket((run[last] - run[first - 1]) * _inverse(len(buf))[first], 1)))
+    kinds.append((first, _bucket((run[last] - run[first - 1]) * powers(_INVERSE, len(buf))[first], 1)))
     return kinds, ends
 
 
 _BASE = 0x5851F42D4C957F2D
-
-
-def _weights(n: int) -> np.ndarray:
-    w = np.full(n, np.uint64(_BASE))
-    w[0] = 1
-    return np.multiply.accumulate(w)
-
-
-def _inverse(n: int) -> np.ndarray:
-    w = np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))
-    w[0] = 1
-    return np.multiply.accumulate(w)
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
@@ -140,6 +132,7 @@ def fit(docs_of: np.ndarray, buckets: np.ndarray, shares: np.ndarray, labels: np
     some, at_doc = np.unique(docs_of, return_index=True)
     rng = np.random.default_rng(seed)
     tune = rng.random(len(labels)) < 0.2
+    tune[[int(np.flatnonzero(labels == y)[0]) for y in (0, 1)]] = False
     e = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     w[:, 1] = -w[:, 0]
@@ -172,8 +165,9 @@ def fit(docs_of: np.ndarray, buckets: np.ndarray, shares: np.ndarray, labels: np
             v -= rate * grad / np.sqrt(acc + 1e-20)
     x = forward()
     z = x @ (w[:, 1] - w[:, 0])
-    check = tune if min(np.bincount(labels[tune], minlength=2)) >= 20 else np.ones(len(labels), bool)
-    slope, at = _calibrated(z[check].astype(np.float64), labels[check], prior)
+    rest = [z[(labels == y) & ~tune] for y in (0, 1)]  # at least one row of each class is trained on
+    z_check = np.append(z[tune], [r.mean() for r in rest]).astype(np.float64)
+    slope, at = _calibrated(z_check, np.append(labels[tune], [0, 1]), prior)
     emb = np.zeros((1 << BITS, DIM), np.float32)
     emb[used] = e * scale[:, None]
     return Model(emb, (w * slope).astype(np.float32), np.array([0.0, at], np.float32))
@@ -186,8 +180,12 @@ def _bags(texts) -> tuple[list[np.ndarray], list[np.ndarray]]:
     for k in range(len(off) - 1):
         kinds, _ = features(data[off[k] : off[k + 1]], off[k : k + 2] - off[k])
         b, n = np.unique(np.concatenate([x for _, x in kinds]), return_counts=True)
+        total, all_ = n.sum() + PAD, n.sum()
+        if len(b) > BAG:
+            keep = np.sort(np.argsort(mix(b.astype(np.uint64) + np.uint64(1)), kind="stable")[:BAG])
+            b, n = b[keep], n[keep] * (all_ / n[keep].sum())
         where.append(b)
-        share.append((n / (n.sum() + PAD)).astype(np.float32))
+        share.append((n / total).astype(np.float32))
     return where, share
 
 
