@@ -18,11 +18,13 @@ With kappa, the perturbed value that comes after the k-th, a path of log-probabi
 
 Defined results: null and empty texts have one segmentation, of no pieces; texts with fewer than k segmentations give all of
 them, once each; repeated rows give equal samples; a null key seeds like 0; an empty table gives no rows; extra columns are
-ignored by `encode`.
+ignored by `encode`. Very long texts are encoded whole: lattices are made for `_CHARS` characters at a time, and of a stretch that
+nothing cuts one number for each character is kept, so a task needs some 40 bytes for each character of its longest text.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, mix, prefix, spans
 
+#: The default of `model_file`, a path on the driver, which alone reads it; the pieces are broadcast.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, SEED = 2, 20
 #: Longer stretches are walked one by one.
@@ -54,72 +57,103 @@ def spelled(vocab: list[tuple[str, int]]) -> list[bytes]:
 
 
 class Lattice:
-    """The lattice of one stretch, for what is done stretch by stretch. For each position its arcs (value, size, mass of the paths through the arc, relative to the position). A path is the tuple of its arcs' sizes."""
-
-    def __init__(self, s: str, vocab: "Pieces"):
-        n = len(s)
-        self.arcs: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
-        logs = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            found, node, j = [], vocab.trie.get(s[i]), i
-            if node is None or "" not in node:
-                found.append((vocab.fallback(ord(s[i])), 1, math.log(vocab.least) + logs[i + 1]))
-            while node is not None:
-                j += 1
-                if "" in node:
-                    found.append((node[""], j - i, math.log(vocab.weight[node[""]]) + logs[j]))
-                node = node.get(s[j]) if j < n else None
-            top = max([x[2] for x in found])
-            logs[i] = top + math.log(sum([math.exp(x[2] - top) for x in found]))
-            self.arcs[i] = [(v, size, math.exp(w - logs[i])) for v, size, w in found]
-
-    def several(self) -> bool:
-        return any(len(a) > 1 for a in self.arcs)
-
-    def walk(self, uniform) -> tuple[list[int], list[int], float]:
-        """Positions, values and log-probability of a path; uniform(position) gives the numbers that choose it."""
-        at, values, i, log_p = [], [], 0, 0.0
-        while i < len(self.arcs):
-            arcs = self.arcs[i]
-            u, k = (uniform(i) if len(arcs) > 1 else 0.0), 0
-            while k < len(arcs) - 1 and u >= arcs[k][2]:
-                u -= arcs[k][2]
-                k += 1
-            v, size, p = arcs[k]
-            at.append(i)
-            values.append(v)
-            log_p += math.log(p)
-            i += size
-        return at, values, log_p
-
-    def probability(self, path) -> float:
-        i, p = 0, 1.0
-        for size in path:
-            p *= next(a[2] for a in self.arcs[i] if a[1] == size)
-            i += size
-        return p
-
-    def other(self, taken: list[tuple], uniform) -> tuple[list[int], list[int], float]:
-        """Like walk, but a path drawn from all but those taken."""
-        rest = [(tuple(t), self.probability(t)) for t in taken]  # with the probability of what is left of each
-        at, values, i, log_p = [], [], 0, 0.0
-        while i < len(self.arcs):
-            arcs = self.arcs[i]
-            masses = [max(0.0, p - sum([q for t, q in rest if t[0] == size])) for _, size, p in arcs]
-            total = sum(masses)
-            if total <= 0:
-                masses, total = [a[2] for a in arcs], 1.0
-            u, k = uniform(i) * total, 0
-            while k < len(arcs) - 1 and u >= masses[k]:
-                u -= masses[k]
-                k += 1
-            v, size, p = arcs[k]
-            rest = [(t[1:], q / p) for t, q in rest if t[0] == size and len(t) > 1]
-            at.append(i)
-            values.append(v)
-            log_p += math.log(p)
-            i += size
-        return at, values, log_p
+    """The lattice of one stretch, read in blocks of positions. A path is the sequence of its arcs' sizes.
+
+    block(i) gives the positions [lo, hi) around i and, for them, offsets of positions into arcs, and the arcs' values, sizes and shares
+    of the mass of the paths from their position on.
+    """
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def block(self, i: int) -> tuple[int, int, list, list, list, list]:
+        raise NotImplementedError
+
+    def walk(self, uniform, pick: np.ndarray) -> float:
+        """Draws a path: its values go to pick, by position; its log-probability is returned. uniform(positions) gives the numbers that choose."""
+        return self._drawn([], uniform, pick)
+
+    def other(self, taken: list, uniform, pick: np.ndarray) -> float:
+        """Like walk, but a path drawn from all but those taken, which are given with their log-probabilities."""
+        return self._drawn([[t, 0, q] for t, q in taken], uniform, pick)
+
+    def _drawn(self, rest: list, uniform, pick: np.ndarray) -> float:
+        # rest: the taken paths that begin like this one, how far along they are, and the log-probability of what is left of each
+        i, hi, log_p = 0, 0, 0.0
+        while i < self.n:
+            if i >= hi:
+                lo, hi, off, value, size, share = self.block(i)
+                numbers = uniform(np.arange(lo, hi)).tolist()
+            a, last, u = off[i - lo], off[i - lo + 1] - 1, numbers[i - lo]
+            if rest:
+                masses = [max(0.0, share[x] - sum([math.exp(q) for t, k, q in rest if t[k] == size[x]])) for x in range(a, last + 1)]
+                total = sum(masses)
+                if total <= 0:
+                    masses, total = share[a : last + 1], 1.0
+                u, k = u * total, 0
+                while k < len(masses) - 1 and u >= masses[k]:
+                    u -= masses[k]
+                    k += 1
+                a += k
+                rest = [[t, k + 1, q - math.log(share[a])] for t, k, q in rest if t[k] == size[a] and k + 1 < len(t)]
+            else:
+                while a < last and u >= share[a]:
+                    u -= share[a]
+                    a += 1
+            pick[i] = value[a]
+            log_p += math.log(share[a])
+            i += size[a]
+        return log_p
+
+
+class Ready(Lattice):
+    """A short stretch, whose arcs are at hand."""
+
+    def __init__(self, off: list, value: list, size: list, share: list):
+        super().__init__(len(off) - 1)
+        self.arcs = (0, self.n, off, value, size, share)
+
+    def block(self, i: int) -> tuple[int, int, list, list, list, list]:
+        return self.arcs
+
+
+class Long(Lattice):
+    """A long stretch: one logarithm is kept for each position, arcs are made again for `BLOCK` positions at a time."""
+
+    BLOCK = 4096
+
+    def __init__(self, cp: np.ndarray, pieces: "Pieces"):
+        super().__init__(len(cp))
+        self.cp, self.pieces = cp, pieces
+        self.logs, scale = np.zeros(self.n + 1), 0.0
+        ahead = [1.0] + [0.0] * pieces.longest  # masses of the positions that follow, relative to exp(scale)
+        for lo in range((self.n - 1) // self.BLOCK * self.BLOCK, -1, -self.BLOCK):
+            off, _, size, weight = self._arcs(lo, min(lo + self.BLOCK, self.n))
+            off, size, weight, m = off.tolist(), size.tolist(), weight.tolist(), len(off) - 1
+            mass, logs = [0.0] * m + ahead, [0.0] * m
+            for i in range(m - 1, -1, -1):
+                total = 0.0
+                for a in range(off[i], off[i + 1]):
+                    total += weight[a] * mass[i + size[a]]
+                if total < 1e-150:
+                    mass[i + 1 : i + 1 + pieces.longest] = [x / total for x in mass[i + 1 : i + 1 + pieces.longest]]
+                    scale, total = scale + math.log(total), 1.0
+                mass[i], logs[i] = total, math.log(total) + scale
+            self.logs[lo : lo + m] = logs
+            ahead = mass[: pieces.longest + 1]
+
+    def _arcs(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets of the positions [lo, hi) into arcs, and the arcs' values, sizes and weights."""
+        begin, size, value, weight = self.pieces.matches(self.cp, np.arange(lo, hi), np.full(hi - lo, self.n))
+        order = np.argsort(begin, kind="stable")  # found by growing size
+        return np.append(0, np.cumsum(np.bincount(begin - lo, minlength=hi - lo))), value[order], size[order], weight[order]
+
+    def block(self, i: int) -> tuple[int, int, list, list, list, list]:
+        hi = min(i + self.BLOCK, self.n)
+        off, value, size, weight = self._arcs(i, hi)
+        at = np.repeat(np.arange(i, hi), np.diff(off))
+        share = weight * np.exp(self.logs[at + size] - self.logs[at])
+        return i, hi, off.tolist(), value.tolist(), size.tolist(), share.tolist()
 
 
 _EMPTY = np.uint64((1 << 64) - 1)
@@ -128,16 +162,17 @@ _SLOT_BITS = 19
 
 
 class Pieces:
-    """A vocabulary: weights, a trie (as nested dicts, and as a hash table of (state, character) for arrays), and the cut into stretches."""
+    """A vocabulary: weights, a trie (as a hash table of (state, character), for arrays), and the cut into stretches."""
 
     def __init__(self, vocab: list[tuple[str, int]]):
         ranked = [i for i, (_, kind) in enumerate(vocab) if kind == 0]
         raw = {i: 1 / (r + 2.7) for r, i in enumerate(ranked)}
         norm = sum(raw.values())
-        self.weight = {i: w / norm for i, w in raw.items()}
-        self.least = min(self.weight.values())
+        weight = {i: w / norm for i, w in raw.items()}
+        self.least = min(weight.values())
         self.bytes_of = [0] * 256
-        self.trie: dict = {}
+        trie: dict = {}
+        self.longest = 1
         inner: set[str] = set()
         self.apart = True  # whether no piece goes on to a blank after something else
         for i, (piece, kind) in enumerate(vocab):
@@ -145,7 +180,8 @@ class Pieces:
                 self.bytes_of[int(piece[3:5], 16)] = i
             elif kind == 0:
                 key = piece.replace("▁", " ")
-                node = self.trie
+                self.longest = max(self.longest, len(key))
+                node = trie
                 for c in key:
                     node = node.setdefault(c, {})
                 node[""] = i
@@ -157,7 +193,7 @@ class Pieces:
         self.kinds[[ord(c) for c in inner]] = 1
         self.kinds[32] = 0
         keys, nexts, self.term = [], [], [-1]
-        queue = [(self.trie, 0)]
+        queue = [(trie, 0)]
         for node, state in queue:
             for c, child in node.items():
                 if c:
@@ -166,8 +202,8 @@ class Pieces:
                     self.term.append(child.get("", -1))
                     queue.append((child, len(self.term) - 1))
         self.term = np.array(self.term, np.int32)
-        self.value = np.array([self.weight.get(int(i), 0.0) for i in self.term])
-        self.bytes_at = np.array(self.bytes_of, np.int64)
+        self.value = np.array([weight.get(int(i), 0.0) for i in self.term])
+        self.bytes_at = np.array(self.bytes_of, np.int32)
         self.keys, self.nexts = np.full(1 << _SLOT_BITS, _EMPTY), np.zeros(1 << _SLOT_BITS, np.int32)
         keys, nexts = np.array(keys, np.uint64), np.array(nexts, np.int32)
         slot = (keys * _ODD) >> np.uint64(64 - _SLOT_BITS)
@@ -180,10 +216,6 @@ class Pieces:
             left[put] = False
             keys, nexts, slot = keys[left], nexts[left], (slot[left] + np.uint64(1)) & np.uint64((1 << _SLOT_BITS) - 1)
 
-    def fallback(self, cp: int) -> int:
-        """The value of a character that is no piece: a byte piece, or a mark for several."""
-        return self.bytes_of[cp] if cp < 128 else -2 - cp
-
     def step(self, states: np.ndarray, cps: np.ndarray) -> np.ndarray:
         """Next states, or -1."""
         key = (states.astype(np.uint64) << np.uint64(21)) | cps.astype(np.uint64)
@@ -199,6 +231,31 @@ class Pieces:
             again = again[~hit & (have != _EMPTY)]
         return out
 
+    def matches(self, cp: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The arcs that begin at positions of cp and do not pass their ends: begins, sizes, values (a byte piece, or a mark for several, for a character that is no piece) and weights; by growing size."""
+        begin, size, value, weight = [], [], [], []
+
+        def found(b: np.ndarray, d: int, v: np.ndarray, w: np.ndarray) -> None:
+            for x, y in ((begin, b), (size, np.full(len(b), d, np.int32)), (value, v), (weight, w)):
+                x.append(y)
+
+        states = self.step(np.zeros(len(at), np.int64), cp[at])
+        plain = at[(states < 0) | (self.term[states] < 0)]
+        c = cp[plain].astype(np.int32)
+        found(plain, 1, np.where(c < 128, self.bytes_at[np.minimum(c, 255)], -2 - c), np.full(len(plain), self.least))
+        d = 1
+        while len(at):
+            ok = states >= 0
+            at, end, states = at[ok], end[ok], states[ok]
+            done = self.term[states] >= 0
+            ended = states[done]
+            found(at[done], d, self.term[ended], self.value[ended])
+            more = at + d < end
+            at, end, states = at[more], end[more], states[more]
+            states = self.step(states, cp[at + d])
+            d += 1
+        return tuple(np.concatenate(x) for x in (begin, size, value, weight))
+
     def ids(self, values: np.ndarray) -> np.ndarray:
         """Piece ids of values, with marks spelled in bytes."""
         if not len(values) or values.min() >= 0:
@@ -209,90 +266,42 @@ class Pieces:
         return np.array(out, np.int32)
 
 
-class Chunk:
-    """Texts joined to one array of characters, with all their short stretches' lattices as arrays.
-
-    Numbers that choose come from a hash of (key of the text, sample, place in the text), so they do not depend on what else is in the chunk.
-    """
+class Segment:
+    """The stretches [t0, t1) of a chunk, with the lattices of the short ones as arrays; positions count from the segment's first character."""
 
-    def __init__(self, texts: list[str | None], keys: np.ndarray, pieces: Pieces, seed: int):
-        self.pieces = pieces
-        joined = "".join([" " + t if t else "" for t in texts])
-        self.cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        self.joined, n = joined, len(self.cp)
-        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
-        self.doc_at = np.append(0, np.cumsum(size))
-        self.key = mix(keys.astype(np.uint64) * _ODD + np.uint64(seed))
-        self.doc = np.repeat(np.arange(len(texts)), size)
-        kind = pieces.kinds[self.cp]
-        first = np.zeros(n, bool)
-        first[self.doc_at[:-1][size > 0]] = True
-        if pieces.apart and n:
-            first[1:] |= (kind[1:] == 2) | (kind[:-1] == 2) | ((kind[1:] == 0) & (kind[:-1] != 0))
-        self.start = np.flatnonzero(first)
-        self.end = np.append(self.start[1:], n)
-        self.of = np.cumsum(first) - 1
-        self.stretch_at = np.searchsorted(self.start, self.doc_at)
+    def __init__(self, chunk: "Chunk", t0: int, t1: int):
+        self.pieces, self.t0 = chunk.pieces, t0  # not the chunk, which would be a cycle that holds arrays until it is found
+        self.base = int(chunk.start[t0])
+        self.start, self.end = chunk.start[t0:t1] - self.base, chunk.end[t0:t1] - self.base
+        self.cp = chunk.cp[self.base : self.base + int(self.end[-1])]
+        self.of = np.repeat(np.arange(t1 - t0, dtype=np.int32), self.end - self.start)
         self.long = self.end - self.start > _SHORT
-        self._equals(n)
-        self._arcs(n)
+        self.made: tuple[int, Long | None] = (-1, None)  # the last long lattice
+        self._equals()
+        self._arcs()
 
-    def uniform(self, at: np.ndarray, sample: int, use: int) -> np.ndarray:
-        """Numbers in (0, 1) for places of the chunk."""
-        d = self.doc[at]
-        return self._hashed(self.key[d], at - self.doc_at[d], sample, use)
-
-    def _hashed(self, key: np.ndarray, place: np.ndarray, sample: int, use: int) -> np.ndarray:
-        h = mix(key + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((sample * 0x2545F4914F6CDD1D + use * 0x61C8864680B583EB) & 0xFFFFFFFFFFFFFFFF))
-        return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
-
-    def _equals(self, n: int) -> None:
+    def _equals(self) -> None:
         """Equal stretches share the lattice of the first of them, which stands `shift` characters away."""
-        t = np.arange(len(self.start))
+        t, n = np.arange(len(self.start)), len(self.cp)
         pre = prefix(mix(self.cp.astype(np.uint64) + np.uint64(1)))
         _, first, which = np.unique(spans(pre, self.start, self.end), return_index=True, return_inverse=True)
-        model = first[which] if len(t) else t
-        model[self.end - self.start != (self.end - self.start)[model]] = -1
-        model = np.where(model < 0, t, model)
+        model = first[which]
+        model = np.where(self.end - self.start == (self.end - self.start)[model], model, t)
         shift = self.start[model] - self.start
-        wrong = self.cp != self.cp[np.arange(n) + shift[self.of]] if n else np.zeros(0, bool)
+        wrong = self.cp != self.cp[np.arange(n) + shift[self.of]]
         if wrong.any():  # equal hashes of unequal stretches
             model[self.of[wrong]] = self.of[wrong]
             shift = self.start[model] - self.start
         self.shift, self.own = shift, model == t
 
-    def _arcs(self, n: int) -> None:
-        p, send = self.pieces, self.end[self.of] if n else np.zeros(0, np.int64)
-        at = np.flatnonzero((self.own & ~self.long)[self.of]) if n else np.zeros(0, np.int64)
-        states = p.step(np.zeros(len(at), np.int64), self.cp[at])
-        begin, reach, value, weight, rank = [], [], [], [], []
-        n_arcs = np.zeros(n, np.int32)  # of each position so far
-
-        def found(at: np.ndarray, size: int, values: np.ndarray, weights: np.ndarray) -> None:
-            for x, y in ((begin, at), (reach, at + size), (value, values), (weight, weights), (rank, n_arcs[at])):
-                x.append(y)
-            n_arcs[at] += 1
-
-        plain = at[(states < 0) | (p.term[states] < 0)]
-        c = self.cp[plain].astype(np.int64)
-        found(plain, 1, np.where(c < 128, p.bytes_at[np.minimum(c, 255)], -2 - c), np.full(len(plain), p.least))
-        d = 1
-        while len(at):
-            ok = states >= 0
-            at, states = at[ok], states[ok]
-            done = p.term[states] >= 0
-            ended = states[done]
-            found(at[done], d, p.term[ended].astype(np.int64), p.value[ended])
-            more = at + d < send[at]
-            at, states = at[more], states[more]
-            states = p.step(states, self.cp[at + d])
-            d += 1
-        self.off = np.append(0, np.cumsum(n_arcs, dtype=np.int64))
-        begin, rank = np.concatenate(begin), np.concatenate(rank)
-        order = np.empty(len(begin), np.int64)
-        order[self.off[begin] + rank] = np.arange(len(begin))
-        self.reach, self.value, weight = (np.concatenate(x)[order] for x in (reach, value, weight))
-        begin = begin[order]
+    def _arcs(self) -> None:
+        n, send = len(self.cp), self.end[self.of]
+        at = np.flatnonzero((self.own & ~self.long)[self.of])
+        begin, size, value, weight = self.pieces.matches(self.cp, at, send[at])
+        order = np.argsort(begin, kind="stable")  # found by growing size
+        begin, size, self.value, weight = begin[order], size[order], value[order], weight[order]
+        self.off = np.append(0, np.cumsum(np.bincount(begin, minlength=n)))
+        self.reach = begin + size
         # masses, from the ends of stretches backwards
         left = (send[begin] - begin).astype(np.int16)
         by_left = np.argsort(left, kind="stable")
@@ -308,8 +317,8 @@ class Chunk:
                 new = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
                 mass[b[new]] = np.add.reduceat(m, new)
         self.p = arc_mass / mass[begin]
-        # running sums inside each position, arc by arc, so that they do not depend on the rest of the chunk
-        self.run, rank = self.p.copy(), rank[order]
+        # running sums inside each position, arc by arc, so that they do not depend on the rest of the segment
+        self.run, rank = self.p.copy(), np.arange(len(begin)) - self.off[begin]
         a = np.flatnonzero(rank == 1)
         while len(a):
             self.run[a] += self.run[a - 1]
@@ -317,14 +326,25 @@ class Chunk:
             a = a[rank[a] > 1]
 
     def lattice(self, t: int) -> Lattice:
-        return Lattice(self.joined[self.start[t] : self.end[t]], self.pieces)
-
-    def draw(self, which: np.ndarray, sample: int, pick: np.ndarray, logs: np.ndarray) -> None:
-        """Draws paths for stretches: values to pick by position, log-probabilities to logs by stretch."""
+        """Of stretch t of the chunk."""
+        t -= self.t0
+        a, b = int(self.start[t]), int(self.end[t])
+        if self.long[t]:
+            if self.made[0] != t:
+                self.made = (t, Long(self.cp[a:b], self.pieces))
+            return self.made[1]
+        a, b = a + int(self.shift[t]), b + int(self.shift[t])
+        lo, hi = self.off[a], self.off[b]
+        size = self.reach[lo:hi] - np.repeat(np.arange(a, b), np.diff(self.off[a : b + 1]))
+        return Ready((self.off[a : b + 1] - lo).tolist(), self.value[lo:hi].tolist(), size.tolist(), self.p[lo:hi].tolist())
+
+    def draw(self, chunk: "Chunk", which: np.ndarray, sample: int, pick: np.ndarray, logs: np.ndarray) -> None:
+        """Draws paths for stretches of the chunk: values to pick by position, log-probabilities to logs by stretch."""
+        which = which - self.t0
+        pick, logs = pick[self.base : self.base + len(self.cp)], logs[self.t0 : self.t0 + len(self.start)]
         for t in which[self.long[which]].tolist():
             a = int(self.start[t])
-            at, values, logs[t] = self.lattice(t).walk(lambda i, a=a: float(self.uniform(np.array([a + i]), sample, 0)[0]))
-            pick[a + np.array(at)] = values
+            logs[t] = self.lattice(t + self.t0).walk(lambda at, a=a: chunk.uniform(self.base + a + at, sample, 0), pick[a : int(self.end[t])])
         which = which[~self.long[which]]
         cur, logs[which] = self.start[which], 0.0
         while len(cur):
@@ -332,7 +352,7 @@ class Chunk:
             a, last = self.off[cur + shift], self.off[cur + shift + 1] - 1
             go = np.flatnonzero(a < last)
             if len(go):
-                u = self.uniform(cur[go], sample, 0)
+                u = chunk.uniform(self.base + cur[go], sample, 0)
                 while len(go):
                     keep = u >= self.run[a[go]]
                     go, u = go[keep], u[keep]
@@ -345,10 +365,64 @@ class Chunk:
             keep = cur < self.end[which]
             cur, which = cur[keep], which[keep]
 
-    def path(self, pick: np.ndarray, t: int) -> tuple:
+
+class Chunk:
+    """Texts joined to one array of characters, cut into stretches, whose lattices are made segment by segment.
+
+    Numbers that choose come from a hash of (key of the text, sample, place in the text), so they do not depend on what else is in the chunk.
+    """
+
+    def __init__(self, texts: list[str | None], keys: np.ndarray, pieces: Pieces, seed: int, segment: int | None = None):
+        self.pieces = pieces
+        self.cp = np.frombuffer("".join([" " + t if t else "" for t in texts]).encode("utf-32-le"), np.uint32)
+        n = len(self.cp)
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        self.doc_at = np.append(0, np.cumsum(size))
+        self.key = mix(keys.astype(np.uint64) * _ODD + np.uint64(seed))
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        kind = pieces.kinds[self.cp]
+        first = np.zeros(n, bool)
+        first[self.doc_at[:-1][size > 0]] = True
+        if pieces.apart and n:
+            first[1:] |= (kind[1:] == 2) | (kind[:-1] == 2) | ((kind[1:] == 0) & (kind[:-1] != 0))
+        self.start = np.flatnonzero(first)
+        self.end = np.append(self.start[1:], n)
+        self.stretch_at = np.searchsorted(self.start, self.doc_at)
+        self.cuts = [0]  # of stretches into segments
+        while self.cuts[-1] < len(self.start):
+            t = int(np.searchsorted(self.end, self.start[self.cuts[-1]] + (segment or _CHARS), "right"))
+            self.cuts.append(max(t, self.cuts[-1] + 1))
+        self.last: tuple[int, Segment | None] = (-1, None)
+
+    def segment(self, s: int) -> Segment:
+        """Segment s; the last one asked for is kept."""
+        if self.last[0] != s:
+            self.last = (-1, None)
+            self.last = (s, Segment(self, self.cuts[s], self.cuts[s + 1]))
+        return self.last[1]
+
+    def lattice(self, t: int) -> Lattice:
+        return self.segment(bisect.bisect_right(self.cuts, t) - 1).lattice(t)
+
+    def draw(self, which: np.ndarray, sample: int, pick: np.ndarray, logs: np.ndarray) -> None:
+        at = np.searchsorted(which, self.cuts)
+        for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            if a < b:
+                self.segment(s).draw(self, which[a:b], sample, pick, logs)
+
+    def uniform(self, at: np.ndarray, sample: int, use: int) -> np.ndarray:
+        """Numbers in (0, 1) for places of the chunk."""
+        d = self.doc[at]
+        return self._hashed(self.key[d], at - self.doc_at[d], sample, use)
+
+    def _hashed(self, key: np.ndarray, place: np.ndarray, sample: int, use: int) -> np.ndarray:
+        h = mix(key + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((sample * 0x2545F4914F6CDD1D + use * 0x61C8864680B583EB) & 0xFFFFFFFFFFFFFFFF))
+        return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+    def path(self, pick: np.ndarray, t: int) -> list[int]:
         """Sizes of the arcs chosen in stretch t."""
         at = np.flatnonzero(pick[self.start[t] : self.end[t]] != -1)
-        return tuple(np.diff(np.append(at, self.end[t] - self.start[t])).tolist())
+        return np.diff(np.append(at, self.end[t] - self.start[t])).tolist()
 
     def top_k(self, k: int):
         """For each text, up to k (ids, log-probability, perturbed value, inclusion probability), best first."""
@@ -360,7 +434,7 @@ class Chunk:
         fronts: list[dict] = []
         live, from_ = np.ones(n_docs, bool), np.zeros(n_docs, np.int64)  # from_: the first stretch that a text's new path draws afresh
         from_[:] = self.stretch_at[:-1]
-        pick, logs = np.full(len(self.cp), -1, np.int64), np.zeros(n_str)
+        pick, logs = np.full(len(self.cp), -1, np.int32), np.zeros(n_str)
         self.draw(np.arange(n_str), 1, pick, logs)
         taken: dict[tuple[int, int], list] = {}
         for r in range(1, k + 1):
@@ -390,7 +464,7 @@ class Chunk:
             live = live & (value > -np.inf)
             if r == k or not live.any():
                 break
-            pick, logs, from_ = np.full(len(self.cp), -1, np.int64), np.zeros(n_str), np.full(n_docs, n_str)
+            pick, logs, from_ = np.full(len(self.cp), -1, np.int32), np.zeros(n_str), np.full(n_docs, n_str)
             fresh = []
             for d in np.flatnonzero(live).tolist():
                 f, (lo, hi) = int(of[d]), parts[d]
@@ -398,12 +472,11 @@ class Chunk:
                 t = lo + int(np.argmax(x["top"][lo:hi]))
                 a, b = int(self.doc_at[d]), int(self.start[t])
                 pick[a:b], logs[lo:t] = x["pick"][a:b], x["logs"][lo:t]
-                gone = taken.setdefault((f, t), [self.path(x["pick"], t)])
+                gone = taken.setdefault((f, t), [(self.path(x["pick"], t), float(x["logs"][t]))])
                 lattice = self.lattice(t)
-                at, values, logs[t] = lattice.other(gone, lambda i, b=b: float(self.uniform(np.array([b + i]), r + 1, 3)[0]))
-                pick[b + np.array(at)] = values
-                gone.append(self.path(pick, t))
-                rest = 1 - sum(lattice.probability(p) for p in gone)
+                logs[t] = lattice.other(gone, lambda at, b=b: self.uniform(b + at, r + 1, 3), pick[b : int(self.end[t])])
+                gone.append((self.path(pick, t), float(logs[t])))
+                rest = 1 - sum(math.exp(q) for _, q in gone)
                 x["top"][t] = -np.inf
                 if rest > 1e-12:
                     noise = math.log(-math.log(float(self.uniform(np.array([b]), r + 1, 4)[0])))
@@ -420,26 +493,42 @@ class Chunk:
 
 
 _ENCODED = "doc_id bigint, rank int, pieces array<int>, log_prob double, perturbed double, inclusion double"
-_CHARS = 1 << 19
+#: Characters of texts (a longer text alone) and of segments that are worked on at once.
+_CHARS = 1 << 17
+
+
+def _sampled(batch: pa.RecordBatch, pieces: Pieces, k: int, seed: int):
+    """Rows of _ENCODED for (key, text) rows."""
+    size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()))
+    for i, j in chunks(size, _CHARS):
+        keys = batch.column(0).slice(i, j - i)
+        c = Chunk(batch.column(1).slice(i, j - i).to_pylist(), pc.fill_null(keys, 0).to_numpy().astype(np.int64).view(np.uint64), pieces, seed)
+        rows = [(key, r, *x) for key, found in zip(keys.to_pylist(), c.top_k(k), strict=True) for r, x in enumerate(found, 1)]
+        off = np.append(0, np.cumsum([len(r[2]) for r in rows])).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([r[2] for r in rows])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists, *(pa.array([float(r[x]) for r in rows]) for x in (3, 4, 5))], ["doc_id", "rank", "pieces", "log_prob", "perturbed", "inclusion"])
+
+
+def _decoded(ids, raw: list[bytes]) -> pa.Array:
+    """The texts of a column of lists of piece ids."""
+    out = []
+    for x in ids:
+        x = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
+        out.append(b"".join([raw[i] for i in x])[1:].decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
 
 
-def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_file: str = MODEL) -> DataFrame:
-    """Up to k sampled segmentations of each text, seeded by doc_id."""
+def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_file: str = MODEL, decoded: bool = False) -> DataFrame:
+    """Up to k sampled segmentations of each text, seeded by doc_id; with `decoded`, also the text that each is decoded to, by the same Python worker."""
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(vocabulary(model_file)))  # the vocabulary file's size bounds it
 
     def run(batches):
         pieces = shared.value
         for batch in batches:
-            size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()))
-            for i, j in chunks(size, _CHARS):
-                keys = batch.column(0).slice(i, j - i)
-                c = Chunk(batch.column(1).slice(i, j - i).to_pylist(), pc.fill_null(keys, 0).to_numpy().astype(np.int64).view(np.uint64), pieces, seed)
-                rows = [(key, r, *x) for key, found in zip(keys.to_pylist(), c.top_k(k), strict=True) for r, x in enumerate(found, 1)]
-                off = np.append(0, np.cumsum([len(r[2]) for r in rows])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([r[2] for r in rows])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists, *(pa.array([float(r[x]) for r in rows]) for x in (3, 4, 5))], ["doc_id", "rank", "pieces", "log_prob", "perturbed", "inclusion"])
+            for out in _sampled(batch, pieces, k, seed):
+                yield pa.RecordBatch.from_arrays([*out.columns, _decoded(out.column("pieces"), pieces.raw)], [*out.schema.names, "decoded"]) if decoded else out
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ENCODED)
+    return docs.select("doc_id", "text").mapInArrow(run, _ENCODED + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
@@ -449,17 +538,12 @@ def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     at = encoded.columns.index("pieces")
 
     def run(batches):
-        raw = shared.value
         for batch in batches:
-            out = []
-            for x in batch.column(at):
-                ids = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
-                out.append(b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(at), shared.value)], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit("")).schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), decoded=True)
     return out.select("doc_id", "rank", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"), "log_prob", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -142,7 +142,7 @@ def brute_hits(rows, items, size=13):
                 if w[k : k + len(p)] == p:
                     hit.update(range(k, k + len(p)))
                     met.add(item)
-        out.append((i, len(w), len(hit), len(met), sha(",".join(sorted(map(str, met)))), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((i, len(w), len(hit), len(met), sha(",".join(sorted(str(x) for x in met if x is not None))), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 

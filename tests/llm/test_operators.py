@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,14 +87,54 @@ def test_toxicity_of_odd_rows(spark, docs):
 
 
 def test_toxicity_ignores_how_texts_are_batched():
-    import pyarrow as pa
-
     rng = np.random.default_rng(0)
     m = toxicity.Model(rng.normal(size=(1 << toxicity.BITS, toxicity.DIM)).astype(np.float32), rng.normal(size=(toxicity.DIM, 2)).astype(np.float32), np.zeros(2, np.float32))
     t = pa.array(TEXTS)
     assert np.allclose(m.scores(t), np.concatenate([m.scores(t.slice(i, 1)) for i in range(len(TEXTS))]))
 
 
+def brute_bag(text):
+    """Counts of the buckets of a text's words and of the 4- and 5-grams of its words with their borders."""
+    bag, m64 = collections.Counter(), (1 << 64) - 1
+    table = [[int(x) for x in row] for row in toxicity._OFFSETS]
+
+    def bucket(h, kind):
+        h = (h ^ (h >> 31)) * ((0x9E3779B97F4A7C15 * (2 * kind + 1)) & m64) & m64
+        return h >> (64 - toxicity.BITS)
+
+    for w in bytes(toxicity._FOLD[list((text or "").encode())]).split(b" ") if text else []:
+        if not w:
+            continue
+        bag[bucket(sum(table[0][b] * pow(toxicity._BASE, i, 1 << 64) for i, b in enumerate(w)) & m64, 1)] += 1
+        edged = b" " + w + b" "
+        for n in toxicity.NGRAMS:
+            for i in range(len(edged) - n + 1):
+                bag[bucket(sum(table[k][b] for k, b in enumerate(edged[i : i + n])) & m64, n)] += 1
+    return bag
+
+
+def test_toxicity_against_brute_force():
+    texts = [t for t in TEXTS if len(t or "") < 3000] + ["Ab\x00cde ÀÉ f"]
+    where, shares = toxicity._bags(pa.array(texts))
+    rng = np.random.default_rng(4)
+    m = toxicity.Model(rng.normal(size=(1 << toxicity.BITS, toxicity.DIM)).astype(np.float32), rng.normal(size=(toxicity.DIM, 2)).astype(np.float32), np.array([0.1, 0.4], np.float32))
+    got = m.scores(pa.array(texts))
+    for t, b, s, score in zip(texts, where, shares, got, strict=True):
+        bag = brute_bag(t)
+        total = sum(bag.values()) + toxicity.PAD
+        assert dict(zip(b.tolist(), s.tolist(), strict=True)) == pytest.approx({k: n / total for k, n in bag.items()}, rel=1e-5)
+        z = sum(n * (m.emb[k].astype(float) @ m.out.astype(float)) for k, n in bag.items()) / total + m.bias
+        assert abs(1 / (1 + math.exp(z[0] - z[1])) - score) < 1e-4
+
+
+def test_bags_of_long_texts_are_bounded():
+    text = " ".join(str(n * 7919) for n in range(20_000))
+    where, shares = toxicity._bags(pa.array([text]))
+    bag = brute_bag(text)
+    assert len(bag) > len(where[0]) == toxicity.BAG and set(where[0].tolist()) <= set(bag)
+    assert shares[0].sum() == pytest.approx(1, abs=1e-3)
+
+
 # ---- 2 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -161,6 +202,23 @@ def test_repeats(spark, docs, block, nodes):
     assert phrases.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_automata_alone_locate(spark, docs, monkeypatch):
+    monkeypatch.setattr(phrases, "automata", lambda *_: [])
+    assert {r["n_removed"] for r in phrases.remove_repeats(docs).collect()} == {0}
+
+
+def test_phrases_are_spelled_once_and_whole(spark):
+    rng = random.Random(2)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(500))
+    docs = H.docs_of(spark, [text, text, "x " + text + " y", text])
+    out = phrases.remove_repeats(docs).collect()
+    assert sorted(r["n_removed"] for r in out) == [500] * 4
+    w = phrases.Windows(*phrases.buffers(pa.array([text])))
+    marks = pa.table({"b": pa.array([0] * len(set(w.anchor.tolist())), pa.int32()), "h": pa.array(np.unique(w.anchor).view(np.int64)), "single": [False] * len(set(w.anchor.tolist())), "chained": [True] * len(set(w.anchor.tolist()))})
+    spelled = phrases._spelled(35)(pa.table({"doc_id": [1, 2], "text": [text, text], "b": pa.array([0, 0], pa.int32())}), marks)
+    assert [x.as_py().decode() for x in spelled.column("phrase")] == [text]
+
+
 def test_repeats_of_random_texts(spark):
     rng = random.Random(8)
     base = [str(rng.randrange(50)) for _ in range(600)]
@@ -183,21 +241,39 @@ def vocab():
     return pieces.Pieces(pieces.vocabulary())
 
 
-def all_paths(vocab, text):
-    c = pieces.Chunk([text], np.zeros(1, np.uint64), vocab, 1)
-    out = {(): 1.0}
-    for t in range(len(c.start)):
-        lat = c.lattice(t)
+def weighted():
+    """Text pieces by spelling: (id, weight), as the docstring defines weights; and byte pieces' ids."""
+    words = [(p.replace("▁", " "), i) for i, (p, kind) in enumerate(pieces.vocabulary()) if kind == 0]
+    norm = sum(1 / (r + 2.7) for r in range(len(words)))
+    return {p: (i, 1 / (r + 2.7) / norm) for r, (p, i) in enumerate(words)}
+
+
+def all_paths(text):
+    """The law of all segmentations of a text of characters that are pieces."""
+    vocab, text = weighted(), " " + text
+
+    def rest(i):
+        if i == len(text):
+            return [((), 1.0)]
+        arcs = [(vocab[text[i:j]], j) for j in range(i + 1, len(text) + 1) if text[i:j] in vocab]
+        return [((v, *x), w * q) for (v, w), j in arcs for x, q in rest(j)]
 
-        def rest(i, lat=lat):
-            return [((), 1.0)] if i == len(lat.arcs) else [((v, *x), p * q) for v, size, p in lat.arcs[i] for x, q in rest(i + size)]
+    out = dict(rest(0))
+    total = sum(out.values())
+    return {p: w / total for p, w in out.items()}
 
-        out = {a + b: p * q for a, p in out.items() for b, q in rest(0)}
-    return out
+
+def log_total(text):
+    """Log of the weights of all segmentations of a text of characters that are pieces, by a sum over positions; and the vocabulary."""
+    vocab, text = weighted(), " " + text
+    logs = [0.0] * (len(text) + 1)
+    for i in range(len(text) - 1, -1, -1):
+        logs[i] = np.logaddexp.reduce([math.log(vocab[text[i:j]][1]) + logs[j] for j in range(i + 1, min(len(text), i + 20) + 1) if text[i:j] in vocab])
+    return logs[0], {i: math.log(w) for i, w in vocab.values()}
 
 
 def test_samples_follow_the_law_without_replacement(vocab):
-    law = all_paths(vocab, "the in")
+    law = all_paths("the in")
     assert abs(sum(law.values()) - 1) < 1e-9
     n, k = 4000, 3
     first, total = collections.Counter(), collections.Counter()
@@ -214,13 +290,36 @@ def test_samples_follow_the_law_without_replacement(vocab):
 
 
 def test_exhausted_lattices(vocab):
-    law = all_paths(vocab, "a")
+    law = all_paths("a")
     (found,) = pieces.Chunk(["a"], np.zeros(1, np.uint64), vocab, 5).top_k(50)
     assert {tuple(f[0].tolist()) for f in found} == set(law) and all(f[3] == 1 for f in found)
 
 
+def test_long_stretches_follow_the_law(vocab):
+    text = "".join(random.Random(5).choice("etaoinshrdlu") for _ in range(9000))  # nothing cuts it; longer than a block
+    total, log_w = log_total(text)
+    (found,) = pieces.Chunk([text], np.zeros(1, np.uint64), vocab, 3).top_k(3)
+    assert len({tuple(f[0].tolist()) for f in found}) == 3
+    assert all(abs(sum(log_w[i] for i in f[0].tolist()) - total - f[1]) < 1e-6 for f in found)
+    short, n = text[:40], 3000
+    total, log_w = log_total(short)
+    got = [f for found in pieces.Chunk([short] * n, np.arange(n, dtype=np.uint64), vocab, 4).top_k(1) for f in found]
+    total_mass = {tuple(f[0].tolist()): math.exp(f[1]) for f in got}
+    seen = collections.Counter(tuple(f[0].tolist()) for f in got)
+    for path, p in sorted(total_mass.items(), key=lambda x: -x[1])[:3]:
+        assert abs(seen[path] / n - p) < 4 * math.sqrt(p / n) and abs(math.exp(sum(log_w[i] for i in path) - total) - p) < 1e-9
+
+
+def test_samples_do_not_depend_on_segments(vocab):
+    texts = [TEXTS[9], None, "".join(random.Random(6).choice("etaoin") for _ in range(3000)), TEXTS[16]]
+    a, b = (pieces.Chunk(texts, np.arange(4, dtype=np.uint64), vocab, 3, segment=n).top_k(4) for n in (None, 300))
+    assert [[(x[0].tolist(), *x[1:]) for x in t] for t in a] == [[(x[0].tolist(), *x[1:]) for x in t] for t in b]
+
+
 def test_encoding_decodes_exactly_and_depends_on_the_row_only(spark, docs):
     a = pieces.decode(pieces.encode(docs, 3)).collect()
+    both = pieces.encode(docs, 3, decoded=True)
+    assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, a), key=repr)
     text = {i: t or "" for i, t in ROWS}
     assert all(r["decoded"] == text[r["doc_id"]] for r in a)
     assert {r["doc_id"] for r in a} == set(text)
@@ -272,11 +371,23 @@ def test_neighbours_of_few_rows(spark):
     kind = "vec_id bigint, embedding array<float>"
     three = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0])], kind)
     got = rows_of(neighbours.search(three, three.filter("vec_id % 100 = 0")), "query_id", "rank", "vec_id")
-    assert got == [(0, 1, 7), (0, 2, 7), (0, 3, 100), (100, 1, 7), (100, 2, 7), (100, 3, 0)] or len({g[:2] for g in got}) == len(got)
+    assert got == [(0, 1, 7), (0, 2, 100), (100, 1, 7), (100, 2, 0)]
     none = spark.createDataFrame([], kind)
     assert neighbours.search(none, none).count() == 0
 
 
+def test_cells_cover_all_space():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(3000, 4))
+    points[:1000] = points[0]
+    cells = neighbours.Cells(points[::3], 40)
+    probe = np.vstack([points, rng.normal(size=(500, 4)) * 50])
+    c = cells.of(probe)
+    assert len(cells.lo) == 40 and ((probe > cells.lo[c]) & (probe <= cells.hi[c])).all() and len(np.unique(c)) == 40
+    assert len(neighbours.Cells(np.zeros((50, 4)), 8).lo) == 1
+    assert [neighbours.cells_for(n) for n in (1, 8192, 8193, 1 << 21, 1 << 29)] == [1, 1, 2, 256, 4096]
+
+
 def test_repeated_rows_take_one_place(spark):
     kind = "vec_id bigint, embedding array<float>"
     rows = [(0, [1.0, 0.0])] * 15 + [(7, [1.0, 0.5])] * 15 + [(i, [1.0, 0.0]) for i in (20, 21)] + [(i, [1.0, float(i)]) for i in range(30, 36)]
@@ -289,13 +400,14 @@ def test_repeated_rows_take_one_place(spark):
 # ---- 6 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     long = TEXTS[15].split()
-    items = [(1, " ".join(long[500:540])), (2, "one"), (3, None), (4, ""), (5, "one TWO"), (12, " ".join(long[700:713])), (30, TEXTS[7]), (1, "iota k9 x"), (6, "ha ha ha")]
+    items = [(1, " ".join(long[500:540])), (2, "one"), (3, None), (4, ""), (5, "one TWO"), (12, " ".join(long[700:713])), (30, TEXTS[7]), (1, "iota k9 x"), (6, "ha ha ha"), (None, " ".join(long[900:920])), (None, "gamma ha x")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, n_words int")
     want = sorted(H.brute_hits(ROWS, items), key=repr)
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    for block in (200_000, 20):
+    for block, piece in ((200_000, 4096), (20, 4096), (20, 5)):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
         assert rows_of(decontaminate.digest(decontaminate.hits(docs, bench, block_windows=block)), *cols) == want
     clean = decontaminate.keep_clean(docs, bench)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {w[0] for w in want if not w[5]}
@@ -331,15 +443,69 @@ def test_shards(spark, docs, times):
     sizes = [len(by[s]) for s in range(7)]
     assert max(sizes) - min(sizes) <= 1 and set(by) <= set(range(7))
     assert all(sorted(r["slot"] for r in rows) == list(range(len(rows))) for rows in by.values())
-    line = [r["curve"] for s in range(7) for r in sorted(by[s], key=lambda r: r["slot"])]
-    assert line == sorted(line)
     assert shard.assign(docs.limit(0)).count() == 0
 
 
+def shard_rows(spark, seed=3, n=4000, copies=True):
+    """Texts with groups of 2 to 12 copies in different languages and sources."""
+    rng = random.Random(seed)
+    rows, i = [], 0
+    while i < n:
+        m = rng.choice([*[1] * 40, 2, 3, 5, 12]) if copies else 1
+        t = "w" * rng.randrange(1, 3000) + str(i)
+        for _ in range(m):
+            rows.append((i, t, rng.choice(["de", "en", "es", "fr"]), f"s{rng.randrange(100):02d}"))
+            i += 1
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5)
+
+
+def test_equal_texts_stay_in_one_shard(spark):
+    docs = shard_rows(spark)
+    got = shard.assign(docs, 20).collect()
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 20
+    where = collections.defaultdict(set)
+    for r in got:
+        where[r["text_hash"]].add(r["shard"])
+    assert all(len(x) == 1 for x in where.values())
+    plain = sorted(got, key=lambda r: (r["curve"], r["text_crc32"], r["size"], r["text_hash"], r["doc_id"]))
+    cuts = [(k * len(got) + 19) // 20 for k in range(1, 20)]
+    assert any(plain[c]["text_hash"] == plain[c - 1]["text_hash"] for c in cuts)  # mere runs would split some
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_shards_can_be_skipped(spark):
+    docs = shard_rows(spark, copies=False)
+    placed = {r["doc_id"]: r["shard"] for r in shard.assign(docs, 40).collect()}
+    rows = docs.collect()
+
+    def read(shard_of):
+        """Shards whose least and greatest values admit a filter, summed over filters on each dimension."""
+        n = 0
+        for value, wanted in ((lambda r: r["lang"], ["en", "fr"]), (lambda r: r["source"], ["s10", "s77"]), (lambda r: len(r["text"]), [100, 2900])):
+            stats = collections.defaultdict(list)
+            for r in rows:
+                stats[shard_of(r)].append(value(r))
+            n += sum(min(x) <= v <= max(x) for x in stats.values() for v in wanted)
+        return n
+
+    rng = random.Random(1)
+    assert read(lambda r: placed[r["doc_id"]]) < 0.6 * read(lambda r: rng.randrange(40))
+    cell = shard.cells(docs)
+    assert cell.select("hx").distinct().count() == 4 and cell.select("hy").distinct().count() == 32 and cell.select("hz").distinct().count() == 32
+
+
 def test_written_shards_hold_all_rows(spark, docs, tmp_path):
-    shard.write(docs, str(tmp_path / "out"), 4)
+    odd = docs.unionByName(docs.filter("doc_id < 4").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.filter("doc_id = 7"))
+    odd = odd.withColumns({"shard": F.lit("x"), "curve": F.lit("y")})
+    shard.write(odd, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == len(TEXTS) and back.select("shard").distinct().count() == 4
+    assert back.select("shard").distinct().count() == 4 and {r["shard"] for r in back.collect()} == set(range(4))
+    same = [c for c in odd.columns if c != "shard"]
+    assert rows_of(back, *same) == rows_of(odd, *same)
 
 
 # ---- 8 -----------------------------------------------------------------------------------------------------------------
@@ -358,6 +524,17 @@ def test_lines_of_odd_tables(spark, docs):
     twice = linededup.dedup(H.docs_of(spark, ["a long line here\nb", "a long line here\nb", "a long line here"], [5, 5, None]))
     assert rows_of(twice, "doc_id", "n_dropped") == [(5, 1), (5, 1), (None, 0)]
     assert [x for x in spark.catalog.listTables() if x.name.startswith("run_")] == []
+    names = ["k", "t", "h", "g", "i", "batch", "owner", "lost", "lines", "kept", "row", "_lost", "_k", "n_lines"]
+    clash = H.docs_of(spark, ["a long line here\nb", "a long line here"]).select("doc_id", "text", *(F.lit(3).alias(n) for n in names))
+    got = linededup.dedup(clash)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_dropped"]
+    assert rows_of(got, "doc_id", "text", "k", "row") == [(0, "a long line here\nb", 3, 3), (1, "", 3, 3)]
+
+
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"line number {n} of many" for n in range(100_000))
+    docs = H.docs_of(spark, [long, "x\n" + long + "\ny", long])
+    assert rows_of(linededup.dedup(docs), "doc_id", "text", "n_lines", "n_dropped") == [(0, long, 100_000, 0), (1, "x\ny", 100_002, 100_000), (2, "", 100_000, 100_000)]
 
 
 # ---- 9 -----------------------------------------------------------------------------------------------------------------
@@ -373,7 +550,8 @@ def test_lm_counts_and_law(spark, docs):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
 
 
-def test_lm_learns_order(spark):
+def test_lm_learns_order(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "BATCH", 256)  # 24,000 words are a few minibatches only
     rng = random.Random(4)
     texts = []
     for _ in range(400):
@@ -382,15 +560,55 @@ def test_lm_learns_order(spark):
             w.append({"a": "b", "b": "c", "c": "d", "d": "a"}[w[-1]] if rng.random() < 0.9 else rng.choice("abcd"))
         texts.append(" ".join(w))
     got = maxent.score(H.docs_of(spark, texts), crc_mod(F.col("doc_id"), 7) == 2).filter("held_out").collect()
-    # 24,000 words are a few minibatches only
-    assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got)
-
-
-def test_class_probabilities_sum_to_one():
+    assert sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
+
+
+def test_context_tells_words_of_one_class_apart():
+    rng = random.Random(11)
+    words = np.array([b << 54 | rng.getrandbits(54) for b in range(6)], np.uint64)  # all of class 0
+    assert (maxent.classes_of(words)[0] == 0).all() and len(set(maxent.classes_of(words)[1])) == 6
+    t = np.array([words[n % 6] for n in range(30_000)], np.uint64)
+    at = np.array([0, len(t)])
+    u, c = np.unique(t, return_counts=True)
+    masses = np.ones((maxent.CLASSES, maxent.BUCKETS))
+    for x, n in zip(u, c, strict=True):
+        k, b = maxent.classes_of(np.array([x]))
+        masses[k[0], b[0]] += n + 1
+    m = maxent.Model(10, masses)
+    x = maxent.contexts(t, at)
+    for i in range(0, len(t), 200):
+        m.learn(t[i : i + 200], x[:, i : i + 200])
+    got = m.log10(t, x, np.full(len(t), c[0])).mean()
+    assert got > -0.05 and math.log10(1 / 6) < -0.7
+
+
+def test_word_softmax_against_brute_force():
     rng = np.random.default_rng(1)
-    w = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    p = np.exp(maxent.log_classes(w, rng.integers(0, maxent.ROWS, (3, 50))))
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    words = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    counts = rng.integers(1, 50, 300)
+    k, u = maxent.classes_of(words)
+    masses = np.ones((maxent.CLASSES, maxent.BUCKETS))  # the unknown word of each bucket
+    np.add.at(masses, (k, u), counts + 1)
+    m = maxent.Model(9, masses)
+    for w in m.weights:
+        w += rng.normal(size=w.shape).astype(np.float32)
+    x = rng.integers(0, 1 << 64, (3, 300), dtype=np.uint64)
+    got = m.log10(words, x, counts)
+    for i in range(20):
+        row = lambda of, kk, i=i: m.weights[of][m.rows(x[:, i : i + 1], np.array([kk]))[of][:, 0]].sum(0)
+        of_class = np.exp(row(0, 0).astype(np.float64)) * masses.sum(1)
+        all_words = {}  # the probability of every word, and of each bucket's unknown, in this context
+        for c in range(maxent.CLASSES):
+            s = np.exp(row(1, c).astype(np.float64))
+            own = [(j, (counts[j] + 1) * s[u[j]]) for j in np.flatnonzero(k == c)] + [(("?", c, b), s[b]) for b in range(maxent.BUCKETS)]
+            total = sum(p for _, p in own)
+            all_words |= {j: of_class[c] / of_class.sum() * p / total for j, p in own}
+        assert abs(sum(all_words.values()) - 1) < 1e-9
+        assert abs(math.log10(all_words[i]) - got[i]) < 1e-4
+
+
+def test_rows_follow_the_training_tokens():
+    assert [maxent.row_bits(n) for n in (0, 10**5, 10**6, 10**7, 10**12)] == [8, 10, 13, 16, 16]
 
 
 # ---- 10 ----------------------------------------------------------------------------------------------------------------
@@ -404,9 +622,17 @@ def test_components(spark, docs):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {c for _, _, c in got}
 
 
-def test_every_link_is_found(spark):
+def test_one_row_of_each_class_stays_whatever_ids_repeat(spark):
+    a, b = TEXTS[7], TEXTS[12]
+    rows = [(5, a, "x"), (5, b, "y"), (6, a, "z"), (5, a, "x"), (None, b, "w"), (None, "alone and apart", "n"), (None, "alone and apart", "m"), (9, "alone too", "o")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp string")
+    got = rows_of(simhash.keep_first(docs), "doc_id", "text")
+    assert got == sorted([(5, a), (5, b), (None, "alone and apart"), (9, "alone too")], key=repr)
+
+
+def near_fingerprints(n=40):
     rng = random.Random(9)
-    fps = {rng.getrandbits(64) for _ in range(40)}
+    fps = {rng.getrandbits(64) for _ in range(n)}
     for f in list(fps):
         for d in (1, 2, 3, 4):
             x = f
@@ -414,10 +640,27 @@ def test_every_link_is_found(spark):
                 x ^= 1 << b
             fps.add(x)
     fps |= {0, 1, 3, 7, 15, 1 << 63, 1 << 31, 1 << 32}
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {(r["u"], r["v"]) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint")).collect()}
+    return [f - (1 << 64) if f >> 63 else f for f in fps]
+
+
+def test_every_link_is_found(spark):
+    fps = near_fingerprints()
+    got = {(r["u"], r["v"]) for r in simhash.links(spark.createDataFrame([(f, f) for f in fps], "fp bigint, c bigint")).collect()}
     mask = (1 << 64) - 1
-    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 3}
+    want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & mask).bit_count() <= 3}
+    assert got == want
+    stars = {(r["u"], r["v"]) for r in simhash.stars(spark.createDataFrame([(f,) for f in fps], "fp bigint")).collect()}
+    assert stars and all(a < b and ((a ^ b) & mask).bit_count() <= 2 for a, b in stars)
+
+
+def test_a_cluster_of_near_fingerprints_does_not_emit_its_pairs(spark):
+    base = random.Random(3).getrandbits(40)
+    fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)})
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    labelled = simhash.labels(spark.createDataFrame([(k, f) for k, f in enumerate(fps)], "doc_id bigint, fp bigint"))
+    assert {r["component_id"] for r in labelled.collect()} == {0} and labelled.count() == len(fps)
+    lone = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    assert simhash.stars(lone).count() <= 2 * len(fps)
 
 
 def test_chains_are_one_component(spark):
