@@ -90,14 +90,6 @@ def length_judge(spark: SparkSession, d: str) -> DataFrame:
     return j.select("conv_id", F.when(F.col("score") > F.col("other"), "a").when(F.col("score") < F.col("other"), "b").otherwise("tie").alias("winner"), F.when(F.col("score") == F.col("other"), 0.5).otherwise(0.7).alias("confidence"))
 
 
-@query("ver01_safety_filter", f"{_TURNS}, c AS (SELECT conv_id, count(*) FILTER (role IN ('assistant', 'tool')) AS n, count(*) FILTER (role IN ('assistant', 'tool') AND (contains(lower(text), 'rm -rf /') OR contains(lower(text), ' la '))) AS bad FROM m GROUP BY 1) SELECT conv_id, CASE WHEN n = 0 THEN 'skipped' WHEN bad > 0 THEN 'failed' ELSE 'passed' END AS status FROM c")
-def safety(spark: SparkSession, d: str) -> DataFrame:
-    m = T.table(spark, d, "conversations").withColumn("checked", F.col("role").isin("assistant", "tool"))
-    listed = F.contains(F.lower("text"), F.lit("rm -rf /")) | F.contains(F.lower("text"), F.lit(" la "))
-    g = m.groupBy("conv_id").agg(F.count_if("checked").alias("n"), F.count_if(F.col("checked") & listed).alias("bad"))
-    return g.select("conv_id", F.when(F.col("n") == 0, "skipped").when(F.col("bad") > 0, "failed").otherwise("passed").alias("status"))
-
-
 @query("ver02_code_linter", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE 'skipped' END AS status FROM documents")
 def linter(spark: SparkSession, d: str) -> DataFrame:
     code = F.element_at(F.array(F.lit("```python\nx = 1\n```"), F.lit("```\nx = (\n```"), F.lit("plain")), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -117,27 +109,6 @@ def policy_text(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", P.cedar({c: F.col(c) for c in ("effect", "principal", "action", "resource")}).alias("text"))
 
 
-@query("ver14_composite", f"{_TURNS}, r AS (SELECT conv_id, 'length' AS plugin, CASE WHEN sum(length(text)) > 2000 THEN 'failed' ELSE 'passed' END AS status FROM m GROUP BY 1 UNION ALL SELECT conv_id, 'turns', CASE WHEN count(*) < 2 THEN 'skipped' ELSE 'passed' END FROM m GROUP BY 1) SELECT conv_id, bool_and(status IN ('passed', 'skipped')) AS all_passed, count(*) AS n FROM r GROUP BY 1")
-def composite(spark: SparkSession, d: str) -> DataFrame:
-    """Two plugins over one table, their verdict rows united and aggregated."""
-    m = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"), F.count(F.lit(1)).alias("turns"))
-    v = F.explode(F.array(F.struct(F.lit("length").alias("plugin"), F.when(F.col("chars") > 2000, "failed").otherwise("passed").alias("status")), F.struct(F.lit("turns").alias("plugin"), F.when(F.col("turns") < 2, "skipped").otherwise("passed").alias("status"))))
-    rows = m.select("conv_id", v.alias("v")).select("conv_id", "v.*")
-    return rows.groupBy("conv_id").agg(F.bool_and(F.col("status").isin("passed", "skipped")).alias("all_passed"), F.count(F.lit(1)).alias("n"))
-
-
-@query("ver22_certificates", f"{TEL} SELECT event_id, CASE WHEN client_id % 5 <> 0 AND duration_ms < 90 AND severity <> 'error' THEN 'valid' ELSE 'invalid' END AS status, CASE WHEN client_id % 5 <> 0 AND duration_ms < 90 AND severity <> 'error' THEN ts + INTERVAL 24 HOUR END AS expires FROM telemetry")
-def certificates(spark: SparkSession, d: str) -> DataFrame:
-    c = P.certificate(F.col("client_id") % 5 != 0, F.col("duration_ms") < 90, F.when(F.col("severity") == "error", 1).otherwise(0), F.col("ts"))
-    return T.telemetry(spark, d).select("event_id", c.alias("c")).select("event_id", "c.*")
-
-
-@query("agg15_compliance", "WITH f AS (SELECT s_suppkey AS traj_id, s_suppkey % 3 AS k FROM supplier WHERE s_suppkey % 3 <> 2) SELECT traj_id, CASE k WHEN 0 THEN 'non_compliant' ELSE 'partial' END AS status FROM f")
-def compliance(spark: SparkSession, d: str) -> DataFrame:
-    f = T.table(spark, d, "supplier").filter("s_suppkey % 3 <> 2").select(F.col("s_suppkey").alias("traj_id"), F.when(F.col("s_suppkey") % 3 == 0, "high").otherwise("medium").alias("severity"))
-    return f.groupBy("traj_id").agg(*V.rollup()).select("traj_id", "status")
-
-
 @query("gen03_shadow_loop", "WITH v AS (SELECT item_id, i, round(0.1 + 0.8 * i / 3, 6) AS temperature, (item_id * 7 + i * 3) % 11 AS score FROM benchmark, (SELECT unnest(range(0, 4)) AS i)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS k FROM v) SELECT item_id, i AS best, temperature, score FROM r WHERE k = 1")
 def shadow_loop(spark: SparkSession, d: str) -> DataFrame:
     """Four variations of each prompt, scored; the best one, the first of equals."""

@@ -31,12 +31,13 @@ def truncate(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "documents").select("doc_id", F.sha2(X.truncate_middle("text", 1000), 256).alias("digest"))
 
 
-@query("str05_code_blocks", r"""WITH f AS (SELECT doc_id, 'see' || chr(10) || '```python' || chr(10) || substr(text, 1, 200) || '```' || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' AS c FROM documents WHERE NOT contains(text, '`'))
+@query("str05_code_blocks", r"""WITH f AS (SELECT doc_id, 'see' || chr(10) || '```python' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' AS c FROM documents)
 SELECT doc_id, len(regexp_extract_all(c, '(?s)```(?:python|py)?\s*\n(.*?)```', 1)) AS n, md5(array_to_string(regexp_extract_all(c, '(?s)```(?:python|py)?\s*\n(.*?)```', 1), '|')) AS digest FROM f""")
 def code_blocks(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit("see\n```python\n"), F.substring("text", 1, 200), F.lit("```\n```\nx = 1\n```"))
+    """The blocks of whole documents, each fenced and followed by a block; fences inside a text count as they come."""
+    body = F.concat(F.lit("see\n```python\n"), F.coalesce("text", F.lit("")), F.lit("\n```\n```\nx = 1\n```"))
     found = X.code_blocks(body)
-    return T.table(spark, d, "documents").filter(~F.contains("text", F.lit("`"))).select("doc_id", F.size(found).cast("bigint").alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
+    return T.table(spark, d, "documents").select("doc_id", F.size(found).cast("bigint").alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
 
 
 @query("str06_hosts", "WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host FROM pages) SELECT host, count(*) AS n FROM h WHERE host <> '' GROUP BY 1")
@@ -187,21 +188,6 @@ def failure_messages(spark: SparkSession, d: str) -> DataFrame:
     return lost.join(why, F.col("doc_id") == F.col("traj_id"), "left").select("doc_id", F.coalesce("reasons", F.lit("")).alias("reasons"))
 
 
-#: The same pieces of code for each document, by its id.
-_CODE = ["x = eval(y)\nassert x", "import os\nos.system('ls')", "password = 'abc'\nprint(random.random())", "print('fine')"]
-
-
-@query("ver18_code_scan", "WITH code AS (SELECT doc_id AS id, unnest([{'k': 0, 'line': 1, 'rule': 'B307', 'severity': 'high'}, {'k': 0, 'line': 2, 'rule': 'B101', 'severity': 'low'}, {'k': 1, 'line': 2, 'rule': 'B605', 'severity': 'high'}, {'k': 2, 'line': 1, 'rule': 'B105', 'severity': 'medium'}, {'k': 2, 'line': 2, 'rule': 'B311', 'severity': 'low'}]) AS x FROM documents) SELECT id, CAST(x.line AS BIGINT) AS line, x.rule AS rule, x.severity AS severity FROM code WHERE x.k = id % 4")
-def code_scan(spark: SparkSession, d: str) -> DataFrame:
-    code = F.element_at(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return V.line_findings(T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code")), V.CODE_RULES)
-
-
-@query("agg14_audit", "SELECT doc_id AS id, CAST(CASE WHEN doc_id % 4 IN (0, 1) THEN 1 ELSE 0 END AS BIGINT) AS n_high, CAST(CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_medium, CASE WHEN doc_id % 4 IN (0, 1) THEN 'non_compliant' ELSE 'partial' END AS status FROM documents WHERE doc_id % 4 <> 3")
-def audit(spark: SparkSession, d: str) -> DataFrame:
-    return code_scan(spark, d).groupBy("id").agg(*V.rollup()).select("id", "n_high", "n_medium", "status")
-
-
 POLICIES = [("p1", "permit", "*", "connect", "Host::*"), ("f1", "forbid", "*", "connect", "Host::site3.example"), ("f2", "forbid", "Agent::7", "*", "*")]
 
 
@@ -248,11 +234,6 @@ def test_counts(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", V.test_counts(out).alias("t")).select("event_id", F.col("t.passed").cast("int").alias("passed"), F.col("t.failed").cast("int").alias("failed"))
 
 
-@query("ver15_edge", r"""SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'format' WHEN contains(lower(text), 'drop table') THEN 'blocklist' WHEN regexp_matches(text, 'token\s*=\s*[''"][0-9a-f]{40}[''"]') OR regexp_matches(text, 'password\s*=\s*[0-9A-Za-z]+') OR regexp_matches(text, 'AKIA[0-9A-Z]{16}') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'policy' END AS reason FROM documents""")
-def edge(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "documents").select("doc_id", V.edge_reason("text", ("drop table",), 5000).alias("reason"))
-
-
 @query("src13_jsonl_export", "SELECT o_orderkey, md5('{\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}') AS line FROM orders")
 def jsonl(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "orders").select("o_orderkey", F.md5(F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))).alias("line"))
