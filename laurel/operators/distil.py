@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,6 +71,41 @@ def slime_rows(triplets: DataFrame) -> DataFrame:
     return triplets.select(F.col("prompt"), X.messages_to_text("chosen").alias("chosen"), X.messages_to_text("rejected").alias("rejected"), F.col("confidence").alias("chosen_score"), (1 - F.col("confidence")).alias("rejected_score"))
 
 
+def dpo_rows(pairs: DataFrame) -> DataFrame:
+    """Preference pairs as text: prompt, chosen and rejected, beside whatever else a row has."""
+    return pairs.withColumns({"chosen": X.messages_to_text("chosen"), "rejected": X.messages_to_text("rejected")})
+
+
+def columnar_rows(triplets: DataFrame) -> DataFrame:
+    """The columns prompt, chosen and rejected, for a columnar file."""
+    return dpo_rows(triplets).select("prompt", "chosen", "rejected")
+
+
+def shadow_loop(prompts: DataFrame, key: str, respond: Callable[[Column, Column], Column], scorer: Callable[[Column, Column], Column], n: int, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """n variations of each prompt at evenly spaced temperatures: respond(i, prompt) is a variation's response, scorer(response, temperature) its score; the best one, the first of equals."""
+    v = prompts.select(key, "prompt", F.posexplode(X.sweep(low, high, n)).alias("i", "temperature")).withColumn("response", respond(F.col("i"), F.col("prompt")))
+    v = v.withColumn("score", scorer(F.col("response"), F.col("temperature"))).withColumn("best", F.col("i").cast("bigint"))
+    x = F.max_by(F.struct("best", "temperature", "score", "response"), F.struct("score", -F.col("best")))
+    return v.groupBy(key).agg(x.alias("x")).select(key, "x.*")
+
+
+def agent_steps(conversations: DataFrame, most: int) -> DataFrame:
+    """conv_id, slot, step, role, content: the assistant's turns as steps, `most` at most and one that answers (the last turn, where there are more), after as many empty slots (step -1) as fill most + 1. Conversations without such turns have none."""
+    turns = F.filter("messages", lambda m: m["role"] == "assistant")
+    kept = F.when(F.size(turns) <= most + 1, turns).otherwise(F.concat(F.slice(turns, 1, most), F.slice(turns, -1, 1)))
+    steps = F.transform(kept, lambda m, i: F.struct(i.alias("step"), m["role"].alias("role"), m["content"].alias("content")))
+    empty = F.struct(F.lit(-1).alias("step"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content"))
+    padded = F.concat(F.array_repeat(empty, F.lit(most + 1) - F.size(kept)), steps)
+    return conversations.filter(F.size(turns) > 0).select("conv_id", F.posexplode(padded).alias("slot", "s")).select("conv_id", "slot", "s.*")
+
+
+def generation(prompt_tokens: Column, context: int, new_tokens: int, finish: Column, index: Column, group: int) -> Column:
+    """struct(budget, status, greedy) of one generation: what fits the context, truncated at once if that is 100 tokens or fewer, else by the reason of its end; the first of a group is drawn greedily."""
+    budget = F.least(F.lit(new_tokens), context - prompt_tokens).cast("bigint")
+    status = F.when(budget <= 100, "truncated").otherwise(F.when(finish == "length", "truncated").when(finish == "abort", "aborted").when(finish == "stop", "completed"))
+    return F.struct(budget.alias("budget"), status.alias("status"), (F.lit(group > 1) & (index % group == 0)).alias("greedy"))
+
+
 def judge_training_rows(agreed: DataFrame, min_confidence: float = 0.7, limit: int = 10_000) -> DataFrame:
     """Comparisons with a clear winner, chosen and rejected in its order; the surest first."""
     kept = agreed.filter((F.col("confidence") >= min_confidence) & F.col("winner").isin("a", "b"))

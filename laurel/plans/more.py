@@ -13,7 +13,6 @@ from ..operators import verify as V
 from ..sources import stores as ST
 from ..sources import tables as T
 from .registry import query
-from .stores import TEL
 
 
 @query("src06_batch_defaults", "SELECT o_orderkey AS input_query, CASE WHEN o_orderkey % 2 = 0 THEN 0.5e0 ELSE 0.9e0 END AS confidence, 'bronze' AS quality, 'batch_import' AS source, 'active' AS status FROM orders")
@@ -32,9 +31,26 @@ def trainer_export(spark: SparkSession, d: str) -> DataFrame:
     return D.slime_rows(t).select(F.col("prompt").alias("conv_id"), F.md5("chosen").alias("chosen"), "chosen_score", F.round("rejected_score", 6).alias("rejected_score"))
 
 
-@query("src17_dpo_pairs", f"{_TURNS} SELECT conv_id, md5(arg_min(text, turn)) AS prompt, count(*) AS n FROM m GROUP BY 1")
+_PAIRED = f"{_TURNS}, r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)), p AS (SELECT conv_id, arg_min(text, k) AS prompt, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY k) AS chosen, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY k) FILTER (k < n) AS rejected FROM r GROUP BY 1)"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation is preferred to itself without its last turn."""
+    m = T.conversations(spark, d)
+    return m.select("conv_id", F.element_at("messages", 1)["content"].alias("prompt"), F.col("messages").alias("chosen"), F.slice("messages", F.lit(1), F.size("messages") - 1).alias("rejected"))
+
+
+@query("src17_dpo_pairs", f"{_PAIRED} SELECT conv_id, md5(prompt) AS prompt, md5(chosen) AS chosen, md5(coalesce(rejected, '')) AS rejected FROM p")
 def dpo_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return T.conversations(spark, d).select("conv_id", F.md5(F.element_at("messages", 1)["content"]).alias("prompt"), F.size("messages").cast("bigint").alias("n"))
+    p = D.dpo_rows(_pairs(spark, d))
+    return p.select("conv_id", *(F.md5(F.coalesce(c, F.lit(""))).alias(c) for c in ("prompt", "chosen", "rejected")))
+
+
+@query("src15_columnar_export", f"{_PAIRED} SELECT md5(prompt) AS prompt, md5(chosen) AS chosen, md5(coalesce(rejected, '')) AS rejected FROM p")
+def columnar_export(spark: SparkSession, d: str) -> DataFrame:
+    """Three columns, as a columnar file holds them."""
+    p = D.columnar_rows(_pairs(spark, d))
+    return p.select(*(F.md5(F.coalesce(c, F.lit(""))).alias(c) for c in p.columns))
 
 
 @query("src19_rationale_rows", "WITH r AS (SELECT l_orderkey AS comparison_id, l_suppkey AS sme_id, unnest(['category' || l_linenumber, 'style']) AS category FROM lineitem) SELECT comparison_id, sme_id, category, count(*) AS n FROM r GROUP BY 1, 2, 3")
@@ -43,10 +59,13 @@ def rationale_rows(spark: SparkSession, d: str) -> DataFrame:
     return labels.select("comparison_id", "sme_id", F.inline("rationales")).groupBy("comparison_id", "sme_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src20_correction_training", "WITH a AS (SELECT l_orderkey AS trajectory_id, l_linenumber AS attempt, 'p' || l_partkey % 3 AS plugin, l_partkey FROM lineitem) SELECT trajectory_id, string_agg(plugin, ',' ORDER BY attempt, l_partkey, plugin) AS failure_types FROM a GROUP BY 1")
+@query("src20_correction_training", "WITH a AS (SELECT l_orderkey AS trajectory_id, l_linenumber AS attempt, max(l_partkey % 3) AS failures FROM lineitem GROUP BY 1, 2), s AS (SELECT trajectory_id, min(attempt) FILTER (failures = 0 AND attempt <= 3) AS solved, arg_min(failures, attempt) FILTER (attempt <= 3) AS first, arg_max(failures, attempt) FILTER (attempt <= 3) AS last FROM a GROUP BY 1) SELECT trajectory_id, CASE WHEN any_value(solved) IS NOT NULL THEN 'success' ELSE 'partial' END AS status, string_agg(attempt || ':' || failures, ',' ORDER BY attempt) AS attempts FROM a JOIN s USING (trajectory_id) WHERE attempt <= 3 AND (solved IS NOT NULL OR last < first) GROUP BY 1")
 def correction_training(spark: SparkSession, d: str) -> DataFrame:
-    attempts = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("trajectory_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("attempt"), F.col("l_partkey").alias("k"), F.array(F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string"))).alias("failures")))).alias("a"))
-    return attempts.select("trajectory_id", F.array_join(F.flatten(F.transform("a", lambda x: x["failures"])), ",").alias("failure_types"))
+    """Corrections that ended well, wholly or in part, with their attempts."""
+    a = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("trajectory_id"), F.col("l_linenumber").alias("attempt")).agg(F.max(F.col("l_partkey") % 3).alias("failures"))
+    said = F.concat_ws(":", F.col("attempt").cast("string"), F.col("failures").cast("string"))
+    rows = a.filter("attempt <= 3").groupBy("trajectory_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("attempt", said.alias("said")))), lambda x: x["said"]), ",").alias("attempts"))
+    return D.correction_status(a).filter("status IN ('success', 'partial')").select("trajectory_id", "status").join(rows, "trajectory_id")
 
 
 @query("src24_tool_registry", "SELECT event_id AS call_id, event_type AS tool, CASE event_type WHEN 'click' THEN 's1' WHEN 'view' THEN 's2' END AS server, CASE WHEN event_type NOT IN ('click', 'view') THEN '[Error] unknown tool ' || event_type END AS error FROM events")
@@ -109,13 +128,26 @@ def policy_text(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", P.cedar({c: F.col(c) for c in ("effect", "principal", "action", "resource")}).alias("text"))
 
 
-@query("gen03_shadow_loop", "WITH v AS (SELECT item_id, i, round(0.1 + 0.8 * i / 3, 6) AS temperature, (item_id * 7 + i * 3) % 11 AS score FROM benchmark, (SELECT unnest(range(0, 4)) AS i)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS k FROM v) SELECT item_id, i AS best, temperature, score FROM r WHERE k = 1")
+@query("gen03_shadow_loop", "WITH v AS (SELECT item_id, i, round(0.1 + 0.8 * i / 3, 6) AS temperature, 'Variation ' || i || ' of: ' || coalesce(text, '') || ' Think step ' || i || '.' AS r FROM benchmark, (SELECT unnest(range(0, 4)) AS i)), s AS (SELECT *, length(replace(r, 'e', '')) % 7 AS score FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS k FROM s) SELECT item_id, i AS best, temperature, score, md5(r) AS response FROM k WHERE k = 1")
 def shadow_loop(spark: SparkSession, d: str) -> DataFrame:
-    """Four variations of each prompt, scored; the best one, the first of equals."""
-    v = T.table(spark, d, "benchmark").select("item_id", F.posexplode(X.sweep(0.1, 0.9, 4)).alias("i", "t"))
-    v = v.select("item_id", F.col("i").cast("bigint").alias("i"), F.round("t", 6).alias("temperature"), ((F.col("item_id") * 7 + F.col("i") * 3) % 11).alias("score"))
-    best = v.groupBy("item_id").agg(F.max_by(F.struct("i", "temperature", "score"), F.struct("score", -F.col("i"))).alias("x"))
-    return best.select("item_id", F.col("x.i").alias("best"), "x.temperature", "x.score")
+    """Four variations of each prompt, scored by a function of their responses; the best one, the first of equals."""
+    b = T.table(spark, d, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("prompt"))
+    respond = lambda i, prompt: F.concat(F.lit("Variation "), i.cast("string"), F.lit(" of: "), prompt, F.lit(" Think step "), i.cast("string"), F.lit("."))
+    best = D.shadow_loop(b, "item_id", respond, lambda r, _: F.length(F.replace(r, F.lit("e"))) % 7, 4)
+    return best.select("item_id", "best", F.round("temperature", 6).alias("temperature"), F.col("score").cast("bigint").alias("score"), F.md5("response").alias("response"))
+
+
+@query("gen01_agent_steps", f"{_TURNS}, a AS (SELECT conv_id, md5(text) AS x, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS back FROM m WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)), s AS (SELECT conv_id, x, k, least(n, 3) AS size FROM a WHERE k <= 2 OR (k = 3 AND n = 3) OR (n > 3 AND back = 1)) SELECT conv_id, CASE WHEN k > 2 THEN 2 ELSE k - 1 END + 3 - size AS slot, CASE WHEN k > 2 THEN 2 ELSE k - 1 END AS step, x FROM s UNION ALL SELECT DISTINCT conv_id, unnest(range(0, 3 - size)), -1, NULL FROM s")
+def agent_steps(spark: SparkSession, d: str) -> DataFrame:
+    s = D.agent_steps(T.conversations(spark, d), 2)
+    return s.select("conv_id", F.col("slot").cast("bigint").alias("slot"), F.col("step").cast("bigint").alias("step"), F.md5(F.when(F.col("step") >= 0, F.coalesce("content", F.lit("")))).alias("x"))
+
+
+@query("gen02_generation_status", "WITH g AS (SELECT event_id, least(500, 1000 - event_id % 1000) AS budget, (['length', 'abort', 'stop'])[event_id % 3 + 1] AS reason FROM events) SELECT event_id, budget, CASE WHEN budget <= 100 THEN 'truncated' WHEN reason = 'length' THEN 'truncated' WHEN reason = 'abort' THEN 'aborted' ELSE 'completed' END AS status, event_id % 8 = 0 AS greedy FROM g")
+def generation_status(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    e = T.table(spark, d, "events").select("event_id", D.generation(k % 1000, 1000, 500, F.element_at(F.array(F.lit("length"), F.lit("abort"), F.lit("stop")), (k % 3 + 1).cast("int")), k, 8).alias("g"))
+    return e.select("event_id", "g.*")
 
 
 @query("gen04_shadow_arena", f"{T.PLAYERS_SQL}, ok AS (SELECT * FROM players WHERE toxic = 0), p AS (SELECT a.group_id, a.idx, avg(least(a.strength + 1, 10) + least(a.strength, 10)) AS mean FROM ok a JOIN ok b ON a.group_id = b.group_id AND a.idx <> b.idx GROUP BY 1, 2), s AS (SELECT q.group_id, q.idx, q.doc_id, q.toxic, CASE WHEN q.toxic = 1 THEN -1.0 ELSE coalesce(mean, 1.0) END AS score FROM players q LEFT JOIN p USING (group_id, idx)), r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, idx) AS k FROM s) SELECT group_id, CASE WHEN toxic = 0 THEN doc_id END AS best FROM r WHERE k = 1")
@@ -125,10 +157,3 @@ def shadow_arena(spark: SparkSession, d: str) -> DataFrame:
     s = R.arena_scores(p, F.col("toxic") == 0).join(p.select("group_id", "idx", "doc_id"), ["group_id", "idx"])
     best = s.groupBy("group_id").agg(F.max_by(F.struct("doc_id", "valid"), F.struct("score", -F.col("idx"))).alias("x"))
     return best.select("group_id", F.when(F.col("x.valid"), F.col("x.doc_id")).alias("best"))
-
-
-@query("stm11_gateway", f"{TEL} SELECT event_id, CASE WHEN client_id % 20 = 0 THEN 'rate_limited' WHEN event_id % 10 = 3 THEN 'cached' WHEN duration_ms > 95 THEN 'rejected' WHEN severity = 'error' THEN 'failed' ELSE 'completed' END AS status FROM telemetry")
-def gateway(spark: SparkSession, d: str) -> DataFrame:
-    """The first outcome that applies to a request: limits, cache, validation, handler."""
-    status = F.when(F.col("client_id") % 20 == 0, "rate_limited").when(F.col("event_id") % 10 == 3, "cached").when(F.col("duration_ms") > 95, "rejected").when(F.col("severity") == "error", "failed").otherwise("completed")
-    return T.telemetry(spark, d).select("event_id", status.alias("status"))

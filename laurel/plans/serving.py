@@ -16,34 +16,103 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     return T.telemetry(spark, d).withColumnRenamed("event_id", "request_id")
 
 
-@query("stm01_token_bucket")
+_REC = TEL.replace("WITH telemetry", "WITH RECURSIVE telemetry")
+_ONE, _FOUR = (("bucket", 2, 1, 3600),), (("burst", 2, 2, 60), ("minute", 3, 3, 3600), ("hour", 5, 5, 86400), ("day", 20, 20, 10 * 86400))
+
+
+def _limit_sql(rules) -> str:
+    """The buckets as a recursion over each client's requests: f is what a bucket holds once refilled, m when it was refilled last, a whether it was asked."""
+    k = range(len(rules))
+    first = ", ".join(f"{c} - 1 AS t{i}, us AS l{i}" for i, (_, c, _, _) in enumerate(rules))
+    filled = ", ".join(f"CASE WHEN q.us - l{i} >= {s}000000 THEN least({c}, t{i} + (q.us - l{i}) // {s}000000 * {r}) ELSE t{i} END AS f{i}, CASE WHEN q.us - l{i} >= {s}000000 THEN q.us ELSE l{i} END AS m{i}" for i, (_, c, r, s) in enumerate(rules))
+    asked = {i: " AND ".join(["true", *(f"f{j} >= 1" for j in range(i))]) for i in k}
+    after = ", ".join(f"CASE WHEN NOT ({asked[i]}) THEN t{i} WHEN f{i} >= 1 THEN f{i} - 1 ELSE f{i} END, CASE WHEN {asked[i]} THEN m{i} ELSE l{i} END" for i in k)
+    denied = " ".join(f"WHEN f{i} < 1 THEN '{name}'" for i, (name, *_) in enumerate(rules))
+    kept = ", ".join(f"t{i}, l{i}" for i in k)
+    return f"""q AS (SELECT event_id AS request_id, client_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client_id ORDER BY ts, event_id) AS n FROM telemetry),
+run AS (SELECT request_id, client_id, n, CAST(NULL AS VARCHAR) AS denied_by, {first} FROM q WHERE n = 1
+UNION ALL SELECT request_id, client_id, n, CASE {denied} END, {after} FROM (SELECT q.request_id, q.client_id, q.n, {kept}, {filled} FROM run JOIN q ON q.client_id = run.client_id AND q.n = run.n + 1))"""
+
+
+@query("stm01_token_bucket", f"{_REC}, {_limit_sql(_ONE)} SELECT request_id, client_id, denied_by FROM run")
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return L.rate_limited(_requests(spark, d), (("bucket", 2, 1, 3600),))
+    return L.rate_limited(_requests(spark, d), _ONE)
 
 
-@query("stm02_rate_limiter")
+@query("stm02_rate_limiter", f"{_REC}, {_limit_sql(_FOUR)} SELECT request_id, client_id, denied_by FROM run")
 def rate_limiter(spark: SparkSession, d: str) -> DataFrame:
-    rules = (("burst", 2, 2, 60), ("minute", 3, 3, 3600), ("hour", 5, 5, 86400), ("day", 20, 20, 10 * 86400))
-    return L.rate_limited(_requests(spark, d), rules)
+    return L.rate_limited(_requests(spark, d), _FOUR)
+
 
+def _cache_sql(calls: str, seconds: int, name: str = "kept") -> str:
+    """A cache as a recursion over the calls (event_id, key, us, stores) of each key."""
+    fresh = f"coalesce(o.us - stored < {seconds}000000, false)"
+    return f"""o{name} AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS n FROM ({calls})),
+{name} AS (SELECT event_id, key, n, false AS hit, CASE WHEN stores THEN us END AS stored FROM o{name} WHERE n = 1
+UNION ALL SELECT o.event_id, o.key, o.n, {fresh}, CASE WHEN o.stores AND NOT {fresh} THEN o.us ELSE stored END FROM {name} k JOIN o{name} o ON o.key = k.key AND o.n = k.n + 1)"""
 
-@query("stm03_result_cache")
+
+@query("stm03_result_cache", f"{_REC}, {_cache_sql('SELECT event_id, client_id || chr(58) || event_type AS key, epoch_us(ts) AS us, true AS stores FROM telemetry', 36 * 3600)} SELECT event_id, hit FROM kept")
 def result_cache(spark: SparkSession, d: str) -> DataFrame:
     return L.cache_hits(T.telemetry(spark, d), F.concat_ws(":", F.col("client_id").cast("string"), "event_type"), 36 * 3600)
 
 
-@query("stm04_prefix_cache", "WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, role || chr(1) || text AS s FROM m), p AS (SELECT conv_id, k, string_agg(s, chr(2)) OVER (PARTITION BY conv_id ORDER BY k) AS pre FROM t), c AS (SELECT DISTINCT pre FROM p WHERE conv_id % 3 = 0 AND k <= 2 AND k = (SELECT least(2, max(k)) FROM p q WHERE q.conv_id = p.conv_id)) SELECT conv_id, CAST(coalesce(max(k) FILTER (pre IN (SELECT pre FROM c)), 0) AS BIGINT) AS prefix FROM p GROUP BY 1")
+@query(
+    "stm04_prefix_cache",
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)) AS s FROM conversations),
+p AS (SELECT conv_id, k, n, string_agg(s, chr(2)) OVER (PARTITION BY conv_id ORDER BY k) AS pre FROM t), e AS (SELECT pre, min(conv_id) AS since FROM p WHERE k = n - 1 GROUP BY 1)
+SELECT conv_id, coalesce(max(k) FILTER (since < conv_id), 0) AS prefix FROM p LEFT JOIN e USING (pre) GROUP BY 1""",
+)
 def prefix_cache(spark: SparkSession, d: str) -> DataFrame:
+    """What each conversation finds in a cache that every earlier one has filled with all its messages but the last."""
     c = T.conversations(spark, d)
-    cached = c.filter("conv_id % 3 = 0").withColumn("messages", F.slice("messages", 1, 2))
-    return L.longest_prefix(c, cached)
+    return L.longest_prefix(c, c.withColumn("messages", F.slice("messages", F.lit(1), F.size("messages") - 1)))
+
+
+@query("stm05_tool_cache", f"{_REC}, {_cache_sql('SELECT event_id, event_type || details AS key, epoch_us(ts) AS us, duration_ms < 60 AS stores FROM telemetry WHERE event_type NOT IN (chr(45), $$error$$)', 5 * 3600)} SELECT event_id, hit FROM kept UNION ALL SELECT event_id, false FROM telemetry WHERE event_type = 'error'")
+def tool_cache(spark: SparkSession, d: str) -> DataFrame:
+    calls = T.telemetry(spark, d).select("event_id", "ts", F.col("event_type").alias("tool"), F.col("details").alias("arguments"), (F.col("duration_ms") < 60).alias("ok"))
+    return L.tool_cache(calls, 5 * 3600, ("error",))
+
+
+_BREAKER_SQL = f"""{_REC}, q AS (SELECT event_id, client_id, severity = 'error' AS bad, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client_id ORDER BY ts, event_id) AS n FROM telemetry),
+run AS (SELECT event_id, client_id, n, false AS open, CASE WHEN bad THEN 1 ELSE 0 END AS f, CAST(NULL AS BIGINT) AS since FROM q WHERE n = 1
+UNION ALL SELECT event_id, client_id, n, since IS NOT NULL, CASE WHEN bad THEN f + 1 ELSE 0 END, CASE WHEN bad AND f + 1 >= 2 AND since IS NULL THEN us WHEN NOT bad THEN NULL ELSE since END
+FROM (SELECT q.event_id, q.client_id, q.n, q.bad, q.us, CASE WHEN q.us - since >= {7 * 86400}000000 THEN 0 ELSE f END AS f, CASE WHEN q.us - since >= {7 * 86400}000000 THEN NULL ELSE since END AS since FROM run JOIN q ON q.client_id = run.client_id AND q.n = run.n + 1))"""
 
 
-@query("stm06_circuit_breaker")
+@query("stm06_circuit_breaker", f"{_BREAKER_SQL} SELECT event_id, open FROM run")
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return L.breaker_states(T.telemetry(spark, d), 2, 7 * 86400)
 
 
+_KINDS = ("click", "view", "purchase")
+
+
+def _gateway_requests(spark: SparkSession, d: str) -> DataFrame:
+    k, value = F.col("request_id"), F.col("duration_ms")
+    outcome = F.when(value > 95, "timeout").when(value < 5, "broken").otherwise("ok")
+    return _requests(spark, d).select("request_id", "client_id", "ts", F.col("event_type").alias("kind"), F.concat_ws(":", "event_type", (k % 40).cast("string")).alias("payload"), (k % 110).alias("tokens"), (k % 9).alias("variations"), outcome.alias("outcome"))
+
+
+_GATEWAY_SQL = f"""{_REC}, {_limit_sql(_FOUR)}, g AS (SELECT event_id, denied_by, epoch_us(ts) AS us, event_type || ':' || event_id % 40 AS key, CASE WHEN event_id % 110 > 100 THEN 'tokens' WHEN event_id % 9 > 7 THEN 'variations' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown kind' END AS wrong,
+CASE WHEN duration_ms > 95 THEN 'timeout' WHEN duration_ms < 5 THEN 'broken' ELSE 'ok' END AS outcome FROM telemetry JOIN run ON event_id = request_id),
+{_cache_sql("SELECT event_id, key, us, wrong IS NULL AND outcome = 'ok' AS stores FROM g WHERE denied_by IS NULL", 36 * 3600)}
+SELECT g.event_id AS request_id, CASE WHEN denied_by IS NOT NULL THEN 'rate_limited' WHEN hit THEN 'cached' WHEN wrong IS NOT NULL THEN 'failed' WHEN outcome = 'ok' THEN 'completed' WHEN outcome = 'timeout' THEN 'timeout' ELSE 'failed' END AS status,
+CASE WHEN denied_by IS NOT NULL THEN denied_by WHEN hit THEN 'cache' ELSE coalesce(wrong, outcome) END AS by FROM g LEFT JOIN kept USING (event_id)"""
+
+
+@query("stm11_gateway", _GATEWAY_SQL)
+def gateway(spark: SparkSession, d: str) -> DataFrame:
+    return L.gateway(_gateway_requests(spark, d), _FOUR, 36 * 3600, 100, 7, _KINDS)
+
+
+@query("stm10_retry", "WITH a AS (SELECT event_id, k, (event_id + k) % 5 AS e, (event_id * 3 + ((event_id + k) % 5) * k) % 4 = 0 AS ok FROM events, range(3) r(k)), f AS (SELECT event_id, coalesce(min(k) FILTER (ok), 2) AS last, bool_or(ok) AS ok FROM a GROUP BY 1) SELECT event_id AS request_id, last + 1 AS attempts, (event_id + last) % 5 AS endpoint, ok, CASE last WHEN 0 THEN 0e0 WHEN 1 THEN 0.5e0 ELSE 1.5e0 END AS waited FROM f")
+def retry(spark: SparkSession, d: str) -> DataFrame:
+    r = T.table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("event_id").alias("start"))
+    return L.retried(r, lambda attempt, endpoint: (F.col("start") * 3 + endpoint * attempt) % 4 == 0, 5, base=0.5)
+
+
 @query("stm07_priority_queue", f"{TEL} SELECT event_id, row_number() OVER (PARTITION BY client_id ORDER BY event_id % 4 DESC, ts, event_id) AS place FROM telemetry")
 def priority_queue(spark: SparkSession, d: str) -> DataFrame:
     q = T.telemetry(spark, d).select("event_id", F.col("client_id").alias("queue"), (F.col("event_id") % 4).alias("priority"), F.struct("ts", "event_id").alias("seq"))

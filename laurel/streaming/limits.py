@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import cache_key
+
 # Buckets as (name, capacity, refill, seconds of one refill), in the order in which they are asked.
 BUCKETS = (("burst", 10, 10, 1), ("minute", 60, 60, 60), ("hour", 1000, 1000, 3600), ("day", 10000, 10000, 86400))
 
@@ -79,28 +81,69 @@ def rate_limited_stream(requests: DataFrame, rules=BUCKETS) -> DataFrame:
     return timed.groupBy("client_id").applyInPandasWithState(run, _OUT, kept, "append", GroupStateTimeout.NoTimeout)
 
 
-def cache_hits(calls: DataFrame, key: Column, seconds: int) -> DataFrame:
-    """hit: whether an equal key was stored less than `seconds` before, as seen from the call that stored it.
+def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None) -> DataFrame:
+    """hit: whether an equal key was stored less than `seconds` before, as seen from the call that stored it; calls for which `stores` is not true store nothing.
 
     An entry lives from its insertion, so hits depend on where the last one was stored: keys are streamed in order.
     """
-    ordered = calls.select("*", key.alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    ordered = ordered.select("event_id", "_key", "_us").repartition("_key").sortWithinPartitions("_key", "_us", "event_id")
+    kept = F.coalesce(stores, F.lit(False)) if stores is not None else F.lit(True)
+    ordered = calls.select("event_id", key.alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), kept.alias("_stores"))
+    ordered = ordered.repartition("_key").sortWithinPartitions("_key", "_us", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, stored = None, None
         for pdf in batches:
             hits = []
-            for k, us in zip(pdf["_key"].tolist(), pdf["_us"].tolist(), strict=True):
-                fresh = k == now and us - stored < seconds * 1_000_000
-                if not fresh:
-                    now, stored = k, us
+            for k, us, stores in zip(pdf["_key"].tolist(), pdf["_us"].tolist(), pdf["_stores"].tolist(), strict=True):
+                if k != now:
+                    now, stored = k, None
+                fresh = stored is not None and us - stored < seconds * 1_000_000
+                if stores and not fresh:
+                    stored = us
                 hits.append(fresh)
             yield pd.DataFrame({"event_id": pdf["event_id"], "hit": hits})
 
     return ordered.mapInPandas(run, "event_id bigint, hit boolean")
 
 
+def tool_cache(calls: DataFrame, seconds: int = 600, bypass: tuple[str, ...] = ()) -> DataFrame:
+    """hit for tool calls (event_id, ts, tool, arguments, ok): only answers that went well are stored, and tools in `bypass` neither store nor hit."""
+    cached = ~F.col("tool").isin(*bypass) if bypass else F.lit(True)
+    hits = cache_hits(calls.filter(cached), cache_key("tool", "arguments"), seconds, F.col("ok"))
+    return hits.unionByName(calls.filter(~cached).select("event_id", F.lit(False).alias("hit")))
+
+
+def gateway(requests: DataFrame, rules=BUCKETS, seconds: int = 3600, max_tokens: int = 100_000, max_variations: int = 16, handlers: tuple[str, ...] = ()) -> DataFrame:
+    """request_id, status, by: what becomes of requests (request_id, client_id, ts, kind, payload, tokens, variations, outcome).
+
+    In order: the client's limits, the cache of completed answers, validation, the handler of the kind, and the handler's recorded outcome (ok,
+    timeout or an error). Only what a step lets through reaches the next: a limited request neither reads nor fills the cache.
+    """
+    asked = requests.join(rate_limited(requests, rules).select("request_id", "denied_by"), "request_id")
+    invalid = F.when(F.col("tokens") > max_tokens, "tokens").when(F.col("variations") > max_variations, "variations").when(~F.col("kind").isin(*handlers), "unknown kind")
+    asked = asked.withColumn("wrong", invalid)
+    done = F.col("wrong").isNull() & (F.col("outcome") == "ok")
+    passed = asked.filter("denied_by IS NULL").withColumn("event_id", F.col("request_id"))
+    hits = cache_hits(passed, F.col("payload"), seconds, done).select(F.col("event_id").alias("request_id"), "hit")
+    out = asked.join(hits, "request_id", "left")
+    status = F.when(F.col("denied_by").isNotNull(), "rate_limited").when(F.col("hit"), "cached").when(F.col("wrong").isNotNull(), "failed").when(F.col("outcome") == "ok", "completed").when(F.col("outcome") == "timeout", "timeout").otherwise("failed")
+    by = F.when(F.col("denied_by").isNotNull(), F.col("denied_by")).when(F.col("hit"), "cache").otherwise(F.coalesce("wrong", "outcome"))
+    return out.select("request_id", status.alias("status"), by.alias("by"))
+
+
+def retried(requests: DataFrame, handler, endpoints: int, most: int = 3, base: float = 1.0) -> DataFrame:
+    """request_id, attempts, endpoint, ok, waited: attempts of requests (request_id, start) until one goes well, `most` at most.
+
+    Every attempt is routed anew, to the next endpoint; before attempt k (from 1) a request waits base * 2 ** (k - 1) seconds. handler(attempt, endpoint) is a
+    column of the requests that is true where an attempt goes well.
+    """
+    endpoint = lambda a: (F.col("start") + a) % endpoints
+    tried = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda a: F.struct(a.alias("attempt"), endpoint(a).alias("endpoint"), F.coalesce(handler(a, endpoint(a)), F.lit(False)).alias("ok")))
+    out = requests.select("request_id", tried.alias("tried")).withColumn("good", F.try_element_at(F.filter("tried", lambda t: t["ok"]), F.lit(1)))
+    last = F.coalesce("good.attempt", F.lit(most - 1))
+    return out.select("request_id", (last + 1).cast("bigint").alias("attempts"), F.get("tried", last)["endpoint"].alias("endpoint"), F.col("good").isNotNull().alias("ok"), (base * (F.pow(F.lit(2.0), last) - 1)).alias("waited"))
+
+
 def breaker_states(calls: DataFrame, failures: int = 5, seconds: int = 60) -> DataFrame:
     """open: whether a client's circuit is open when a call comes. Enough failures in a row open it for `seconds`; a success or the end of that time resets the count."""
     ordered = calls.select("event_id", "client_id", (F.col("severity") == "error").alias("bad"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
@@ -126,12 +169,18 @@ def breaker_states(calls: DataFrame, failures: int = 5, seconds: int = 60) -> Da
     return ordered.mapInPandas(run, "event_id bigint, open boolean")
 
 
+def prefix_hashes(messages: Column) -> Column:
+    """The hash of each prefix of a list of messages, each from the one before it."""
+    one = lambda x: F.to_json(F.struct(x["role"], x["content"]))
+    step = lambda s, x: F.array_append(s, F.sha2(F.concat(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit("")), one(x)), 256))
+    return F.aggregate(messages, F.array().cast("array<string>"), step)
+
+
 def longest_prefix(requests: DataFrame, cached: DataFrame) -> DataFrame:
-    """For each list of messages, the length of its longest cached prefix: hashes of all prefixes against the cache's."""
-    h = lambda m, n: F.sha2(F.to_json(F.transform(F.slice(m, F.lit(1), n), lambda x: F.struct(x["role"], x["content"]))), 256)
-    prefixes = requests.select("conv_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("messages")), lambda n: h(F.col("messages"), n))).alias("at", "hash"))
-    met = prefixes.join(cached.select(h(F.col("messages"), F.size("messages")).alias("hash")).distinct(), "hash")
-    best = met.groupBy("conv_id").agg((F.max("at") + 1).cast("bigint").alias("prefix"))
+    """For each list of messages (conv_id, messages), the length of its longest prefix that an earlier one (a smaller conv_id) has left in the cache: hashes of all prefixes against those of whole entries."""
+    prefixes = requests.select("conv_id", F.posexplode(prefix_hashes(F.col("messages"))).alias("at", "hash"))
+    entries = cached.filter(F.size("messages") > 0).groupBy(F.element_at(prefix_hashes(F.col("messages")), -1).alias("hash")).agg(F.min("conv_id").alias("since"))
+    best = prefixes.join(entries, "hash").filter("since < conv_id").groupBy("conv_id").agg((F.max("at") + 1).cast("bigint").alias("prefix"))
     return requests.select("conv_id").join(best, "conv_id", "left").select("conv_id", F.coalesce("prefix", F.lit(0).cast("bigint")).alias("prefix"))
 
 
