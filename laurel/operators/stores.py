@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Prices of a unit, multipliers by tier, and the limits of a day.
 PRICES = {"api_call": 0.001, "token_input": 0.000003, "token_output": 0.000015, "verification": 0.0001, "execution": 0.001, "storage": 0.00001}
 MULTIPLIERS = {"free": 0.0, "standard": 1.0, "premium": 1.5, "enterprise": 0.8}
@@ -19,19 +19,6 @@ def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes df below spark.checkpoint.dir (a temporary folder where it is unset) and reads it back; deleted when the JVM ends."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="laurel-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/laurel-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def matching(triplets: DataFrame, quality: str | None = None, sources: list[str] | None = None, min_confidence: float | None = None, status: str = "active") -> DataFrame:
     """Triplets that meet all given conditions; empty strings and lists do not restrict."""

@@ -176,7 +176,26 @@ def swiss(spark: SparkSession, d: str) -> DataFrame:
     return R.swiss(players(spark, d)).select("group_id", "idx", "points", "buchholz", F.round("reward", 6).alias("reward"), F.round("z", 6).alias("z"))
 
 
-@query("trn04_single_elimination")
+_TOP = "(least(strength + 1, 10) + least(strength, 10))"
+
+
+def _bracket_sql() -> str:
+    """Rounds of a bracket of up to 16 one by one: a round's odd line gives its first place a bye; ties go to the place listed first."""
+    slots = ", ".join(f"({n}, {slot}, {seed})" for n in range(2, 17) for slot, seed in enumerate(R.fold_seeds(n)))
+    out = f"""{PLAYERS_SQL}, slots(n, slot, seed) AS (VALUES {slots}), seeded AS (SELECT group_id, idx, {_TOP} AS top, row_number() OVER (PARTITION BY group_id ORDER BY {_TOP} DESC, idx) - 1 AS seed, count(*) OVER (PARTITION BY group_id) AS n FROM players),
+r0 AS (SELECT group_id, idx, top, slot AS pos, n, 0 AS k FROM seeded JOIN slots USING (n, seed))"""
+    for r in range(1, 5):
+        out += f""", d{r} AS (SELECT *, n > 1 AND pos >= n % 2 AS plays, (pos - n % 2) // 2 AS pair, (pos - n % 2) % 2 AS side FROM r{r - 1}),
+e{r} AS (SELECT *, row_number() OVER (PARTITION BY group_id, plays, pair ORDER BY top DESC, side) AS place FROM d{r}),
+r{r} AS (SELECT group_id, idx, top, CASE WHEN plays THEN pair + n % 2 ELSE 0 END AS pos, CASE WHEN n > 1 THEN n // 2 + n % 2 ELSE 1 END AS n, 0 AS k FROM e{r} WHERE NOT plays OR place = 1),
+l{r} AS (SELECT group_id, idx, top, {r} AS round, pair FROM e{r} WHERE plays AND place = 2)"""
+    lost = " UNION ALL ".join(f"SELECT * FROM l{r}" for r in range(1, 5))
+    return out + f""", o AS ({lost} UNION ALL SELECT group_id, idx, top, 9, 0 FROM r4), p AS (SELECT group_id, idx, row_number() OVER (PARTITION BY group_id ORDER BY round DESC, top DESC, pair) AS place, count(*) OVER (PARTITION BY group_id) AS n FROM o),
+w AS (SELECT group_id, idx, place, 1 - (place - 1) / CAST(n - 1 AS DOUBLE) AS reward FROM p)
+SELECT group_id, idx, place, round(reward, 6) AS reward, round((reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-6), 6) AS z FROM w WINDOW g AS (PARTITION BY group_id)"""
+
+
+@query("trn04_single_elimination", _bracket_sql())
 def single(spark: SparkSession, d: str) -> DataFrame:
     return R.elimination(players(spark, d)).select("group_id", "idx", "place", F.round("reward", 6).alias("reward"), F.round("z", 6).alias("z"))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | str = "*", memory: str = "16g", partitions: int = 8, **conf) -> SparkSession:
@@ -23,3 +24,22 @@ def session(cores: int | str = "*", memory: str = "16g", partitions: int = 8, **
     for k, v in conf.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share, deleted when the JVM ends: below spark.checkpoint.dir, or the context's checkpoint folder, which is set to one in the warehouse where both are unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/laurel-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes df to a shared folder and reads it back: cuts lineage and survives lost executors."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

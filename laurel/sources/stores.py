@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MESSAGE = "struct<role:string,content:string,reasoning_content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>,tool_call_id:string>"
 
@@ -23,11 +22,19 @@ SCHEMAS = {
 
 
 class Store:
-    """Parquet tables below one folder: created empty, appended to, and read with fixed schemas. Statistics of sorted files stand in for indexes."""
+    """Parquet tables below one folder: created empty, appended to, and read with fixed schemas; a table that is not there is an error. Statistics of sorted files stand in for indexes."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    @classmethod
+    def create(cls, spark: SparkSession, root: str) -> Store:
+        """A store with all its tables, empty; those that are there stay as they are."""
+        store = cls(spark, root)
+        for name, (schema, _) in SCHEMAS.items():
+            spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(store.path(name))
+        return store
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -40,13 +47,7 @@ class Store:
         (writer.partitionBy(part) if part else writer).parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
-        schema, _ = SCHEMAS[name]
-        try:
-            return self.spark.read.schema(schema).parquet(self.path(name))
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], schema)
-            raise
+        return self.spark.read.schema(SCHEMAS[name][0]).parquet(self.path(name))
 
 
 def new_triplets(rows: DataFrame, as_of: Column, source: str = "tournament") -> DataFrame:
@@ -76,35 +77,10 @@ def tool_results(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return j.select("call_id", "tool", "server", F.when(F.col("server").isNull(), F.concat(F.lit("[Error] unknown tool "), F.col("tool"))).alias("error"))
 
 
-class FileTool(DataSource):
-    """A tool's recorded answers (JSON lines) as a data source, in place of a network service: options path and tool."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "laurel_tool"
-
-    def schema(self) -> str:
-        return "tool string, query string, answer string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _FileToolReader(self.options["path"], self.options.get("tool", ""))
-
-
-class _FileToolReader(DataSourceReader):
-    def __init__(self, path: str, tool: str):
-        self.path, self.tool = path, tool
-
-    def partitions(self):
-        return [InputPartition(0)]
-
-    def read(self, partition):
-        import json
-
-        with open(self.path) as f:
-            for line in f:
-                r = json.loads(line)
-                if not self.tool or r["tool"] == self.tool:
-                    yield (r["tool"], r["query"], r["answer"])
+def tool_answers(spark: SparkSession, path: str, tool: str | None = None) -> DataFrame:
+    """A tool's recorded answers (JSON lines of tool, query and answer, in any store that Spark reads), in place of a network service."""
+    rows = spark.read.schema("tool string, query string, answer string").json(path)
+    return rows if tool is None else rows.filter(F.col("tool") == tool)
 
 
 class Registry:

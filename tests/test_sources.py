@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from laurel.functions import text as X
@@ -23,7 +24,7 @@ def one(spark, *columns):
 
 
 def test_store_round_trip(spark, tmp_path):
-    store = ST.Store(spark, str(tmp_path))
+    store = ST.Store.create(spark, str(tmp_path))
     assert store.read("triplets").count() == 0
     rows = spark.createDataFrame([("q", 0.9, "gold"), ("r", None, None)], "input string, confidence double, quality string")
     store.append("triplets", ST.new_triplets(rows, now()))
@@ -48,8 +49,13 @@ def test_exports(spark, tmp_path, kind):
 def test_file_tool(spark, tmp_path):
     p = tmp_path / "answers.jsonl"
     p.write_text("".join(json.dumps({"tool": t, "query": "q", "answer": t * 2}) + "\n" for t in "ab"))
-    spark.dataSource.register(ST.FileTool)
-    assert [r["answer"] for r in spark.read.format("laurel_tool").option("path", str(p)).option("tool", "b").load().collect()] == ["bb"]
+    assert [r["answer"] for r in ST.tool_answers(spark, str(p), "b").collect()] == ["bb"]
+    assert ST.tool_answers(spark, str(p)).count() == 2
+
+
+def test_a_lost_table_is_an_error(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        ST.Store(spark, str(tmp_path / "none")).read("triplets")
 
 
 def test_text_files(spark, tmp_path):
