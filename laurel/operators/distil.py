@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import written
 
 
 def triplets_from_scores(scores: DataFrame) -> DataFrame:
@@ -25,27 +26,20 @@ def rejection_reason(min_confidence: float = 0.6, most: int = 50) -> Column:
 
 
 def train_eval_split(rows: DataFrame, key: str, share: float, seed: str) -> DataFrame:
-    """part: train for exactly floor(n * share) rows, in the order of a hash.
+    """part: train for exactly floor(n * share) rows, in the order of a hash of the key; rows of one key may part at the cut.
 
-    The n-th smallest hash is found by a range sort whose partitions are counted, not by a window over all rows.
+    Rows are range-partitioned by the hash and written with their numbers; the count of each partition tells where the cut lies.
     """
-    hashed = rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))))
-    n = hashed.count()
-    want = int(n * share)
-    if not want:
-        return hashed.withColumn("part", F.lit("eval")).drop("_h")
-    # narrow down to the prefix of hashes in which the cut lies
-    width, low = 4, ""
-    while True:
-        counts = hashed.filter(F.col("_h").startswith(low)).groupBy(F.substring("_h", 1, len(low) + width).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-        for r in counts:
-            if want <= r["n"]:
-                low = r["p"]
-                break
-            want -= r["n"]
-        if len(low) >= 32 or counts and max(r["n"] for r in counts if r["p"] == low) <= 1:
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed))))
+    placed = written(hashed.repartitionByRange("_h").sortWithinPartitions("_h").withColumn("_at", F.monotonically_increasing_id()))
+    counts = sorted(tuple(r) for r in placed.groupBy(F.shiftrightunsigned("_at", 33)).agg(F.count(F.lit(1))).collect())  # a row for each partition
+    left, cut = int(sum(n for _, n in counts) * share), 0
+    for part, n in counts:
+        if left <= n:
+            cut = (part << 33) + left
             break
-    return hashed.withColumn("part", F.when(F.col("_h") < low, "train").when(F.col("_h").startswith(low), "train").otherwise("eval")).drop("_h")
+        left -= n
+    return placed.withColumn("part", F.when(F.col("_at") < cut, "train").otherwise("eval")).drop("_h", "_at")
 
 
 def correction_status(attempts: DataFrame) -> DataFrame:

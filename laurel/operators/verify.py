@@ -81,25 +81,32 @@ def condition(attribute: Column, operator: str, value) -> Column:
     }[operator]()
 
 
-def _part(policy: str, request: str) -> str:
-    """Equal, or a policy `X::*` of which the request has the prefix `X::`."""
-    return f"(p.{policy} = r.{request} OR p.{policy} = '*' OR (endswith(p.{policy}, '::*') AND startswith(r.{request}, substring(p.{policy}, 1, length(p.{policy}) - 1))))"
+def _covers(name: str) -> Column:
+    """All that a policy may say to cover a request's part: the part itself, `*`, and `X::*` for each prefix `X::` of it."""
+    parts = F.split(name, "::")
+    prefixes = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k > 0), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "::"), F.lit("::*")))
+    return F.explode(F.array_distinct(F.concat(F.array(F.col(name), F.lit("*")), prefixes)))
 
 
 def policy_decisions(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """allowed and the ids of matching forbids, for each request (request_id, principal, action, resource): forbid beats permit, and nothing is allowed by default.
 
-    The policies are a written rule set of a few rows, broadcast; each distinct request is decided once.
+    Each distinct request is decided once, by an equal join of what may cover it with the policies, however many there are. A null part is covered by no policy.
     """
-    r, p = requests.alias("r"), F.broadcast(policies).alias("p")
-    match = F.expr(" AND ".join(_part(x, x) for x in ("principal", "action", "resource")))
-    asked = requests.select("principal", "action", "resource").distinct().alias("r")
-    met = asked.join(p, match, "left").groupBy("r.principal", "r.action", "r.resource").agg(
-        F.coalesce(F.bool_or(F.col("p.effect") == "permit"), F.lit(False)).alias("permitted"),
-        F.array_sort(F.collect_list(F.when(F.col("p.effect") == "forbid", F.col("p.id")))).alias("forbids"),
+    part = ["principal", "action", "resource"]
+    asked = requests.select(part).distinct()
+    sought = asked
+    for c in part:
+        sought = sought.select("*", _covers(c).alias(f"{c}_said"))
+    said = policies.select("id", "effect", *(F.col(c).alias(f"{c}_said") for c in part))
+    met = sought.join(said, [f"{c}_said" for c in part]).groupBy(part).agg(
+        F.bool_or(F.col("effect") == "permit").alias("permitted"),
+        F.array_sort(F.collect_list(F.when(F.col("effect") == "forbid", F.col("id")))).alias("forbids"),
     )
-    out = r.join(met, ["principal", "action", "resource"])
-    return out.select("request_id", (F.col("permitted") & (F.size("forbids") == 0)).alias("allowed"), "forbids")
+    r, m = requests.alias("r"), met.alias("m")
+    out = r.join(m, [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in part], "left")
+    forbids = F.coalesce("m.forbids", F.array().cast("array<string>"))
+    return out.select("request_id", (F.coalesce("m.permitted", F.lit(False)) & (F.size(forbids) == 0)).alias("allowed"), forbids.alias("forbids"))
 
 
 def resource_findings(resources: DataFrame, checks: list[tuple[str, str, str, Column]]) -> DataFrame:
@@ -142,7 +149,7 @@ def container_findings(manifests: DataFrame) -> DataFrame:
 
 def tool_call_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Errors of tool calls (call_id, tool, arguments as JSON) against known tools (tool, required): unknown, bad JSON, missing arguments."""
-    j = calls.join(F.broadcast(tools), "tool", "left")
+    j = calls.join(tools, "tool", "left")
     missing = F.array_except("required", F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>")))
     error = F.when(F.col("required").isNull(), "unknown tool").when(F.try_parse_json("arguments").isNull(), "arguments are not JSON").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(F.array_sort(missing), ",")))
     return j.select("call_id", error.alias("error"))

@@ -73,7 +73,7 @@ def texts(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
 
 def tool_results(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Calls (call_id, tool) with the server of their tool; unknown tools give an error row."""
-    j = calls.join(F.broadcast(tools), "tool", "left")
+    j = calls.join(tools, "tool", "left")
     return j.select("call_id", "tool", "server", F.when(F.col("server").isNull(), F.concat(F.lit("[Error] unknown tool "), F.col("tool"))).alias("error"))
 
 

@@ -92,6 +92,10 @@ def test_policies(spark):
     pol = spark.createDataFrame([("p", "permit", "*", "connect", "Host::*"), ("f", "forbid", "*", "*", "Host::bad")], "id string, effect string, principal string, action string, resource string")
     got = {r["request_id"]: (r["allowed"], r["forbids"]) for r in V.policy_decisions(req, pol).collect()}
     assert got == {1: (True, []), 2: (False, ["f"]), 3: (False, [])}
+    deep = spark.createDataFrame([(1, "A::1", "connect", "Host::x::y"), (2, None, "connect", "Host::x"), (3, "A::1", "connect", "Host")], "request_id int, principal string, action string, resource string")
+    pol = spark.createDataFrame([("p", "permit", "*", "*", "Host::*"), ("f", "forbid", "A::*", "connect", "Host::x::*")], "id string, effect string, principal string, action string, resource string")
+    got = {r["request_id"]: (r["allowed"], r["forbids"]) for r in V.policy_decisions(deep, pol).collect()}
+    assert got == {1: (False, ["f"]), 2: (False, []), 3: (False, [])}
 
 
 def test_parsers():
@@ -112,6 +116,8 @@ def test_split_is_exact(spark):
         rows = spark.range(n).withColumnRenamed("id", "k")
         got = D.train_eval_split(rows, "k", share, "s").groupBy("part").count().collect()
         assert {r["part"]: r["count"] for r in got}.get("train", 0) == int(n * share)
+    same = spark.range(10).select(F.lit("x").alias("k"))
+    assert D.train_eval_split(same, "k", 0.5, "s").filter("part = 'train'").count() == 5
 
 
 def test_retention(spark):
