@@ -171,14 +171,27 @@ def buchholz(spark: SparkSession, d: str) -> DataFrame:
     return s.select("group_id", "idx", "opp").distinct().join(points, ["group_id", "opp"]).groupBy("group_id", "idx").agg(F.sum("points").alias("buchholz"))
 
 
-@query("trn03_swiss")
+_TOP = "(least(strength + 1, 10) + least(strength, 10))"
+#: One pairing after another, as a recursion over each group: the players still to be paired in this round, everybody's points, and who met whom.
+_SWISS_SQL = f"""{PLAYERS_SQL.replace("WITH players", "WITH RECURSIVE players")}, g AS (SELECT group_id, count(*) AS n, list({_TOP} ORDER BY idx) AS top, least(greatest(1, CAST(ceil(log2(count(*))) AS INT)), count(*) - 1) AS rounds FROM players GROUP BY 1),
+st AS (SELECT group_id, n, top, rounds, -1 AS r, CAST([] AS BIGINT[]) AS line, list_transform(range(n), lambda i: 0e0) AS points, CAST([] AS BIGINT[]) AS met FROM g
+UNION ALL SELECT group_id, n, top, rounds, CASE WHEN pairs THEN r ELSE r + 1 END,
+CASE WHEN pairs THEN list_filter(line, lambda x: x <> a AND x <> b) ELSE list_transform(list_sort(list_transform(range(n), lambda i: {{'p': -points2[i + 1], 'h': md5('0:' || group_id || ':' || (r + 1) || ':' || i), 'i': i}})), lambda x: x.i) END,
+CASE WHEN pairs THEN list_transform(range(n), lambda i: points[i + 1] + CASE WHEN i = a THEN CASE WHEN top[a + 1] > top[b + 1] THEN 1e0 WHEN top[a + 1] = top[b + 1] THEN 0.5e0 ELSE 0e0 END WHEN i = b THEN CASE WHEN top[b + 1] > top[a + 1] THEN 1e0 WHEN top[a + 1] = top[b + 1] THEN 0.5e0 ELSE 0e0 END ELSE 0e0 END) ELSE points2 END,
+CASE WHEN pairs THEN met || [a * 16 + b, b * 16 + a] ELSE met END
+FROM (SELECT *, len(line) > 1 AS pairs, line[1] AS a, coalesce(list_filter(line[2:], lambda x: NOT list_contains(met, line[1] * 16 + x))[1], line[2]) AS b, list_transform(range(n), lambda i: points[i + 1] + CASE WHEN len(line) = 1 AND line[1] = i THEN 1e0 ELSE 0e0 END) AS points2 FROM st WHERE r < rounds)),
+done AS (SELECT group_id, n, points, list_distinct(met) AS met FROM st WHERE r = rounds),
+p AS (SELECT group_id, n, i AS idx, points[i + 1] AS points, coalesce(list_sum(list_transform(list_filter(met, lambda x: x // 16 = i), lambda x: points[x % 16 + 1])), 0e0) AS buchholz FROM (SELECT *, unnest(range(n)) AS i FROM done)),
+q AS (SELECT *, 1 - (row_number() OVER (PARTITION BY group_id ORDER BY points DESC, buchholz DESC, idx) - 1) / CAST(n - 1 AS DOUBLE) AS place FROM p),
+w AS (SELECT *, avg(place) OVER (PARTITION BY group_id, points, buchholz) AS reward FROM q)
+SELECT group_id, idx, points, buchholz, round(reward, 6) AS reward, round((reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-6), 6) AS z FROM w WINDOW g AS (PARTITION BY group_id)"""
+
+
+@query("trn03_swiss", _SWISS_SQL)
 def swiss(spark: SparkSession, d: str) -> DataFrame:
     return R.swiss(players(spark, d)).select("group_id", "idx", "points", "buchholz", F.round("reward", 6).alias("reward"), F.round("z", 6).alias("z"))
 
 
-_TOP = "(least(strength + 1, 10) + least(strength, 10))"
-
-
 def _bracket_sql() -> str:
     """Rounds of a bracket of up to 16 one by one: a round's odd line gives its first place a bye; ties go to the place listed first."""
     slots = ", ".join(f"({n}, {slot}, {seed})" for n in range(2, 17) for slot, seed in enumerate(R.fold_seeds(n)))
@@ -200,7 +213,32 @@ def single(spark: SparkSession, d: str) -> DataFrame:
     return R.elimination(players(spark, d)).select("group_id", "idx", "place", F.round("reward", 6).alias("reward"), F.round("z", 6).alias("z"))
 
 
-@query("trn05_double_elimination")
+def _double_sql() -> str:
+    """The winners' rounds, then the losers' with those that each winners' round feeds, then the final; a round's pairs stand next to each other in the order of a hash."""
+
+    def played(name: str, line: str, turn: str) -> str:
+        return f""", {name} AS MATERIALIZED (SELECT *, pos // 2 AS pair, row_number() OVER (PARTITION BY group_id, pos // 2 ORDER BY top DESC, pos) AS place
+FROM (SELECT l.*, row_number() OVER (PARTITION BY l.group_id ORDER BY md5('0:' || l.group_id || ':' || CAST({turn} AS BIGINT) || ':' || l.idx)) - 1 AS pos FROM ({line}) l JOIN turn0 t USING (group_id)))"""
+
+    own = "SELECT group_id, idx, top FROM"
+    out = f"{PLAYERS_SQL}, w0 AS (SELECT group_id, idx, {_TOP} AS top, 1 AS place FROM players), turn0 AS MATERIALIZED (SELECT group_id, ceil(log2(count(*))) AS t FROM players GROUP BY 1)"
+    for r in range(1, 5):
+        out += played(f"w{r}", f"{own} w{r - 1} WHERE place = 1", str(r - 1))
+    for j in range(1, 8):
+        fed = f" UNION ALL {own} w{j} WHERE place = 2" if j <= 4 else ""
+        out += f", f{j} AS MATERIALIZED ({f'{own} l{j - 1} WHERE place = 1{fed}' if j > 1 else f'{own} w1 WHERE place = 2'})"
+        before = " + ".join(["t.t", *(f"(SELECT CAST(count(*) > 1 AS INT) FROM f{i} x WHERE x.group_id = l.group_id)" for i in range(1, j))])
+        out += played(f"l{j}", f"{own} f{j}", before)
+    gone = " UNION ALL ".join(f"SELECT group_id, idx, top, {j} AS round, pair FROM l{j} WHERE place = 2" for j in range(1, 8))
+    out += f""", e AS (SELECT w.group_id, w.idx AS wi, w.top AS wt, l.idx AS li, l.top AS lt FROM w4 w JOIN l7 l USING (group_id) WHERE w.place = 1 AND l.place = 1),
+o AS ({gone} UNION ALL SELECT group_id, CASE WHEN wt >= lt THEN wi ELSE li END, 0, 100, 0 FROM e UNION ALL SELECT group_id, CASE WHEN wt >= lt THEN li ELSE wi END, 0, 99, 0 FROM e),
+p AS (SELECT group_id, idx, row_number() OVER (PARTITION BY group_id ORDER BY round DESC, top DESC, pair) AS place, count(*) OVER (PARTITION BY group_id) AS n FROM o),
+w AS (SELECT group_id, idx, place, 1 - (place - 1) / CAST(n - 1 AS DOUBLE) AS reward FROM p)
+SELECT group_id, idx, place, round(reward, 6) AS reward, round((reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-6), 6) AS z FROM w WINDOW g AS (PARTITION BY group_id)"""
+    return out
+
+
+@query("trn05_double_elimination", _double_sql())
 def double(spark: SparkSession, d: str) -> DataFrame:
     return R.elimination(players(spark, d), double=True).select("group_id", "idx", "place", F.round("reward", 6).alias("reward"), F.round("z", 6).alias("z"))
 
