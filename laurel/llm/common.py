@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 
@@ -21,17 +22,38 @@ def shared_dir(spark: SparkSession) -> str:
 
     That is spark.checkpoint.dir; where it is unset, the context's checkpoint folder, set to one in the warehouse if it is unset too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = _SCRATCH[-1] if _SCRATCH else spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/laurel-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
 
+#: Folders that shared_dir uses, the innermost last.
+_SCRATCH: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is stashed inside is deleted at the end; results have to be written elsewhere before that."""
+    path = shared_dir(spark)
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        dropped(spark, path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that shared_dir has given."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes df below the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
@@ -39,6 +61,17 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Like stash, with rows dealt to buckets by keys: what groups by them reads the table without a shuffle, as often as it likes."""
+    spark, name = df.sparkSession, f"laurel_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many buckets as aggregations have partitions, each written by one task
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", shared_dir(spark)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # it leaves the catalog; its files go with the shared folder
+    return out
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
