@@ -104,3 +104,9 @@ def rewarded(scores: DataFrame, name: str, valid: Column | None = None, floor: f
         return REWARDS[name](scores)
     good = REWARDS[name](scores.filter(valid)).select("group_id", "idx", "reward")
     return scores.join(good, ["group_id", "idx"], "left").withColumn("reward", F.coalesce("reward", F.lit(floor)))
+
+
+def scalar_rewarded(rows: DataFrame, reward: Column, valid: Column | None = None, floor: float = -1.0) -> DataFrame:
+    """Rows with a reward of their own; rows that are not valid, or whose reward is null, get the floor."""
+    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    return rows.withColumn("reward", F.coalesce(F.when(ok, reward), F.lit(floor)))

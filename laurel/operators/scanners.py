@@ -274,6 +274,35 @@ RULES["no_host_network"] = lambda df: df.filter("kind = 'kubernetes'").filter(F.
 RULES["no_hardcoded_secrets"] = lambda df: df.select("traj_id", F.concat_ws(".", "type", "name").alias("path"), F.explode(F.array_repeat(F.lit("critical"), sum((F.regexp_count("config", F.lit(p)) for p in CONFIG_SECRETS), F.lit(0)))).alias("severity"))
 
 
+#: What a smaller service checks: the same machinery, its own rules and values.
+SERVICE_RULES: dict[str, Rule] = {
+    # Lists, types and tags.
+    "no_public_s3": lambda df: _broken(df, (F.col("type") == "aws_s3_bucket") & _config("acl").isin("public-read", "public-read-write")),
+    "encryption_required": lambda df: _broken(df, ((F.col("type") == "aws_ebs_volume") & _unset("encrypted")) | ((F.col("type") == "aws_db_instance") & _unset("storage_encrypted"))),
+    "tagging_required": lambda df: _broken(df, F.col("type").isin("aws_instance", "aws_s3_bucket", "aws_vpc") & F.greatest(*(_config(f"tags.{t}").isNull() for t in ("Environment", "Owner")))),
+}
+
+
+def _broken(df: DataFrame, bad: Column) -> DataFrame:
+    return df.filter("kind = 'terraform'").filter(bad).select("traj_id", F.concat_ws(".", "type", "name").alias("path"), F.lit("error").alias("severity"))
+
+
+def host_decision(host: Column, blocked: tuple[str, ...], allowed: tuple[str, ...], default_deny: bool = True) -> Column:
+    """struct(allowed, reason): a host that holds a blocked string is refused; then exact hosts and `*` endings are allowed; then the default."""
+    none = F.lit(False)
+    refused = none
+    for b in blocked:
+        refused = refused | F.contains(host, F.lit(b))
+    ending = exact = none
+    for a in allowed:
+        if a.startswith("*"):
+            ending = ending | F.endswith(host, F.lit(a[1:]))
+        else:
+            exact = exact | (host == a)
+    reason = F.when(refused, "blocked").when(ending, "wildcard").when(exact, "exact").otherwise("default")
+    return F.struct(F.coalesce(F.when(refused, False).when(ending | exact, True), F.lit(not default_deny)).alias("allowed"), reason.alias("reason"))
+
+
 def policy_violations(configs: DataFrame, names: list[str] | None = None, custom: dict[str, Rule] | None = None) -> DataFrame:
     """traj_id, rule, path, severity of the rules named (all, if none are), custom ones included and first of their name."""
     rules = {**RULES, **(custom or {})}

@@ -307,6 +307,17 @@ def custom_rules(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("traj_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ver24_service_rules", f"{_CONFIG_SQL} SELECT traj_id, rule, count(*) AS n FROM (SELECT traj_id, 'no_public_s3' AS rule FROM r WHERE type = 'aws_s3_bucket' AND k % 4 = 0 UNION ALL SELECT traj_id, 'encryption_required' FROM r WHERE (type = 'aws_ebs_volume' OR type = 'aws_db_instance') AND (type = 'aws_ebs_volume') = (k % 2 = 0) UNION ALL SELECT traj_id, 'tagging_required' FROM r WHERE type IN ('aws_instance', 'aws_s3_bucket') AND k % 2 <> 0) GROUP BY ALL")
+def service_rules(spark: SparkSession, d: str) -> DataFrame:
+    return S.policy_violations(configs(spark, d), sorted(S.SERVICE_RULES), S.SERVICE_RULES).groupBy("traj_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ver24_host_service", "WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host FROM pages) SELECT page_id, NOT contains(host, 'site3') AND (host LIKE '%5.example' OR host = 'site1.example') AS allowed, CASE WHEN contains(host, 'site3') THEN 'blocked' WHEN host LIKE '%5.example' THEN 'wildcard' WHEN host = 'site1.example' THEN 'exact' ELSE 'default' END AS reason FROM h")
+def host_service(spark: SparkSession, d: str) -> DataFrame:
+    host = F.regexp_extract("url", "^https?://([^/:]+)", 1)
+    return T.table(spark, d, "pages").select("page_id", S.host_decision(host, ("site3",), ("*5.example", "site1.example")).alias("x")).select("page_id", "x.*")
+
+
 # ---- judges and rewards ------------------------------------------------------------------------------------------------
 
 
@@ -321,3 +332,8 @@ def judges(spark: SparkSession, d: str) -> DataFrame:
 def group_rewards(spark: SparkSession, d: str) -> DataFrame:
     s = T.players(spark, d).withColumn("score", F.col("strength"))
     return G.rewarded(s, "rank", F.col("toxic") == 0).select("group_id", "idx", F.round("reward", 6).alias("reward"))
+
+
+@query("udf02_scalar_rewards", f"{T.PLAYERS_SQL} SELECT group_id, idx, CASE WHEN quality = 0 THEN -1e0 ELSE strength / 10e0 END AS reward FROM players")
+def scalar_rewards(spark: SparkSession, d: str) -> DataFrame:
+    return G.scalar_rewarded(T.players(spark, d), F.col("strength") / 10, F.col("quality") == 1).select("group_id", "idx", "reward")
