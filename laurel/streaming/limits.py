@@ -1,7 +1,7 @@
 """Keyed state machines: rate limits, caches, circuit breakers and load balancing, in batch and as streams.
 
-The batch forms run over a client's requests in order of time. The streaming form of the limiter keeps the same state by
-client, so a finished stream and the batch give the same answers.
+A machine answers the rows of one key in order of time. The batch form runs over sorted partitions; the streaming form keeps the
+same state by key, so a finished stream and the batch give the same answers.
 """
 
 from __future__ import annotations
@@ -40,70 +40,136 @@ class Buckets:
             self.state[k] = (tokens - 1, last)
         return None
 
+    def answer(self, us: int) -> str | None:
+        return self.ask(us / 1e6)
 
-_OUT = "request_id bigint, client_id bigint, denied_by string"
+    def kept(self) -> tuple[float, ...]:
+        return tuple(float(v) for pair in self.state for v in pair)
 
+    def restored(self, values: tuple[float, ...]) -> Buckets:
+        self.state = list(zip(values[::2], values[1::2], strict=True))
+        return self
 
-def rate_limited(requests: DataFrame, rules=BUCKETS) -> DataFrame:
-    """denied_by for each request (request_id, client_id, ts), null if allowed.
 
-    Requests of a client are sorted inside partitions and streamed, so a client of any size needs the memory of one batch.
-    """
-    ordered = requests.select("request_id", "client_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    ordered = ordered.repartition("client_id").sortWithinPartitions("client_id", "us", "request_id")
+class Entry:
+    """One key's place in a cache: when it was stored, in microseconds, or -1."""
+
+    def __init__(self, seconds: int):
+        self.life, self.stored = seconds * 1_000_000, -1
+
+    def answer(self, us: int, stores: bool) -> bool:
+        """Whether the call hits; if not, it stores its answer where it may."""
+        fresh = self.stored >= 0 and us - self.stored < self.life
+        if stores and not fresh:
+            self.stored = us
+        return fresh
+
+    def kept(self) -> tuple[float, ...]:
+        return (float(self.stored),)
+
+    def restored(self, values: tuple[float, ...]) -> Entry:
+        self.stored = int(values[0])
+        return self
+
+
+class Breaker:
+    """One circuit: errors in a row, and since when it is open, in microseconds, or -1."""
+
+    def __init__(self, failures: int, seconds: int):
+        self.failures, self.life, self.n, self.since = failures, seconds * 1_000_000, 0, -1
+
+    def answer(self, us: int, bad: bool) -> bool:
+        """Whether the circuit is open when the call comes."""
+        if self.since >= 0 and us - self.since >= self.life:
+            self.n, self.since = 0, -1
+        open_ = self.since >= 0
+        self.n = self.n + 1 if bad else 0
+        if self.n >= self.failures and not open_:
+            self.since = us
+        elif not bad:
+            self.since = -1
+        return open_
+
+    def kept(self) -> tuple[float, ...]:
+        return float(self.n), float(self.since)
+
+    def restored(self, values: tuple[float, ...]) -> Breaker:
+        self.n, self.since = int(values[0]), int(values[1])
+        return self
+
+
+def _batch(rows: DataFrame, key: str, inputs: list[str], make, ident: str, out: str) -> DataFrame:
+    """Each row's answer from the machine of its key. Rows of a key are sorted inside partitions and streamed, so a key of any size needs the memory of one batch."""
+    names = [x.split()[0] for x in out.split(", ")]
+    ordered = rows.repartition(key).sortWithinPartitions(key, "us", ident)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, b = None, Buckets(rules=rules)
+        last, machine = None, make()
         for pdf in batches:
             said = []
-            for c, us in zip(pdf["client_id"].tolist(), pdf["us"].tolist(), strict=True):
-                if c != client:
-                    client, b = c, Buckets(rules=rules)
-                said.append(b.ask(us / 1e6))
-            yield pd.DataFrame({"request_id": pdf["request_id"], "client_id": pdf["client_id"], "denied_by": said})
+            for k, *given in zip(pdf[key].tolist(), *(pdf[c].tolist() for c in inputs), strict=True):
+                if k != last:
+                    last, machine = k, make()
+                said.append(machine.answer(*given))
+            yield pd.DataFrame({c: pdf[c] for c in names[:-1]} | {names[-1]: said})
 
-    return ordered.mapInPandas(run, _OUT)
+    return ordered.mapInPandas(run, out)
 
 
-def rate_limited_stream(requests: DataFrame, rules=BUCKETS) -> DataFrame:
-    """The same as a stream: state is the buckets of each client; requests of one trigger are taken in order of time."""
+def _stream(rows: DataFrame, key: str, inputs: list[str], make, ident: str, out: str, state: int) -> DataFrame:
+    """The same as a stream: state is that many numbers of each key's machine; rows of one trigger are taken in order of time."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    def run(key, batches, state):
-        rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        b = Buckets([tuple(x) for x in zip(*[iter(state.get)] * 2, strict=True)] if state.exists else None, rules)
-        said = [b.ask(us / 1e6) for us in rows["us"].tolist()]
-        state.update(tuple(float(v) for pair in b.state for v in pair))
-        yield pd.DataFrame({"request_id": rows["request_id"], "client_id": key[0], "denied_by": said})
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def run(_, batches, kept):
+        pdf = pd.concat(list(batches)).sort_values(["us", ident])
+        machine = make().restored(tuple(kept.get)) if kept.exists else make()
+        said = [machine.answer(*given) for given in zip(*(pdf[c].tolist() for c in inputs), strict=True)]
+        kept.update(machine.kept())
+        yield pd.DataFrame({c: pdf[c] for c in names[:-1]} | {names[-1]: said})
+
+    return rows.groupBy(key).applyInPandasWithState(run, out, ", ".join(f"s{k} double" for k in range(state)), "append", GroupStateTimeout.NoTimeout)
+
+
+def _us() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+
+
+_LIMITED = "request_id bigint, client_id bigint, denied_by string"
+
 
-    kept = ", ".join(f"t{k} double, l{k} double" for k in range(len(rules)))
-    timed = requests.select("request_id", "client_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return timed.groupBy("client_id").applyInPandasWithState(run, _OUT, kept, "append", GroupStateTimeout.NoTimeout)
+def _limit_rows(requests: DataFrame) -> DataFrame:
+    return requests.select("request_id", "client_id", _us())
+
+
+def rate_limited(requests: DataFrame, rules=BUCKETS) -> DataFrame:
+    """denied_by for each request (request_id, client_id, ts), null if allowed."""
+    return _batch(_limit_rows(requests), "client_id", ["us"], lambda: Buckets(rules=rules), "request_id", _LIMITED)
+
+
+def rate_limited_stream(requests: DataFrame, rules=BUCKETS) -> DataFrame:
+    return _stream(_limit_rows(requests), "client_id", ["us"], lambda: Buckets(rules=rules), "request_id", _LIMITED, 2 * len(rules))
+
+
+_HIT = "event_id bigint, hit boolean"
+
+
+def _call_rows(calls: DataFrame, key: Column, stores: Column | None) -> DataFrame:
+    kept = F.coalesce(stores, F.lit(False)) if stores is not None else F.lit(True)
+    return calls.select("event_id", key.alias("key"), _us(), kept.alias("stores"))
 
 
 def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None) -> DataFrame:
     """hit: whether an equal key was stored less than `seconds` before, as seen from the call that stored it; calls for which `stores` is not true store nothing.
 
-    An entry lives from its insertion, so hits depend on where the last one was stored: keys are streamed in order.
+    An entry lives from its insertion, so hits depend on where the last one was stored: keys are taken in order.
     """
-    kept = F.coalesce(stores, F.lit(False)) if stores is not None else F.lit(True)
-    ordered = calls.select("event_id", key.alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), kept.alias("_stores"))
-    ordered = ordered.repartition("_key").sortWithinPartitions("_key", "_us", "event_id")
+    return _batch(_call_rows(calls, key, stores), "key", ["us", "stores"], lambda: Entry(seconds), "event_id", _HIT)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, stored = None, None
-        for pdf in batches:
-            hits = []
-            for k, us, stores in zip(pdf["_key"].tolist(), pdf["_us"].tolist(), pdf["_stores"].tolist(), strict=True):
-                if k != now:
-                    now, stored = k, None
-                fresh = stored is not None and us - stored < seconds * 1_000_000
-                if stores and not fresh:
-                    stored = us
-                hits.append(fresh)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "hit": hits})
 
-    return ordered.mapInPandas(run, "event_id bigint, hit boolean")
+def cache_hits_stream(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None) -> DataFrame:
+    return _stream(_call_rows(calls, key, stores), "key", ["us", "stores"], lambda: Entry(seconds), "event_id", _HIT, 1)
 
 
 def tool_cache(calls: DataFrame, seconds: int = 600, bypass: tuple[str, ...] = ()) -> DataFrame:
@@ -144,29 +210,20 @@ def retried(requests: DataFrame, handler, endpoints: int, most: int = 3, base: f
     return out.select("request_id", (last + 1).cast("bigint").alias("attempts"), F.get("tried", last)["endpoint"].alias("endpoint"), F.col("good").isNotNull().alias("ok"), (base * (F.pow(F.lit(2.0), last) - 1)).alias("waited"))
 
 
+_OPEN = "event_id bigint, open boolean"
+
+
+def _breaker_rows(calls: DataFrame) -> DataFrame:
+    return calls.select("event_id", "client_id", _us(), (F.col("severity") == "error").alias("bad"))
+
+
 def breaker_states(calls: DataFrame, failures: int = 5, seconds: int = 60) -> DataFrame:
     """open: whether a client's circuit is open when a call comes. Enough failures in a row open it for `seconds`; a success or the end of that time resets the count."""
-    ordered = calls.select("event_id", "client_id", (F.col("severity") == "error").alias("bad"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    ordered = ordered.repartition("client_id").sortWithinPartitions("client_id", "us", "event_id")
+    return _batch(_breaker_rows(calls), "client_id", ["us", "bad"], lambda: Breaker(failures, seconds), "event_id", _OPEN)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, n, since = None, 0, None
-        for pdf in batches:
-            out = []
-            for c, bad, us in zip(pdf["client_id"].tolist(), pdf["bad"].tolist(), pdf["us"].tolist(), strict=True):
-                if c != client:
-                    client, n, since = c, 0, None
-                if since is not None and us - since >= seconds * 1_000_000:
-                    n, since = 0, None
-                out.append(since is not None)
-                n = n + 1 if bad else 0
-                if n >= failures and since is None:
-                    since = us
-                elif not bad:
-                    since = None
-            yield pd.DataFrame({"event_id": pdf["event_id"], "open": out})
-
-    return ordered.mapInPandas(run, "event_id bigint, open boolean")
+
+def breaker_states_stream(calls: DataFrame, failures: int = 5, seconds: int = 60) -> DataFrame:
+    return _stream(_breaker_rows(calls), "client_id", ["us", "bad"], lambda: Breaker(failures, seconds), "event_id", _OPEN, 2)
 
 
 def prefix_hashes(messages: Column) -> Column:

@@ -23,15 +23,30 @@ def test_denial_does_not_refund_earlier_buckets():
     assert [b.ask(0) for _ in range(4)] == [None, "day", "day", "burst"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(i, i % 3, at(i * 7 % 50)) for i in range(60)]
-    df = spark.createDataFrame(rows, "request_id bigint, client_id bigint, ts timestamp")
-    df.write.parquet(str(tmp_path / "in"))
-    rules = (("a", 2, 1, 5), ("b", 8, 8, 100))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = L.rate_limited_stream(stream, rules).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("limited").collect()), key=str) == sorted(map(tuple, L.rate_limited(df, rules).collect()), key=str)
+def streamed(spark, df, tmp_path, name, make):
+    """What a stream over df in two files, taken one at a time, gives."""
+    half = df.count() // 2
+    for k, part in enumerate((df.orderBy("ts").limit(half), df.orderBy(F.desc("ts")).limit(df.count() - half))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    make(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    return sorted(map(tuple, spark.table(name).collect()), key=str)
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    rows = [(i, i, i % 3, ["error", "error", "info"][i * 7 % 3], at(i * 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "request_id bigint, event_id bigint, client_id bigint, severity string, ts timestamp")
+    rules = (("a", 2, 1, 50), ("b", 8, 8, 1000))
+    key, stores = F.col("client_id") + 0, F.col("severity") == "error"
+    forms = {
+        "limited": (lambda x: L.rate_limited(x, rules), lambda x: L.rate_limited_stream(x, rules)),
+        "hits": (lambda x: L.cache_hits(x, key, 40, stores), lambda x: L.cache_hits_stream(x, key, 40, stores)),
+        "open": (lambda x: L.breaker_states(x, 2, 30), lambda x: L.breaker_states_stream(x, 2, 30)),
+    }
+    for name, (batch, stream) in forms.items():
+        want = sorted(map(tuple, batch(df).collect()), key=str)
+        assert len({r[-1] for r in want}) > 1
+        assert streamed(spark, df, tmp_path / name, name, stream) == want
 
 
 def test_cache_entries_live_from_insertion(spark):
