@@ -72,6 +72,13 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
+def aside(docs: DataFrame, *own: str):
+    """docs with all columns but `own` under names that meet no others, and a function that gives such rows back under the old names."""
+    tag = uuid.uuid4().hex
+    names = [c if c in own else f"{tag}_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

@@ -6,8 +6,8 @@ pattern allow the full jump); where the jump is 0, the block selects a bucket of
 words, and the words themselves are compared. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased.
 
 Defined results: null or empty text has no words and no hits; item ids may repeat; null item texts give no window; a null item id
-is searched like any other, counts as one item and is left out of the digest; an empty benchmark leaves every document clean; columns
-named like those that `hits` adds are replaced, other extra columns are kept. Very long texts are searched whole; a task holds the words
+is searched like any other, counts as one item and is left out of the digest; an empty benchmark leaves every document clean; `hits` replaces
+columns named like those that it adds and keeps others, `keep_clean` keeps all. Very long texts are searched whole; a task holds the words
 of one text at a time.
 
 The benchmark is cut into pieces of at most `PIECE` words (overlapping by a window less one, so each window stands in one), and pieces are
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import aside, stash
 
 WINDOW = 13
 #: Bytes that end a word become a space, A-Z become a-z; others stay.
@@ -200,7 +200,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that the contamination rule does not strike, whole."""
-    return hits(docs, items).filter(~rule()).select(docs.columns)
+    plain, back = aside(docs, "text")
+    return back(hits(plain, items).filter(~rule()))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

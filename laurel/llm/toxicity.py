@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, crc_mod, mix, powers, stash
+from .common import aside, buffers, chunks, crc_mod, mix, powers, stash
 
 BITS, NGRAMS, DIM, PAD = 18, (4, 5), 4, 50
 #: Rows of classes 0 and 1 learned from at most.
@@ -270,7 +270,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the model does not call toxic, whole."""
-    return score(docs, train(docs, labels)).filter("score < 0.5").select(docs.columns)
+    plain, back = aside(docs, "text")
+    return back(score(plain, train(docs, labels)).filter("score < 0.5"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

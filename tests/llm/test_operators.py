@@ -83,7 +83,8 @@ def test_toxicity_of_odd_rows(spark, docs):
     got = toxicity.score(docs, toxicity.train(docs, one)).collect()
     assert all(math.isfinite(r["score"]) for r in got)
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none)).count() == 0
-    assert toxicity.keep_clean(docs, none).columns == docs.columns
+    kept = toxicity.keep_clean(docs, none)
+    assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {7.0}
 
 
 def test_toxicity_ignores_how_texts_are_batched():
@@ -409,8 +410,8 @@ def test_decontamination(spark, docs, monkeypatch):
     for block, piece in ((200_000, 4096), (20, 4096), (20, 5)):
         monkeypatch.setattr(decontaminate, "PIECE", piece)
         assert rows_of(decontaminate.digest(decontaminate.hits(docs, bench, block_windows=block)), *cols) == want
-    clean = decontaminate.keep_clean(docs, bench)
-    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {w[0] for w in want if not w[5]}
+    clean = decontaminate.keep_clean(docs.withColumn("n_words", F.lit("mine")), bench)
+    assert clean.columns == [*docs.columns, "n_words"] and {r["n_words"] for r in clean.collect()} == {"mine"} and {r["doc_id"] for r in clean.collect()} == {w[0] for w in want if not w[5]}
     assert decontaminate.keep_clean(docs, bench.limit(0)).count() == len(TEXTS)
     assert decontaminate.hits(docs.limit(0), bench).count() == 0
 
