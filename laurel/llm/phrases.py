@@ -14,8 +14,8 @@ anywhere else goes. Words are [^\\x20\\x09-\\x0D]+, unchanged.
    what it got into Aho-Corasick automata over word numbers, in shards of at most `NODES` trie nodes, streams all its documents
    through them, and drops the words that matches cover. The automata alone locate occurrences.
 
-So no automaton grows with the corpus, and no document meets automata that cannot match it. Documents are shuffled once (the exchange is
-used by all steps). What one anchor or phrase costs is one row for each block that holds it, whatever its number of copies: a
+So no automaton grows with the corpus, and no document meets automata that cannot match it. Documents are shuffled once, to a table in
+buckets that all steps read. What one anchor or phrase costs is one row for each block that holds it, whatever its number of copies: a
 passage in every document of 100 TB is 12 million rows of 48 bytes where its count is summed.
 
 Windows, anchors and passages are compared by 64-bit hashes of their words' 64-bit hashes.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, in_blocks, mix, prefix, spans, word_bounds, word_hashes
+from .common import bucketed, buffers, chunks, in_blocks, mix, prefix, spans, stash, word_hashes
 
 WINDOW, GRAM = 35, 8
 NODES = 400_000
@@ -181,6 +181,8 @@ def _spelled(size: int):
             order = np.argsort(first, kind="stable")
             first, last, key, kind = first[order], last[order], key[order], kind[order]
             chain = np.where(kind, _lookup(key, known[1][1]), _lookup(key, known[0][1]))
+            if not len(first):
+                continue
             begin = np.ones(len(first), bool)
             begin[1:] = ~(chain[1:] & chain[:-1] & (kind[1:] == kind[:-1]) & (first[1:] == last[:-1] + 1))
             a = np.flatnonzero(begin)
@@ -266,21 +268,20 @@ def _located(size: int, nodes: int):
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, block_bytes: int = 8 << 20, nodes: int = NODES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of each document."""
-    blocks = in_blocks(docs, block_bytes)
-    by_block = blocks.groupBy("b")
+    by_block = bucketed(in_blocks(docs, block_bytes), "b").groupBy("b")
     report, w = "b int, h bigint, n bigint, p bigint, c bigint", W.partitionBy("h")
     one = lambda c: (F.count(c).over(w) == F.count(F.lit(1)).over(w)) & (F.min(c).over(w) == F.max(c).over(w))
 
     def judged(found: DataFrame) -> DataFrame:
         """What occurs more than once, in each block: whether it is always the same (and chained), and whether this block spells it."""
         found = found.withColumn("all", F.sum("n").over(w)).withColumn("same", one("p")).withColumn("chained", one("c")).withColumn("home", F.min("b").over(w) == F.col("b"))
-        return found.filter("all > 1").select("b", "h", "same", "chained", "home")
+        return stash(found.filter("all > 1").select("b", "h", "same", "chained", "home"))
 
     seen = judged(by_block.applyInArrow(_anchors(size), report))
     mixed = judged(by_block.cogroup(seen.filter("NOT same").select("b", "h").groupBy("b")).applyInArrow(_mixed(size), report))
     marks = {False: seen.filter("same"), True: mixed}
     to_spell = [m.filter("home").select("b", "h", F.lit(s).alias("single"), "chained") for s, m in marks.items()]
-    phrases = by_block.cogroup(to_spell[0].unionByName(to_spell[1]).groupBy("b")).applyInArrow(_spelled(size), "single boolean, h bigint, phrase binary")
+    phrases = stash(by_block.cogroup(to_spell[0].unionByName(to_spell[1]).groupBy("b")).applyInArrow(_spelled(size), "single boolean, h bigint, phrase binary"))
     routed = [m.select("b", "h").join(phrases.filter(F.col("single") == s), "h").select("b", "phrase") for s, m in marks.items()]
     return by_block.cogroup(routed[0].unionByName(routed[1]).groupBy("b")).applyInArrow(_located(size, nodes), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
