@@ -11,8 +11,11 @@ anywhere else goes. Words are [^\\x20\\x09-\\x0D]+, unchanged.
 2. Spell phrases. A confirmed passage or window is spelled by one block only, the first that holds it. Neighbours that always stand
    together are spelled as one phrase, so copies of a whole document are one phrase. Phrases are rows of the whole corpus, each there once.
 3. Compile sharded automata and stream. A phrase goes to the blocks that reported its first anchor (or window). Each block compiles
-   what it got into Aho-Corasick automata over word numbers, in shards of at most `NODES` trie nodes, streams all its documents
-   through them, and drops the words that matches cover. The automata alone locate occurrences.
+   what it got into Aho-Corasick automata, in shards of at most `NODES` trie nodes, streams all its documents
+   through them, and drops the words that matches cover. The automata alone locate occurrences. Their letters are numbers of
+   groups of `LETTER` words, spelled in three signs: a document is streamed once from each of its first `LETTER` words on, and a phrase whose length is no
+   multiple of that is two patterns, one from its first word and one up to its last, which together cover it (any 35 words of a
+   phrase recur, so each pattern may be removed wherever it stands).
 
 So no automaton grows with the corpus, and no document meets automata that cannot match it. Documents are shuffled once, to a table in
 buckets that all steps read. What one anchor or phrase costs is one row for each block that holds it, whatever its number of copies: a
@@ -27,6 +30,8 @@ for each of its words.
 
 from __future__ import annotations
 
+import math
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, buffers, chunks, in_blocks, mix, prefix, spans, stash, word_hashes
 
-WINDOW, GRAM = 35, 8
+WINDOW, GRAM, LETTER = 35, 8, 5
 NODES = 400_000
 _POS = np.uint64((1 << 24) - 1)
 
@@ -200,10 +205,10 @@ def _spelled(size: int):
     return run
 
 
-def automata(phrases, nodes: int = NODES):
-    """Aho-Corasick automata over sequences of word numbers; a match's value is the length of its phrase."""
+def automata(patterns, nodes: int = NODES):
+    """Aho-Corasick automata over sequences of letters; a match's value is the length of its pattern."""
     machine, load = None, 0
-    for p in phrases:
+    for p in patterns:
         if machine is not None and load + len(p) > nodes:
             machine.make_automaton()
             yield machine
@@ -217,37 +222,68 @@ def automata(phrases, nodes: int = NODES):
         yield machine
 
 
+def _letters(words: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of the groups of `step` words that begin at each word; groups at a text's end run on into the next text."""
+    begin = np.arange(max(0, len(words) - step + 1))
+    return spans(prefix(words), begin, begin + step)
+
+
+def _patterns(words: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of phrases, sorted; the phrases' patterns as numbers of letters from 1, one after the other; and the patterns' lengths."""
+    a, m = at[:-1], np.diff(at) // step
+    rest = np.diff(at) - m * step
+    first, size = np.append(a, (a + rest)[rest > 0]), np.append(m, m[rest > 0])
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    letters = _letters(words, step)[np.repeat(first, size) + step * within] if len(size) else np.zeros(0, np.uint64)
+    known = np.unique(letters)
+    return known, np.searchsorted(known, letters) + 1, size
+
+
+#: A letter is spelled in three signs of alphabets of their own, as an automaton looks through the signs that follow a node one by one.
+SIGNS = 3
+
+
+def _signs(letters: np.ndarray, base: int) -> list[int]:
+    """Letters from 1 as `SIGNS` signs each; 0, which stands in no pattern, as zeros."""
+    n = letters - 1
+    spelled = np.stack([1 + n // (base * base), 1 + base + n // base % base, 1 + 2 * base + n % base], axis=1)
+    return np.where(letters[:, None] > 0, spelled, 0).ravel().tolist()
+
+
 def _located(size: int, nodes: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        words, at = word_hashes(*buffers(phrases.column("phrase")))
-        known, number = np.unique(words, return_inverse=True)
-        number = (number + 1).tolist()
-        phrases = [tuple(number[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        step = min(LETTER, size)
+        known, letters, sizes = _patterns(*word_hashes(*buffers(phrases.column("phrase"))), step)
+        base = math.ceil((len(known) + 1) ** (1 / 3)) + 1
+        spelled, cut = _signs(letters, base), np.append(0, np.cumsum(sizes) * SIGNS).tolist()
+        least = size // step  # letters of the shortest pattern
         data, off = buffers(docs.column("text"))
         parts, streams, covers = [], [], []
         for i, j in chunks(off, 2 << 20):
             words, at = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            g = _letters(words, step)
+            there = _lookup(g, known)
             ids = np.zeros(len(words), np.int64)
-            if len(known):
-                there = _lookup(words, known)
-                ids[there] = np.searchsorted(known, words[there]) + 1
+            ids[: len(g)][there] = np.searchsorted(known, g[there]) + 1
             parts.append((i, j, at))
-            streams.append(ids)
+            # only texts with enough letters that stand in patterns
+            some = np.append(0, np.cumsum(ids > 0))
+            streams.append((ids, [(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b - a >= size and some[b] - some[a] >= least]))
             covers.append(np.zeros(len(words) + 1, np.int64))
-        for machine in automata(phrases, nodes):
-            for (_, _, at), ids, cover in zip(parts, streams, covers, strict=True):
+        for machine in automata((tuple(spelled[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)), nodes):
+            for (ids, texts), cover in zip(streams, covers, strict=True):
                 ends, lengths = [], []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    if b - a >= size:
-                        for end, length in machine.iter(tuple(ids[a:b].tolist())):
-                            ends.append(a + end + 1)
+                for a, b in texts:
+                    for first in range(a, min(a + step, b - step + 1)):
+                        for end, length in machine.iter(tuple(_signs(ids[first : b - step + 1 : step], base))):
+                            ends.append(first + (end + 1) // SIGNS * step)
                             lengths.append(length)
                 ends = np.array(ends, np.int64)
-                np.add.at(cover, ends - np.array(lengths, np.int64), 1)
+                np.add.at(cover, ends - np.array(lengths, np.int64) // SIGNS * step, 1)
                 np.add.at(cover, ends, -1)
         kept, n_words, n_removed = [], [], []
         for (i, j, at), cover in zip(parts, covers, strict=True):
