@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, maxent, neighbours, phrases, pieces, shard, simhash, toxicity
+from . import chat, decontaminate, fim, linededup, maxent, merkle, neighbours, phrases, pieces, shard, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_dedup": linededup.op8,
     "op9_lm_scoring": maxent.op9,
     "op10_simhash_near_dedup": simhash.op10,
+    "op11_merkle_manifest": merkle.op11,
+    "op13_fill_in_middle": fim.op13,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op3_substring_dedup": phrases.OP3_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op8_line_dedup": linededup.OP8_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
