@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fim, linededup, maxent, merkle, neighbours, phrases, pieces, shard, simhash, toxicity
+from . import chat, decontaminate, fim, linededup, maxent, merkle, minhash, neighbours, phrases, pieces, shard, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": maxent.op9,
     "op10_simhash_near_dedup": simhash.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_minhash_near_dedup": minhash.op12,
     "op13_fill_in_middle": fim.op13,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op8_line_dedup": linededup.OP8_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_minhash_near_dedup": minhash.OP12_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
