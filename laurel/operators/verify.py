@@ -81,34 +81,6 @@ def condition(attribute: Column, operator: str, value) -> Column:
     }[operator]()
 
 
-def _covers(name: str) -> Column:
-    """All that a policy may say to cover a request's part: the part itself, `*`, and `X::*` for each prefix `X::` of it."""
-    parts = F.split(name, "::")
-    prefixes = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k > 0), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "::"), F.lit("::*")))
-    return F.explode(F.array_distinct(F.concat(F.array(F.col(name), F.lit("*")), prefixes)))
-
-
-def policy_decisions(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """allowed and the ids of matching forbids, for each request (request_id, principal, action, resource): forbid beats permit, and nothing is allowed by default.
-
-    Each distinct request is decided once, by an equal join of what may cover it with the policies, however many there are. A null part is covered by no policy.
-    """
-    part = ["principal", "action", "resource"]
-    asked = requests.select(part).distinct()
-    sought = asked
-    for c in part:
-        sought = sought.select("*", _covers(c).alias(f"{c}_said"))
-    said = policies.select("id", "effect", *(F.col(c).alias(f"{c}_said") for c in part))
-    met = sought.join(said, [f"{c}_said" for c in part]).groupBy(part).agg(
-        F.bool_or(F.col("effect") == "permit").alias("permitted"),
-        F.array_sort(F.collect_list(F.when(F.col("effect") == "forbid", F.col("id")))).alias("forbids"),
-    )
-    r, m = requests.alias("r"), met.alias("m")
-    out = r.join(m, [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in part], "left")
-    forbids = F.coalesce("m.forbids", F.array().cast("array<string>"))
-    return out.select("request_id", (F.coalesce("m.permitted", F.lit(False)) & (F.size(forbids) == 0)).alias("allowed"), forbids.alias("forbids"))
-
-
 def resource_findings(resources: DataFrame, checks: list[tuple[str, str, str, Column]]) -> DataFrame:
     """Checks (id, resource type, severity, condition that is a violation) over resources (traj_id, type, name, config)."""
     hits = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(s).alias("severity"), ((F.col("type") == t) & F.coalesce(bad, F.lit(False))).alias("bad")) for i, t, s, bad in checks))

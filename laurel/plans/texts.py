@@ -188,16 +188,6 @@ def failure_messages(spark: SparkSession, d: str) -> DataFrame:
     return lost.join(why, F.col("doc_id") == F.col("traj_id"), "left").select("doc_id", F.coalesce("reasons", F.lit("")).alias("reasons"))
 
 
-POLICIES = [("p1", "permit", "*", "connect", "Host::*"), ("f1", "forbid", "*", "connect", "Host::site3.example"), ("f2", "forbid", "Agent::7", "*", "*")]
-
-
-@query("ver05_network_policy", "WITH r AS (SELECT page_id AS request_id, 'Agent::' || page_id % 10 AS who, 'Host::' || regexp_extract(url, '^https?://([^/:]+)', 1) AS what FROM pages) SELECT request_id, NOT (what = 'Host::site3.example' OR who = 'Agent::7') AS allowed, concat_ws(',', CASE WHEN what = 'Host::site3.example' THEN 'f1' END, CASE WHEN who = 'Agent::7' THEN 'f2' END) AS forbids FROM r")
-def network_policy(spark: SparkSession, d: str) -> DataFrame:
-    r = T.table(spark, d, "pages").select(F.col("page_id").alias("request_id"), F.concat(F.lit("Agent::"), (F.col("page_id") % 10).cast("string")).alias("principal"), F.lit("connect").alias("action"), F.concat(F.lit("Host::"), X.host("url")).alias("resource"))
-    p = spark.createDataFrame(POLICIES, "id string, effect string, principal string, action string, resource string")
-    return V.policy_decisions(r, p).withColumn("forbids", F.array_join("forbids", ","))
-
-
 @query("ver06_conditions", "SELECT page_id, url = 'x' AS eq, url <> 'x' AS ne, contains(url, 'example') AS has, regexp_matches(url, '^(?:https)') AS starts, page_id < 10 AS lt FROM pages")
 def conditions(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")

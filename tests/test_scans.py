@@ -1,6 +1,7 @@
 """Scanners, plugins and the gateway on small rows."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,27 @@ def test_code_rules(spark, code, rule):
     assert [r["rule"] for r in S.code_findings(rows, V.CODE_RULES).collect()] == ([rule] if rule else [])
 
 
+def test_code_findings_are_linear_in_a_text(spark):
+    def took(kilobytes, line):
+        rows = spark.createDataFrame([("a", line * (kilobytes * 1000 // len(line)))], "id string, code string").cache()
+        rows.count()
+        began = time.perf_counter()
+        n = S.code_findings(rows, V.CODE_RULES).count()
+        return time.perf_counter() - began, n
+
+    took(10, "x = 1\n")
+    assert took(1000, "value = compute(other)  # é\n")[0] < 5
+    assert took(1000, "print(eval(x))\n")[1] == 1_000_000 // 15
+    small, large = (min(took(k, "value = compute(other)\n")[0] for _ in range(2)) for k in (500, 4000))
+    assert large < 30 * small  # quadratic growth would make it 64 times
+
+
+def test_code_findings_keep_other_columns(spark):
+    rows = spark.createDataFrame([(1, "eval(a)\n\neval(b)", None, "k")], "id int, code string, n bigint, tag string")
+    got = [tuple(r) for r in S.code_findings(rows, V.CODE_RULES).collect()]
+    assert got == [(1, None, "k", "B307", "high", 1), (1, None, "k", "B307", "high", 3)]
+
+
 def test_safety(spark):
     rows = [("ok", 0, "user", "drop table x", None), ("ok", 1, "assistant", "fine", ["{}"]), ("bad", 0, "tool", "we BYPASS  security; drop table", None), ("args", 0, "assistant", None, ["x", "rm -rf /"]), ("none", 0, "user", "malware", None)]
     got = {r["traj_id"]: (r["status"], r["message"]) for r in S.safety(spark.createDataFrame(rows, MSG + ", arguments array<string>")).collect()}

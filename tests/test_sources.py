@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from laurel.functions import text as X
 from laurel.operators import distil as D
 from laurel.operators import documents as P
+from laurel.operators import policies as PO
 from laurel.operators import stores as S
 from laurel.operators import verify as V
 from laurel.sources import stores as ST
@@ -90,11 +91,11 @@ def test_modifiers(spark):
 def test_policies(spark):
     req = spark.createDataFrame([(1, "A::1", "connect", "Host::ok"), (2, "A::1", "connect", "Host::bad"), (3, "A::1", "read", "File::x")], "request_id int, principal string, action string, resource string")
     pol = spark.createDataFrame([("p", "permit", "*", "connect", "Host::*"), ("f", "forbid", "*", "*", "Host::bad")], "id string, effect string, principal string, action string, resource string")
-    got = {r["request_id"]: (r["allowed"], r["forbids"]) for r in V.policy_decisions(req, pol).collect()}
+    got = {r["request_id"]: (r["allowed"], r["forbids"]) for r in PO.decisions(req, pol).collect()}
     assert got == {1: (True, []), 2: (False, ["f"]), 3: (False, [])}
     deep = spark.createDataFrame([(1, "A::1", "connect", "Host::x::y"), (2, None, "connect", "Host::x"), (3, "A::1", "connect", "Host")], "request_id int, principal string, action string, resource string")
     pol = spark.createDataFrame([("p", "permit", "*", "*", "Host::*"), ("f", "forbid", "A::*", "connect", "Host::x::*")], "id string, effect string, principal string, action string, resource string")
-    got = {r["request_id"]: (r["allowed"], r["forbids"]) for r in V.policy_decisions(deep, pol).collect()}
+    got = {r["request_id"]: (r["allowed"], r["forbids"]) for r in PO.decisions(deep, pol).collect()}
     assert got == {1: (False, ["f"]), 2: (False, []), 3: (False, [])}
 
 
