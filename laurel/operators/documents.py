@@ -122,12 +122,6 @@ def resources(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select("traj_id", F.explode(parse(F.col(text))).alias("r")).select("traj_id", "r.*")
 
 
-def cedar(policy: dict[str, Column]) -> Column:
-    """Policy text from the columns effect, principal, action and resource."""
-    part = lambda name: F.when(policy[name] == "*", name).otherwise(F.concat(F.lit(f'{name} == "'), policy[name], F.lit('"')))
-    return F.concat(policy["effect"], F.lit(" ("), F.concat_ws(", ", part("principal"), part("action"), part("resource")), F.lit(");"))
-
-
 def certificate(ok_network: Column, audited: Column, exit_code: Column, as_of: Column) -> Column:
     """struct(status, expires): valid for a day if the network was allowed, the audit passed and the run ended with 0; no code at all is invalid."""
     valid = F.coalesce(ok_network & audited & (exit_code == 0), F.lit(False))

@@ -53,6 +53,15 @@ def _covers(name: str) -> Column:
     return F.explode(F.array_distinct(F.concat(F.array(F.col(name), F.lit("*")), prefixes)))
 
 
+def policy_text() -> Column:
+    """A policy's row in the policy language: its parts, and its conditions joined by `&&`."""
+    # Words and layout of the language.
+    condition = lambda c: F.when(c["operator"].isin("contains", "matches"), F.concat(c["attribute"], F.lit("."), c["operator"], F.lit('("'), F.coalesce(F.try_variant_get(F.try_parse_json(c["value"]), "$", "string"), c["value"]), F.lit('")'))).otherwise(F.concat_ws(" ", c["attribute"], c["operator"], c["value"]))
+    when = F.array_join(F.transform("conditions", lambda c: F.concat(F.lit("  "), condition(c))), " &&\n")
+    head = F.concat(F.col("effect"), F.lit(" (\n"), F.array_join(F.array(*(F.concat(F.lit(f"  {p} "), F.col(p)) for p in PARTS)), ",\n"), F.lit("\n)\n"))
+    return F.concat(head, F.when(F.size("conditions") > 0, F.concat(F.lit("when {\n"), when, F.lit("\n};"))).otherwise(";"))
+
+
 def applicable(asked: DataFrame, policies: DataFrame) -> DataFrame:
     """(ask, id, effect): the policies that match requests (ask, principal, action, resource, context as entries)."""
     sought = asked

@@ -120,14 +120,6 @@ def json_schema(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", P.schema_errors(F.col("props"), {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}).alias("error"))
 
 
-@query("ver07_policy_text", "SELECT 'p1' AS id, 'permit (principal, action == \"connect\", resource == \"Host::*\");' AS text UNION ALL SELECT 'f1', 'forbid (principal, action == \"connect\", resource == \"Host::site3.example\");' UNION ALL SELECT 'f2', 'forbid (principal == \"Agent::7\", action, resource);'")
-def policy_text(spark: SparkSession, d: str) -> DataFrame:
-    from .texts import POLICIES
-
-    p = spark.createDataFrame(POLICIES, "id string, effect string, principal string, action string, resource string")
-    return p.select("id", P.cedar({c: F.col(c) for c in ("effect", "principal", "action", "resource")}).alias("text"))
-
-
 @query("gen03_shadow_loop", "WITH v AS (SELECT item_id, i, round(0.1 + 0.8 * i / 3, 6) AS temperature, 'Variation ' || i || ' of: ' || coalesce(text, '') || ' Think step ' || i || '.' AS r FROM benchmark, (SELECT unnest(range(0, 4)) AS i)), s AS (SELECT *, length(replace(r, 'e', '')) % 7 AS score FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS k FROM s) SELECT item_id, i AS best, temperature, score, md5(r) AS response FROM k WHERE k = 1")
 def shadow_loop(spark: SparkSession, d: str) -> DataFrame:
     """Four variations of each prompt, scored by a function of their responses; the best one, the first of equals."""

@@ -129,3 +129,26 @@ def network_policy(spark: SparkSession, d: str) -> DataFrame:
 )
 def network_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return P.network_verdicts(network_messages(spark, d), spark.createDataFrame(NETWORK_POLICIES, P.POLICY), _agent())
+
+
+@query(
+    "ver07_policy_text",
+    """SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN 'forbid' ELSE 'permit' END || ' (' || chr(10) || '  principal Agent::"' || s_name || '",' || chr(10) || '  action Action::*,' || chr(10) || '  resource Host::"n' || s_nationkey || '"' || chr(10) || ')' || chr(10)
+|| CASE s_suppkey % 3 WHEN 0 THEN ';' WHEN 1 THEN 'when {' || chr(10) || '  total < ' || s_nationkey || chr(10) || '};' ELSE 'when {' || chr(10) || '  url.contains("' || s_name || '") &&' || chr(10) || '  role == "user"' || chr(10) || '};' END AS text FROM supplier""",
+)
+def policy_text(spark: SparkSession, d: str) -> DataFrame:
+    """A policy for each supplier, with no condition, one or two."""
+    k = F.col("s_suppkey")
+    quoted = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
+    condition = lambda attribute, operator, value: F.struct(F.lit(attribute).alias("attribute"), F.lit(operator).alias("operator"), value.alias("value"))
+    one = F.array(condition("total", "<", F.col("s_nationkey").cast("string")))
+    two = F.array(condition("url", "contains", quoted("s_name")), condition("role", "==", F.lit('"user"')))
+    p = T.table(spark, d, "supplier").select(
+        k.alias("id"),
+        F.when(F.col("s_acctbal") < 0, "forbid").otherwise("permit").alias("effect"),
+        F.concat(F.lit("Agent::"), quoted("s_name")).alias("principal"),
+        F.lit("Action::*").alias("action"),
+        F.concat(F.lit("Host::"), quoted(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("resource"),
+        F.when(k % 3 == 1, one).when(k % 3 == 2, two).otherwise(F.array()).alias("conditions"),
+    )
+    return p.select("id", P.policy_text().alias("text"))
