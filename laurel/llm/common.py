@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import math
+import pickle
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,23 @@ def aside(docs: DataFrame, *own: str):
     return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
 
 
+class Shared:
+    """A broadcast object that travels by value with its class, so executors need not have this package; each worker process unpickles it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        # a process keeps its Broadcast objects
+        if not hasattr(self.held, "laurel"):
+            self.held.laurel = pickle.loads(self.held.value)
+        return self.held.laurel
+
+    def destroy(self) -> None:
+        self.held.destroy()
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

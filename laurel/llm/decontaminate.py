@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, stash
+from .common import Shared, aside, stash
 
 WINDOW = 13
 #: Bytes that end a word become a space, A-Z become a-z; others stay.
@@ -152,7 +152,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_windows: i
 
 def _pass(docs: DataFrame, block: Items, first: bool) -> DataFrame:
     """One search for a block of items; later passes add to the columns of earlier ones."""
-    items = docs.sparkSession.sparkContext.broadcast(block)
+    items = Shared(docs.sparkSession, block)
     new = ["n_words", "hit_spans", "hit_items"]
     docs = docs.drop(*new) if first else docs
     at = docs.columns.index("text")

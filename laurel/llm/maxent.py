@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, crc_mod, in_blocks, mix, stash, text_bytes, word_hashes
+from .common import Shared, buffers, chunks, crc_mod, in_blocks, mix, stash, text_bytes, word_hashes
 
 CLASS_BITS, BUCKET_BITS, MAX_ROW_BITS = 5, 5, 16
 CLASSES, BUCKETS = 1 << CLASS_BITS, 1 << BUCKET_BITS
@@ -149,6 +149,26 @@ def _texts(column):
 _PARTS = 32
 
 
+def packed(change: np.ndarray, parts: int = _PARTS) -> list[bytes]:
+    """Rows of a change of state in equal parts: weights, whose steps are of RATE's size, as 16 bits; sums of squares, which have no bound, as 32."""
+    n = CLASSES + BUCKETS
+    out = []
+    for x in np.split(change, parts):
+        with np.errstate(over="ignore"):
+            weights = x[:, :n].astype(np.float16)
+        if not (np.isfinite(weights).all() and np.isfinite(x).all()):
+            raise FloatingPointError("a learner's change is not finite")
+        out.append(weights.tobytes() + np.ascontiguousarray(x[:, n:], np.float32).tobytes())
+    return out
+
+
+def unpacked(part: bytes) -> np.ndarray:
+    """The rows that `packed` has written."""
+    n = CLASSES + BUCKETS
+    rows = len(part) // (2 * n + 8)
+    return np.hstack([np.frombuffer(part, np.float16, rows * n).reshape(rows, n).astype(np.float32), np.frombuffer(part, np.float32, offset=2 * rows * n).reshape(rows, 2)])
+
+
 def train(docs: DataFrame, masses: np.ndarray, n_tokens: int, rounds: int = ROUNDS) -> Model:
     """A model learned from all texts; masses by class and bucket."""
     spark = docs.sparkSession
@@ -156,7 +176,7 @@ def train(docs: DataFrame, masses: np.ndarray, n_tokens: int, rounds: int = ROUN
     sliced = docs.select("text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(rounds)).alias("slice"))
     learners = max(1, math.ceil(text_bytes(docs) / LEARNER_BYTES))
     for r in range(rounds):
-        now = spark.sparkContext.broadcast(model)  # of bounded size
+        now = Shared(spark, model)  # of bounded size
 
         def learn(batches, now=now):
             own = copy.deepcopy(now.value)
@@ -166,20 +186,20 @@ def train(docs: DataFrame, masses: np.ndarray, n_tokens: int, rounds: int = ROUN
                     own.learn(t, contexts(t, at))
                     n += len(t)
             if n:
-                change = (own.state() - before).astype(np.float16).reshape(_PARTS, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([n] * _PARTS, pa.int64()), pa.array([x.tobytes() for x in change], pa.binary())], ["part", "n", "change"])
+                change = packed(own.state() - before)
+                yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([n] * _PARTS, pa.int64()), pa.array(change, pa.binary())], ["part", "n", "change"])
 
         def averaged(table: pa.Table) -> pa.Table:
             n = np.array(table.column("n").to_pylist(), np.float64)
-            total = sum(k * np.frombuffer(x.as_py(), np.float16).astype(np.float32) for k, x in zip(n / n.sum(), table.column("change"), strict=True))
-            return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "change": pa.array([total.astype(np.float16).tobytes()], pa.binary())})
+            total = sum(k * unpacked(x.as_py()) for k, x in zip(n / n.sum(), table.column("change"), strict=True))
+            return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "change": pa.array(packed(total, 1), pa.binary())})
 
         kind = "part int, n bigint, change binary"
         got = sliced.filter(F.col("slice") == r).select("text").coalesce(learners).mapInArrow(learn, kind)
         salted = got.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("part", "salt").applyInArrow(averaged, kind)
-        final = salted.groupBy("part").applyInArrow(averaged, kind).collect()  # 32 rows of 264 KB at most
+        final = salted.groupBy("part").applyInArrow(averaged, kind).collect()  # 32 rows of 272 KB at most
         if final:
-            model.add(np.concatenate([np.frombuffer(x["change"], np.float16) for x in sorted(final, key=lambda x: x["part"])]).astype(np.float32).reshape(1 << model.bits, -1))
+            model.add(np.concatenate([unpacked(x["change"]) for x in sorted(final, key=lambda x: x["part"])]))
         now.destroy()
     return model
 
@@ -211,7 +231,7 @@ def score(docs: DataFrame, held) -> DataFrame:
         totals[r["k"]] = r["n"], r["v"]
     n_all, v_all = (int(x) for x in totals.sum(0))
     masses = (totals.sum(1) + 1.0).reshape(CLASSES, BUCKETS)
-    shared = spark.sparkContext.broadcast(train(docs.filter(~held), masses, n_all))
+    shared = Shared(spark, train(docs.filter(~held), masses, n_all))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((k, pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:

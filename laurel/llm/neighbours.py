@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import Shared, stash
 
 M, CONFIDENCE_Z, SAMPLE_A_CELL, CELL_ROWS, PART_ROWS, LEAF = 12, 2.33, 16, 8192, 16384, 128
 
@@ -218,7 +218,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     sample = np.array([r[0] for r in sampled.mapInArrow(flat, "p array<double>").collect()])
     cells = Cells(sample, n_cells)
-    shared = spark.sparkContext.broadcast((matrix, cells))  # of a size that grows with the square root of the rows
+    shared = Shared(spark, (matrix, cells))  # of a size that grows with the square root of the rows
 
     def placed(batches):
         matrix, cells = shared.value

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, prefix, spans
+from .common import Shared, chunks, mix, prefix, spans
 
 #: The default of `model_file`, a path on the driver, which alone reads it; the pieces are broadcast.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -520,7 +520,7 @@ def _decoded(ids, raw: list[bytes]) -> pa.Array:
 
 def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_file: str = MODEL, decoded: bool = False) -> DataFrame:
     """Up to k sampled segmentations of each text, seeded by doc_id; with `decoded`, also the text that each is decoded to, by the same Python worker."""
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces(vocabulary(model_file)))  # the vocabulary file's size bounds it
+    shared = Shared(docs.sparkSession, Pieces(vocabulary(model_file)))  # the vocabulary file's size bounds it
 
     def run(batches):
         pieces = shared.value
@@ -534,7 +534,7 @@ def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_file: str = MODE
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     """encoded with a column `decoded`: the text of its pieces."""
     encoded = encoded.drop("decoded")
-    shared = encoded.sparkSession.sparkContext.broadcast(spelled(vocabulary(model_file)))
+    shared = Shared(encoded.sparkSession, spelled(vocabulary(model_file)))
     at = encoded.columns.index("pieces")
 
     def run(batches):

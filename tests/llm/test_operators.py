@@ -551,6 +551,26 @@ def test_lm_counts_and_law(spark, docs):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
 
 
+def test_lm_changes_travel_with_large_sums_of_squares():
+    rng = np.random.default_rng(3)
+    change = rng.normal(size=(64, maxent.CLASSES + maxent.BUCKETS + 2)).astype(np.float32)
+    change[:, -2:] = 10.0 ** rng.uniform(0, 30, (64, 2))
+    got = np.concatenate([maxent.unpacked(x) for x in maxent.packed(change)])
+    assert np.allclose(got, change, rtol=1e-3, atol=1e-3) and (got[:, -2:] == change[:, -2:]).all()
+    for bad in (np.inf, np.nan, 1e6):
+        change[5, 7] = bad
+        with pytest.raises(FloatingPointError):
+            maxent.packed(change)
+
+
+def test_lm_scores_stay_finite_where_contexts_are_hot(spark):
+    # one context in every minibatch: its sums of squares pass 65504 in the first
+    docs = H.docs_of(spark, ["same " * 20_000 + f"other{i}" for i in range(12)])
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    got = maxent.score(docs, held).collect()
+    assert all(math.isfinite(r["score"]) for r in got) and all(r["score"] > -20_000 for r in got)
+
+
 def test_lm_learns_order(spark, monkeypatch):
     monkeypatch.setattr(maxent, "BATCH", 256)  # 24,000 words are a few minibatches only
     rng = random.Random(4)
