@@ -9,11 +9,11 @@ Links are confirmed on full sets of 64-bit shingle hashes. A bucket's sets are n
 
 1. documents of equal sets are one node from the start;
 2. each bucket's nodes are compared with the most popular of them, whose own buckets are the largest;
-3. in buckets that still hold several classes, nodes are compared with one of them drawn by bucket;
-4. where several classes remain, the nodes outside a bucket's largest class are compared with its nodes of other classes. So every two nodes that share a
-   bucket are in one class or compared, and no link is lost.
+3. the nodes of buckets that hold several classes even then are compared by prefix filtering, which is exact: with elements ordered from the rarest on, similar
+   sets share one of their first fifth, so near copies that have each been changed in their own way do not meet. So every two similar nodes that share a bucket are
+   in one class or compared, and no link is lost.
 
-Before sets are read, a pair has to pass an upper bound of its intersection from bitmaps: a bit that only one of them has stands for at least one
+Before sets are compared, a pair has to pass an upper bound of its intersection from bitmaps: a bit that only one of them has stands for at least one
 element that the other lacks.
 
 Defined results: a text of one word has that word as its set; null and empty texts and those without words have no set and no links, and are components of their own;
@@ -26,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, mix, stash, word_hashes
@@ -166,20 +167,40 @@ def _classed(shared: DataFrame, classes: DataFrame | None) -> DataFrame:
     return stash(shared.join(several, "key"))
 
 
-def _with_centre(live: DataFrame, order: Column) -> DataFrame:
-    """Pairs of each node and the bucket's node of highest order, where their classes differ."""
-    top = live.groupBy("key").agg(F.max_by(F.struct("node", "c"), order).alias("top"))
-    return live.join(top, "key").filter("c <> top.c").select(*_pair("node", "top.node")).distinct()
+def _with_centre(live: DataFrame) -> DataFrame:
+    """Pairs of each node and the most popular of its bucket."""
+    top = live.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("top"))
+    return live.join(top, "key").filter("node <> top.node").select(*_pair("node", "top.node")).distinct()
 
 
-def _between(live: DataFrame) -> DataFrame:
-    """Pairs of nodes of different classes that share a bucket."""
-    by_class = live.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    major = by_class.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("major"))
-    marked = live.select("key", "node", "c").join(major, "key")
-    minor = marked.filter("c <> major").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    met = minor.join(marked, "key").filter("c <> cx AND (c = major OR x < node)")
-    return met.select(*_pair("x", "node")).distinct()
+def _prefixes(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, c, n, item, at): the rarest elements of live nodes' sets, counted from 1 in one order of all elements.
+
+    Of a set of n, the first n - ceil(0.8 n) + 1: two similar sets share one of these. Elements that no other live node has keep their
+    places in the order, but meet nobody.
+    """
+    nodes = live.select("node", "c").distinct()
+    items = sets.join(nodes, "node").select("node", "c", F.size("items").alias("n"), F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    order = W.partitionBy("node").orderBy("often", "item")  # one document's elements
+    places = items.join(often, "item").withColumn("at", F.row_number().over(order))
+    return places.filter(f"often > 1 AND 100 * (n - at + 1) >= {PERCENT} * n").select("node", "c", "n", "item", "at")
+
+
+def _between(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of live nodes of different classes that may be similar.
+
+    They share an element of both prefixes. At the first that they share, what is left of either set bounds their intersection, so most pairs
+    fall in the join. Of an element's nodes, those outside its largest class are joined to all.
+    """
+    prefixes = stash(_prefixes(live, sets))
+    by_class = prefixes.groupBy("item", "c").agg(F.count(F.lit(1)).alias("k"))
+    major = by_class.groupBy("item").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("item", "major")
+    marked = stash(prefixes.join(major, "item"))
+    minor = marked.filter("c <> major").select("item", *(F.col(c).alias(f"{c}_x") for c in ("node", "c", "n", "at")))
+    fits = f"100 * least(n, n_x) >= {PERCENT} * greatest(n, n_x) AND {100 + PERCENT} * (1 + least(n - at, n_x - at_x)) >= {PERCENT} * (n + n_x)"
+    met = minor.join(marked, "item").filter(f"c <> c_x AND (c = major OR node_x < node) AND {fits}")
+    return met.select(*_pair("node_x", "node")).distinct()
 
 
 def labels(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -199,11 +220,7 @@ def labels(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sets = stash(found.groupBy("node").agg(F.first("items").alias("items")))
 
     slim, edges, classes = nodes.select("node", "n", "bits"), None, None
-    for pairs in (
-        lambda live: _with_centre(live, F.struct("popular", "node")),
-        lambda live: _with_centre(live, F.xxhash64("node", "key")),
-        _between,
-    ):
+    for pairs in (_with_centre, lambda live: _between(live, sets)):
         live = _classed(shared, classes)
         if live.isEmpty():
             break

@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from laurel.llm import minhash
 
@@ -139,9 +138,13 @@ def test_sketches_ignore_how_texts_are_batched(spark, size):
     assert all((len(r[4]) == 52 and len(r[5]) == minhash.WORDS) == (r[1] > 0) for r in got.values())
 
 
-def test_every_pair_of_a_bucket_is_in_one_class_or_compared(spark):
-    live = spark.createDataFrame([(k % 2, k, k // 5) for k in range(30)] + [(7, 1, 0), (7, 2, 0), (8, 40, 4), (8, 41, 8)], "key long, node long, c long")
-    got = {tuple(r) for r in minhash._between(live).collect()}
-    rows = [tuple(r) for r in live.collect()]
-    assert got == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
-    assert minhash._with_centre(live.withColumn("popular", F.lit(1)), F.struct("popular", "node")).count() > 0
+def test_similar_sets_of_different_classes_meet(spark):
+    rng = random.Random(7)
+    base = list(range(60))
+    sets = {k: sorted(set(rng.sample(base, rng.randint(30, 60))) | {1000 + rng.randrange(200) for _ in range(rng.choice([0, 3, 8, 20]))}) for k in range(120)}
+    rows = spark.createDataFrame(list(sets.items()), "node long, items array<long>")
+    live = spark.createDataFrame([(b, k, k // 10) for k in sets for b in range(2)], "key long, node long, c long")
+    got = {tuple(r) for r in minhash._between(live, rows).collect()}
+    close = {(a, b) for a in sets for b in sets if a < b and a // 10 != b // 10 and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert close and close <= got and all(a < b and a // 10 != b // 10 for a, b in got)
+    assert len(got) < 120 * 119 // 4
