@@ -75,6 +75,48 @@ def tool_cache(spark: SparkSession, d: str) -> DataFrame:
     return L.tool_cache(calls, 5 * 3600, ("error",))
 
 
+def _lru_sql(calls: str, seconds: int, capacity: int) -> str:
+    """A cache of so many entries as a recursion over all calls (event_id, key, us, stores) in order; its state is a list, the entry used last first."""
+    return f"""c AS (SELECT *, row_number() OVER (ORDER BY us, event_id) AS n FROM ({calls})),
+kept AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS event_id, false AS hit, []::STRUCT(k VARCHAR, s BIGINT)[] AS st
+UNION ALL SELECT n, event_id, fresh, CASE WHEN stores OR fresh THEN ([{{'k': key, 's': CASE WHEN fresh THEN old ELSE us END}}] || list_filter(st, lambda x: x.k <> key))[1:{capacity}] ELSE st END
+FROM (SELECT *, coalesce(us - old < {seconds}000000, false) AS fresh FROM (SELECT c.*, st, list_filter(st, lambda x: x.k = c.key)[1].s AS old FROM kept JOIN c ON c.n = kept.n + 1)))"""
+
+
+@query("stm03_bounded_cache", f"{_REC}, {_lru_sql('SELECT event_id, client_id % 40 || chr(58) || event_type AS key, epoch_us(ts) AS us, true AS stores FROM telemetry', 3 * 86400, 60)} SELECT event_id, hit FROM kept WHERE n > 0")
+def bounded_cache(spark: SparkSession, d: str) -> DataFrame:
+    """One cache of 60 results for all clients."""
+    key = F.concat_ws(":", (F.col("client_id") % 40).cast("string"), "event_type")
+    return L.cache_hits(T.telemetry(spark, d), key, 3 * 86400, capacity=60)
+
+
+@query("stm05_bounded_tool_cache", f"{_REC}, {_lru_sql('SELECT event_id, event_type || details AS key, epoch_us(ts) AS us, duration_ms < 60 AS stores FROM telemetry WHERE event_type <> $$error$$', 2 * 86400, 40)} SELECT event_id, hit FROM kept WHERE n > 0 UNION ALL SELECT event_id, false FROM telemetry WHERE event_type = 'error'")
+def bounded_tool_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that went badly are not stored, but a call that hits keeps its entry young."""
+    calls = T.telemetry(spark, d).select("event_id", "ts", F.col("event_type").alias("tool"), F.col("details").alias("arguments"), (F.col("duration_ms") < 60).alias("ok"))
+    return L.tool_cache(calls, 2 * 86400, ("error",), 40)
+
+
+_PREFIX_BUDGET = 900
+_PREFIX_SQL = f"""WITH RECURSIVE t AS (SELECT conv_id % 7 AS topic, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)) AS s, length(coalesce(text, '')) // 4 AS w FROM conversations),
+h AS (SELECT conv_id, 0 AS k, n, 'system' || chr(1) || 'topic ' || conv_id % 7 AS s, 2 AS w FROM t WHERE k = 1 UNION ALL SELECT conv_id, k, n, s, w FROM t),
+p AS (SELECT conv_id, k + 1 AS k, n, string_agg(s, chr(2)) OVER (PARTITION BY conv_id ORDER BY k) AS pre, sum(w) OVER (PARTITION BY conv_id ORDER BY k) AS w FROM h),
+q AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS i, list({{'k': k, 'p': pre}} ORDER BY k DESC) AS ps, max(pre) FILTER (k = n) AS own, max(w) FILTER (k = n)::BIGINT AS ow FROM p GROUP BY 1),
+run AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS conv_id, 0::BIGINT AS prefix, []::STRUCT(p VARCHAR, w BIGINT)[] AS st
+UNION ALL SELECT i, conv_id, coalesce(f.k, 0), list_filter(st3, lambda x, j: list_sum(list_transform(st3[1:j], lambda y: y.w)) <= {_PREFIX_BUDGET})
+FROM (SELECT *, [{{'p': own, 'w': ow}}] || list_filter(st2, lambda x: x.p <> own) AS st3 FROM (SELECT *, CASE WHEN f IS NULL THEN st ELSE list_filter(st, lambda x: x.p = f.p) || list_filter(st, lambda x: x.p <> f.p) END AS st2
+FROM (SELECT q.*, st, list_filter(q.ps, lambda x: list_contains(list_transform(st, lambda y: y.p), x.p))[1] AS f FROM run JOIN q ON q.i = run.i + 1))))"""
+
+
+@query("stm04_prefix_budget", f"{_PREFIX_SQL} SELECT conv_id, prefix FROM run WHERE i > 0")
+def prefix_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations begin with one of seven system messages, and each leaves all its messages but the last in a cache of 900 tokens."""
+    system = F.struct(F.lit("system").alias("role"), F.concat(F.lit("topic "), (F.col("conv_id") % 7).cast("string")).alias("content"))
+    plain = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    c = T.conversations(spark, d).select("conv_id", F.concat(F.array(system), plain).alias("messages"))
+    return L.longest_kept_prefix(c, c.withColumn("messages", F.slice("messages", F.lit(1), F.size("messages") - 1)), _PREFIX_BUDGET)
+
+
 _BREAKER_SQL = f"""{_REC}, q AS (SELECT event_id, client_id, severity = 'error' AS bad, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client_id ORDER BY ts, event_id) AS n FROM telemetry),
 run AS (SELECT event_id, client_id, n, false AS open, CASE WHEN bad THEN 1 ELSE 0 END AS f, CAST(NULL AS BIGINT) AS since FROM q WHERE n = 1
 UNION ALL SELECT event_id, client_id, n, since IS NOT NULL, CASE WHEN bad THEN f + 1 ELSE 0 END, CASE WHEN bad AND f + 1 >= 2 AND since IS NULL THEN us WHEN NOT bad THEN NULL ELSE since END

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
+from ..session import written
+from .reuse import BLOCK, numbered, replayed, residents
 
 # Buckets as (name, capacity, refill, seconds of one refill), in the order in which they are asked.
 BUCKETS = (("burst", 10, 10, 1), ("minute", 60, 60, 60), ("hour", 1000, 1000, 3600), ("day", 10000, 10000, 86400))
@@ -57,8 +59,10 @@ class Entry:
     def __init__(self, seconds: int):
         self.life, self.stored = seconds * 1_000_000, -1
 
-    def answer(self, us: int, stores: bool) -> bool:
-        """Whether the call hits; if not, it stores its answer where it may."""
+    def answer(self, us: int, stores: bool, resident: bool = True) -> bool:
+        """Whether the call hits; if not, it stores its answer where it may. `resident` is false if the entry has been pushed out."""
+        if not resident:
+            self.stored = -1
         fresh = self.stored >= 0 and us - self.stored < self.life
         if stores and not fresh:
             self.stored = us
@@ -160,11 +164,21 @@ def _call_rows(calls: DataFrame, key: Column, stores: Column | None) -> DataFram
     return calls.select("event_id", key.alias("key"), _us(), kept.alias("stores"))
 
 
-def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None) -> DataFrame:
+def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None, capacity: int | None = None, block: int = BLOCK) -> DataFrame:
     """hit: whether an equal key was stored less than `seconds` before, as seen from the call that stored it; calls for which `stores` is not true store nothing.
 
-    An entry lives from its insertion, so hits depend on where the last one was stored: keys are taken in order.
+    An entry lives from its insertion, so hits depend on where the last one was stored: keys are taken in order. With a capacity, the entries used least
+    recently are pushed out: a call uses its key if it stores or hits, and an entry that has outlived its time keeps its place until then.
     """
+    if capacity is not None:
+        key = F.to_json(F.struct(key.alias("k")))  # a null key is one like others
+        rows = _call_rows(calls, key, stores).withColumnRenamed("event_id", "ident").withColumn("weight", F.lit(1).cast("long"))
+
+        def answer(df: DataFrame) -> DataFrame:
+            said = _batch(df.withColumnRenamed("at", "event_id"), "key", ["us", "stores", "resident"], lambda: Entry(seconds), "event_id", _HIT)
+            return df.join(said.withColumnRenamed("event_id", "at"), "at")
+
+        return replayed(rows, capacity, answer, block).select(F.col("ident").alias("event_id"), "hit")
     return _batch(_call_rows(calls, key, stores), "key", ["us", "stores"], lambda: Entry(seconds), "event_id", _HIT)
 
 
@@ -172,10 +186,10 @@ def cache_hits_stream(calls: DataFrame, key: Column, seconds: int, stores: Colum
     return _stream(_call_rows(calls, key, stores), "key", ["us", "stores"], lambda: Entry(seconds), "event_id", _HIT, 1)
 
 
-def tool_cache(calls: DataFrame, seconds: int = 600, bypass: tuple[str, ...] = ()) -> DataFrame:
+def tool_cache(calls: DataFrame, seconds: int = 600, bypass: tuple[str, ...] = (), capacity: int | None = None) -> DataFrame:
     """hit for tool calls (event_id, ts, tool, arguments, ok): only answers that went well are stored, and tools in `bypass` neither store nor hit."""
     cached = ~F.col("tool").isin(*bypass) if bypass else F.lit(True)
-    hits = cache_hits(calls.filter(cached), cache_key("tool", "arguments"), seconds, F.col("ok"))
+    hits = cache_hits(calls.filter(cached), cache_key("tool", "arguments"), seconds, F.col("ok"), capacity)
     return hits.unionByName(calls.filter(~cached).select("event_id", F.lit(False).alias("hit")))
 
 
@@ -241,6 +255,36 @@ def longest_prefix(requests: DataFrame, cached: DataFrame) -> DataFrame:
     return requests.select("conv_id").join(best, "conv_id", "left").select("conv_id", F.coalesce("prefix", F.lit(0).cast("bigint")).alias("prefix"))
 
 
+def prefix_tokens(messages: Column) -> Column:
+    """A quarter of each message's characters, rounded down."""
+    return F.aggregate(messages, F.lit(0).cast("long"), lambda n, m: n + F.floor(F.char_length(F.coalesce(m["content"], F.lit(""))) / 4))
+
+
+def longest_kept_prefix(requests: DataFrame, cached: DataFrame, budget: int, block: int = BLOCK) -> DataFrame:
+    """Like `longest_prefix`, in a cache that holds entries of at most `budget` tokens together and drops those used least recently.
+
+    Requests come in the order of conv_id; each first looks for its longest prefix, which it uses, and then stores its own entry. Which prefix that is depends on
+    earlier uses: as in `replayed`, what each request finds is assumed and sought anew until nothing changes.
+    """
+    prefixes = requests.select("conv_id", F.posexplode(prefix_hashes(F.col("messages"))).alias("length", "key"))
+    own = cached.filter(F.size("messages") > 0).select("conv_id", F.element_at(prefix_hashes(F.col("messages")), -1).alias("key"), prefix_tokens(F.col("messages")).alias("weight"))
+    entries = own.groupBy("key").agg(F.min("weight").alias("weight"))
+    asked = prefixes.join(entries, "key").select(F.col("conv_id").alias("us"), F.lit(0).alias("ident"), "key", "weight", (F.col("length") + 1).cast("long").alias("length"))
+    stored = own.select(F.col("conv_id").alias("us"), F.lit(1).alias("ident"), "key", "weight", F.lit(0).cast("long").alias("length"))
+    rows = numbered(asked.unionByName(stored), ["us", "ident", "length"], block)
+    rows = written(rows.withColumn("found", F.lit(False)))
+    while True:
+        tried = rows.withColumn("used", (F.col("ident") == 1) | F.col("found")).withColumnRenamed("found", "had")
+        out = residents(tried, budget, block)
+        best = out.filter("resident AND ident = 0").groupBy("us").agg(F.max("length").alias("best"))
+        out = written(out.join(best, "us", "left").withColumn("found", F.coalesce((F.col("ident") == 0) & (F.col("length") == F.col("best")), F.lit(False))))
+        if out.filter("found <> had").isEmpty():
+            break
+        rows = out.drop("had", "resident", "best")
+    best = out.filter("found").select(F.col("us").alias("conv_id"), F.col("length").alias("prefix"))
+    return requests.select("conv_id").join(best, "conv_id", "left").select("conv_id", F.coalesce("prefix", F.lit(0).cast("bigint")).alias("prefix"))
+
+
 def drain_order(queued: DataFrame) -> DataFrame:
     """The place of each request in its queue's drain: higher priorities first, first come first served inside one."""
     w = W.partitionBy("queue").orderBy(F.desc("priority"), "seq")
