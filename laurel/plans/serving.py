@@ -97,24 +97,25 @@ def bounded_tool_cache(spark: SparkSession, d: str) -> DataFrame:
     return L.tool_cache(calls, 2 * 86400, ("error",), 40)
 
 
-_PREFIX_BUDGET = 900
-_PREFIX_SQL = f"""WITH RECURSIVE t AS (SELECT conv_id % 7 AS topic, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)) AS s, length(coalesce(text, '')) // 4 AS w FROM conversations),
-h AS (SELECT conv_id, 0 AS k, n, 'system' || chr(1) || 'topic ' || conv_id % 7 AS s, 2 AS w FROM t WHERE k = 1 UNION ALL SELECT conv_id, k, n, s, w FROM t),
-p AS (SELECT conv_id, k + 1 AS k, n, string_agg(s, chr(2)) OVER (PARTITION BY conv_id ORDER BY k) AS pre, sum(w) OVER (PARTITION BY conv_id ORDER BY k) AS w FROM h),
-q AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS i, list({{'k': k, 'p': pre}} ORDER BY k DESC) AS ps, max(pre) FILTER (k = n) AS own, max(w) FILTER (k = n)::BIGINT AS ow FROM p GROUP BY 1),
-run AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS conv_id, 0::BIGINT AS prefix, []::STRUCT(p VARCHAR, w BIGINT)[] AS st
-UNION ALL SELECT i, conv_id, coalesce(f.k, 0), list_filter(st3, lambda x, j: list_sum(list_transform(st3[1:j], lambda y: y.w)) <= {_PREFIX_BUDGET})
+_PREFIX_BUDGET = 1500
+_PREFIX_SQL = f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)) AS s, length(coalesce(text, '')) // 4 AS w FROM conversations),
+h AS (SELECT DISTINCT conv_id, 0 AS k, 'system' || chr(1) || 'topic ' || conv_id % 7 AS s, 1 AS w FROM t UNION ALL SELECT * FROM t),
+p AS (SELECT conv_id, k + 1 AS k, string_agg(s, chr(2)) OVER (PARTITION BY conv_id ORDER BY k) AS pre, sum(w) OVER (PARTITION BY conv_id ORDER BY k) AS w FROM h),
+q AS (SELECT k * 1000000 + conv_id AS id, row_number() OVER (ORDER BY k, conv_id) AS i, list_reverse(list({{'k': k, 'p': pre}}) OVER (PARTITION BY conv_id ORDER BY k)) AS ps, pre AS own, w::BIGINT AS ow FROM p),
+run AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, 0::BIGINT AS prefix, []::STRUCT(p VARCHAR, w BIGINT)[] AS st
+UNION ALL SELECT i, id, coalesce(f.k, 0), list_filter(st3, lambda x, j: list_sum(list_transform(st3[1:j], lambda y: y.w)) <= {_PREFIX_BUDGET})
 FROM (SELECT *, [{{'p': own, 'w': ow}}] || list_filter(st2, lambda x: x.p <> own) AS st3 FROM (SELECT *, CASE WHEN f IS NULL THEN st ELSE list_filter(st, lambda x: x.p = f.p) || list_filter(st, lambda x: x.p <> f.p) END AS st2
 FROM (SELECT q.*, st, list_filter(q.ps, lambda x: list_contains(list_transform(st, lambda y: y.p), x.p))[1] AS f FROM run JOIN q ON q.i = run.i + 1))))"""
 
 
-@query("stm04_prefix_budget", f"{_PREFIX_SQL} SELECT conv_id, prefix FROM run WHERE i > 0")
+@query("stm04_prefix_budget", f"{_PREFIX_SQL} SELECT id AS conv_id, prefix FROM run WHERE i > 0")
 def prefix_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations begin with one of seven system messages, and each leaves all its messages but the last in a cache of 900 tokens."""
+    """Conversations take turns, after one of seven system messages; each turn asks with all messages so far and leaves them in a cache of 1500 tokens."""
     system = F.struct(F.lit("system").alias("role"), F.concat(F.lit("topic "), (F.col("conv_id") % 7).cast("string")).alias("content"))
     plain = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     c = T.conversations(spark, d).select("conv_id", F.concat(F.array(system), plain).alias("messages"))
-    return L.longest_kept_prefix(c, c.withColumn("messages", F.slice("messages", F.lit(1), F.size("messages") - 1)), _PREFIX_BUDGET)
+    turns = c.select("*", F.explode(F.sequence(F.lit(1), F.size("messages"))).alias("k")).select((F.col("k").cast("long") * 1_000_000 + F.col("conv_id")).alias("conv_id"), F.slice("messages", F.lit(1), F.col("k")).alias("messages"))
+    return L.longest_kept_prefix(turns, turns, _PREFIX_BUDGET)
 
 
 _BREAKER_SQL = f"""{_REC}, q AS (SELECT event_id, client_id, severity = 'error' AS bad, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client_id ORDER BY ts, event_id) AS n FROM telemetry),

@@ -271,7 +271,8 @@ def longest_kept_prefix(requests: DataFrame, cached: DataFrame, budget: int, blo
     entries = own.groupBy("key").agg(F.min("weight").alias("weight"))
     asked = prefixes.join(entries, "key").select(F.col("conv_id").alias("us"), F.lit(0).alias("ident"), "key", "weight", (F.col("length") + 1).cast("long").alias("length"))
     stored = own.select(F.col("conv_id").alias("us"), F.lit(1).alias("ident"), "key", "weight", F.lit(0).cast("long").alias("length"))
-    rows = numbered(asked.unionByName(stored), ["us", "ident", "length"], block)
+    # the longest first: what a request finds then pushes out only what it no longer asks for
+    rows = numbered(asked.unionByName(stored).withColumn("turn", -F.col("length")), ["us", "ident", "turn"], block).drop("turn")
     rows = written(rows.withColumn("found", F.lit(False)))
     while True:
         tried = rows.withColumn("used", (F.col("ident") == 1) | F.col("found")).withColumnRenamed("found", "had")
