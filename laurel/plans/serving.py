@@ -162,6 +162,64 @@ def priority_queue(spark: SparkSession, d: str) -> DataFrame:
     return L.drain_order(q).select("event_id", "place")
 
 
+_QUEUE_SQL = f"""{_REC}, q AS (SELECT event_id, client_id % 20 AS queue, event_id % 5 AS p, row_number() OVER (PARTITION BY client_id % 20 ORDER BY ts, event_id) AS n FROM telemetry),
+run AS (SELECT queue, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS p, false AS refused, NULL::BIGINT AS taken, []::STRUCT(p BIGINT, n BIGINT, id BIGINT)[] AS st FROM (SELECT DISTINCT queue FROM q)
+UNION ALL SELECT queue, n, event_id, p, p < 4 AND held >= 3, CASE WHEN p = 4 THEN best.id END,
+  CASE WHEN p = 4 THEN list_filter(st, lambda x: x.id <> coalesce(best.id, -1)) WHEN held >= 3 THEN st ELSE st || [{{'p': -p, 'n': n, 'id': event_id}}] END
+FROM (SELECT q.queue, q.n, q.event_id, q.p, st, len(list_filter(st, lambda x: x.p = -q.p)) AS held, list_sort(st)[1] AS best FROM run JOIN q ON q.queue = run.queue AND q.n = run.n + 1)),
+t AS (SELECT taken, row_number() OVER (PARTITION BY queue ORDER BY n) AS place FROM run WHERE taken IS NOT NULL)"""
+
+
+@query("stm07_bounded_queue", f"{_QUEUE_SQL} SELECT event_id, CASE WHEN refused THEN 'refused' WHEN place IS NULL THEN 'waiting' ELSE 'taken' END AS status, place FROM run LEFT JOIN t ON run.event_id = t.taken WHERE p < 4")
+def bounded_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty queues of four levels with three places each; every fifth event takes a request."""
+    k = F.col("event_id")
+    q = T.telemetry(spark, d).select("event_id", (F.col("client_id") % 20).alias("queue"), "ts", F.when(k % 5 < 4, k % 5).alias("priority"))
+    return L.bounded_queue(q, 3)
+
+
+_POOL_SQL = f"""{_REC}, r AS (SELECT event_id AS id, event_id % 3 AS pool, epoch_us(ts) AS us, epoch_us(ts) + CAST(floor(duration_ms) AS BIGINT) * 600000000 AS until FROM telemetry),
+e AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, id) AS n FROM (SELECT id, pool, us * 2 + 1 AS t, true AS starts FROM r UNION ALL SELECT id, pool, until * 2, false FROM r)),
+run AS (SELECT pool, 0::BIGINT AS n, NULL::BIGINT AS id, false AS starts, NULL::BIGINT AS endpoint, []::STRUCT(id BIGINT, k BIGINT)[] AS st FROM (SELECT DISTINCT pool FROM r)
+UNION ALL SELECT pool, n, id, starts, CASE WHEN starts THEN k END, CASE WHEN starts THEN st || [{{'id': id, 'k': k}}] ELSE list_filter(st, lambda x: x.id <> id) END
+FROM (SELECT e.pool, e.n, e.id, e.starts, st, list_sort(list_transform(range(4), lambda k: {{'n': len(list_filter(st, lambda x: x.k = k)), 'k': k}}))[1].k AS k FROM run JOIN e ON e.pool = run.pool AND e.n = run.n + 1))"""
+
+
+@query("stm08_least_connections", f"{_POOL_SQL} SELECT id AS request_id, endpoint FROM run WHERE starts")
+def least_connections(spark: SparkSession, d: str) -> DataFrame:
+    """Three pools of four endpoints; a request lasts ten minutes for each of its milliseconds."""
+    ends = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor("duration_ms") * 600_000_000)
+    r = T.telemetry(spark, d).select(F.col("event_id").alias("request_id"), (F.col("event_id") % 3).alias("pool"), F.col("ts").cast("timestamp").alias("ts"), ends.alias("until"))
+    return L.least_connections(r, 4)
+
+
+_WEIGHTS = {"large": 5.0, "middle": 3.0, "small": 1.5, "spare": 0.5}
+_WEIGHTED_SQL = "SELECT event_id, arg_min(name, -ln((('0x' || md5(event_id || '|' || name)[1:13])::BIGINT + 0.5) / 4503599627370496.0) / w) AS {} FROM events, (VALUES {}) v(name, w) GROUP BY 1"
+
+
+def _weighted_sql(name: str, weights: dict[str, float]) -> str:
+    return _WEIGHTED_SQL.format(name, ", ".join(f"('{k}', {w}::DOUBLE)" for k, w in weights.items()))
+
+
+@query("stm08_weighted", f"SELECT event_id, endpoint, without, random FROM ({_weighted_sql('endpoint', _WEIGHTS)}) JOIN ({_weighted_sql('without', {k: w for k, w in _WEIGHTS.items() if k != 'middle'})}) USING (event_id) JOIN ({_weighted_sql('random', dict.fromkeys(_WEIGHTS, 1.0))}) USING (event_id)")
+def weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Where requests go by weights, where without one of the endpoints, and where by equal weights."""
+    key = F.col("event_id").cast("string")
+    rest = {k: w for k, w in _WEIGHTS.items() if k != "middle"}
+    return T.table(spark, d, "events").select("event_id", L.weighted(key, _WEIGHTS).alias("endpoint"), L.weighted(key, rest).alias("without"), L.weighted(key, dict.fromkeys(_WEIGHTS, 1.0)).alias("random"))
+
+
+@query(
+    "stm09_connection_gauge",
+    f"""{_REC}, q AS (SELECT event_id, client_id, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END AS step, row_number() OVER (PARTITION BY client_id ORDER BY ts, event_id) AS n FROM telemetry),
+run AS (SELECT event_id, client_id, n, greatest(0, step) AS gauge FROM q WHERE n = 1 UNION ALL SELECT q.event_id, q.client_id, q.n, greatest(0, gauge + step) FROM run JOIN q ON q.client_id = run.client_id AND q.n = run.n + 1) SELECT event_id, gauge::BIGINT AS gauge FROM run""",
+)
+def gauge(spark: SparkSession, d: str) -> DataFrame:
+    """Connections that open with a click or a view and close with anything else; there are never fewer than none."""
+    step = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
+    return L.gauge(T.telemetry(spark, d).withColumn("step", step), "step", ["ts", "event_id"], "client_id").select("event_id", "gauge")
+
+
 @query("stm08_hash_routing", "WITH h AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS m FROM events) SELECT event_id, CAST(((CAST('0x' || substr(m, 1, 16) AS UHUGEINT) % 7) * 2 + CAST('0x' || substr(m, 17, 16) AS UHUGEINT) % 7) % 7 AS BIGINT) AS endpoint FROM h")
 def hash_routing(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", L.by_hash(F.col("event_id").cast("string"), 7).alias("endpoint"))

@@ -172,12 +172,6 @@ def failure_runs(spark: SparkSession, d: str) -> DataFrame:
     return S.failure_runs(T.telemetry(spark, d)).groupBy("client_id").agg(F.max("run").alias("longest"), F.count_if(F.col("run") >= 2).alias("opened"))
 
 
-@query("stm09_connection_gauge", f"{TEL} SELECT event_id, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END) OVER (PARTITION BY client_id ORDER BY ts, event_id) AS BIGINT) AS gauge FROM telemetry")
-def gauge(spark: SparkSession, d: str) -> DataFrame:
-    step = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
-    return T.telemetry(spark, d).select("event_id", F.sum(step).over(W.partitionBy("client_id").orderBy("ts", "event_id")).alias("gauge"))
-
-
 @query("agg18_gateway_health", f"{TEL}, g AS (SELECT client_id, count(*) AS total, count(*) FILTER (severity = 'error') AS failed FROM telemetry GROUP BY 1) SELECT client_id, total, failed, round(failed / CAST(greatest(total, 1) AS DOUBLE), 6) AS error_rate, failed / CAST(greatest(total, 1) AS DOUBLE) < 0.5 AS healthy FROM g")
 def health(spark: SparkSession, d: str) -> DataFrame:
     g = T.telemetry(spark, d).groupBy("client_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "error").alias("failed"))

@@ -6,6 +6,8 @@ same state by key, so a finished stream and the batch give the same answers.
 
 from __future__ import annotations
 
+import collections
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -292,6 +294,85 @@ def drain_order(queued: DataFrame) -> DataFrame:
     return queued.withColumn("place", F.row_number().over(w).cast("bigint"))
 
 
+class Levels:
+    """A queue of bounded levels, one for each priority: a request is refused where its level is full, and the next to go is the oldest of the highest level."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.levels = capacity, {}
+
+    def answer(self, ident: int, priority: int | None) -> int:
+        """For a request with a priority, whether it is refused (1) or not (0); for a take (no priority), the id of the request that goes, or -1."""
+        if priority is not None and priority == priority:
+            level = self.levels.setdefault(int(priority), collections.deque())
+            if len(level) >= self.capacity:
+                return 1
+            level.append(ident)
+            return 0
+        some = [k for k, level in self.levels.items() if level]
+        return self.levels[max(some)].popleft() if some else -1
+
+
+def bounded_queue(events: DataFrame, capacity: int) -> DataFrame:
+    """event_id, status (refused, waiting or taken) and place (the how-many-eth take of its queue took it) of requests put into queues.
+
+    Events (event_id, queue, ts, priority) are requests, or takes where the priority is null; they are replayed in order, a queue in the memory of what waits in it.
+    """
+    rows = events.select("event_id", "queue", _us(), F.col("priority").cast("double").alias("priority"))
+    said = _batch(rows.withColumn("ident", F.col("event_id")), "queue", ["ident", "priority"], lambda: Levels(capacity), "event_id", "event_id long, queue long, us long, priority double, said long")
+    w = W.partitionBy("queue").orderBy("us", "event_id")
+    takes = said.filter("isnan(priority) OR priority IS NULL").filter("said >= 0").select(F.col("said").alias("event_id"), F.row_number().over(w).cast("long").alias("place"))
+    puts = said.filter("NOT (isnan(priority) OR priority IS NULL)").select("event_id", "said")
+    out = puts.join(takes, "event_id", "left")
+    return out.select("event_id", F.when(F.col("said") == 1, "refused").when(F.col("place").isNull(), "waiting").otherwise("taken").alias("status"), "place")
+
+
+class Connections:
+    """Open connections of a pool's endpoints; a request goes to the endpoint that has fewest, the first of these."""
+
+    def __init__(self, endpoints: int):
+        self.open, self.heap, self.at = [0] * endpoints, [(0, k) for k in range(endpoints)], {}
+
+    def answer(self, request: int, starts: bool) -> int:
+        """The endpoint that a request goes to, or that it leaves (-1 if it is at none)."""
+        if starts:
+            while self.heap[0][0] != self.open[self.heap[0][1]]:  # an entry that has been overtaken
+                heapq.heappop(self.heap)
+            k = self.at[request] = self.heap[0][1]
+            self.open[k] += 1
+        elif (k := self.at.pop(request, -1)) < 0:
+            return -1
+        else:
+            self.open[k] = max(0, self.open[k] - 1)
+        heapq.heappush(self.heap, (self.open[k], k))
+        return k
+
+
+def least_connections(requests: DataFrame, endpoints: int) -> DataFrame:
+    """request_id, endpoint: where requests (request_id, pool, ts, until) go, each to the endpoint of its pool with fewest open connections when it comes; ends come before starts of the same time."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    events = F.array(F.struct((us("ts") * 2 + 1).alias("us"), F.lit(True).alias("starts")), F.struct((us("until") * 2).alias("us"), F.lit(False).alias("starts")))
+    rows = requests.select("request_id", "pool", F.inline(events)).filter("us IS NOT NULL").withColumn("request", F.col("request_id"))
+    said = _batch(rows, "pool", ["request", "starts"], lambda: Connections(endpoints), "request_id", "request_id long, starts boolean, endpoint long")
+    return said.filter("starts").select("request_id", "endpoint")
+
+
+def weighted(key: Column, weights: dict[str, float]) -> Column:
+    """The endpoint that a key belongs to, by rendezvous: the least of -ln(u) / weight, u being a number in (0, 1) from the digest of key and endpoint.
+
+    Endpoints get keys in proportion to their weights, and one that goes gives its own keys to the others and moves no other. With equal weights this is a random choice.
+    """
+    u = lambda name: (F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{name}"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    scores = [F.struct((-F.ln(u(name)) / w).alias("score"), F.lit(name).alias("name")) for name, w in sorted(weights.items()) if w > 0]
+    return F.array_min(F.array(*scores))["name"]
+
+
+def gauge(rows: DataFrame, step: str, order: list[str], *partition: str) -> DataFrame:
+    """rows with `gauge`, a running sum of steps that never falls below zero: the sum less the least sum so far, where that is negative."""
+    w = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    walked = rows.withColumn("gauge", F.sum(step).over(w))
+    return walked.withColumn("gauge", (F.col("gauge") - F.least(F.min("gauge").over(w), F.lit(0))).cast("long"))
+
+
 def by_hash(key: Column, n: int) -> Column:
     """md5(key) mod n, from the digest's two halves."""
     digest = F.md5(key)
