@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
 from ..session import written
+from .forgetful import answered
 from .reuse import BLOCK, numbered, replayed, residents
 
 # Buckets as (name, capacity, refill, seconds of one refill), in the order in which they are asked.
@@ -50,6 +51,14 @@ class Buckets:
     def kept(self) -> tuple[float, ...]:
         return tuple(float(v) for pair in self.state for v in pair)
 
+    def horizon(self) -> int:
+        """Microseconds after which all buckets are full again."""
+        return 1_000_000 * max(-(-c // r) * s for _, c, r, s in self.rules)
+
+    def idle(self, us: int) -> bool:
+        """Whether a new client's buckets would give the same answers from here on."""
+        return all(min(c, t + int((us / 1e6 - last) // s) * r) >= c and us / 1e6 - last >= s for (t, last), (_, c, r, s) in zip(self.state, self.rules, strict=True))
+
     def restored(self, values: tuple[float, ...]) -> Buckets:
         self.state = list(zip(values[::2], values[1::2], strict=True))
         return self
@@ -73,6 +82,13 @@ class Entry:
     def kept(self) -> tuple[float, ...]:
         return (float(self.stored),)
 
+    def horizon(self) -> int:
+        return self.life
+
+    def idle(self, us: int) -> bool:
+        """Whether the entry has outlived its time."""
+        return self.stored < 0 or us - self.stored >= self.life
+
     def restored(self, values: tuple[float, ...]) -> Entry:
         self.stored = int(values[0])
         return self
@@ -99,6 +115,13 @@ class Breaker:
     def kept(self) -> tuple[float, ...]:
         return float(self.n), float(self.since)
 
+    def horizon(self) -> int:
+        return self.life
+
+    def idle(self, us: int) -> bool:
+        """Whether there is nothing to remember: an open circuit has closed by time, or no error is pending. A run of errors that has not opened it is kept."""
+        return us - self.since >= self.life if self.since >= 0 else self.n == 0
+
     def restored(self, values: tuple[float, ...]) -> Breaker:
         self.n, self.since = int(values[0]), int(values[1])
         return self
@@ -122,8 +145,10 @@ def _batch(rows: DataFrame, key: str, inputs: list[str], make, ident: str, out:
     return ordered.mapInPandas(run, out)
 
 
-def _stream(rows: DataFrame, key: str, inputs: list[str], make, ident: str, out: str, state: int) -> DataFrame:
-    """The same as a stream: state is that many numbers of each key's machine; rows of one trigger are taken in order of time."""
+def _stream(rows: DataFrame, key: str, inputs: list[str], make, ident: str, out: str, state: int, delay: str | None = None) -> DataFrame:
+    """The same as a stream: state is that many numbers of each key's machine. Without a delay, rows of one trigger are taken in order of time and state is kept for ever; with one, see `forgetful`."""
+    if delay is not None:
+        return answered(rows, delay, key, inputs, make, ident, out, state)
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = [x.split()[0] for x in out.split(", ")]
@@ -146,7 +171,7 @@ _LIMITED = "request_id bigint, client_id bigint, denied_by string"
 
 
 def _limit_rows(requests: DataFrame) -> DataFrame:
-    return requests.select("request_id", "client_id", _us())
+    return requests.select("request_id", "client_id", _us(), "ts")
 
 
 def rate_limited(requests: DataFrame, rules=BUCKETS) -> DataFrame:
@@ -154,8 +179,8 @@ def rate_limited(requests: DataFrame, rules=BUCKETS) -> DataFrame:
     return _batch(_limit_rows(requests), "client_id", ["us"], lambda: Buckets(rules=rules), "request_id", _LIMITED)
 
 
-def rate_limited_stream(requests: DataFrame, rules=BUCKETS) -> DataFrame:
-    return _stream(_limit_rows(requests), "client_id", ["us"], lambda: Buckets(rules=rules), "request_id", _LIMITED, 2 * len(rules))
+def rate_limited_stream(requests: DataFrame, rules=BUCKETS, delay: str | None = None) -> DataFrame:
+    return _stream(_limit_rows(requests), "client_id", ["us"], lambda: Buckets(rules=rules), "request_id", _LIMITED, 2 * len(rules), delay)
 
 
 _HIT = "event_id bigint, hit boolean"
@@ -163,7 +188,7 @@ _HIT = "event_id bigint, hit boolean"
 
 def _call_rows(calls: DataFrame, key: Column, stores: Column | None) -> DataFrame:
     kept = F.coalesce(stores, F.lit(False)) if stores is not None else F.lit(True)
-    return calls.select("event_id", key.alias("key"), _us(), kept.alias("stores"))
+    return calls.select("event_id", key.alias("key"), _us(), kept.alias("stores"), "ts")
 
 
 def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None, capacity: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -184,8 +209,9 @@ def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | Non
     return _batch(_call_rows(calls, key, stores), "key", ["us", "stores"], lambda: Entry(seconds), "event_id", _HIT)
 
 
-def cache_hits_stream(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None) -> DataFrame:
-    return _stream(_call_rows(calls, key, stores), "key", ["us", "stores"], lambda: Entry(seconds), "event_id", _HIT, 1)
+def cache_hits_stream(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None, delay: str | None = None) -> DataFrame:
+    """`cache_hits` without a capacity, as a stream."""
+    return _stream(_call_rows(calls, key, stores), "key", ["us", "stores"], lambda: Entry(seconds), "event_id", _HIT, 1, delay)
 
 
 def tool_cache(calls: DataFrame, seconds: int = 600, bypass: tuple[str, ...] = (), capacity: int | None = None) -> DataFrame:
@@ -230,7 +256,7 @@ _OPEN = "event_id bigint, open boolean"
 
 
 def _breaker_rows(calls: DataFrame) -> DataFrame:
-    return calls.select("event_id", "client_id", _us(), (F.col("severity") == "error").alias("bad"))
+    return calls.select("event_id", "client_id", _us(), (F.col("severity") == "error").alias("bad"), "ts")
 
 
 def breaker_states(calls: DataFrame, failures: int = 5, seconds: int = 60) -> DataFrame:
@@ -238,8 +264,8 @@ def breaker_states(calls: DataFrame, failures: int = 5, seconds: int = 60) -> Da
     return _batch(_breaker_rows(calls), "client_id", ["us", "bad"], lambda: Breaker(failures, seconds), "event_id", _OPEN)
 
 
-def breaker_states_stream(calls: DataFrame, failures: int = 5, seconds: int = 60) -> DataFrame:
-    return _stream(_breaker_rows(calls), "client_id", ["us", "bad"], lambda: Breaker(failures, seconds), "event_id", _OPEN, 2)
+def breaker_states_stream(calls: DataFrame, failures: int = 5, seconds: int = 60, delay: str | None = None) -> DataFrame:
+    return _stream(_breaker_rows(calls), "client_id", ["us", "bad"], lambda: Breaker(failures, seconds), "event_id", _OPEN, 2, delay)
 
 
 def prefix_hashes(messages: Column) -> Column:
