@@ -206,3 +206,11 @@ def training_cost(n: str | Column, gpu: str | Column) -> Column:
 def sweep(low: float, high: float, n: int) -> Column:
     """n evenly spaced values as an array; one value is the lowest."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(low) + (high - low) * i / max(n - 1, 1))
+
+
+def json_value(json: str | Column) -> Column:
+    """The variant of a text that is one JSON value and no more, or null; `try_parse_json` alone passes over what stands after the value."""
+    t = c(json)
+    # what stands after a value would have to go on both a list and an object
+    listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    return F.when(listed.isNotNull(), F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))), "$.v", "variant"))

@@ -37,41 +37,6 @@ def lint(texts: DataFrame, text: str = "text") -> DataFrame:
     return g.select("id", F.when(F.col("n") == 0, "skipped").when(F.col("ok"), "passed").otherwise("failed").alias("status"))
 
 
-# The types of JSON schemas.
-_TYPES = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
-
-
-def schema_error(value, schema: dict, at: str = "$") -> str | None:
-    """The first violation of type, required or properties; a boolean passes for an integer, as in Python."""
-    kind = schema.get("type")
-    if kind and not isinstance(value, _TYPES[kind]):
-        return f"{at}: not {kind}"
-    if isinstance(value, dict):
-        for k in schema.get("required", []):
-            if k not in value:
-                return f"{at}: {k} is missing"
-        for k, sub in schema.get("properties", {}).items():
-            if k in value and (e := schema_error(value[k], sub, f"{at}.{k}")):
-                return e
-    return None
-
-
-def schema_errors(json_text: Column, schema: dict) -> Column:
-    @F.pandas_udf("string")
-    def check(x: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            try:
-                return schema_error(json.loads(t), schema)
-            except ValueError:
-                return "not JSON"
-
-        return x.map(one)
-
-    return check(json_text)
-
-
 def markdown(value, depth: int = 1, mark: str = "#") -> str:
     """Nested JSON as headers and lines."""
     if isinstance(value, dict):

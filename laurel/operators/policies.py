@@ -20,7 +20,7 @@ HOST_ARGUMENTS = ("url", "host", "endpoint", "target", "address")
 
 def typed(json: Column) -> Column:
     """struct(said, text, number, items) of a JSON text: all of it, and what it is if it is a string, a number or a list; what is missing or no JSON is null."""
-    v = F.try_parse_json(json)
+    v = X.json_value(json)
     kind = F.schema_of_variant(v)
     return F.struct(
         F.coalesce(F.to_json(v), F.lit("null")).alias("said"),
@@ -123,7 +123,7 @@ def network_requests(messages: DataFrame, agent: Column | str = "default-agent")
     out = urls.filter("host IS NOT NULL").select(*keep, F.lit('Action::"connect"').alias("action"), _entity("Host", F.col("host")).alias("resource"), context.alias("context"))
     if "tool_calls" not in base.columns:
         return out
-    calls = base.filter("role = 'assistant'").select(*keep, F.explode("tool_calls").alias("c")).select(*keep, F.coalesce("c.name", F.lit("")).alias("tool"), F.try_parse_json("c.arguments").alias("v"))
+    calls = base.filter("role = 'assistant'").select(*keep, F.explode("tool_calls").alias("c")).select(*keep, F.coalesce("c.name", F.lit("")).alias("tool"), X.json_value("c.arguments").alias("v"))
     given = lambda k: F.when(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")) == "STRING", F.try_variant_get("v", f"$.{k}", "string"))
     targets = F.explode(F.array(*(F.struct(F.lit(k).alias("argument"), X.host(given(k)).alias("host")) for k in HOST_ARGUMENTS)))
     asked = calls.select(*keep, "tool", targets.alias("t")).select(*keep, "tool", "t.*").filter("host IS NOT NULL")

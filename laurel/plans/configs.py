@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import configs as C
+from ..operators import schemas as J
 from ..sources import tables as T
 from .registry import query
 
@@ -93,3 +94,50 @@ def message_certificates(spark: SparkSession, d: str) -> DataFrame:
 def message_compliance(spark: SparkSession, d: str) -> DataFrame:
     out = C.message_certificates(messages(spark, d), F.lit("2024-01-01").cast("timestamp_ntz"))
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_violations").alias("n_violations"))
+
+
+_SCHEMA = {
+    "type": "object",
+    "required": ["id", "user"],
+    "properties": {
+        "id": {"type": "integer"},
+        "user": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "tags": {"type": "array"}, "it's": {"type": "null"}}},
+        "value": {"type": "number"},
+        "done": {"type": "boolean"},
+    },
+}
+
+
+@query("ver04_json_schema", "SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN '$: k is missing' ELSE '' END AS violations FROM events")
+def json_schema(spark: SparkSession, d: str) -> DataFrame:
+    found = J.violations(F.col("props"), {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}})
+    return T.table(spark, d, "events").select("event_id", F.array_join(found, ", ").alias("violations"))
+
+
+def json_messages(spark: SparkSession, d: str) -> DataFrame:
+    """An answer about each event, with a good block, a block with wrong parts, no fence, a block that is no JSON, none at all, and two blocks."""
+    k = F.col("event_id")
+    user = lambda name: F.struct(name.alias("name"), F.when(k % 4 < 2, F.array(F.lit("}"), F.lit("{x"))).alias("tags"), F.lit(None).cast("string").alias("it's"))
+    good = F.to_json(F.struct(k.alias("id"), user(F.col("event_type")).alias("user"), "value", (k % 2 == 0).alias("done")), {"ignoreNullFields": "false"})
+    wrong = F.to_json(F.struct(F.when(k % 3 == 0, k.cast("string")).alias("id"), F.struct(F.when(k % 5 == 0, F.array(k)).alias("name"), "value").alias("user"), F.col("props").alias("value")))
+    fenced = lambda tag, json: F.concat(F.lit(f"Here:\n```{tag}\n"), json, F.lit("\n```\nend"))
+    forms = {0: fenced("json", good), 1: fenced("", wrong), 2: F.concat(F.lit('a 5" {b} '), good, F.lit(' and {"id": ')), 3: fenced("json", F.substring(good, 2, 20)), 4: F.lit("Nothing }{"), 5: F.concat(fenced("json", good), F.lit("\n"), fenced("json", wrong))}
+    content = F.coalesce(*(F.when(k % 6 == n, form) for n, form in forms.items()))
+    return T.table(spark, d, "events").select(k.alias("traj_id"), F.lit(1).alias("message_index"), F.lit("assistant").alias("role"), content.alias("content"))
+
+
+_GOOD_SQL = "CASE WHEN k % 4 >= 2 THEN '$.user.tags: not array' ELSE '' END"
+_WRONG_SQL = "concat_ws(', ', CASE WHEN k % 3 <> 0 THEN '$: id is missing' ELSE '$.id: not integer' END, CASE WHEN k % 5 = 0 THEN '$.user.name: not string' ELSE '$.user: name is missing' END, '$.value: not number')"
+_BLOCKS_SQL = f"""WITH e AS (SELECT event_id AS k FROM events), b AS (SELECT k, 0 AS block, {_GOOD_SQL} AS violations FROM e WHERE k % 6 IN (0, 5) UNION ALL SELECT k, 0, {_WRONG_SQL} FROM e WHERE k % 6 = 1 UNION ALL SELECT k, 1, {_WRONG_SQL} FROM e WHERE k % 6 = 5
+UNION ALL SELECT k, 0, 'not JSON' FROM e WHERE k % 6 IN (2, 3) UNION ALL SELECT k, 1, {_GOOD_SQL} FROM e WHERE k % 6 = 2)"""
+
+
+@query("ver04_message_blocks", f"{_BLOCKS_SQL} SELECT k AS traj_id, block, violations FROM b")
+def message_blocks(spark: SparkSession, d: str) -> DataFrame:
+    blocks = J.json_blocks(json_messages(spark, d), inline=True)
+    return blocks.select("traj_id", "block", F.array_join(J.violations(F.col("json"), _SCHEMA), ", ").alias("violations"))
+
+
+@query("ver04_message_verdicts", f"{_BLOCKS_SQL}, g AS (SELECT k, count(violations) AS n, count(*) FILTER (violations <> '') AS bad FROM e LEFT JOIN b USING (k) GROUP BY 1) SELECT k AS traj_id, CASE WHEN n = 0 THEN 'skipped' WHEN bad > 0 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN n = 0 THEN 'no JSON' WHEN bad > 0 THEN bad || ' of ' || n || ' blocks' ELSE n || ' blocks' END AS message FROM g")
+def message_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return J.schema_verdicts(json_messages(spark, d), _SCHEMA, inline=True).select("traj_id", "status", "message")

@@ -115,11 +115,6 @@ def linter(spark: SparkSession, d: str) -> DataFrame:
     return P.lint(T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("text")))
 
 
-@query("ver04_json_schema", "SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN '$: k is missing' END AS error FROM events")
-def json_schema(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "events").select("event_id", P.schema_errors(F.col("props"), {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}).alias("error"))
-
-
 @query("gen03_shadow_loop", "WITH v AS (SELECT item_id, i, round(0.1 + 0.8 * i / 3, 6) AS temperature, 'Variation ' || i || ' of: ' || coalesce(text, '') || ' Think step ' || i || '.' AS r FROM benchmark, (SELECT unnest(range(0, 4)) AS i)), s AS (SELECT *, length(replace(r, 'e', '')) % 7 AS score FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS k FROM s) SELECT item_id, i AS best, temperature, score, md5(r) AS response FROM k WHERE k = 1")
 def shadow_loop(spark: SparkSession, d: str) -> DataFrame:
     """Four variations of each prompt, scored by a function of their responses; the best one, the first of equals."""
