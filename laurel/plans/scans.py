@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import plugins as G
 from ..operators import scanners as S
+from ..operators import sql as Q
 from ..operators import verify as V
 from ..sources import tables as T
 from .registry import query
@@ -307,6 +308,38 @@ def custom_rules(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("traj_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NAMES = "SELECT traj_id, 'old_names' AS rule, count(*) AS n FROM r WHERE k < 100 GROUP BY 1"
+
+
+@query("udf06_sql_rules", f"{_CONFIG_SQL} {_NAMES} UNION ALL SELECT traj_id, 'mixed', 1 FROM r GROUP BY 1 HAVING count(DISTINCT type) > 1")
+def sql_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of one's own, called from SQL: one about each row, and one about a trajectory's rows together."""
+
+    def old(row, _):
+        if row["kind"] == "terraform" and int(row["name"][1:]) < 100:
+            yield row["name"], "error"
+
+    def seen(row, kept):
+        if row["kind"] == "terraform":
+            kept.setdefault("types", set()).add(row["type"])
+        return ()
+
+    Q.register_rule(spark, "old_names", old)
+    Q.register_rule(spark, "mixed", seen, lambda kept: [("*", "warning")] if len(kept.get("types", ())) > 1 else [])
+    rows = configs(spark, d)
+    call = lambda name: spark.sql(f"SELECT traj_id, rule, count(*) AS n FROM {name}(TABLE(SELECT * FROM {{rows}}) PARTITION BY traj_id) GROUP BY traj_id, rule", rows=rows)
+    return call("old_names").unionByName(call("mixed"))
+
+
+@query(
+    "udf04_sql_functions",
+    "SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host, length(html) // 4 AS tokens, sha256(coalesce(html, ''))[1:16] AS hash, CASE WHEN page_id % 10 > 7 THEN 'gold' WHEN page_id % 10 > 4 THEN 'silver' ELSE 'bronze' END AS tier FROM pages",
+)
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    Q.register_functions(spark)
+    return spark.sql("SELECT page_id, laurel_url_host(url) AS host, laurel_token_estimate(html) AS tokens, laurel_content_hash(html) AS hash, laurel_quality_tier((page_id % 10) / 10D) AS tier FROM {pages}", pages=T.table(spark, d, "pages"))
+
+
 @query("ver24_service_rules", f"{_CONFIG_SQL} SELECT traj_id, rule, count(*) AS n FROM (SELECT traj_id, 'no_public_s3' AS rule FROM r WHERE type = 'aws_s3_bucket' AND k % 4 = 0 UNION ALL SELECT traj_id, 'encryption_required' FROM r WHERE (type = 'aws_ebs_volume' OR type = 'aws_db_instance') AND (type = 'aws_ebs_volume') = (k % 2 = 0) UNION ALL SELECT traj_id, 'tagging_required' FROM r WHERE type IN ('aws_instance', 'aws_s3_bucket') AND k % 2 <> 0) GROUP BY ALL")
 def service_rules(spark: SparkSession, d: str) -> DataFrame:
     return S.policy_violations(configs(spark, d), sorted(S.SERVICE_RULES), S.SERVICE_RULES).groupBy("traj_id", "rule").agg(F.count(F.lit(1)).alias("n"))
