@@ -11,9 +11,9 @@ columns named like those that it adds and keeps others, `keep_clean` keeps all.
 of one text at a time.
 
 The benchmark is cut into pieces of at most `PIECE` words (overlapping by a window less one, so each window stands in one), and pieces are
-broadcast in blocks of about `block_windows` windows. A larger benchmark takes several passes, whose hits are merged row by row: a pass is
-written before the next block is fetched, so neither the driver nor an executor holds more than one block. Nothing is dropped, and no pass
-shuffles.
+broadcast in blocks of about `block_windows` windows, which go through the driver one at a time. A larger benchmark takes several passes over the documents,
+which are written once with a row number; a pass writes only the spans and items of the rows that it hits, before the next block is fetched, and
+at the end these meet their documents in one join. So neither the driver nor an executor holds more than one block, and no pass moves texts.
 """
 
 from __future__ import annotations
@@ -37,22 +37,20 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return raw.translate(TO_WORDS).split()
 
 
-def windows_of(items, size: int = WINDOW) -> dict[tuple[bytes, ...], list]:
+def windows_of(items, size: int = WINDOW) -> dict[tuple[bytes, ...], set]:
     """Window -> ids of the items that hold it."""
-    out: dict[tuple[bytes, ...], list] = {}
+    out: dict[tuple[bytes, ...], set] = {}
     for item, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - size + 1) if w else 0):
-            ids = out.setdefault(tuple(w[i : i + size]), [])
-            if item not in ids:
-                ids.append(item)
+            out.setdefault(tuple(w[i : i + size]), set()).add(item)
     return out
 
 
 class WuManber:
     """Search for word sequences of one length."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list]):
+    def __init__(self, patterns: dict[tuple[bytes, ...], set]):
         self.m = m = len(next(iter(patterns)))
         self.b = b = min(2, m)
         self.far = m - b + 1
@@ -64,7 +62,7 @@ class WuManber:
                 self.shift[block] = min(self.shift.get(block, self.far), m - end)
             self.buckets.setdefault(b" ".join(p[m - b :]), {}).setdefault(hash(p[0]), []).append((list(p), ids))
 
-    def find(self, w: list[bytes]) -> Iterator[tuple[int, list]]:
+    def find(self, w: list[bytes]) -> Iterator[tuple[int, set]]:
         """(start, item ids) of each occurrence."""
         m, b, far, shift, buckets = self.m, self.b, self.far, self.shift, self.buckets
         i, n = m, len(w)
@@ -138,44 +136,71 @@ def pieces_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, "item_id bigint, text string, n bigint")
 
 
+_FOUND = ["n_words", "hit_spans", "hit_items"]
+_TYPES = "n_words bigint, hit_spans array<struct<s:bigint,e:bigint>>, hit_items array<bigint>"
+
+
 def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_windows: int = 200_000) -> DataFrame:
     """docs with n_words, hit_spans (merged, in words) and hit_items (ids of items with occurring windows)."""
-    out, block, load = None, [], 0
+    docs = docs.drop(*_FOUND)
+    base = found = None
+    block, load = [], 0
     for item, text, n in pieces_of(items, size).toLocalIterator(prefetchPartitions=False):
         if block and load + n > block_windows:
-            out = stash(_pass(docs if out is None else out, Items(block, size), out is None))
+            base, found = _further(docs, base, found, Items(block, size))
             block, load = [], 0
         block.append((item, text))
         load += n
-    return _pass(docs if out is None else out, Items(block, size), out is None)
+    if base is None:
+        return _pass(docs, Items(block, size), docs.columns)
+    base, found = _further(docs, base, found, Items(block, size))
+    return base.join(_together(found), _ROW).drop(_ROW)
+
+
+_ROW = "laurel_row"
+
+
+def _further(docs: DataFrame, base: DataFrame | None, found: DataFrame | None, block: Items) -> tuple[DataFrame, DataFrame]:
+    """The documents with a row number, written once, and what one more pass has found, written without texts: all rows of the first pass, then those with hits."""
+    if base is None:
+        base = stash(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    new = _pass(base.select(_ROW, "text"), block, [_ROW])
+    if found is None:
+        return base, stash(new)
+    return base, found.unionByName(stash(new.filter("size(hit_spans) > 0")))
+
+
+def _together(found: DataFrame) -> DataFrame:
+    """One row for each document from those of its passes."""
+    g = found.groupBy(_ROW).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+
+    def run(batches):
+        for batch in batches:
+            spans = [[{"s": a, "e": b} for a, b in merged([(x["s"], x["e"]) for x in row])] for row in batch.column("hit_spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(_ROW), batch.column("n_words"), pa.array(spans, _SPANS), batch.column("hit_items")], names=[_ROW, *_FOUND])
+
+    return g.mapInArrow(run, f"{_ROW} bigint, {_TYPES}")
 
 
-def _pass(docs: DataFrame, block: Items, first: bool) -> DataFrame:
-    """One search for a block of items; later passes add to the columns of earlier ones."""
+def _pass(docs: DataFrame, block: Items, keep: list[str]) -> DataFrame:
+    """One search for a block of items: columns to keep, and what is found in `text`."""
     items = Shared(docs.sparkSession, block)
-    new = ["n_words", "hit_spans", "hit_items"]
-    docs = docs.drop(*new) if first else docs
-    at = docs.columns.index("text")
+    at, kept = docs.columns.index("text"), [docs.columns.index(c) for c in keep]
 
     def run(batches):
         tables = items.value.searchers()
         for batch in batches:
-            old = [None] * batch.num_rows if first else list(zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist(), strict=True))
             n, spans, met = [], [], []
-            for text, had in zip(batch.column(at).cast(pa.binary()), old, strict=True):
+            for text in batch.column(at).cast(pa.binary()):
                 w = words_of(text.as_py())
                 s, i = scan(w, tables)
-                if had:
-                    s, i = merged(s + [(x["s"], x["e"]) for x in had[0]]), i | {*had[1]}
                 n.append(len(w))
                 spans.append([{"s": a, "e": b} for a, b in s])
                 met.append(sorted(i, key=lambda x: (x is None, x)))
-            keep = [k for k in batch.schema.names if k not in new]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(met, pa.list_(pa.int64()))], keep + new)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(met, pa.list_(pa.int64()))], names=keep + _FOUND)
 
-    kept = [f for f in docs.schema.fields if f.name not in new]
-    schema = T.StructType([*kept, *T._parse_datatype_string("n_words bigint, hit_spans array<struct<s:bigint,e:bigint>>, hit_items array<bigint>").fields])
-    return docs.select([f.name for f in kept] + new * (not first)).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema.fields[k] for k in kept), *T._parse_datatype_string(_TYPES).fields])
+    return docs.mapInArrow(run, schema)
 
 
 def rule() -> Column:

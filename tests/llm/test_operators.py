@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -416,6 +417,13 @@ def test_decontamination(spark, docs, monkeypatch):
     assert decontaminate.hits(docs.limit(0), bench).count() == 0
 
 
+def test_windows_that_many_items_share():
+    items = [(i, "a b") for i in range(50_000)]
+    began = time.process_time()
+    (ids,) = decontaminate.windows_of(items).values()
+    assert len(ids) == 50_000 and time.process_time() - began < 3
+
+
 # ---- 7 -----------------------------------------------------------------------------------------------------------------
 
 
