@@ -36,7 +36,6 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Shared, buffers, chunks, crc_mod, in_blocks, mix, stash, text_bytes, word_hashes
@@ -222,10 +221,10 @@ def score(docs: DataFrame, held) -> DataFrame:
     spark = docs.sparkSession
     blocks = in_blocks(docs.select("doc_id", "text"), 8 << 20).withColumn("held", held)
     by_block = blocks.groupBy("b")
-    seen = by_block.applyInArrow(_counted, "b int, h bigint, n bigint")
-    by_word = W.partitionBy("h")
-    vocab = seen.withColumn("c", F.sum("n").over(by_word)).withColumn("lead", F.row_number().over(by_word.orderBy("b")) == 1)
-    vocab = stash(vocab.filter("c > 0").select("b", "h", "c", "lead"))
+    seen = stash(by_block.applyInArrow(_counted, "b int, h bigint, n bigint"))
+    # summed before the shuffle, and joined back, so that the rows of a word of every block can be dealt to several tasks
+    words = seen.groupBy("h").agg(F.sum("n").alias("c"), F.min("b").alias("least")).filter("c > 0")
+    vocab = stash(seen.join(words, "h").select("b", "h", "c", (F.col("b") == F.col("least")).alias("lead")))
     totals = np.zeros((CLASSES * BUCKETS, 2), np.int64)
     for r in vocab.filter("lead").groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS - BUCKET_BITS).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         totals[r["k"]] = r["n"], r["v"]
