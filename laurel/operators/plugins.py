@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.stores import JUDGES, PLUGINS, REWARDS
+from . import configs as C
 from . import documents as P
 from . import scanners as S
+from . import schemas as J
 from . import verify as V
 
 Plugin = Callable[[DataFrame], DataFrame]
@@ -41,18 +43,35 @@ def edge(messages: DataFrame) -> DataFrame:
     return e.select("traj_id", F.lit("edge").alias("plugin"), F.when(F.col("passed"), "passed").otherwise("failed").alias("status"), F.coalesce("reason", F.concat(F.col("n_warnings").cast("string"), F.lit(" warnings"))).alias("message"), F.when(F.col("passed"), 1.0).otherwise(0.0).alias("modifier"))
 
 
+@PLUGINS.register("json_schema")
+def json_schema(messages: DataFrame) -> DataFrame:
+    """Fenced blocks of JSON parse; a schema is given by an extra plugin made of `schemas.schema_verdicts`."""
+    return J.schema_verdicts(messages)
+
+
+@PLUGINS.register("policy")
+def policy(messages: DataFrame) -> DataFrame:
+    return C.message_policy(messages)
+
+
 def verified(messages: DataFrame, names: list[str], skip: dict[str, Column] | None = None, extra: dict[str, Plugin] | None = None) -> DataFrame:
-    """Verdict rows of the plugins named, `extra` ones first of their name. Trajectories for which `skip[name]` is true for every message give no row of that plugin; a plugin that cannot be planned gives rows of status error."""
+    """Verdict rows of the plugins named, `extra` ones first of their name. Trajectories for which `skip[name]` is true for every message give no row of that plugin.
+
+    A plugin whose call raises gives rows of status error. That is the planning of its rows (and what it runs while planning); an error in a task of the job
+    that reads the verdicts stops that job, as it does anywhere.
+    """
     out = None
     for name in names:
         rows = messages
         if skip and name in skip:
             rows = messages.join(messages.groupBy("traj_id").agg(F.bool_and(skip[name]).alias("skipped")).filter("NOT skipped").select("traj_id"), "traj_id", "left_semi")
+        plugin = (extra or {}).get(name) or PLUGINS[name]
         try:
-            found = ((extra or {}).get(name) or PLUGINS[name])(rows).select(*_VERDICT)
+            found = plugin(rows)
         except Exception as e:  # noqa: BLE001  whatever a plugin raises becomes its verdict
             said = f"{type(e).__name__}: {e}".splitlines()[0][:200]
             found = rows.select("traj_id").distinct().select("traj_id", F.lit(name).alias("plugin"), F.lit("error").alias("status"), F.lit(said).alias("message"), F.lit(1.0).alias("modifier"))
+        found = found.select(*_VERDICT)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import configs as C
+from ..operators import plugins as G
 from ..operators import schemas as J
 from ..sources import tables as T
 from .registry import query
@@ -81,6 +82,12 @@ def message_policies(spark: SparkSession, d: str) -> DataFrame:
     return C.message_policy(messages(spark, d)).select("traj_id", "status", "message")
 
 
+@query("ver14_all_plugins", f"{_RULES_SQL}, g AS (SELECT k, count(*) FILTER (rule <> 'tags_required') AS e FROM v GROUP BY 1) SELECT k AS traj_id, coalesce(e, 0) = 0 AS all_passed, coalesce(e, 0) > 0 AS hard_failure, CASE WHEN e > 0 THEN 0e0 ELSE 1e0 END AS modifier FROM k LEFT JOIN g USING (k)")
+def all_plugins(spark: SparkSession, d: str) -> DataFrame:
+    """Safety, schemas and policy together: some trajectories pass all, and some are skipped by one."""
+    return G.composite(messages(spark, d), ["safety_filter", "json_schema", "policy"]).select("traj_id", "all_passed", "hard_failure", "modifier")
+
+
 _CERTIFIED_SQL = f"""{_SQL}, v AS (SELECT k, CAST(k % 3 <> 0 AS INT) + CAST(k % 4 = 0 AS INT) AS n FROM hcl UNION ALL SELECT k, CAST(k % 9 = 0 AS INT) + 1 FROM yaml UNION ALL SELECT k, CAST(k % 8 >= 4 AS INT) FROM js),
 g AS (SELECT k AS traj_id, coalesce(sum(v.n), 0)::BIGINT AS n_violations, CASE WHEN k % 5 = 0 THEN 'unknown' WHEN sum(v.n) > 0 THEN 'non_compliant' ELSE 'compliant' END AS status FROM k LEFT JOIN v USING (k) GROUP BY k)"""
 

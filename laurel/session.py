@@ -31,6 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share, deleted when the JVM ends: below spark.checkpoint.dir, or the context's checkpoint folder, which is set to one in the warehouse where both are unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or ":" not in warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/laurel-{uuid.uuid4().hex}"
