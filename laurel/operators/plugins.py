@@ -57,7 +57,7 @@ def policy(messages: DataFrame) -> DataFrame:
 def verified(messages: DataFrame, names: list[str], skip: dict[str, Column] | None = None, extra: dict[str, Plugin] | None = None) -> DataFrame:
     """Verdict rows of the plugins named, `extra` ones first of their name. Trajectories for which `skip[name]` is true for every message give no row of that plugin.
 
-    A plugin whose call raises gives rows of status error. That is the planning of its rows (and what it runs while planning); an error in a task of the job
+    A plugin that is unknown or whose call raises gives rows of status error. That is the planning of its rows (and what it runs while planning); an error in a task of the job
     that reads the verdicts stops that job, as it does anywhere.
     """
     out = None
@@ -65,9 +65,8 @@ def verified(messages: DataFrame, names: list[str], skip: dict[str, Column] | No
         rows = messages
         if skip and name in skip:
             rows = messages.join(messages.groupBy("traj_id").agg(F.bool_and(skip[name]).alias("skipped")).filter("NOT skipped").select("traj_id"), "traj_id", "left_semi")
-        plugin = (extra or {}).get(name) or PLUGINS[name]
         try:
-            found = plugin(rows)
+            found = ((extra or {}).get(name) or PLUGINS[name])(rows)
         except Exception as e:  # noqa: BLE001  whatever a plugin raises becomes its verdict
             said = f"{type(e).__name__}: {e}".splitlines()[0][:200]
             found = rows.select("traj_id").distinct().select("traj_id", F.lit(name).alias("plugin"), F.lit("error").alias("status"), F.lit(said).alias("message"), F.lit(1.0).alias("modifier"))
