@@ -361,7 +361,7 @@ def parsed(language: Column, code: Column) -> Column:
 
     @F.pandas_udf("array<string>")
     def parse(languages: pd.Series, codes: pd.Series) -> pd.Series:
-        said = [[json.dumps(d) for d in documents(a, b)] for a, b in zip(languages, codes, strict=True)]
+        said = [[] if b is None else [json.dumps(d) for d in documents(a, b)] for a, b in zip(languages, codes, strict=True)]
         return pd.Series(said, index=codes.index, dtype=object)
 
     return parse(language, code)
@@ -391,6 +391,13 @@ def configurations(found: DataFrame) -> DataFrame:
     return named.unionByName(manifests).unionByName(rest)
 
 
+def resources(texts: DataFrame, text: str = "text") -> DataFrame:
+    """traj_id, type, name and config of the resources in plain HCL or JSON texts (traj_id, text)."""
+    docs = texts.select("traj_id", F.explode(parsed(F.lit(TERRAFORM[0]), F.col(text))).alias("json"))
+    found = docs.select("traj_id", F.lit(0).alias("message_index"), F.lit("terraform").alias("kind"), F.parse_json("json").alias("doc"))
+    return configurations(found).select("traj_id", "type", "name", "config")
+
+
 def message_policy(messages: DataFrame, names: list[str] | None = None, custom: dict | None = None, fail_on_warning: bool = False) -> DataFrame:
     """Verdict rows of the policy rules over the configurations in messages; a trajectory without any has passed."""
     configs = written(configurations(extracted(messages)).drop("message_index"))  # rules read them one by one

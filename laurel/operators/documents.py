@@ -1,10 +1,9 @@
-"""Checks that need a parser: code, schemas, infrastructure text and nested documents. Parsing runs in Arrow batches; rules over what was parsed are columns."""
+"""Checks that need a parser: code and nested documents. Parsing runs in Arrow batches; rules over what was parsed are columns."""
 
 from __future__ import annotations
 
 import ast
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,38 +54,6 @@ def to_markdown(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else markdown(json.loads(t)))
 
 
-_RESOURCE = re.compile(r'resource\s+"([^"]+)"\s+"([^"]+)"\s*\{([^}]*)\}')
-_PAIR = re.compile(r'^\s*(\w+)\s*=\s*("[^"]*"|\[[^\]]*\]|[^\s#]+)', re.M)
-
-
-def hcl_resources(text: str) -> list[tuple[str, str, str]]:
-    """(type, name, config as JSON) of resources with flat bodies; strings, booleans, numbers and lists are typed."""
-
-    def typed(v: str):
-        if v.startswith('"'):
-            return v[1:-1]
-        if v in ("true", "false"):
-            return v == "true"
-        if v.startswith("["):
-            return [typed(x.strip()) for x in v[1:-1].split(",") if x.strip()]
-        try:
-            return int(v)
-        except ValueError:
-            return v
-
-    return [(t, n, json.dumps({k: typed(v) for k, v in _PAIR.findall(body)})) for t, n, body in _RESOURCE.findall(text)]
-
-
-def resources(texts: DataFrame, text: str = "text") -> DataFrame:
-    """traj_id, type, name, config of the resources in infrastructure text."""
-
-    @F.pandas_udf("array<struct<type:string,name:string,config:string>>")
-    def parse(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: [] if t is None else [{"type": a, "name": b, "config": c} for a, b, c in hcl_resources(t)])
-
-    return texts.select("traj_id", F.explode(parse(F.col(text))).alias("r")).select("traj_id", "r.*")
-
-
 def certificate(ok_network: Column, audited: Column, exit_code: Column, as_of: Column) -> Column:
     """struct(status, expires): valid for a day if the network was allowed, the audit passed and the run ended with 0; no code at all is invalid."""
     valid = F.coalesce(ok_network & audited & (exit_code == 0), F.lit(False))

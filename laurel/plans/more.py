@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import distil as D
+from ..operators import configs as C
 from ..operators import documents as P
 from ..operators import ranking as R
 from ..operators import verify as V
@@ -92,7 +93,7 @@ def assistant_parts(spark: SparkSession, d: str) -> DataFrame:
 def infra_text(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     body = F.concat(F.lit('resource "aws_s3_bucket" "b'), k.cast("string"), F.lit('" {\n  acl = "'), F.when(k % 2 == 0, "public-read").otherwise("private"), F.lit('"\n  count = 2\n}\n'))
-    found = V.resource_findings(P.resources(T.table(spark, d, "supplier").select(k.alias("traj_id"), body.alias("text"))), V.infra_checks())
+    found = V.resource_findings(C.resources(T.table(spark, d, "supplier").select(k.alias("traj_id"), body.alias("text"))), V.infra_checks())
     return found.filter("rule LIKE 's3%'").select("traj_id", "type", "name", "rule")
 
 

@@ -144,6 +144,12 @@ def test_parsers_are_linear():
     assert took(8000) < 40 * max(took(500), 0.01)  # quadratic growth would make it 256 times
 
 
+def test_resources_of_plain_texts(spark):
+    rows = spark.createDataFrame([(1, 'resource "aws_ebs_volume" "v" {\n  encrypted = false\n  size = 3\n  zones = ["a", "b"]\n}'), (2, "nothing"), (3, None)], "traj_id int, text string")
+    got = [(*r[:3], json.loads(r["config"])) for r in C.resources(rows).collect()]
+    assert got == [(1, "aws_ebs_volume", "v", {"encrypted": False, "size": 3, "zones": ["a", "b"]})]
+
+
 MSG = "traj_id string, message_index int, role string, content string"
 
 

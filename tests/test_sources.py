@@ -100,7 +100,6 @@ def test_policies(spark):
 
 
 def test_parsers():
-    assert P.hcl_resources('resource "aws_ebs_volume" "v" {\n  encrypted = false\n  size = 3\n  zones = ["a", "b"]\n}')[0] == ("aws_ebs_volume", "v", '{"encrypted": false, "size": 3, "zones": ["a", "b"]}')
     assert P.markdown({"a_b": 1, "c": {"d": [1, 2]}}) == "A B: 1\n# C\n## D\n- 1\n- 2"
 
 
