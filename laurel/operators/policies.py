@@ -71,11 +71,12 @@ def applicable(asked: DataFrame, policies: DataFrame) -> DataFrame:
     said = policies.select("id", "effect", *(F.col(c).alias(f"{c}_said") for c in PARTS), F.coalesce(conditions, F.array()).alias("conditions"))
     needed = said.withColumn("needed", F.size("conditions"))
     met = sought.select("ask", *(f"{c}_said" for c in PARTS)).join(needed, [f"{c}_said" for c in PARTS]).select("ask", "id", "effect", "needed")
-    each = said.select("id", F.inline("conditions"))
+    # values are typed below the joins, once each
+    each = said.select("id", F.inline("conditions")).withColumn("value", typed(F.col("value")))
     tested = met.filter("needed > 0").join(each, "id")
-    context = asked.select("ask", F.inline("context")).select("ask", F.col("key").alias("attribute"), F.col("value").alias("found"))
-    tested = tested.join(context, ["ask", "attribute"], "left")
-    n = F.count_if(holds(typed(F.col("found")), F.col("operator"), typed(F.col("value"))))
+    context = asked.select("ask", F.inline("context")).select("ask", F.col("key").alias("attribute"), typed(F.col("value")).alias("found"))
+    tested = tested.join(context, ["ask", "attribute"], "left").withColumn("found", F.coalesce("found", typed(F.lit(None).cast("string"))))
+    n = F.count_if(holds(F.col("found"), F.col("operator"), F.col("value")))
     divided = tested.groupBy("ask", "id", "effect", "needed").agg(n.alias("n")).filter("n = needed")
     return met.filter("needed = 0").select("ask", "id", "effect").unionByName(divided.select("ask", "id", "effect"))
 
