@@ -16,9 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
-from ..session import written
 from .forgetful import answered
-from .reuse import BLOCK, numbered, replayed, residents
+from .reuse import BLOCK, Kept, numbered, replayed, residents
 
 # Buckets as (name, capacity, refill, seconds of one refill), in the order in which they are asked.
 BUCKETS = (("burst", 10, 10, 1), ("minute", 60, 60, 60), ("hour", 1000, 1000, 3600), ("day", 10000, 10000, 86400))
@@ -191,7 +190,7 @@ def _call_rows(calls: DataFrame, key: Column, stores: Column | None) -> DataFram
     return calls.select("event_id", key.alias("key"), _us(), kept.alias("stores"), "ts")
 
 
-def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None, capacity: int | None = None, block: int = BLOCK) -> DataFrame:
+def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | None = None, capacity: int | None = None, block: int | None = None) -> DataFrame:
     """hit: whether an equal key was stored less than `seconds` before, as seen from the call that stored it; calls for which `stores` is not true store nothing.
 
     An entry lives from its insertion, so hits depend on where the last one was stored: keys are taken in order. With a capacity, the entries used least
@@ -201,11 +200,13 @@ def cache_hits(calls: DataFrame, key: Column, seconds: int, stores: Column | Non
         key = F.to_json(F.struct(key.alias("k")))  # a null key is one like others
         rows = _call_rows(calls, key, stores).withColumnRenamed("event_id", "ident").withColumn("weight", F.lit(1).cast("long"))
 
-        def answer(df: DataFrame) -> DataFrame:
-            said = _batch(df.withColumnRenamed("at", "event_id"), "key", ["us", "stores", "resident"], lambda: Entry(seconds), "event_id", _HIT)
-            return df.join(said.withColumnRenamed("event_id", "at"), "at")
-
-        return replayed(rows, capacity, answer, block).select(F.col("ident").alias("event_id"), "hit")
+        if rows.filter(~F.col("stores")).isEmpty():
+            seen = residents(numbered(rows, ["us", "ident"], block or BLOCK).withColumn("used", F.lit(True)), capacity, block or BLOCK)
+            said = _batch(seen.withColumnRenamed("at", "event_id"), "key", ["us", "stores", "resident"], lambda: Entry(seconds), "event_id", _HIT)
+            return seen.withColumnRenamed("at", "seen").join(said.withColumnRenamed("event_id", "seen"), "seen").select(F.col("ident").alias("event_id"), "hit")
+        rows = rows.withColumn("asked", F.lit(None).cast("array<string>"))
+        said = replayed(numbered(rows, ["us", "ident"], block), lambda: Kept(capacity, seconds * 1_000_000))
+        return said.select(F.col("ident").alias("event_id"), (F.col("said") == 1).alias("hit"))
     return _batch(_call_rows(calls, key, stores), "key", ["us", "stores"], lambda: Entry(seconds), "event_id", _HIT)
 
 
@@ -288,30 +289,20 @@ def prefix_tokens(messages: Column) -> Column:
     return F.aggregate(messages, F.lit(0).cast("long"), lambda n, m: n + F.floor(F.char_length(F.coalesce(m["content"], F.lit(""))) / 4))
 
 
-def longest_kept_prefix(requests: DataFrame, cached: DataFrame, budget: int, block: int = BLOCK) -> DataFrame:
+def longest_kept_prefix(requests: DataFrame, cached: DataFrame, budget: int, block: int | None = None) -> DataFrame:
     """Like `longest_prefix`, in a cache that holds entries of at most `budget` tokens together and drops those used least recently.
 
     Requests come in the order of conv_id; each first looks for its longest prefix, which it uses, and then stores its own entry. Which prefix that is depends on
-    earlier uses: as in `replayed`, what each request finds is assumed and sought anew until nothing changes.
+    earlier uses, so blocks of requests are replayed (see `replayed`).
     """
-    prefixes = requests.select("conv_id", F.posexplode(prefix_hashes(F.col("messages"))).alias("length", "key"))
-    own = cached.filter(F.size("messages") > 0).select("conv_id", F.element_at(prefix_hashes(F.col("messages")), -1).alias("key"), prefix_tokens(F.col("messages")).alias("weight"))
-    entries = own.groupBy("key").agg(F.min("weight").alias("weight"))
-    asked = prefixes.join(entries, "key").select(F.col("conv_id").alias("us"), F.lit(0).alias("ident"), "key", "weight", (F.col("length") + 1).cast("long").alias("length"))
-    stored = own.select(F.col("conv_id").alias("us"), F.lit(1).alias("ident"), "key", "weight", F.lit(0).cast("long").alias("length"))
-    # the longest first: what a request finds then pushes out only what it no longer asks for
-    rows = numbered(asked.unionByName(stored).withColumn("turn", -F.col("length")), ["us", "ident", "turn"], block).drop("turn")
-    rows = written(rows.withColumn("found", F.lit(False)))
-    while True:
-        tried = rows.withColumn("used", (F.col("ident") == 1) | F.col("found")).withColumnRenamed("found", "had")
-        out = residents(tried, budget, block)
-        best = out.filter("resident AND ident = 0").groupBy("us").agg(F.max("length").alias("best"))
-        out = written(out.join(best, "us", "left").withColumn("found", F.coalesce((F.col("ident") == 0) & (F.col("length") == F.col("best")), F.lit(False))))
-        if out.filter("found <> had").isEmpty():
-            break
-        rows = out.drop("had", "resident", "best")
-    best = out.filter("found").select(F.col("us").alias("conv_id"), F.col("length").alias("prefix"))
-    return requests.select("conv_id").join(best, "conv_id", "left").select("conv_id", F.coalesce("prefix", F.lit(0).cast("bigint")).alias("prefix"))
+    none, hashes = (lambda kind: F.lit(None).cast(kind)), prefix_hashes(F.col("messages"))
+    asked = requests.select("conv_id", F.lit(0).alias("turn"), none("string").alias("key"), F.lit(0).cast("long").alias("weight"), F.coalesce(hashes, F.array()).alias("asked"))
+    own = cached.filter(F.size("messages") > 0)
+    stored = own.select("conv_id", F.lit(1).alias("turn"), F.element_at(hashes, -1).alias("key"), prefix_tokens(F.col("messages")).alias("weight"), none("array<string>").alias("asked"))
+    rows = asked.unionByName(stored).select(F.col("conv_id").alias("ident"), "turn", "key", "weight", none("long").alias("us"), (F.col("turn") == 1).alias("stores"), "asked")
+    calls = numbered(rows, ["ident", "turn", "key"], block)
+    said = replayed(calls.withColumn("ident", F.struct("ident", "turn")), lambda: Kept(budget))
+    return said.filter("ident.turn = 0").select(F.col("ident.ident").alias("conv_id"), F.col("said").alias("prefix"))
 
 
 def drain_order(queued: DataFrame) -> DataFrame:

@@ -104,3 +104,23 @@ def test_prefix_cache_with_a_budget(spark, budget, block):
     assert got == want and len(set(want.values())) > 2
     if budget == 10**9:
         assert got == {r["conv_id"]: r["prefix"] for r in L.longest_prefix(df, cached).collect()}
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """How often the replay has written a table."""
+    done, write = [], R.written
+    monkeypatch.setattr(R, "written", lambda df: done.append(1) or write(df))
+    return done
+
+
+@pytest.mark.parametrize("at_once", [1, 8])
+def test_a_prefix_that_is_kept_alive_takes_few_rounds(spark, rounds, monkeypatch, at_once):
+    """What a request finds depends on the one before it, all the way back: rounds grow with the blocks, not with the requests."""
+    monkeypatch.setattr(R, "ROUNDS", at_once, raising=False)
+    rows = [(0, [("system", "s" * 20), ("user", "u")])] + [(i, [("system", "s" * 20), ("user", f"{i:040}"), ("user", "u")]) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, MESSAGES)
+    cached = df.withColumn("messages", F.slice("messages", F.lit(1), F.size("messages") - 1))
+    got = {r["conv_id"]: r["prefix"] for r in L.longest_kept_prefix(df, cached, 40, 100).collect()}
+    assert got == replay_prefixes(rows, 40) and set(got.values()) == {0, 1}
+    assert len(rounds) <= 1 + 4 + 1
