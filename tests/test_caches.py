@@ -124,3 +124,10 @@ def test_a_prefix_that_is_kept_alive_takes_few_rounds(spark, rounds, monkeypatch
     got = {r["conv_id"]: r["prefix"] for r in L.longest_kept_prefix(df, cached, 40, 100).collect()}
     assert got == replay_prefixes(rows, 40) and set(got.values()) == {0, 1}
     assert len(rounds) <= 1 + 4 + 1
+
+
+def test_hits_that_keep_an_entry_young_take_few_rounds(spark, rounds):
+    """A chain of calls that do not store, each of which hits because the one before did."""
+    calls = [(0, "a", 0, True)] + [(i, "a" if i % 2 else f"k{i}", i, i % 2 == 0) for i in range(1, 240)]
+    assert got_hits(spark, calls, 10**6, 2, 60) == replay(calls, 10**6, 2)
+    assert len(rounds) <= 1 + 4 + 1
