@@ -47,7 +47,8 @@ class Store:
         (writer.partitionBy(part) if part else writer).parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name][0]).parquet(self.path(name))
+        """A table, which joins read by sorting and merging: a few columns of a wide table, mostly null, count as next to nothing, and would be broadcast through the driver at any size."""
+        return self.spark.read.schema(SCHEMAS[name][0]).parquet(self.path(name)).hint("merge")
 
 
 def new_triplets(rows: DataFrame, as_of: Column, source: str = "tournament") -> DataFrame:

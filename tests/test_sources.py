@@ -38,6 +38,14 @@ def test_store_round_trip(spark, tmp_path):
     assert manifest.first()["triplet_count"] == 2 and S.version_triplets(members, got, "v1").count() == 2
 
 
+def test_joins_of_stores_are_not_broadcast(spark, tmp_path):
+    store = ST.Store.create(spark, str(tmp_path))
+    store.append("gold_comparisons", spark.range(2000).select(F.col("id").cast("string").alias("id")))
+    store.append("sme_labels", spark.range(6000).select((F.col("id") % 2000).cast("string").alias("comparison_id"), F.lit(0.5).alias("confidence")))
+    j = store.read("gold_comparisons").select(F.col("id").alias("comparison_id")).join(store.read("sme_labels"), "comparison_id")
+    assert "Broadcast" not in j._jdf.queryExecution().executedPlan().toString() and j.count() == 6000
+
+
 @pytest.mark.parametrize("kind", ["jsonl", "parquet"])
 def test_exports(spark, tmp_path, kind):
     D.export(spark.createDataFrame([(1, "a"), (2, None)], "id int, s string"), str(tmp_path / "x"), kind)
