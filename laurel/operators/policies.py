@@ -2,7 +2,7 @@
 
 A policy is a row (id, effect, principal, action, resource, conditions): each part is a name, `*`, or `X::*` for all names that begin with `X::`; conditions
 are an array of (attribute, operator, value), a value being JSON text. A request is a row (request_id, principal, action, resource, context): context maps
-attributes to JSON texts. Ids of policies are unique. Conditions hold all together: this is a relational division, by counting those that hold.
+attributes to JSON texts. Ids of policies are unique. Conditions hold all together, which is counted.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import written
 
 PARTS = ["principal", "action", "resource"]
 POLICY = "id string, effect string, principal string, action string, resource string, conditions array<struct<attribute:string,operator:string,value:string>>"
@@ -62,38 +63,37 @@ def policy_text() -> Column:
     return F.concat(head, F.when(F.size("conditions") > 0, F.concat(F.lit("when {\n"), when, F.lit("\n};"))).otherwise(";"))
 
 
-def applicable(asked: DataFrame, policies: DataFrame) -> DataFrame:
-    """(ask, id, effect): the policies that match requests (ask, principal, action, resource, context as entries)."""
-    sought = asked
+def applicable(parts: DataFrame, policies: DataFrame) -> DataFrame:
+    """(principal, action, resource, said): the policies (id, effect, conditions with typed values) that cover distinct parts of requests, conditions aside."""
+    sought = parts
     for c in PARTS:
         sought = sought.select("*", _covers(c).alias(f"{c}_said"))
     conditions = F.col("conditions") if "conditions" in policies.columns else F.lit(None).cast("array<struct<attribute:string,operator:string,value:string>>")
-    said = policies.select("id", "effect", *(F.col(c).alias(f"{c}_said") for c in PARTS), F.coalesce(conditions, F.array()).alias("conditions"))
-    needed = said.withColumn("needed", F.size("conditions"))
-    met = sought.select("ask", *(f"{c}_said" for c in PARTS)).join(needed, [f"{c}_said" for c in PARTS]).select("ask", "id", "effect", "needed")
     # values are typed below the joins, once each
-    each = said.select("id", F.inline("conditions")).withColumn("value", typed(F.col("value")))
-    tested = met.filter("needed > 0").join(each, "id")
-    context = asked.select("ask", F.inline("context")).select("ask", F.col("key").alias("attribute"), typed(F.col("value")).alias("found"))
-    tested = tested.join(context, ["ask", "attribute"], "left").withColumn("found", F.coalesce("found", typed(F.lit(None).cast("string"))))
-    n = F.count_if(holds(F.col("found"), F.col("operator"), F.col("value")))
-    divided = tested.groupBy("ask", "id", "effect", "needed").agg(n.alias("n")).filter("n = needed")
-    return met.filter("needed = 0").select("ask", "id", "effect").unionByName(divided.select("ask", "id", "effect"))
+    each = F.transform(F.coalesce(conditions, F.array()), lambda c: F.struct(c["attribute"].alias("attribute"), c["operator"].alias("operator"), typed(c["value"]).alias("value")))
+    said = policies.select("id", "effect", *(F.col(c).alias(f"{c}_said") for c in PARTS), each.alias("conditions"))
+    return sought.join(said, [f"{c}_said" for c in PARTS]).groupBy(*PARTS).agg(F.collect_list(F.struct("id", "effect", "conditions")).alias("said"))
 
 
 def decisions(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """request_id, allowed, and the ids of matching permits and forbids: forbid beats permit, and nothing is allowed by default.
 
-    Each distinct request is decided once, by equal joins of what may cover it with the policies, however many there are. A null part is covered by no policy;
-    `context` and `conditions` may be missing.
+    Policies are found once for each distinct principal, action and resource, by equal joins of what may cover them, however many there are; each request meets
+    what its parts have found, counts the conditions that hold in its context, and keeps its place: contexts are neither taken apart nor grouped. A null part is
+    covered by no policy; `context` and `conditions` may be missing.
     """
-    context = F.array_sort(F.map_entries("context")) if "context" in requests.columns else F.lit(None).cast("array<struct<key:string,value:string>>")
-    rows = requests.select("request_id", *PARTS, context.alias("context")).withColumn("ask", F.sha2(F.to_json(F.struct(*PARTS, "context")), 256))
-    met = applicable(rows.drop("request_id").dropDuplicates(["ask"]), policies)
-    ids = lambda effect: F.array_sort(F.collect_list(F.when(F.col("effect") == effect, F.col("id")))).alias(f"{effect}s")
-    out = rows.select("request_id", "ask").join(met.groupBy("ask").agg(ids("permit"), ids("forbid")), "ask", "left")
-    none = F.array().cast("array<string>")
-    out = out.select("request_id", F.coalesce("permits", none).alias("permits"), F.coalesce("forbids", none).alias("forbids"))
+    context = F.map_entries("context") if "context" in requests.columns else F.lit(None).cast("array<struct<key:string,value:string>>")
+    found = F.map_from_entries(F.transform(F.coalesce(context, F.array()), lambda x: F.struct(x["key"], typed(x["value"]))))
+    rows = requests.select("request_id", *PARTS, found.alias("context"))
+    none = typed(F.lit(None).cast("string"))
+    # written, so that its size is known: few parts are broadcast, and requests are not shuffled
+    met = rows.join(written(applicable(requests.select(*PARTS).distinct(), policies)), PARTS, "left")
+    # looked up once for each condition
+    pairs = lambda p: F.transform(p["conditions"], lambda c: F.struct(F.coalesce(F.try_element_at("context", c["attribute"]), none).alias("found"), c.alias("asked")))
+    holding = lambda p: F.size(F.filter(pairs(p), lambda x: holds(x["found"], x["asked"]["operator"], x["asked"]["value"])))
+    met = met.select("request_id", F.filter(F.coalesce("said", F.array()), lambda p: holding(p) == F.size(p["conditions"])).alias("met"))
+    ids = lambda effect: F.array_sort(F.transform(F.filter("met", lambda p: p["effect"] == effect), lambda p: p["id"])).alias(f"{effect}s")
+    out = met.select("request_id", ids("permit"), ids("forbid"))
     return out.select("request_id", ((F.size("permits") > 0) & (F.size("forbids") == 0)).alias("allowed"), "permits", "forbids")
 
 

@@ -75,6 +75,15 @@ def test_decisions_with_conditions(spark):
     assert P.decisions(r.limit(0), p).count() == 0
 
 
+def test_contexts_are_not_shuffled(spark):
+    """Few parts of many requests are met where the requests stand."""
+    r = spark.range(5000).select(F.col("id").alias("request_id"), F.concat(F.lit("A::"), (F.col("id") % 3).cast("string")).alias("principal"), F.lit("read").alias("action"), F.lit("H::x").alias("resource"), F.create_map(F.lit("n"), F.col("id").cast("string")).alias("context"))
+    p = spark.createDataFrame([("low", "permit", "A::*", "*", "H::*", [("n", "<", "100")]), ("one", "forbid", "A::1", "*", "*", [])], P.POLICY)
+    got = P.decisions(r, p)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.filter("allowed").count() == 67 and got.filter("size(forbids) = 1").count() == 1667
+
+
 MESSAGES = "traj_id string, message_index int, role string, content string, tool_calls array<struct<name:string,arguments:string>>"
 
 
