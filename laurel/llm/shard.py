@@ -3,8 +3,8 @@
 Metadata (language, source, size) is quantised to 5 bits each, the cells are numbered along a 3-dimensional Hilbert
 curve, rows are sorted by that number and cut into runs, so that each shard covers few cells and a reader that filters
 on any of the three dimensions can skip shards by their min/max statistics. A dimension's cells are runs of its values in their own order:
-size is cut at its quantiles over all rows, language and source at evenly spaced values of at most `VALUES` distinct ones (those of the
-smallest hashes; with up to 32 distinct values each has a cell of its own). The law is `rows`: counts of shards differ by one at most.
+size is cut at its quantiles over all rows, language and source at evenly spaced ones of all distinct values
+(with up to 32 of them each has a cell of its own). The law is `rows`: counts of shards differ by one at most.
 
 Equal texts are one group. They share a cell, the smallest of theirs, and so stand side by side. Where a cut
 falls inside a group, its smaller part changes places with the nearest rows of single texts beyond the group, in the same half shard; a
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from .common import stash
 
 BITS, DIMS = 5, 3
-#: Distinct languages and sources that cuts are fitted to.
-VALUES = 4096
 # Rules of the 3-dimensional curve, by the position w along a cell's 8 children: Gray code's inverse, the corner where the
 # child is entered, and the axis along which it is left.
 _GRAY_INVERSE = [0, 1, 3, 2, 7, 6, 4, 5]
@@ -55,11 +53,12 @@ def _between(value: Column, cuts: list) -> Column:
 
 
 def _value_cuts(docs: DataFrame, name: str) -> list[str]:
-    """At most 31 values that cut a column's distinct values evenly."""
-    value = F.coalesce(F.col(name).cast("string"), F.lit(""))
-    found = sorted(r[0] for r in docs.select(value.alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(VALUES).collect())
-    n = 1 << BITS
-    return found[1:] if len(found) <= n else [found[len(found) * i // n] for i in range(1, n)]
+    """At most 31 values that cut all of a column's distinct values evenly; only these reach the driver."""
+    values = docs.select(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("v")).distinct()
+    n, placed = 1 << BITS, stash(values.repartitionByRange("v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()))
+    ranked, total = _ranked(placed)
+    ranks = range(1, total) if total <= n else [total * i // n for i in range(1, n)]
+    return sorted(r[0] for r in ranked.filter(F.col("rank").isin([*ranks])).select("v").collect())
 
 
 def cells(docs: DataFrame) -> DataFrame:

@@ -486,6 +486,15 @@ def test_equal_texts_stay_in_one_shard(spark):
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_cuts_come_from_all_values(spark):
+    many = spark.range(6001).select(F.format_string("s%05d", "id").alias("source"))
+    many = many.unionByName(many.limit(50)).unionByName(spark.createDataFrame([(None,)], "source string"))
+    values = ["", *(f"s{i:05}" for i in range(6001))]
+    assert shard._value_cuts(many, "source") == [values[6002 * i // 32] for i in range(1, 32)]
+    few = spark.createDataFrame([(x,) for x in ["b", "a", None, "a", "c"]], "source string")
+    assert shard._value_cuts(few, "source") == ["a", "b", "c"] and shard._value_cuts(few.limit(0), "source") == []
+
+
 def test_shards_can_be_skipped(spark):
     docs = shard_rows(spark, copies=False)
     placed = {r["doc_id"]: r["shard"] for r in shard.assign(docs, 40).collect()}
