@@ -2,8 +2,10 @@
 
 The pre-tokenizer isolates each match of a regular expression that matches one code point, so its offsets are those of the text's code
 points; nothing is trained. The number of offsets is n, and the offsets of two ranks drawn from the document's key cut the text into
-prefix, middle and suffix. Matches never span two code points, so a text is handed over in slices and the offsets of a slice alone
-are held at once: memory is the text and 256 offsets, however long it is.
+prefix, middle and suffix. Matches never span two code points, so a text may be handed over in pieces: parts of words of at most three code
+points and what stands between words. A piece is handed over when it is met first, and its number of offsets kept; n is the sum of the numbers, and a
+cut lies at an offset inside the piece that holds its rank. Memory is the text, the pieces of `CHUNK` code points, a number for each chunk
+and `KEPT` numbers of pieces.
 
 A form is `plain` (the text), `psm` (prefix, suffix, middle) or `spm` (suffix, prefix, middle); the parts follow their sentinels. Texts that
 hold a sentinel stay plain, and no sentinel's end is another's beginning, so what is put together has each sentinel once and `restored` finds the
@@ -15,7 +17,9 @@ result each, equal for equal rows; an empty table gives no rows; extra columns a
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,37 +27,56 @@ from pyspark.sql import functions as F
 
 #: One code point, line breaks included.
 UNIT = r"[\s\S]"
-#: Code points that are given to the pre-tokenizer at once.
-SLICE = 256
+#: What is given to the pre-tokenizer at once; every code point is in one piece.
+PIECE = re.compile(r"\w{1,3}|\W")
+#: Code points whose pieces are held at once, and pieces whose numbers of offsets are kept.
+CHUNK, KEPT = 1 << 11, 1 << 18
 #: Bytes of output in one Arrow batch.
 BATCH_BYTES = 4 << 20
 SENTINELS = ("<P>", "<S>", "<M>")
 _OUT = "doc_id {}, n long, form string, prefix_chars long, middle_chars long, output string"
 
 
-def splitter():
-    """text, from, to -> the offsets of the code points of a slice."""
+class Units(dict):
+    """piece -> its number of offsets, of the pieces kept."""
+
+    def __init__(self, split):
+        super().__init__()
+        self.split = split
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        n = self[piece] = len(self.split(piece))
+        return n
+
+
+def splitter() -> Units:
+    """What knows the offsets of the code points of a piece, and their number."""
     from tokenizers import Regex, pre_tokenizers
 
-    split = pre_tokenizers.Split(Regex(UNIT), "isolated").pre_tokenize_str
-    return lambda text, a, b: split(text[a:b])
+    return Units(pre_tokenizers.Split(Regex(UNIT), "isolated").pre_tokenize_str)
 
 
-def units(split, text: str) -> list[int]:
-    """Running counts of the offsets of a text's slices; the last is n."""
+def units(known: Units, text: str) -> list[int]:
+    """Running counts of the offsets of a text's chunks; the last is n."""
     ends, n = [], 0
-    for a in range(0, len(text), SLICE):
-        n += len(split(text, a, a + SLICE))
+    for a in range(0, len(text), CHUNK):
+        n += sum(map(known.__getitem__, PIECE.findall(text, a, a + CHUNK)))
         ends.append(n)
     return ends
 
 
-def offset(split, text: str, ends: list[int], rank: int) -> int:
+def offset(known: Units, text: str, ends: list[int], rank: int) -> int:
     """Where the unit of a rank begins; the text's end for rank n."""
     k = bisect_right(ends, rank)
     if k == len(ends):
         return len(text)
-    return k * SLICE + split(text, k * SLICE, (k + 1) * SLICE)[rank - (ends[k - 1] if k else 0)][1][0]
+    at = k * CHUNK
+    pieces = PIECE.findall(text, at, at + CHUNK)
+    inside = list(accumulate(map(known.__getitem__, pieces), initial=ends[k - 1] if k else 0))
+    j = bisect_right(inside, rank) - 1
+    return at + sum(map(len, pieces[:j])) + known.split(pieces[j])[rank - inside[j]][1][0]
 
 
 def drawn(key: Column, seed: int = 1) -> Column:
@@ -73,18 +96,18 @@ def transform(docs: DataFrame, seed: int = 1, percent: int = 90, spm_percent: in
     rows = docs.select("doc_id", text.alias("text"), form.alias("form"), h[0].alias("h1"), h[1].alias("h2"))
 
     def run(batches):
-        split, schema = splitter(), None
+        known, schema = splitter(), None
         for batch in batches:
             schema = schema or pa.schema([("doc_id", batch.schema.field(0).type), ("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output", pa.string())])
             rows, size = [], 0
             for key, body, kind, h1, h2 in zip(*batch.columns, strict=True):
                 t, kind = body.as_py(), kind.as_py()
-                ends = units(split, t)
+                ends = units(known, t)
                 n = ends[-1] if ends else 0
                 row = {"doc_id": key.as_py(), "n": n, "form": kind, "output": t}
                 if kind != "plain":
                     lo, hi = sorted((h1.as_py() % (n + 1), h2.as_py() % (n + 1)))
-                    a, b = offset(split, t, ends, lo), offset(split, t, ends, hi)
+                    a, b = offset(known, t, ends, lo), offset(known, t, ends, hi)
                     head = f"{p}{t[:a]}{s}{t[b:]}" if kind == "psm" else f"{s}{t[b:]}{p}{t[:a]}"
                     row |= {"prefix_chars": lo, "middle_chars": hi - lo, "output": f"{head}{m}{t[a:b]}"}
                 rows.append(row)

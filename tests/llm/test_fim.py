@@ -57,3 +57,31 @@ def test_offsets_are_those_of_code_points(n):
     ends = fim.units(split, t)
     assert (ends[-1] if ends else 0) == n
     assert [fim.offset(split, t, ends, k) for k in range(n + 1)] == list(range(n + 1))
+
+
+def test_pieces_met_again_are_not_handed_over_again(monkeypatch):
+    """Recurring parts of words are split once while they are kept; counts and cuts are those of code points also where the kept ones are forgotten."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abé🙂\n\t") for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["汉" * 700, ""]
+    t = " ".join(rng.choice(words[:300]) for _ in range(60_000)) + " " + " ".join(words) + "  "
+    from tokenizers import pre_tokenizers
+
+    given, real = [], pre_tokenizers.Split
+
+    class Counting:
+        def __init__(self, *args):
+            self.split = real(*args)
+
+        def pre_tokenize_str(self, text):
+            given.append(len(text))
+            return self.split.pre_tokenize_str(text)
+
+    monkeypatch.setattr(pre_tokenizers, "Split", Counting)
+    split = fim.splitter()
+    ends = fim.units(split, t)
+    assert ends[-1] == len(t) and sum(given) < len(t) / 20
+    ranks = [0, 1, 255, 256, 2047, 2048, 2049, 65_535, 65_536, len(t) - 1, len(t), *(rng.randrange(len(t)) for _ in range(60)), *range(len(t) - 720, len(t), 9)]
+    assert [fim.offset(split, t, ends, k) for k in ranks] == ranks
+    monkeypatch.setattr(fim, "KEPT", 7, raising=False)
+    few = fim.splitter()
+    assert fim.units(few, t) == ends and len(few) <= 7 and [fim.offset(few, t, ends, k) for k in ranks] == ranks
