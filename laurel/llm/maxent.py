@@ -44,6 +44,10 @@ CLASS_BITS, BUCKET_BITS, MAX_ROW_BITS = 5, 5, 16
 CLASSES, BUCKETS = 1 << CLASS_BITS, 1 << BUCKET_BITS
 TOKENS_A_ROW = 64
 ROUNDS, BATCH, RATE, LEARNER_BYTES = 2, 1 << 14, 0.1, 64 << 20
+#: Tokens of a row that are added for all rows at once, one of each; a row's others are added row by row.
+AT_ONCE = 32
+#: Logits between which float32 exponentials, and sums of them, neither overflow nor vanish.
+SAFE = 80
 _END, _START = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0xA5A5F00DCAFE1234)
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -73,6 +77,29 @@ def row_bits(n_tokens: int) -> int:
     return min(MAX_ROW_BITS, max(8, int(n_tokens // TOKENS_A_ROW).bit_length() - 1))
 
 
+def summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows that context features (features x tokens) select, and the sum of g (tokens x n) for each: all rows' first tokens, then the second ones of rows that have two, and so on."""
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    size = np.diff(cut, append=len(flat))
+    fewer = (AT_ONCE + 1 - np.minimum(size, AT_ONCE + 1)).astype(np.uint8)
+    large_first = np.argsort(fewer, kind="stable")
+    cut, size = cut[large_first], size[large_first]
+    # how many rows have more than 1, 2, ... AT_ONCE tokens
+    longer = np.searchsorted(fewer[large_first], np.arange(AT_ONCE, 0, -1, np.uint8), "left")
+    order %= g.shape[0]
+    out = g.take(order[cut], 0)
+    for p, m in enumerate(longer[:-1], 1):
+        if not m:
+            break
+        out[:m] += g.take(order[cut[:m] + p], 0)
+    for i in range(longer[-1]):
+        out[i] += g.take(order[cut[i] + AT_ONCE : cut[i] + size[i]], 0).sum(0)
+    return flat[cut], out
+
+
 class Model:
     """Weights and AdaGrad's sums of squares of the two softmaxes, and the logarithms of masses by class and bucket."""
 
@@ -95,9 +122,10 @@ class Model:
         for r in rows[1:]:
             z += w.take(r, 0)
         z += bias
-        z -= z.max(1, keepdims=True)
+        if not (z.max(initial=0) < SAFE and z.min(initial=0) > -SAFE):
+            z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= np.einsum("ij->i", z)[:, None]
         return z
 
     def _batches(self, t: np.ndarray, x: np.ndarray):
@@ -113,14 +141,11 @@ class Model:
         for _, of, rows, target, g in self._batches(t, x):
             n = len(target)
             g[np.arange(n), target] -= 1
-            flat = rows.ravel()
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            used = flat[cut]
-            grad = np.add.reduceat(np.ascontiguousarray(g.T).take(order % n, 1), cut, axis=1).T
-            self.squares[of][used] += np.mean(grad * grad, axis=1)
-            self.weights[of][used] -= RATE * grad / np.sqrt(self.squares[of][used] + 1e-8)[:, None]
+            used, grad = summed(rows, g)
+            squares = self.squares[of].take(used) + np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+            self.squares[of][used] = squares
+            grad *= (RATE / np.sqrt(squares + 1e-8))[:, None]
+            self.weights[of][used] = self.weights[of].take(used, 0) - grad
 
     def log10(self, t: np.ndarray, x: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 P(token | context) for tokens with these training counts."""

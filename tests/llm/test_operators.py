@@ -707,3 +707,48 @@ def test_chains_are_one_component(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5)] + [(300, 301 + i) for i in range(50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, **dict.fromkeys(range(300, 351), 300)}
+
+
+@pytest.mark.parametrize(("n", "top"), [(1, 0), (12, 0), (90, 3), (1000, 40), (3000, 65_535)])
+def test_gradients_of_a_row_are_summed(n, top):
+    """Rows of one token, of some, and of more than are added at once."""
+    rng = np.random.default_rng(n)
+    rows = ((top + 1) * rng.random((3, n)) ** 3).astype(np.uint16)
+    g = rng.normal(size=(n, 8)).astype(np.float32)
+    want = np.zeros((top + 1, 8))
+    np.add.at(want, rows.ravel(), np.tile(g.astype(np.float64), (3, 1)))
+    used, got = maxent.summed(rows, g)
+    assert sorted(used.tolist()) == np.unique(rows).tolist() and np.allclose(got, want[used], atol=1e-3)
+
+
+def test_a_learning_step_sums_in_few_passes():
+    """A step costs about as much as a few plain passes over its tokens; sums along the rows of a transposed gradient took three times as much."""
+    rng = np.random.default_rng(4)
+    t = maxent.mix((3000 * rng.random(4 * maxent.BATCH) ** 4).astype(np.uint64) + np.uint64(1))
+    x = maxent.contexts(t, np.array([0, len(t)]))
+    model = maxent.Model(16, np.ones((maxent.CLASSES, maxent.BUCKETS)))
+    old = np.ones((4 * maxent.BATCH, maxent.CLASSES), np.float32)
+    learn, plain = [], []
+    for _ in range(4):
+        a = time.process_time()
+        model.learn(t, x)
+        b = time.process_time()
+        for _ in range(4):
+            old.max(1), old.sum(1), np.exp(old), old.take(np.arange(len(old)), 0)
+        learn.append(b - a)
+        plain.append(time.process_time() - b)
+    assert min(learn) < 2 * min(plain)
+
+
+def test_softmax_of_large_logits():
+    rng = np.random.default_rng(6)
+    model = maxent.Model(8, np.ones((maxent.CLASSES, maxent.BUCKETS)))
+    for scale in (1, 20, 60, 300, 1e6):
+        model.weights[0][:] = rng.normal(size=model.weights[0].shape) * scale
+        rows = rng.integers(0, 256, (3, 500)).astype(np.uint16)
+        z = model.weights[0].astype(np.float64)[rows].sum(0) + model.bias[0]
+        want = np.exp(z - z.max(1, keepdims=True))
+        want /= want.sum(1, keepdims=True)
+        got = model.softmax(0, rows, model.bias[0])
+        assert np.isfinite(got).all() and np.allclose(got, want, atol=1e-4 if scale < 1000 else 0.3)
+    assert model.softmax(0, rows[:, :0], model.bias[0]).shape == (0, maxent.CLASSES)
